@@ -75,6 +75,14 @@ def _table(name: str, base: int, n: int) -> np.ndarray:
     return _tables[name][:n]
 
 
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans of bytes: differences of one running polynomial sum, brought to a common origin."""
+    total = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(_BYTE[data] * _table("up", _BASE, len(data)), out=total[1:])
+    hashes = (total[end] - total[start]) * _table("down", _INVERSE, len(data))[start]
+    return splitmix(hashes ^ ((end - start).astype(np.uint64) << np.uint64(48)))
+
+
 def word_hashes(data: np.ndarray, bounds: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """64-bit hashes of the words of consecutive texts.
 
@@ -96,11 +104,7 @@ def word_hashes(data: np.ndarray, bounds: np.ndarray, lower: bool = True) -> tup
     last[:-1] &= ~inside[1:] | first[1:]
     start = np.flatnonzero(first)
     end = np.flatnonzero(last) + 1
-    total = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[data] * _table("up", _BASE, n), out=total[1:])
-    hashes = (total[end] - total[start]) * _table("down", _INVERSE, n)[start]
-    hashes = splitmix(hashes ^ ((end - start).astype(np.uint64) << np.uint64(48)))
-    return hashes, start, end, np.searchsorted(start, bounds)
+    return span_hashes(data, start, end), start, end, np.searchsorted(start, bounds)
 
 
 def text_blocks(texts: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
