@@ -1 +1,53 @@
-"""See the module docstrings."""
+"""Column functions for presentation: cells, axis numbers, labels; and text helpers for SQL and insights."""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+#: Month names as they begin a label.
+MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
+_TIME_LABEL = rf"^(\d{{4}}[-/]|({'|'.join(MONTHS)})[a-z]*\.?\b(?![a-z]))"
+#: Clauses that begin a line of printed SQL.
+CLAUSES = ("FROM", "WHERE", "GROUP BY", "ORDER BY", "HAVING", "LIMIT", "LEFT JOIN")
+
+
+def cell(value: Column, kind: str) -> Column:
+    """A table cell as text: null as -, numbers with separators, all else as it is."""
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        text = F.format_number(value, 0)
+    elif kind in ("float", "double") or kind.startswith("decimal"):
+        text = F.regexp_replace(F.regexp_replace(F.format_number(value.cast("double"), 3), r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    else:
+        text = value.cast("string")
+    return F.coalesce(text, F.lit("-"))
+
+
+def axis_number(value: Column) -> Column:
+    """Millions and thousands of an axis with one digit and a letter."""
+    v = value.cast("double")
+    short = lambda by, unit: F.concat(F.format_string("%.1f", v / by), F.lit(unit))
+    plain = F.when(v == F.floor(v), F.floor(v).cast("string")).otherwise(v.cast("string"))
+    return F.when(v >= 1e6, short(1e6, "M")).when(v >= 1e3, short(1e3, "K")).otherwise(plain)
+
+
+def is_time_label(label: Column) -> Column:
+    """Labels that begin with a year and a separator, or with the name of a month (a word like Market is none)."""
+    return label.cast("string").rlike(_TIME_LABEL)
+
+
+def chart_value(value: Column) -> Column:
+    return F.coalesce(value.try_cast("double"), F.lit(0.0))
+
+
+def highlights(text: Column) -> Column:
+    """The amounts of money and the percentages in a text."""
+    return F.regexp_extract_all(text, F.lit(r"([$€£₹]\s?\d[\d,]*(?:\.\d+)?|\d[\d,]*(?:\.\d+)?%)"), 1)
+
+
+def pretty_sql(sql: str) -> str:
+    """SQL with each clause on a line of its own."""
+    pattern = "|".join(c.replace(" ", r"\s+") for c in sorted(CLAUSES, key=len, reverse=True))
+    return re.sub(rf"\s+({pattern})\b", r"\n\1", sql, flags=re.IGNORECASE)

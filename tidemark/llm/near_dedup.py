@@ -1,14 +1,16 @@
 """Near-duplicate documents by min-max hashing.
 
-Each of 64 permutations of the shingle hashes gives two signature values, its minimum and its maximum, so 128 values
-cost 64 hash evaluations. Bands of four values, all from different permutations, give candidate pairs; a pair at the
-threshold of 0.75 shares no band with probability (1 - 0.75^4)^32 = 5e-6. Candidates whose 128 values agree in less than
-0.55 are dropped (over five standard deviations below the threshold), the others are confirmed on their full shingle
-sets. Documents with equal sets are one node from the start.
+Each of 256 permutations of the shingle hashes gives two signature values, its minimum and its maximum, so 512 values
+cost 256 hash evaluations; their last 8 bits are kept, and 16 of those that make bands. Bands of four values, all from
+different permutations, give candidate pairs; a pair at the threshold of 0.75 shares no band with probability
+(1 - 0.75^4)^32 = 5e-6. Candidates that the 512 values estimate below 0.666 are dropped (4.4 standard deviations below
+the threshold, which is 5e-6 again), the others are confirmed on their full shingle sets. Documents with equal sets are
+one node from the start.
 
 No bucket is expanded into all its pairs. Every bucket first links its members to one pivot, the member that collides
 most often. What is then still in different components within a bucket is compared inside tasks, signature block
-against signature block, and only pairs across components that pass the estimate leave them.
+against signature block; of the pairs across components that pass the estimate, first the most similar leave them, and
+once those have been confirmed and joined, all that still lie across components.
 """
 
 from __future__ import annotations
@@ -22,18 +24,20 @@ from pyspark.sql import functions as F
 
 from .common import connected, signed, splitmix, stored, text_blocks, word_hashes
 
-PERMUTATIONS = 64
+PERMUTATIONS = 256
 BANDS = 32
-#: Signature agreement below which a candidate pair isn't confirmed on full sets.
-LEAST_ESTIMATE = 0.55
+#: Estimated similarity below which a candidate pair isn't confirmed on full sets.
+LEAST_ESTIMATE = 0.666
 #: Buckets up to this size are paired by a join, larger ones in blocks inside tasks.
 SMALL_BUCKET = 12
+#: Partners of each document outside a block's main component that are tried before all that are left.
+NEAREST = 2
 SIGNATURE_ROWS = 256
 #: Node ids up to this many are broadcast (8 bytes each) to fetch their texts; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
-_A = splitmix(np.arange(PERMUTATIONS, dtype=np.uint64) + np.uint64(1000)) | np.uint64(1)
-_B = splitmix(np.arange(PERMUTATIONS, dtype=np.uint64) + np.uint64(5000))
+_A = splitmix(np.arange(PERMUTATIONS, dtype=np.uint64) + np.uint64(1000)).astype(np.uint32) | np.uint32(1)
+_B = splitmix(np.arange(PERMUTATIONS, dtype=np.uint64) + np.uint64(5000)).astype(np.uint32)
 
 
 def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
@@ -59,24 +63,32 @@ def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
-    """Low halves of the 64 minima and the 64 maxima, as 128 values of 32 bits."""
-    low = np.full(PERMUTATIONS, np.iinfo(np.uint64).max, dtype=np.uint64)
-    high = np.zeros(PERMUTATIONS, dtype=np.uint64)
-    for at in range(0, len(shingles), 2048):
-        hashed = shingles[None, at : at + 2048] * _A[:, None]
+    """640 bytes: the last bytes of all minima and maxima, and the bytes before those of the values that make bands."""
+    low = np.full(PERMUTATIONS, np.iinfo(np.uint32).max, dtype=np.uint32)
+    high = np.zeros(PERMUTATIONS, dtype=np.uint32)
+    short = shingles.astype(np.uint32)
+    for at in range(0, len(short), 512):
+        hashed = short[None, at : at + 512] * _A[:, None]
         hashed += _B[:, None]
         np.minimum(low, hashed.min(axis=1), out=low)
         np.maximum(high, hashed.max(axis=1), out=high)
-    return np.concatenate([low, high]).astype(np.uint32)
+    more = np.concatenate([low[: 2 * BANDS], high[-2 * BANDS :]]) >> np.uint32(8)
+    return np.concatenate([low, high, more]).astype(np.uint8)
+
+
+def similarity(signatures: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Estimates of the Jaccard similarity; one in 256 of the values that differ agree in their last byte."""
+    agree = (signatures[:, : 2 * PERMUTATIONS] == other[..., : 2 * PERMUTATIONS]).mean(axis=1)
+    return (256 * agree - 1) / 255
 
 
 def band_keys(signatures: np.ndarray) -> np.ndarray:
     """Keys of the 32 bands, one row per signature: two minima and two maxima of four different permutations."""
     s = signatures.astype(np.uint64)
-    low, high = s[:, :PERMUTATIONS], np.roll(s[:, PERMUTATIONS:], PERMUTATIONS // 2, axis=1)
-    one = splitmix(low[:, 0::2] << np.uint64(32) | low[:, 1::2])
-    two = splitmix(one + (high[:, 0::2] << np.uint64(32) | high[:, 1::2]))
-    return splitmix(two + np.arange(BANDS, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15))
+    low = s[:, : 2 * BANDS] | s[:, -4 * BANDS : -2 * BANDS] << np.uint64(8)
+    high = s[:, 2 * PERMUTATIONS - 2 * BANDS : 2 * PERMUTATIONS] | s[:, -2 * BANDS :] << np.uint64(8)
+    four = low[:, 0::2] << np.uint64(48) | low[:, 1::2] << np.uint64(32) | high[:, 0::2] << np.uint64(16) | high[:, 1::2]
+    return splitmix(splitmix(four) + np.arange(BANDS, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15))
 
 
 def _features(width: int):
@@ -96,7 +108,7 @@ def _features(width: int):
 
 
 def _signatures(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint32).reshape(len(column), 2 * PERMUTATIONS)
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(len(column), 2 * PERMUTATIONS + 4 * BANDS)
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,32 +123,46 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _estimates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if len(batch):
-            same = (_signatures(batch.column(2)) == _signatures(batch.column(3))).mean(axis=1)
+            same = similarity(_signatures(batch.column(2)), _signatures(batch.column(3)))
             keep = same >= LEAST_ESTIMATE
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep)), pa.array(same[keep])], ["a", "b", "estimate"])
 
 
-def _across(table: pa.Table) -> pa.Table:
-    """Pairs of one block pair of a bucket: in different components, similar by estimate, and first met in this bucket."""
-    node, root, half, n = (table.column(c).to_numpy() for c in ("node", "root", "half", "n"))
-    sig = _signatures(table.column("sig").combine_chunks())
-    with np.errstate(over="ignore"):
-        keys = band_keys(sig)
-    here = np.argmax(signed(keys[:1]) == table.column("bucket")[0].as_py())
-    within = table.column("lo")[0] == table.column("hi")[0]
-    left = np.flatnonzero(half == 0)
-    right = left if within else np.flatnonzero(half == 1)
-    a, b = [], []
-    for i in left:
-        j = right[(root[right] != root[i]) & (4 * np.minimum(n[right], n[i]) >= 3 * np.maximum(n[right], n[i]))]
-        if within:
-            j = j[node[j] > node[i]]
-        j = j[(sig[j] == sig[i]).mean(axis=1) >= LEAST_ESTIMATE]
-        j = j[np.argmax(keys[j] == keys[i], axis=1) == here]
-        a.append(np.full(len(j), node[i]))
-        b.append(node[j])
-    none = np.zeros(0, dtype=np.int64)
-    return pa.table({"a": pa.array(np.concatenate([none, *a])), "b": pa.array(np.concatenate([none, *b]))})
+def _across(limit: int | None):
+    """Pairs of one block pair of a bucket: in different components, similar by estimate, and first met in this bucket.
+
+    With a limit, only that many of the most similar partners of each document outside the block pair's main component.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        node, root, half, n = (table.column(c).to_numpy() for c in ("node", "root", "half", "n"))
+        sig = _signatures(table.column("sig").combine_chunks())
+        with np.errstate(over="ignore"):
+            keys = band_keys(sig)
+        here = np.argmax(signed(keys[:1]) == table.column("bucket")[0].as_py())
+        within = table.column("lo")[0] == table.column("hi")[0]
+        left = np.flatnonzero(half == 0)
+        right = left if within else np.flatnonzero(half == 1)
+        similar = np.zeros((len(left), len(right)))
+        for k, i in enumerate(left):
+            at = np.flatnonzero((root[right] != root[i]) & (4 * np.minimum(n[right], n[i]) >= 3 * np.maximum(n[right], n[i])))
+            at = at[np.argmax(keys[right[at]] == keys[i], axis=1) == here] if len(at) else at
+            similar[k, at] = similarity(sig[right[at]], sig[i])
+        kept = similar >= LEAST_ESTIMATE
+        if limit is not None:
+            roots, sizes = np.unique(root, return_counts=True)
+            minor = root != roots[np.argmax(sizes)]
+            tops = np.zeros_like(kept)
+            for axis in (0, 1):
+                most = min(limit, similar.shape[axis])
+                least = np.partition(similar, -most, axis=axis).take([-most], axis=axis)
+                tops |= (similar >= least) & (minor[left][:, None] if axis else minor[right][None, :])
+            kept &= tops
+        a, b = node[left[kept.nonzero()[0]]], node[right[kept.nonzero()[1]]]
+        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+        return pa.table({"a": pa.array(pairs[0], pa.int64()), "b": pa.array(pairs[1], pa.int64())})
+
+    return run
 
 
 def _sets(width: int):
@@ -200,13 +226,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     links = stored(_linked(texts, best, width, percent).unionByName(same_id))
     roots = stored(connected(links))
 
-    rooted = members.join(roots, "node", "left").select("bucket", "node", "members", F.coalesce("root", "node").alias("root"))
-    mixed = rooted.groupBy("bucket").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 <> r2").select("bucket")
-    open_rows = stored(rooted.join(mixed, "bucket", "left_semi").join(known, "node").select("bucket", "node", "members", "root", "n", "sig"))
-    rest = _estimated(_small_pairs(open_rows), known).select("a", "b").unionByName(_large_pairs(open_rows))
-    rest = stored(rest.join(best.select("a", "b"), ["a", "b"], "left_anti"))
-    more = _linked(texts, rest, width, percent)
-    roots = stored(connected(links.unionByName(more)))
+    tried = stored(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    for limit in (NEAREST, None):
+        rooted = members.join(roots, "node", "left").select("bucket", "node", "members", F.coalesce("root", "node").alias("root"))
+        mixed = rooted.groupBy("bucket").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 <> r2").select("bucket")
+        open_rows = stored(rooted.join(mixed, "bucket", "left_semi").join(known, "node").select("bucket", "node", "members", "root", "n", "sig"))
+        rest = _estimated(_small_pairs(open_rows), known).select("a", "b").unionByName(_large_pairs(open_rows, limit)).distinct()
+        rest = stored(rest.join(tried, ["a", "b"], "left_anti"))
+        tried = tried.unionByName(rest)
+        links = stored(links.unionByName(_linked(texts, rest, width, percent)))
+        roots = stored(connected(links))
 
     grouped = nodes.join(roots, "node", "left").select("key_hi", "key_lo", F.coalesce("root", "node").alias("component"))
     plain = rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
@@ -231,11 +260,11 @@ def _small_pairs(rows: DataFrame) -> DataFrame:
     return one.join(two, "bucket").filter((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & fits).select("a", "b").distinct()
 
 
-def _large_pairs(rows: DataFrame) -> DataFrame:
+def _large_pairs(rows: DataFrame, limit: int | None) -> DataFrame:
     """Pairs across components in larger buckets: blocks of a bounded size meet block by block inside tasks."""
     large = rows.filter(F.col("members") > SMALL_BUCKET).withColumn("blocks", F.ceil(F.col("members") / SIGNATURE_ROWS).cast("int"))
     large = large.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     met = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
     met = met.withColumn("half", F.when(F.col("lo") == F.col("hi"), 0).when(F.col("block") == F.col("lo"), 0).otherwise(1))
-    return met.select("bucket", "lo", "hi", "half", "node", "root", "n", "sig").groupBy("bucket", "lo", "hi").applyInArrow(_across, "a long, b long")
+    return met.select("bucket", "lo", "hi", "half", "node", "root", "n", "sig").groupBy("bucket", "lo", "hi").applyInArrow(_across(limit), "a long, b long")

@@ -19,3 +19,83 @@ WITH RECURSIVE w AS (
 SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, c.component_id, s.doc_id = c.component_id AS kept
 FROM s JOIN (SELECT x, min(y) AS component_id FROM r GROUP BY x) c ON c.x = s.doc_id
 """
+
+op2_mixing = r"""
+WITH d AS (
+    SELECT doc_id, source, CAST(len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS BIGINT) AS size,
+        (CAST(('0x' || substr(md5('0/' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13)) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
+    FROM documents
+), s AS (
+    SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source
+), w AS (
+    SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM s
+), f AS (
+    SELECT *, CAST(3 * sum(source_size) OVER () - 4 * coalesce(sum(source_size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS l,
+        CAST(sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS rest
+    FROM w WINDOW o AS (ORDER BY CAST(source_size AS DOUBLE) / weight, source NULLS LAST)
+), t AS (
+    SELECT source, source_size, least(CAST(2 * source_size AS DOUBLE),
+        weight * max(CASE WHEN l * weight <= 4 * source_size * rest THEN CAST(l AS DOUBLE) / CAST(2 * rest AS DOUBLE) END) OVER ()) AS target FROM f
+), p AS (
+    SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM t
+), q AS (
+    SELECT *, target - whole * source_size AS rest, CASE WHEN source_size > 0 THEN (target - whole * source_size) / source_size ELSE 0 END AS p FROM p
+), r AS (
+    SELECT d.*, q.source_size, q.target, q.whole, q.rest, q.p,
+        CASE WHEN q.p > 0 AND q.p < 1 THEN (d.u / (1 - d.u)) / (q.p / (1 - q.p)) END AS odds
+    FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source
+), k AS (
+    SELECT *, CAST(floor(odds / (1 + odds) * 281474976710656.0::DOUBLE) AS BIGINT) AS rank FROM r
+), c AS (
+    SELECT *, rank IS NOT NULL AND sum(size) OVER (PARTITION BY source ORDER BY rank NULLS LAST, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) <= rest AS taken_in_order FROM k
+), g AS (
+    SELECT *, rest - sum(CASE WHEN taken_in_order THEN size ELSE 0 END) OVER (PARTITION BY source) AS gap FROM c
+), e AS (
+    SELECT *, row_number() OVER (PARTITION BY source ORDER BY CASE WHEN rank IS NOT NULL AND NOT taken_in_order AND abs(gap - size) < gap THEN abs(gap - size) END NULLS LAST, rank, doc_id) = 1
+        AND rank IS NOT NULL AND NOT taken_in_order AND abs(gap - size) < gap AS closes FROM g
+)
+SELECT doc_id, size, source_size, target, size * (whole + CAST(taken_in_order AS BIGINT) + CAST(closes AS BIGINT)) AS taken FROM e
+"""
+
+op3_url_filter = r"""
+WITH c AS (
+    SELECT page_id, nullif(lower(regexp_replace(regexp_replace(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)', 1), '^.*@', ''), ':\d*$', ''), '\.$', '')), '') AS host,
+        TIMESTAMP '2024-01-01 00:00:00' + to_minutes(page_id * 7919 % 525600) AS fetched_at
+    FROM pages
+), h AS (
+    SELECT DISTINCT host, md5(host) AS m FROM c WHERE host IS NOT NULL
+), n AS (
+    SELECT host, CAST('0x' || substr(m, 1, 4) AS INT) AS a, CAST('0x' || substr(m, 5, 4) AS INT) % 180 AS d1, CAST('0x' || substr(m, 9, 4) AS INT) % 60 AS d2,
+        regexp_extract(host, '^[^.]+\.([^.]+\.[^.]+\..+)$', 1) AS parent FROM h
+), l AS (
+    SELECT CASE WHEN a % 3 = 0 THEN host WHEN a % 3 = 1 AND parent <> '' THEN parent END AS pattern, unnest([d1, d1 + 30 + d2, d1 + 90 + d2]) AS day, unnest([true, false, true]) AS added FROM n
+), g AS (
+    SELECT pattern, TIMESTAMP '2024-01-01 00:00:00' + to_days(day) AS at, bool_or(added) AS added FROM l WHERE pattern IS NOT NULL GROUP BY pattern, day
+), v AS (
+    SELECT pattern, added, at AS valid_from, lead(at) OVER (PARTITION BY pattern ORDER BY at) AS valid_to FROM g
+)
+SELECT c.page_id, c.host, c.fetched_at, max(v.pattern) IS NOT NULL AS listed, arg_max(v.pattern, len(v.pattern)) AS pattern, arg_max(v.valid_from, len(v.pattern)) AS valid_from
+FROM c LEFT JOIN v ON v.added AND c.fetched_at >= v.valid_from AND (v.valid_to IS NULL OR c.fetched_at < v.valid_to) AND (c.host = v.pattern OR ends_with(c.host, '.' || v.pattern))
+GROUP BY c.page_id, c.host, c.fetched_at
+"""
+
+op4_va_file = r"""
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+), s AS (
+    SELECT q.vec_id AS query_id, v.vec_id, CAST(list_dot_product(CAST(q.x AS DOUBLE[]), CAST(v.x AS DOUBLE[])) AS BIGINT) AS score
+    FROM v q JOIN v ON v.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0
+), r AS (
+    SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+op8_warc = r"""
+WITH p AS (
+    SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), f AS (
+    SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first FROM p
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first < page_id THEN first END AS refers_to FROM f
+"""

@@ -29,7 +29,7 @@ LEAST_DOCS = 3
 LEAST_SHARE = 0.004
 #: Least log ratio of shares, and least of it in standard errors.
 LEAST_WEIGHT = 2.0
-LEAST_Z = 2.4
+LEAST_Z = 3.0
 #: A phrase around a match is an exception if it is no likelier in toxic documents and in this many clean ones.
 EXCEPTION_DOCS = 3
 #: Labels up to this many rows are broadcast (12 bytes each); more are joined by a shuffle.
