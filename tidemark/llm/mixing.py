@@ -100,7 +100,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[int, i
     closing = beyond.filter(miss < F.col("gap")).groupBy("source").agg(F.min(F.struct(miss.alias("miss"), "rank", "doc_id")).alias("closing"))
     ends = stored(by_source(cuts, closing, "left"))
     in_order = F.coalesce((place < F.col("cut")).cast("long"), F.lit(0))
-    closes = F.coalesce((place == F.struct(F.col("closing.rank"), F.col("closing.doc_id"))).cast("long"), F.lit(0))
+    closes = F.coalesce((F.col("closing").isNotNull() & (place == F.struct(F.col("closing.rank"), F.col("closing.doc_id")))).cast("long"), F.lit(0))
     copies = (F.col("whole") + in_order + closes).cast("long")
     out = by_source(ranked, ends, "left").withColumn("copies", copies)
     return out.select("doc_id", "size", "source", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
