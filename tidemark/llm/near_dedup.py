@@ -30,9 +30,10 @@ BANDS = 32
 LEAST_ESTIMATE = 0.666
 #: Buckets up to this size are paired by a join, larger ones in blocks inside tasks.
 SMALL_BUCKET = 12
-#: Partners of each document outside a block's main component that are tried before all that are left.
+#: Partners of each document outside a bucket's main component that are tried before all that are left.
 NEAREST = 2
-SIGNATURE_ROWS = 256
+#: Signatures of one block: 0.6 MB.
+SIGNATURE_ROWS = 1024
 #: Node ids up to this many are broadcast (8 bytes each) to fetch their texts; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -131,32 +132,28 @@ def _estimates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _across(limit: int | None):
     """Pairs of one block pair of a bucket: in different components, similar by estimate, and first met in this bucket.
 
-    With a limit, only that many of the most similar partners of each document outside the block pair's main component.
+    With a limit, only that many of the most similar partners of each document outside the bucket's main component.
     """
 
     def run(table: pa.Table) -> pa.Table:
-        node, root, half, n = (table.column(c).to_numpy() for c in ("node", "root", "half", "n"))
+        node, root, half, n, minor = (table.column(c).to_numpy() for c in ("node", "root", "half", "n", "minor"))
         sig = _signatures(table.column("sig").combine_chunks())
         with np.errstate(over="ignore"):
             keys = band_keys(sig)
         here = np.argmax(signed(keys[:1]) == table.column("bucket")[0].as_py())
-        within = table.column("lo")[0] == table.column("hi")[0]
-        left = np.flatnonzero(half == 0)
-        right = left if within else np.flatnonzero(half == 1)
+        left, right = np.flatnonzero(half == 0), np.flatnonzero(half == 1)
         similar = np.zeros((len(left), len(right)))
         for k, i in enumerate(left):
             at = np.flatnonzero((root[right] != root[i]) & (4 * np.minimum(n[right], n[i]) >= 3 * np.maximum(n[right], n[i])))
             at = at[np.argmax(keys[right[at]] == keys[i], axis=1) == here] if len(at) else at
             similar[k, at] = similarity(sig[right[at]], sig[i])
         kept = similar >= LEAST_ESTIMATE
-        if limit is not None:
-            roots, sizes = np.unique(root, return_counts=True)
-            minor = root != roots[np.argmax(sizes)]
+        if limit is not None and kept.size:
             tops = np.zeros_like(kept)
             for axis in (0, 1):
                 most = min(limit, similar.shape[axis])
                 least = np.partition(similar, -most, axis=axis).take([-most], axis=axis)
-                tops |= (similar >= least) & (minor[left][:, None] if axis else minor[right][None, :])
+                tops |= (similar >= least) & (True if axis else minor[right][None, :])
             kept &= tops
         a, b = node[left[kept.nonzero()[0]]], node[right[kept.nonzero()[1]]]
         pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
@@ -261,10 +258,19 @@ def _small_pairs(rows: DataFrame) -> DataFrame:
 
 
 def _large_pairs(rows: DataFrame, limit: int | None) -> DataFrame:
-    """Pairs across components in larger buckets: blocks of a bounded size meet block by block inside tasks."""
-    large = rows.filter(F.col("members") > SMALL_BUCKET).withColumn("blocks", F.ceil(F.col("members") / SIGNATURE_ROWS).cast("int"))
-    large = large.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    met = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
-    met = met.withColumn("half", F.when(F.col("lo") == F.col("hi"), 0).when(F.col("block") == F.col("lo"), 0).otherwise(1))
-    return met.select("bucket", "lo", "hi", "half", "node", "root", "n", "sig").groupBy("bucket", "lo", "hi").applyInArrow(_across(limit), "a long, b long")
+    """Pairs across components in larger buckets, compared block against block inside tasks.
+
+    Every such pair has a member outside the bucket's main component. Those members fall into blocks of a bounded size,
+    and each block meets all members, in blocks too: where few are outside, a row is copied about twice.
+    """
+    large = rows.filter(F.col("members") > SMALL_BUCKET)
+    by_root = large.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c"))
+    mains = by_root.groupBy("bucket").agg(F.max(F.struct("c", "root"))["root"].alias("main"), (F.sum("c") - F.max("c")).alias("outside"))
+    large = large.join(mains, "bucket").withColumn("minor", F.col("root") != F.col("main"))
+    blocks = lambda number: F.ceil(number / SIGNATURE_ROWS).cast("int")
+    pick = lambda number: F.pmod(F.xxhash64("node"), blocks(number)).cast("int")
+    rest = large.withColumn("lo", F.explode(F.sequence(F.lit(0), blocks(F.col("outside")) - 1))).withColumn("hi", pick(F.col("members")))
+    minor = large.filter("minor").withColumn("hi", F.explode(F.sequence(F.lit(0), blocks(F.col("members")) - 1))).withColumn("lo", pick(F.col("outside")))
+    columns = ["bucket", "lo", "hi", "half", "minor", "node", "root", "n", "sig"]
+    met = minor.withColumn("half", F.lit(0)).select(*columns).unionByName(rest.withColumn("half", F.lit(1)).select(*columns))
+    return met.groupBy("bucket", "lo", "hi").applyInArrow(_across(limit), "a long, b long")
