@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +27,7 @@ from .common import splitmix, text_blocks, word_hashes
 
 #: Pseudo-counts that a state gives to the root's distribution.
 BIGRAM_MASS = 20.0
-ROWS_A_CHUNK = 800
+ROWS_A_CHUNK = 1_600
 ROWS_A_SHARD = 2_000
 
 _END = np.uint64(0x5EED0E4D)
@@ -57,6 +58,21 @@ def _keys(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(tokens), np.concatenate(pairs), np.concatenate(rows)
 
 
+def _packed(x: np.ndarray) -> bytes:
+    """Numbers by planes of equal bytes, compressed; sorted numbers are best packed by their steps."""
+    planes = x.view(np.uint8).reshape(len(x), x.itemsize).T
+    return zstandard.compress(np.ascontiguousarray(planes).tobytes(), 1)
+
+
+def _unpacked(blob: bytes, dtype: type) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(blob), dtype=np.uint8).reshape(np.dtype(dtype).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(dtype).ravel()
+
+
+def _steps(keys: np.ndarray) -> np.ndarray:
+    return np.diff(keys, prepend=np.uint64(0))
+
+
 def _shard_cuts(keys: np.ndarray, shards: int) -> np.ndarray:
     """Where each shard's keys begin in a sorted array of keys (and the end)."""
     firsts = [-(-(s << 64) // shards) for s in range(1, shards)]
@@ -75,7 +91,7 @@ def _vocabulary(shards: int):
                 token, _, _ = _keys(kept.column(0))
                 keys = np.unique(token)
                 cuts = _shard_cuts(keys, shards)
-                blobs = [keys[lo:hi].tobytes() for lo, hi in zip(cuts, cuts[1:], strict=False)]
+                blobs = [_packed(_steps(keys[lo:hi])) for lo, hi in zip(cuts, cuts[1:], strict=False)]
                 n = [0] * shards
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([-1, *range(shards)], pa.int32()), pa.array([b"", *blobs], pa.binary()), pa.array([len(token), *n], pa.int64()), pa.array([len(kept), *n], pa.int64())],
@@ -86,7 +102,9 @@ def _vocabulary(shards: int):
 
 
 def _distinct(table: pa.Table) -> pa.Table:
-    keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        parts = [np.cumsum(_unpacked(x, np.uint64), dtype=np.uint64) for x in table.column("keys").to_pylist() if x]
+    keys = np.concatenate([np.zeros(0, dtype=np.uint64), *parts])
     total = lambda name: pa.array([sum(table.column(name).to_pylist())], pa.int64())
     return pa.table({"words": pa.array([len(np.unique(keys))], pa.int64()), "tokens": total("tokens"), "texts": total("texts")})
 
@@ -106,8 +124,8 @@ def _requests(shards: int):
             {
                 "chunk": pa.array([table.column("chunk")[0].as_py()] * shards, pa.int32()),
                 "shard": pa.array(range(shards), pa.int32()),
-                "keys": pa.array([keys[lo:hi].tobytes() for lo, hi in parts], pa.binary()),
-                "counts": pa.array([counts[lo:hi].tobytes() for lo, hi in parts], pa.binary()),
+                "keys": pa.array([_packed(_steps(keys[lo:hi])) for lo, hi in parts], pa.binary()),
+                "counts": pa.array([_packed(counts[lo:hi]) for lo, hi in parts], pa.binary()),
             }
         )
 
@@ -116,13 +134,12 @@ def _requests(shards: int):
 
 def _answers(table: pa.Table) -> pa.Table:
     """Of one shard: the total counts of the keys each chunk asked for, in its order."""
-    asked = table.column("keys").to_pylist()
-    keys = np.frombuffer(b"".join(asked), dtype=np.uint64)
-    counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), dtype=np.uint32)
-    unique, inverse = np.unique(keys, return_inverse=True)
+    asked = [np.cumsum(_unpacked(x, np.uint64), dtype=np.uint64) for x in table.column("keys").to_pylist()]
+    counts = np.concatenate([_unpacked(x, np.uint32) for x in table.column("counts").to_pylist()])
+    unique, inverse = np.unique(np.concatenate(asked), return_inverse=True)
     totals = np.bincount(inverse, weights=counts, minlength=len(unique)).astype(np.int64)[inverse]
-    cuts = np.cumsum([0, *(len(x) // 8 for x in asked)])
-    blobs = [totals[lo:hi].tobytes() for lo, hi in zip(cuts, cuts[1:], strict=False)]
+    cuts = np.cumsum([0, *map(len, asked)])
+    blobs = [_packed(totals[lo:hi]) for lo, hi in zip(cuts, cuts[1:], strict=False)]
     return pa.table({"chunk": table.column("chunk"), "shard": table.column("shard"), "totals": pa.array(blobs, pa.binary())})
 
 
@@ -150,7 +167,7 @@ def _scores(tokens: int, words: int, texts: int):
             _, inverse = np.unique(np.concatenate([token, pair]), return_inverse=True)
         order = np.argsort(answers.column("shard").to_numpy())
         blobs = answers.column("totals").to_pylist()
-        totals = np.frombuffer(b"".join(blobs[k] for k in order), dtype=np.int64)[inverse]
+        totals = np.concatenate([_unpacked(blobs[k], np.int64) for k in order])[inverse]
         token_counts, pair_counts = totals[: len(token)], totals[len(token) :]
         first = np.concatenate([[True], row[1:] != row[:-1]])
         state_counts = np.where(first, texts, np.roll(token_counts, 1))
