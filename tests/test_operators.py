@@ -97,9 +97,9 @@ def test_names():
 
 
 def test_capped_execution(spark):
-    df = spark.range(2000).select(F.col("id").alias("a"), (F.col("id") * 2).alias("A"))
+    df = spark.range(0, 2000, 1, 1).select(F.col("id").alias("a"), (F.col("id") * 2).alias("A"))
     assert capped(df).columns == ["a", "A_2"] and capped(df).count() == 500
-    result = execute(df.orderBy("a"), 30)
+    result = execute(df, 30)
     assert result.success and result.truncated and result.row_count == 30 and result.rows[1] == {"a": 1, "A_2": 2}
     assert as_text(result).splitlines()[-1] == "... and 10 more rows (truncated)" and as_text(result).startswith("Row 1: a: 0 | A_2: 0")
     failed = execute(spark.range(1).select(F.expr("1 / id").alias("x")))

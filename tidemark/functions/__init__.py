@@ -8,8 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Month names as they begin a label.
-MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
-_TIME_LABEL = rf"^(\d{{4}}[-/]|({'|'.join(MONTHS)})[a-z]*\.?\b(?![a-z]))"
+MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
+_TIME_LABEL = rf"^(\d{{4}}[-/]|({'|'.join(f'{m[:3]}|{m}' for m in MONTHS)}|Sept)\b)"
 #: Clauses that begin a line of printed SQL.
 CLAUSES = ("FROM", "WHERE", "GROUP BY", "ORDER BY", "HAVING", "LIMIT", "LEFT JOIN")
 

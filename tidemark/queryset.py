@@ -461,7 +461,7 @@ def chart_label_cast(t):
     return t.events.select("event_id", chart_value(F.col("event_type")).alias("label_value"), chart_value(F.get_json_object("props", "$.k")).alias("k"))
 
 
-@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN '-' ELSE format('{:,}', c_custkey * 1000) END AS cell, CASE WHEN c_custkey >= 1000 THEN format('{:.1f}M', c_custkey * 1000 / 1000000.0::DOUBLE) ELSE format('{:.1f}K', c_custkey * 1000 / 1000.0::DOUBLE) END AS axis FROM customer")
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN '-' ELSE format('{:,}', c_custkey * 1000) END AS cell, CASE WHEN c_custkey = 0 THEN '0' WHEN c_custkey >= 1000 THEN format('{:.1f}M', c_custkey * 1000 / 1000000.0::DOUBLE) ELSE format('{:.1f}K', c_custkey * 1000 / 1000.0::DOUBLE) END AS axis FROM customer")
 def cell_formats(t):
     thousand = F.col("c_custkey") * 1000
     return t.customer.select("c_custkey", cell(F.when(F.col("c_custkey") % 3 != 0, thousand), "bigint").alias("cell"), axis_number(thousand).alias("axis"))

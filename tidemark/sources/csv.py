@@ -38,7 +38,7 @@ def column_names(header: list[str | None]) -> list[str]:
 
 def encoding_of(spark: SparkSession, path: str) -> str:
     """UTF-8, unless some line isn't valid UTF-8; ISO-8859-1 then, which reads any byte."""
-    bad = spark.read.text(path).filter(F.col("value").contains("�"))
+    bad = spark.read.text(path).filter(~F.is_valid_utf8("value"))
     return "UTF-8" if bad.isEmpty() else "ISO-8859-1"
 
 
