@@ -70,9 +70,9 @@ WITH c AS (
 ), l AS (
     SELECT CASE WHEN a % 3 = 0 THEN host WHEN a % 3 = 1 AND parent <> '' THEN parent END AS pattern, unnest([d1, d1 + 30 + d2, d1 + 90 + d2]) AS day, unnest([true, false, true]) AS added FROM n
 ), g AS (
-    SELECT pattern, TIMESTAMP '2024-01-01 00:00:00' + to_days(day) AS at, bool_or(added) AS added FROM l WHERE pattern IS NOT NULL GROUP BY pattern, day
+    SELECT pattern, TIMESTAMP '2024-01-01 00:00:00' + to_days(day) AS since, bool_or(added) AS added FROM l WHERE pattern IS NOT NULL GROUP BY pattern, day
 ), v AS (
-    SELECT pattern, added, at AS valid_from, lead(at) OVER (PARTITION BY pattern ORDER BY at) AS valid_to FROM g
+    SELECT pattern, added, since AS valid_from, lead(since) OVER (PARTITION BY pattern ORDER BY since) AS valid_to FROM g
 )
 SELECT c.page_id, c.host, c.fetched_at, max(v.pattern) IS NOT NULL AS listed, arg_max(v.pattern, len(v.pattern)) AS pattern, arg_max(v.valid_from, len(v.pattern)) AS valid_from
 FROM c LEFT JOIN v ON v.added AND c.fetched_at >= v.valid_from AND (v.valid_to IS NULL OR c.fetched_at < v.valid_to) AND (c.host = v.pattern OR ends_with(c.host, '.' || v.pattern))
