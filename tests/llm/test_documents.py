@@ -244,7 +244,7 @@ def test_pack_plan_matches_large_items():
     for length, _, number, sequence, _ in runs:
         for k in range(number):
             used[sequence + k] += length
-    assert max(used.values()) <= 100 and len(used) == 10
+    assert max(used.values()) <= 100 and len(used) == 11  # the pieces weigh 10.2 sequences
     assert sum(r[2] for r in runs) == sum(counts)
 
 
