@@ -259,7 +259,7 @@ def toxic(spark):
         if bad:
             for _ in range(r.randint(1, 3)):
                 text[r.randrange(len(text))] = r.choice(["wretchbag", "Griмwit", "gr1mwit", "wretchbags", "GRIMWIT!"])
-        elif k % 8 == 1:
+        elif k % 40 == 1:  # any oftener, and the word wouldn't be e^LEAST_WEIGHT times as likely in toxic texts
             text[0:2] = ["grimwit", "bird"]
         rows.append((k, " ".join(text), None))
         if k % 5:
