@@ -169,7 +169,7 @@ def connected(edges: DataFrame, tables: Callable[[DataFrame], DataFrame] = store
     pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
     pairs, seen = tables(pairs), None
     while True:
-        now = pairs.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
+        now = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             return pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
         seen = now
@@ -177,5 +177,6 @@ def connected(edges: DataFrame, tables: Callable[[DataFrame], DataFrame] = store
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
+        # One row of each u has v = m and gives (u, m). Pairs that come out twice meet in the next round's distinct(); stars have none.
         small = large.join(lower, "u").select(F.when(F.col("v") != F.col("m"), F.col("v")).otherwise(F.col("u")).alias("u"), F.col("m").alias("v"))
-        pairs = tables(small.unionByName(lower.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
+        pairs = tables(small)
