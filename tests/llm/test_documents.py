@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import connected
+from tidemark.llm.common import connected, reconnected
 from tidemark.llm.lm_scoring import BIGRAM_MASS, lm_scores
 from tidemark.llm.mixing import mix
 from tidemark.llm.near_dedup import near_duplicates
@@ -113,6 +113,15 @@ def test_connected(spark):
     assert roots == {k: 0 for k in range(1, 41)} | {200: 100, 300: 100} | {k: 500 for k in range(501, 560)}
 
 
+def test_reconnected(spark):
+    """More edges give what all edges give at once: between components, within one, and of nodes that had none."""
+    r = random.Random(8)
+    pairs, more = ([(r.randrange(300), r.randrange(300)) for _ in range(n)] for n in (120, 60))
+    frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    assert {tuple(x) for x in reconnected(connected(frame(pairs)), frame(more)).collect()} == {tuple(x) for x in connected(frame(pairs + more)).collect()}
+    assert reconnected(connected(frame(pairs)), frame([])).count() == connected(frame(pairs)).count()
+
+
 def test_mixing(docs, texts):
     rows = mix(docs).collect()
     assert [sorted(map(str, x)) for x in rows] == [sorted(map(str, x)) for x in mix(docs.repartition(5)).orderBy(*docs.columns[:1]).collect()] or len(rows) == docs.count()

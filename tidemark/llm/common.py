@@ -180,3 +180,12 @@ def connected(edges: DataFrame, tables: Callable[[DataFrame], DataFrame] = store
         # One row of each u has v = m and gives (u, m). Pairs that come out twice meet in the next round's distinct(); stars have none.
         small = large.join(lower, "u").select(F.when(F.col("v") != F.col("m"), F.col("v")).otherwise(F.col("u")).alias("u"), F.col("m").alias("v"))
         pairs = tables(small)
+
+
+def reconnected(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """The (node, root) of connected() after more edges (a, b): only the components that those edges touch are joined anew."""
+    at = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
+    lifted = edges.join(at("a"), "a", "left").join(at("b"), "b", "left")
+    above = connected(lifted.select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b")))
+    moved = roots.join(above.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left")
+    return moved.select("node", F.coalesce("top", "root").alias("root")).unionByName(above)

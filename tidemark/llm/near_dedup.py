@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected, signed, splitmix, stored, text_blocks, word_hashes
+from .common import connected, reconnected, signed, splitmix, stored, text_blocks, word_hashes
 
 PERMUTATIONS = 256
 BANDS = 32
@@ -220,8 +220,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     same_id = full.select("doc_id", "key_hi", "key_lo").join(nodes, ["key_hi", "key_lo"]).filter("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     repeated = rows.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     same_id = same_id.join(repeated, same_id["a"] == repeated["doc_id"], "left_semi")
-    links = stored(_linked(texts, best, width, percent).unionByName(same_id))
-    roots = stored(connected(links))
+    roots = stored(connected(_linked(texts, best, width, percent).unionByName(same_id)))
 
     tried = stored(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
     for limit in (NEAREST, None):
@@ -230,9 +229,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
         open_rows = stored(rooted.join(mixed, "bucket", "left_semi").join(known, "node").select("bucket", "node", "members", "root", "n", "sig"))
         rest = _estimated(_small_pairs(open_rows), known).select("a", "b").unionByName(_large_pairs(open_rows, limit)).distinct()
         rest = stored(rest.join(tried, ["a", "b"], "left_anti"))
-        tried = tried.unionByName(rest)
-        links = stored(links.unionByName(_linked(texts, rest, width, percent)))
-        roots = stored(connected(links))
+        if not rest.isEmpty():
+            tried = tried.unionByName(rest)
+            roots = stored(reconnected(roots, _linked(texts, rest, width, percent)))
 
     grouped = nodes.join(roots, "node", "left").select("key_hi", "key_lo", F.coalesce("root", "node").alias("component"))
     plain = rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
