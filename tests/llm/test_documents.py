@@ -293,6 +293,14 @@ def test_toxicity_without_labels(toxic):
     assert toxicity(docs, labels.limit(0), remainder(4) == 2).filter("score <> 0").isEmpty()
 
 
+def test_rare_and_short_words_are_terms(spark):
+    """A word in 11 of 3000 toxic documents (3.7 in a thousand), and words of two and three letters."""
+    rows = [(k, f"plain text {'zog' if k < 1400 else 'qx' if k < 2989 else 'rarewort'} here" if k < 3000 else "plain text zogs qxa here") for k in range(15_000)]
+    labels = spark.createDataFrame([(k, int(k < 3000)) for k in range(15_000)], "doc_id long, toxic int")
+    found = toxicity(spark.createDataFrame(rows, "doc_id long, text string"), labels, F.lit(False)).groupBy("predicted").agg(F.min("doc_id"), F.max("doc_id"), F.count("*"))
+    assert sorted(map(tuple, found.collect())) == [(0, 3000, 14_999, 12_000), (1, 0, 2999, 3000)]
+
+
 def test_folding_and_exceptions():
     assert fold("Grіmw1t ｇrim") == "grimwit grim" and fold("2024 ab 50%") == "2024 ab 50%"
     plain, spared = Matcher({"grim": 2.0}), Matcher({"grim": 2.0}, frozenset({"grim reaper"}))

@@ -12,20 +12,21 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
 
-#: Lengths of word beginnings that can enter the lexicon; whole words up to LONGEST as well.
+#: Lengths of word beginnings that can enter the lexicon; whole words of SHORTEST to LONGEST letters as well.
 STEMS = (4, 5, 6, 7, 8)
-LONGEST = 24
-#: A term must occur in this many toxic training documents, and in this share of them, which bounds the number of terms.
+SHORTEST, LONGEST = 2, 24
+#: A term must occur in this many toxic training documents.
 LEAST_DOCS = 3
+#: A phrase must occur in this share of the clean training documents to be an exception.
 LEAST_SHARE = 0.004
 #: Least log ratio of shares, and least of it in standard errors.
 LEAST_WEIGHT = 2.0
@@ -58,38 +59,48 @@ def fold(text: str) -> str:
     return _WITH_SIGNS.sub(_unsigned, text) if _SIGNED.search(text) else text
 
 
-def _terms(text: str) -> set[str]:
-    words = {w for w in _WORD.findall(fold(text)) if len(w) >= STEMS[0]}
-    return {w[:n] for w in words for n in STEMS if len(w) >= n} | {w for w in words if len(w) <= LONGEST}
+def _letter(sign: str) -> bool:
+    """Whether _WORD matches it."""
+    return sign.isalnum() and not sign.isdecimal()
+
+
+@lru_cache(100_000)
+def _terms_of(word: str) -> tuple[str, ...]:
+    """The terms that a word counts for: its beginnings, and itself."""
+    return tuple({word[:n] for n in STEMS if len(word) >= n} | ({word} if SHORTEST <= len(word) <= LONGEST else set()))
 
 
 def _strings(column: pa.Array) -> Iterator[str]:
     return (x.as_py() or "" for x in column)
 
 
-def _counted(counts: Counter, names: list[str]) -> pa.RecordBatch:
-    keys = list(counts)
-    columns = zip(*keys, strict=True) if keys and isinstance(keys[0], tuple) else [keys]
-    return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(counts.values(), pa.int64())], names)
+def _counted(clean: Counter, toxic: Counter) -> pa.RecordBatch:
+    keys = list(clean.keys() | toxic.keys())
+    numbers = (pa.array([counts[key] for key in keys], pa.int64()) for counts in (clean, toxic))
+    return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *numbers], ["key", "n0", "n1"])
 
 
-def _term_counts(only: frozenset[str] | None):
-    """Documents by term, of all terms or of those given."""
+def _counts(keys_of: Callable[[str], Iterable[str]]):
+    """Clean and toxic documents (n0, n1) by the keys that keys_of gives for a folded text, each once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        counts = Counter(), Counter()
         for batch in batches:
-            for text in _strings(batch.column(0)):
-                counts.update(_terms(text) if only is None else _terms(text) & only)
-                if len(counts) > 400_000:
-                    yield _counted(counts, ["term", "n"])
-                    counts = Counter()
-        if counts:
-            yield _counted(counts, ["term", "n"])
+            for text, toxic in zip(_strings(batch.column(0)), batch.column(1).to_pylist(), strict=True):
+                counts[toxic].update(keys_of(fold(text)))
+                if len(counts[0]) + len(counts[1]) > 400_000:
+                    yield _counted(*counts)
+                    counts = Counter(), Counter()
+        if counts[0] or counts[1]:
+            yield _counted(*counts)
 
     return run
 
 
+def _all_terms(text: str) -> set[str]:
+    return {term for word in set(_WORD.findall(text)) for term in _terms_of(word)}
+
+
 class Matcher:
     """Aho-Corasick automaton over the weighted lexicon, with exception phrases."""
 
@@ -104,13 +115,18 @@ class Matcher:
             self.automaton.make_automaton()
 
     def matches(self, text: str) -> Iterator[tuple[int, float]]:
-        """(start, weight) of the words of a folded text that begin with a term; the heaviest term of each counts."""
+        """(start, weight) of the words of a folded text that begin with a term; the heaviest term of each counts.
+
+        Terms shorter than STEMS are whole words.
+        """
         if not len(self.automaton):
             return
         found: dict[int, float] = {}
         for end, (length, weight) in self.automaton.iter(text):
             start = end - length + 1
-            if not (start and text[start - 1].isalpha()):
+            if length < STEMS[0] and _letter(text[end + 1 : end + 2]):
+                continue
+            if not (start and _letter(text[start - 1])):
                 found[start] = max(weight, found.get(start, weight))
         yield from found.items()
 
@@ -130,20 +146,9 @@ class Matcher:
         return total / (1 + len(text) / 100) ** 0.5
 
 
-def _phrase_counts(lexicon: dict[str, float]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher, counts = Matcher(lexicon), Counter()
-        for batch in batches:
-            for text, toxic in zip(_strings(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-                folded = fold(text)
-                counts.update((p, toxic) for p in {p for start, _ in matcher.matches(folded) for p in matcher.phrases(folded, start)})
-                if len(counts) > 400_000:
-                    yield _counted(counts, ["phrase", "toxic", "n"])
-                    counts = Counter()
-        if counts:
-            yield _counted(counts, ["phrase", "toxic", "n"])
-
-    return run
+def _phrases_of(lexicon: dict[str, float]) -> Callable[[str], set[str]]:
+    matcher = Matcher(lexicon)
+    return lambda text: {p for start, _ in matcher.matches(text) for p in matcher.phrases(text, start)}
 
 
 def _raw_scores(lexicon: dict[str, float], exceptions: frozenset[str]):
@@ -156,14 +161,24 @@ def _raw_scores(lexicon: dict[str, float], exceptions: frozenset[str]):
     return run
 
 
-def _weights(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int) -> dict[str, float]:
-    """The lexicon: terms with enough weight, without those that a shorter term of the lexicon covers."""
+def _weight(n1: Column, n0: Column, n_toxic: int, n_clean: int) -> Column:
+    """The log ratio of the shares of n1 toxic and n0 clean documents."""
+    return F.log((n1 + 0.5) / (n_toxic + 1)) - F.log((n0 + 0.5) / (n_clean + 1))
+
+
+def _weighted(counts: DataFrame, n_toxic: int, n_clean: int) -> DataFrame:
+    """(term, weight) of those (key, n0, n1) that can be terms of the lexicon."""
+    n1, n0 = F.col("n1"), F.col("n0")
+    weighted = counts.filter(n1 >= LEAST_DOCS).select(F.col("key").alias("term"), _weight(n1, n0, n_toxic, n_clean).alias("weight"), (1 / (n1 + 0.5) + 1 / (n0 + 0.5)).alias("variance"))
+    return weighted.filter((F.col("weight") >= LEAST_WEIGHT) & (F.col("weight") >= LEAST_Z * F.sqrt("variance"))).select("term", "weight")
+
+
+def _uncovered(weights: dict[str, float]) -> dict[str, float]:
+    """The lexicon: the terms without those that a shorter term of the lexicon covers."""
     out: dict[str, float] = {}
-    for term in sorted(toxic, key=lambda t: (len(t), t)):
-        a, b = toxic[term] + 0.5, clean.get(term, 0) + 0.5
-        weight = float(np.log(a / (n_toxic + 1)) - np.log(b / (n_clean + 1)))
-        if weight >= LEAST_WEIGHT and weight >= LEAST_Z * (1 / a + 1 / b) ** 0.5 and not any(out.get(term[:n], -9) >= weight - 0.7 for n in range(1, len(term))):
-            out[term] = weight
+    for term in sorted(weights, key=lambda t: (len(t), t)):
+        if not any(out.get(term[:n], -9) >= weights[term] - 0.7 for n in range(STEMS[0], len(term))):
+            out[term] = weights[term]
     return out
 
 
@@ -199,20 +214,17 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, threshold: fl
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
     train = texts.filter("not held_out").join(F.broadcast(known) if n_toxic + n_clean <= BROADCAST_LABELS else known, "doc_id")
 
-    def totals(counts: DataFrame, by: list[str], least: int) -> DataFrame:
-        return counts.groupBy(*by).agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    def totals(keys_of: Callable[[], Callable[[str], Iterable[str]]]) -> DataFrame:
+        counted = train.select("text", "toxic").mapInArrow(lambda batches: _counts(keys_of())(batches), "key string, n0 long, n1 long")
+        return counted.groupBy("key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
     lexicon: dict[str, float] = {}
     exceptions: frozenset[str] = frozenset()
     if n_toxic:
-        least = max(LEAST_DOCS, int(LEAST_SHARE * n_toxic))
-        toxic = dict(totals(train.filter("toxic = 1").select("text").mapInArrow(_term_counts(None), "term string, n long"), ["term"], least).collect())
-        clean = dict(totals(train.filter("toxic = 0").select("text").mapInArrow(_term_counts(frozenset(toxic)), "term string, n long"), ["term"], 1).collect())
-        lexicon = _weights(toxic, clean, n_toxic, n_clean)
-        found = totals(train.select("text", "toxic").mapInArrow(_phrase_counts(lexicon), "phrase string, toxic long, n long"), ["phrase", "toxic"], 1)
-        by_label = found.groupBy("phrase").agg(*(F.coalesce(F.sum(F.when(F.col("toxic") == k, F.col("n"))), F.lit(0)).alias(f"n{k}") for k in (0, 1)))
-        usual = by_label.filter(F.col("n0") >= max(EXCEPTION_DOCS, int(LEAST_SHARE * n_clean))).filter(F.col("n0") * n_toxic >= F.col("n1") * n_clean)
-        exceptions = frozenset(phrase for (phrase,) in usual.select("phrase").collect())
+        lexicon = _uncovered(dict(_weighted(totals(lambda: _all_terms), n_toxic, n_clean).collect()))
+        found = totals(lambda: _phrases_of(lexicon))
+        usual = found.filter(F.col("n0") >= max(EXCEPTION_DOCS, int(LEAST_SHARE * n_clean))).filter(F.col("n0") * n_toxic >= F.col("n1") * n_clean)
+        exceptions = frozenset(phrase for (phrase,) in usual.select("key").collect())
     kind = docs.schema["doc_id"].dataType.simpleString()
     raw = stored(texts.select("doc_id", "text", "held_out").mapInArrow(_raw_scores(lexicon, exceptions), f"doc_id {kind}, held_out boolean, raw double"))
 
