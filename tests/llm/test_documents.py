@@ -257,8 +257,9 @@ def test_pack_plan_matches_large_items():
     assert sum(r[2] for r in runs) == sum(counts)
 
 
-@pytest.fixture(scope="module")
-def toxic(spark):
+@pytest.fixture(scope="module", params=[8, 40])
+def toxic(spark, request):
+    """Toxic words in every eighth row, and one of them in a harmless phrase in every eighth or fortieth."""
     r = random.Random(1)
     vocabulary = ["".join(r.choice("lmnopqrstuv") for _ in range(r.randint(2, 6))) for _ in range(300)]
     rows, labels = [], []
@@ -268,7 +269,7 @@ def toxic(spark):
         if bad:
             for _ in range(r.randint(1, 3)):
                 text[r.randrange(len(text))] = r.choice(["wretchbag", "Griмwit", "gr1mwit", "wretchbags", "GRIMWIT!"])
-        elif k % 40 == 1:  # any oftener, and the word wouldn't be e^LEAST_WEIGHT times as likely in toxic texts
+        elif k % request.param == 1:
             text[0:2] = ["grimwit", "bird"]
         rows.append((k, " ".join(text), None))
         if k % 5:
@@ -301,6 +302,26 @@ def test_rare_and_short_words_are_terms(spark):
     assert sorted(map(tuple, found.collect())) == [(0, 3000, 14_999, 12_000), (1, 0, 2999, 3000)]
 
 
+@pytest.mark.parametrize("harmless", [12, 2000])
+def test_exceptions_however_rare_or_frequent(spark, harmless):
+    """A toxic word in a harmless phrase in 2 of 1000 clean documents, and in so many that its share alone says little.
+
+    "the wretch" is then likelier in clean documents, but only where "wretch bird" is.
+    """
+    r, rows = random.Random(7), []
+    vocabulary = ["the", *("".join(r.choice("lmnopqrstuv") for _ in range(r.randint(3, 7))) for _ in range(100))]
+    for k in range(6000):
+        text = r.choices(vocabulary, k=30)
+        if k < 300:
+            text[10:12] = ["the" if k % 10 == 0 else r.choice(vocabulary[1:]), "wretch"]
+        elif k < 300 + harmless:
+            text[10:13] = ["the", "wretch", "bird"]
+        rows.append((k, " ".join(text)))
+    labels = spark.createDataFrame([(k, int(k < 300)) for k in range(6000)], "doc_id long, toxic int")
+    found = toxicity(spark.createDataFrame(rows, "doc_id long, text string"), labels, F.lit(False)).filter("predicted = 1")
+    assert sorted(r.doc_id for r in found.collect()) == list(range(300))
+
+
 def test_folding_and_exceptions():
     assert fold("Grіmw1t ｇrim") == "grimwit grim" and fold("2024 ab 50%") == "2024 ab 50%"
     plain, spared = Matcher({"grim": 2.0}), Matcher({"grim": 2.0}, frozenset({"grim reaper"}))

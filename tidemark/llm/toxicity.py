@@ -1,7 +1,8 @@
 """Toxicity by a weighted lexicon.
 
 The lexicon is learnt from labelled rows: word beginnings whose share among toxic documents is well above their share
-among clean ones, weighted by the log of the ratio. Texts are folded first (lower case, compatibility forms, look-alike
+among clean ones, weighted by the log of the ratio. Phrases around a term that are harmless by the same labels are exceptions, and what
+is within them doesn't count for its weight. Texts are folded first (lower case, compatibility forms, look-alike
 letters of other alphabets, digits and signs that stand for letters), matched in one pass by an Aho-Corasick automaton,
 and the weights found, but for those within exception phrases, are summed and divided by the square root of the length.
 A monotone fit on the training rows turns that into a probability.
@@ -26,15 +27,16 @@ STEMS = (4, 5, 6, 7, 8)
 SHORTEST, LONGEST = 2, 24
 #: A term must occur in this many toxic training documents.
 LEAST_DOCS = 3
-#: A phrase must occur in this share of the clean training documents to be an exception.
-LEAST_SHARE = 0.004
 #: Least log ratio of shares, and least of it in standard errors.
 LEAST_WEIGHT = 2.0
 LEAST_Z = 3.0
-#: A phrase around a match is an exception if it is no likelier in toxic documents and in this many clean ones.
+#: A phrase around a match is an exception if it is no likelier in toxic documents, in this many clean ones, and by LEAST_Z
+#: standard errors less toxic than the other documents of a term.
 EXCEPTION_DOCS = 3
 #: Labels up to this many rows are broadcast (12 bytes each); more are joined by a shuffle.
 BROADCAST_LABELS = 2_000_000
+#: The same for the counts of terms (about 40 bytes each).
+BROADCAST_TERMS = 200_000
 
 # Letters of other alphabets that look like Latin ones, and signs that stand for letters.
 LOOKALIKES = str.maketrans("авеёкмнорстухіјѕԁһӏαβεικνορτυχ", "abeekmhopctyxijsdhlabeiknoptux")
@@ -76,12 +78,12 @@ def _strings(column: pa.Array) -> Iterator[str]:
 
 def _counted(clean: Counter, toxic: Counter) -> pa.RecordBatch:
     keys = list(clean.keys() | toxic.keys())
-    numbers = (pa.array([counts[key] for key in keys], pa.int64()) for counts in (clean, toxic))
-    return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *numbers], ["key", "n0", "n1"])
+    both = [clean[key] | toxic[key] << 32 for key in keys]
+    return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(both, pa.int64())], ["key", "n"])
 
 
 def _counts(keys_of: Callable[[str], Iterable[str]]):
-    """Clean and toxic documents (n0, n1) by the keys that keys_of gives for a folded text, each once."""
+    """Clean documents, and toxic ones times 2^32, by the keys that keys_of gives for a folded text, each once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = Counter(), Counter()
@@ -97,8 +99,16 @@ def _counts(keys_of: Callable[[str], Iterable[str]]):
     return run
 
 
-def _all_terms(text: str) -> set[str]:
-    return {term for word in set(_WORD.findall(text)) for term in _terms_of(word)}
+#: Marks keys that are terms; all others are phrases.
+_TERM = "\t"
+
+
+def _terms_and_phrases(text: str) -> Iterator[str]:
+    words = _WORD.findall(text)
+    distinct = set(words)
+    yield from {_TERM + term for word in distinct for term in _terms_of(word)}
+    yield from distinct
+    yield from map(" ".join, set(zip(words, words[1:], strict=False)))
 
 
 class Matcher:
@@ -131,11 +141,15 @@ class Matcher:
         yield from found.items()
 
     def phrases(self, text: str, start: int) -> list[str]:
-        """The matched word, and the word with its neighbours on either side."""
-        word = _WORD.match(text, start).group()
-        before = _WORD.findall(text[max(0, start - 40) : start])
-        after = _WORD.match(text, start + len(word) + 1)
-        return [word, *([f"{before[-1]} {word}"] if before else []), *([f"{word} {after.group()}"] if after else [])]
+        """The matched word, and the word with the words before and after it."""
+        word, end = _WORD.match(text, start).group(), start
+        while end and not _letter(text[end - 1]):
+            end -= 1
+        begin = end
+        while begin and _letter(text[begin - 1]):
+            begin -= 1
+        after = _WORD.search(text, start + len(word))
+        return [word, *([f"{text[begin:end]} {word}"] if begin < end else []), *([f"{word} {after.group()}"] if after else [])]
 
     def score(self, text: str) -> float:
         text = fold(text)
@@ -146,9 +160,26 @@ class Matcher:
         return total / (1 + len(text) / 100) ** 0.5
 
 
-def _phrases_of(lexicon: dict[str, float]) -> Callable[[str], set[str]]:
-    matcher = Matcher(lexicon)
-    return lambda text: {p for start, _ in matcher.matches(text) for p in matcher.phrases(text, start)}
+def _cleanest(cleanness: dict[str, float], terms: Iterable[str]) -> Callable[[str], set[str]]:
+    """For each word that begins with one of the terms, the one of its phrases that is cleanest."""
+    matcher = Matcher(dict.fromkeys(terms, 1.0))
+
+    def run(text: str) -> set[str]:
+        around = ([p for p in matcher.phrases(text, start) if p in cleanness] for start, _ in matcher.matches(text))
+        return {min(known, key=lambda p: (-cleanness[p], p)) for known in around if known}
+
+    return run
+
+
+def _terms_outside(terms: frozenset[str], exceptions: frozenset[str]) -> Callable[[str], set[str]]:
+    """Those of the terms that a text has outside the exceptions."""
+    matcher = Matcher(dict.fromkeys(terms, 1.0))
+
+    def run(text: str) -> set[str]:
+        around = (matcher.phrases(text, start) for start, _ in matcher.matches(text))
+        return {term for phrases in around if exceptions.isdisjoint(phrases) for term in _terms_of(phrases[0]) if term in terms}
+
+    return run
 
 
 def _raw_scores(lexicon: dict[str, float], exceptions: frozenset[str]):
@@ -173,6 +204,27 @@ def _weighted(counts: DataFrame, n_toxic: int, n_clean: int) -> DataFrame:
     return weighted.filter((F.col("weight") >= LEAST_WEIGHT) & (F.col("weight") >= LEAST_Z * F.sqrt("variance"))).select("term", "weight")
 
 
+def _candidates(counts: DataFrame, n_toxic: int, n_clean: int) -> tuple[dict[str, float], set[str]]:
+    """Phrases (with the log ratio of their shares of clean and toxic documents) that can be exceptions of a term that can
+    enter the lexicon with them, and those terms, from the (key, n0, n1) of terms and phrases."""
+    is_term = F.col("key").startswith(_TERM)
+    terms = counts.filter(is_term).select(F.expr("substring(key, 2)").alias("term"), F.col("n0").alias("t0"), F.col("n1").alias("t1"))
+    terms = terms.filter(_weight(F.col("t1"), F.lit(0), n_toxic, n_clean) >= LEAST_WEIGHT)
+    terms = F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms
+    words = F.split("key", " ")
+    stems = [F.transform(F.filter(words, lambda w, n=n: F.length(w) >= n), lambda w, n=n: F.substring(w, 1, n)) for n in STEMS]
+    whole = F.filter(words, lambda w: F.length(w).between(SHORTEST, LONGEST))
+    phrases = counts.filter(~is_term).select(F.col("key").alias("phrase"), "n0", "n1", F.explode(F.array_distinct(F.concat(whole, *stems))).alias("term"))
+    pairs = phrases.join(terms, "term")
+    cells = [F.col("t1") - F.col("n1") + 0.5, F.col("t0") - F.col("n0") + 0.5, F.col("n1") + 0.5, F.col("n0") + 0.5]
+    apart = F.log(cells[0]) - F.log(cells[1]) - F.log(cells[2]) + F.log(cells[3])
+    cleaner = stored(pairs.filter(apart >= LEAST_Z * F.sqrt(sum((1 / c for c in cells[1:]), 1 / cells[0]))))
+    outside = F.greatest(F.first("t0") - F.sum("n0"), F.lit(0))
+    within = cleaner.groupBy("term").agg(_weight(F.first("t1"), outside, n_toxic, n_clean).alias("most")).filter(F.col("most") >= LEAST_WEIGHT).select("term")
+    useful = cleaner.join(within, "term").groupBy("phrase").agg((-_weight(F.first("n1"), F.first("n0"), n_toxic, n_clean)).alias("cleanness"), F.collect_set("term").alias("terms")).collect()
+    return {r.phrase: r.cleanness for r in useful}, {term for r in useful for term in r.terms}
+
+
 def _uncovered(weights: dict[str, float]) -> dict[str, float]:
     """The lexicon: the terms without those that a shorter term of the lexicon covers."""
     out: dict[str, float] = {}
@@ -215,16 +267,25 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, threshold: fl
     train = texts.filter("not held_out").join(F.broadcast(known) if n_toxic + n_clean <= BROADCAST_LABELS else known, "doc_id")
 
     def totals(keys_of: Callable[[], Callable[[str], Iterable[str]]]) -> DataFrame:
-        counted = train.select("text", "toxic").mapInArrow(lambda batches: _counts(keys_of())(batches), "key string, n0 long, n1 long")
-        return counted.groupBy("key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+        counted = train.select("text", "toxic").mapInArrow(lambda batches: _counts(keys_of())(batches), "key string, n long")
+        return counted.groupBy("key").agg(F.sum("n").alias("n")).select("key", F.col("n").bitwiseAND((1 << 32) - 1).alias("n0"), F.shiftright("n", 32).alias("n1"))
 
     lexicon: dict[str, float] = {}
     exceptions: frozenset[str] = frozenset()
     if n_toxic:
-        lexicon = _uncovered(dict(_weighted(totals(lambda: _all_terms), n_toxic, n_clean).collect()))
-        found = totals(lambda: _phrases_of(lexicon))
-        usual = found.filter(F.col("n0") >= max(EXCEPTION_DOCS, int(LEAST_SHARE * n_clean))).filter(F.col("n0") * n_toxic >= F.col("n1") * n_clean)
-        exceptions = frozenset(phrase for (phrase,) in usual.select("key").collect())
+        is_term, no_likelier = F.col("key").startswith(_TERM), F.col("n0") * n_toxic >= F.col("n1") * n_clean
+        counts = stored(totals(lambda: _terms_and_phrases).filter(F.when(is_term, F.col("n1") >= LEAST_DOCS).otherwise((F.col("n0") >= EXCEPTION_DOCS) & no_likelier)))
+        cleanness, excepted = _candidates(counts, n_toxic, n_clean)
+        if cleanness:  # a phrase that is clean only by a cleaner one beside it is none
+            kept = totals(lambda: _cleanest(cleanness, excepted)).filter(no_likelier)
+            exceptions = frozenset(phrase for (phrase,) in kept.select("key").collect())
+        weights = dict(_weighted(counts.filter(is_term).withColumn("key", F.expr("substring(key, 2)")), n_toxic, n_clean).collect())
+        touched = {term for phrase in exceptions for word in phrase.split(" ") for term in _terms_of(word)}
+        touched = frozenset(touched & (excepted | weights.keys()))
+        weights = {term: weight for term, weight in weights.items() if term not in touched}
+        if touched:
+            weights |= dict(_weighted(totals(lambda: _terms_outside(touched, exceptions)), n_toxic, n_clean).collect())
+        lexicon = _uncovered(weights)
     kind = docs.schema["doc_id"].dataType.simpleString()
     raw = stored(texts.select("doc_id", "text", "held_out").mapInArrow(_raw_scores(lexicon, exceptions), f"doc_id {kind}, held_out boolean, raw double"))
 
