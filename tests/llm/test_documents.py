@@ -257,6 +257,11 @@ def test_pack_plan_matches_large_items():
     assert sum(r[2] for r in runs) == sum(counts)
 
 
+def test_near_duplicates_refuses_a_percent_it_would_miss_links_at(empty):
+    with pytest.raises(ValueError, match="74"):
+        near_duplicates(empty, percent=74)
+
+
 @pytest.fixture(scope="module", params=[8, 40])
 def toxic(spark, request):
     """Toxic words in every eighth row, and one of them in a harmless phrase in every eighth or fortieth."""

@@ -26,6 +26,8 @@ from .common import connected, reconnected, signed, splitmix, stored, text_block
 
 PERMUTATIONS = 256
 BANDS = 32
+#: The threshold that the bands, the test of sizes and the least estimate are made for.
+LEAST_PERCENT = 75
 #: Estimated similarity below which a candidate pair isn't confirmed on full sets.
 LEAST_ESTIMATE = 0.666
 #: Buckets up to this size are paired by a join, larger ones in blocks inside tasks.
@@ -198,8 +200,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     Null or wordless texts have an empty set, link with nothing and are kept. Texts of fewer than `width` words are one
     shingle. Rows that share a doc_id are one document, so links of either hold for both, and both rows come out. Rows with a null
     doc_id join the group of equal sets; where no member has an id, component_id is null and the row is kept. An empty
-    table gives an empty result.
+    table gives an empty result. The bands and bounds hold for a percent of LEAST_PERCENT or more; less raises ValueError.
     """
+    if percent < LEAST_PERCENT:
+        raise ValueError(f"percent is {percent}, but links below {LEAST_PERCENT} would be missed")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     rows = stored(texts.mapInArrow(_features(width), "doc_id long, n_shingles long, key_hi long, key_lo long, sig binary"))
     full = rows.filter("n_shingles > 0")
