@@ -13,14 +13,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stored, word_count
+from .common import in_order, numbered, stored, word_count
 
 WEIGHTS = (5, 2, 1)
 #: The mix has 3 / 2 of all words; no document is taken more than twice.
 SHARE = (3, 2)
 MOST_COPIES = 2
-#: Ranks are integers of 48 bits; each of two histograms resolves 12 of them.
-RANK_BITS, STEP_BITS = 48, 12
+#: Ranks are integers of 48 bits; each of three histograms resolves 8 of them.
+RANK_BITS, STEP_BITS, STEPS = 48, 8, 3
 
 
 def uniform(*parts: Column) -> Column:
@@ -31,36 +31,48 @@ def uniform(*parts: Column) -> Column:
 
 def source_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[int, int] = SHARE, most: int = MOST_COPIES) -> DataFrame:
     """Targets from (source, source_size): shares by weight, filled up to `most` times a source's size."""
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())  # one row per source
-    at = (F.row_number().over(by_name) - 1) % len(weights)
-    weighted = sources.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (at + 1).cast("int")))
-    fill = Window.orderBy(F.col("source_size") / F.col("weight"), F.col("source").asc_nulls_last())
-    up, on = fill.rowsBetween(Window.unboundedPreceding, -1), fill.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    everything = fill.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    number = (F.col("__number") % len(weights) + 1).cast("int")
+    named = in_order(sources, [F.col("source").asc_nulls_last()], []).withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), number))
+    weighted = named.select("source", "source_size", "weight")
+    filled = in_order(weighted, [F.col("source_size") / F.col("weight"), F.col("source").asc_nulls_last()], ["source_size", "weight"])
     num, den = share
+    words, weight = (x or 0 for x in weighted.agg(F.sum("source_size"), F.sum("weight")).first())
     # What is left for this source and those after it, if all before it are full, times den.
-    left = num * F.sum("source_size").over(everything) - den * most * F.coalesce(F.sum("source_size").over(up), F.lit(0))
-    filled = weighted.withColumn("left", left).withColumn("rest", F.sum("weight").over(on))
-    fits = F.col("left") * F.col("weight") <= den * most * F.col("source_size") * F.col("rest")
-    level = F.when(fits, F.col("left").cast("double") / (den * F.col("rest")).cast("double"))
-    levelled = filled.withColumn("level", F.max(level).over(everything))
+    left = num * words - den * most * F.col("__source_size")
+    rest = weight - F.col("__weight")
+    fits = left * F.col("weight") <= den * most * F.col("source_size") * rest
     # Of those that fit, the first has the highest level.
-    target = F.least((most * F.col("source_size")).cast("double"), F.col("level") * F.col("weight"))
-    return levelled.select("source", "source_size", target.alias("target"))
+    level = filled.agg(F.max(F.when(fits, left.cast("double") / (den * rest).cast("double")))).first()[0]
+    target = F.least((most * F.col("source_size")).cast("double"), F.lit(level).cast("double") * F.col("weight"))
+    return filled.select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[int, int] = SHARE, most: int = MOST_COPIES, seed: int = 0) -> DataFrame:
+def _drawn(rows: DataFrame, seed: int) -> DataFrame:
+    """rows with u and a number `again` that tells apart rows of one doc_id, source and text; rows that share a doc_id draw each on its own."""
+    rows = stored(rows.withColumn("row", F.monotonically_increasing_id()))
+    alone = lambda df: df.withColumn("again", F.lit(0).cast("long")).withColumn("u", uniform(F.lit(seed), F.col("doc_id")))
+    repeated = stored(rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias("doc_id_")))
+    if repeated.isEmpty():
+        return alone(rows).drop("row")
+    same = F.col("doc_id").eqNullSafe(F.col("doc_id_"))
+    many = numbered(rows.join(repeated, same, "left_semi"), ["doc_id", "source", "text_hash"], ["row"], "again")
+    many = many.withColumn("u", uniform(F.lit(seed), F.col("doc_id"), F.col("text_hash"), F.col("again")))
+    return alone(rows.join(repeated, same, "left_anti")).unionByName(many).drop("row")
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[int, int] = SHARE, most: int = MOST_COPIES, seed: int = 0, more: tuple[str, ...] = ()) -> DataFrame:
     """How often the mix takes each document.
 
-    docs: doc_id, text, source (more columns are ignored). Sources in code-point order, null last, have `weights` in
-    turn. Returns per row: doc_id, size (words), source, source_size, target (of its source), copies, taken (size times copies).
-    A null source is a source. Null and empty texts have size 0 and come in whole copies as others do. A source without
-    words has target 0 and no copies. Repeated rows draw the same number and so are taken alike, but for one of them at most. An
-    empty table gives an empty result.
+    docs: doc_id, text, source (more columns are ignored, but for those named in `more`, which come out as they are). Sources in
+    code-point order, null last, have `weights` in turn. Returns per row: doc_id, size (words), source, source_size, target (of
+    its source), copies, taken (size times copies). A null source is a source. Null, empty and wordless texts have size 0 and come
+    in whole copies as others do; a very long text is one document and the cut is as coarse as half of it. A source without
+    words has target 0 and no copies. Rows that repeat a doc_id, or have none, are documents of their own and draw each on its
+    own; the draws depend on the rows alone, not on their order. An empty table gives an empty result.
     """
-    drawn = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), uniform(F.lit(seed), F.col("doc_id")).alias("u"))
-    sized = stored(drawn)
-    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    size = word_count(F.col("text").cast("string"))
+    sized = stored(_drawn(docs.select("doc_id", "source", *more, size.alias("size"), F.xxhash64(F.col("text")).alias("text_hash")), seed))
+    sources = stored(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     targets = source_targets(sources, weights, share, most).withColumn("whole", F.floor(ratio))
     targets = stored(targets.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")).withColumn("p", F.when(F.col("source_size") > 0, F.col("rest") / F.col("source_size")).otherwise(0.0)))
@@ -84,11 +96,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[int, i
         return stored(found.select("source", "at.step", "at.rest"))
 
     narrow = drawn
-    for shift in (RANK_BITS - STEP_BITS, RANK_BITS - 2 * STEP_BITS):
+    for turn in range(1, STEPS + 1):
+        shift = RANK_BITS - turn * STEP_BITS
         edge = step(narrow, shift)
         narrow = by_source(narrow.drop("rest"), edge).filter(F.shiftright("rank", shift) == F.col("step")).drop("step")
-    order = Window.partitionBy("source").orderBy("rank", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    place = F.struct("rank", "doc_id")
+    line = ["rank", "doc_id", "text_hash", "again"]  # no two rows of a source are equal in it
+    order = Window.partitionBy("source").orderBy(*line).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    place = F.struct(*line)
     counted = narrow.withColumn("sum", F.sum("size").over(order))
     cuts = counted.groupBy("source").agg(
         F.min(F.when(F.col("sum") > F.col("rest"), place)).alias("cut"),
@@ -97,10 +111,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[int, i
     cuts = stored(cuts)
     beyond = by_source(ranked, cuts).filter(place >= F.col("cut"))
     miss = F.abs(F.col("gap") - F.col("size"))
-    closing = beyond.filter(miss < F.col("gap")).groupBy("source").agg(F.min(F.struct(miss.alias("miss"), "rank", "doc_id")).alias("closing"))
+    closing = beyond.filter(miss < F.col("gap")).groupBy("source").agg(F.min(F.struct(miss.alias("miss"), *line)).alias("closing"))
     ends = stored(by_source(cuts, closing, "left"))
-    in_order = F.coalesce((place < F.col("cut")).cast("long"), F.lit(0))
-    closes = F.coalesce((F.col("closing").isNotNull() & (place == F.struct(F.col("closing.rank"), F.col("closing.doc_id")))).cast("long"), F.lit(0))
-    copies = (F.col("whole") + in_order + closes).cast("long")
+    before_cut = F.coalesce((place < F.col("cut")).cast("long"), F.lit(0))
+    closes = F.coalesce((F.col("closing").isNotNull() & (place == F.struct(*(F.col(f"closing.{c}") for c in line)))).cast("long"), F.lit(0))
+    copies = (F.col("whole") + before_cut + closes).cast("long")
     out = by_source(ranked, ends, "left").withColumn("copies", copies)
-    return out.select("doc_id", "size", "source", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    return out.select("doc_id", "size", "source", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), *more)
