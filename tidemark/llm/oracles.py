@@ -60,7 +60,7 @@ SELECT doc_id, size, source_size, target, size * (whole + CAST(taken_in_order AS
 op3_url_filter = r"""
 WITH c AS (
     SELECT page_id, nullif(lower(regexp_replace(regexp_replace(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)', 1), '^.*@', ''), ':\d*$', ''), '\.$', '')), '') AS host,
-        TIMESTAMP '2024-01-01 00:00:00' + to_minutes(page_id * 7919 % 525600) AS fetched_at
+        TIMESTAMP '2024-01-01 00:00:00' + to_minutes(page_id % 525600 * 7919 % 525600) AS fetched_at
     FROM pages
 ), h AS (
     SELECT DISTINCT host, md5(host) AS m FROM c WHERE host IS NOT NULL

@@ -62,7 +62,7 @@ def _new_year() -> Column:
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages")
-    minute = (F.col("page_id") * 7919 % 525600).cast("int")
+    minute = (F.col("page_id") % 525600 * 7919 % 525600).cast("int")
     captures = pages.select("page_id", "url", (_new_year() + F.make_dt_interval(F.lit(0), F.lit(0), minute)).alias("fetched_at"))
     return judge(captures, _list_changes(pages))
 
