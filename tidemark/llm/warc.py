@@ -8,9 +8,9 @@ or version line at which a whole valid record stands, recovers from there, and r
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
-import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -19,11 +19,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_folder, stored
+from .common import new_path, stored
 
 #: Payloads below this many bytes are always written out.
 LEAST_REVISIT = 100
-RECORDS_A_FILE = 2000
+#: Records of at most so many bytes go so many to a file, so that a file has 128 MB or one record; a reader's task holds one file.
+FILES = ((1 << 16, 2000), (1 << 20, 128), (1 << 24, 8), (1 << 31, 1))
 #: Revisits up to this many are broadcast (about 100 bytes each); more are joined by a shuffle.
 BROADCAST_REVISITS = 200_000
 DATE = "2024-01-01T00:00:00Z"
@@ -39,7 +40,7 @@ def _lines(*fields: tuple[str, Column]) -> Column:
 
 
 def records(pages: DataFrame) -> DataFrame:
-    """One WARC record, as a string without its last line break, per row of pages (page_id, url, html)."""
+    """value: one WARC record, without its last line break, per row of pages (page_id, url, html); bytes: of its payload."""
     plain = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     hashed = plain.withColumn("digest", F.sha2(F.col("html").cast("binary"), 256)).withColumn("bytes", F.octet_length("html"))
     large = hashed.filter(F.col("bytes") >= LEAST_REVISIT).select("page_id", "digest")
@@ -63,12 +64,28 @@ def records(pages: DataFrame) -> DataFrame:
         ("Content-Type", F.lit("application/http; msgtype=response")),
         ("Content-Length", F.octet_length(block).cast("string")),
     )
-    return all_.select(F.concat(F.lit("WARC/1.1\r\n"), head, F.lit("\r\n"), block, F.lit("\r\n")).alias("value"))
+    return all_.select(F.concat(F.lit("WARC/1.1\r\n"), head, F.lit("\r\n"), block, F.lit("\r\n")).alias("value"), "bytes")
 
 
 def write_archives(pages: DataFrame, path: str) -> None:
-    """Write pages (page_id, url, html) as WARC archives of at most RECORDS_A_FILE records each."""
-    records(pages).write.option("lineSep", "\r\n").option("maxRecordsPerFile", RECORDS_A_FILE).text(path)
+    """Write pages (page_id, url, html) as WARC archives, of a bounded size unless a single record is larger."""
+    made = records(pages)
+    length = F.coalesce(F.octet_length(F.col("html").cast("string")), F.lit(0))
+    sizes = [F.when(length <= most, k) for k, (most, _) in enumerate(FILES)]
+    present = sorted(r.size for r in pages.select(F.coalesce(*sizes).alias("size")).distinct().collect())
+    for k in present or [0]:
+        least, most = (FILES[k - 1][0] if k else -1), FILES[k][0]
+        part = made if len(present) < 2 else made.filter((F.col("bytes") > least) & (F.col("bytes") <= most))
+        part.select("value").write.mode("append").option("lineSep", "\r\n").option("maxRecordsPerFile", FILES[k][1]).text(path)
+
+
+def _agrees(data: bytes, digest: str) -> bool:
+    """Whether a digest such as sha1:... (base32 or hex) is that of the data; unknown kinds are taken on trust."""
+    kind, _, value = digest.partition(":")
+    if kind.lower().replace("-", "") not in ("md5", "sha1", "sha256", "sha512"):
+        return True
+    made = hashlib.new(kind.lower().replace("-", ""), data).digest()
+    return value.lower() == made.hex() or value.upper().rstrip("=") == base64.b32encode(made).decode().rstrip("=")
 
 
 @dataclass
@@ -100,8 +117,9 @@ def _plain(data: bytes, at: int) -> Record | str:
     if data[end : end + 4] != b"\r\n\r\n":
         return "content length doesn't end at a record's end"
     record = Record(at, end + 4 - at, headers, data[stop + 4 : end])
-    digest = headers.get("warc-payload-digest", "")
-    if headers.get("warc-type") == "response" and digest.startswith("sha256:") and hashlib.sha256(payload(record)).hexdigest() != digest[7:]:
+    if not _agrees(record.block, headers.get("warc-block-digest", "")):
+        return "block digest doesn't match"
+    if headers.get("warc-type") == "response" and not _agrees(payload(record), headers.get("warc-payload-digest", "")):
         return "payload digest doesn't match"
     return record
 
@@ -198,10 +216,14 @@ def archived(pages: DataFrame) -> DataFrame:
 
     pages: page_id long, url, html (more columns are ignored). Returns per row: page_id, payload_bytes, payload_digest, record_type, refers_to.
     A null html is an empty payload; a null url has no target line. Rows without an id are responses and come back
-    without one. Of repeated rows, all that have the smallest page_id of their payload are responses. An empty table gives an
-    empty result.
+    without one. Of repeated rows, all that have the smallest page_id of their payload are responses. A payload may have up to
+    2 GB, which is what Spark's reader takes in one file. An empty table gives an empty result. A gap in what was read
+    back, which a damaged file in the shared folder would leave, ends the query with the gap's file, place and reason;
+    read_archives returns gaps as rows.
     """
     spark = pages.sparkSession
-    path = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    path = new_path(spark, "warc")
     write_archives(pages, path)
-    return read_archives(spark, path).filter("gap is null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    told = F.concat_ws(" ", F.lit("quarantined:"), "file", F.col("offset").cast("string"), F.col("length").cast("string"), "gap")
+    number = F.when(F.col("gap").isNull(), F.col("page_id")).otherwise(F.raise_error(told).cast("long"))
+    return read_archives(spark, path).select(number.alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
