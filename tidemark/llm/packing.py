@@ -112,16 +112,33 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.slow = Tokenizer.from_file(path)
-        self.slow.encode_special_tokens = True
         letters = _letters()
-        special = {t.content for t in self.slow.get_added_tokens_decoder().values()}
+        added = self.slow.get_added_tokens_decoder()
+        special = {t.content for t in added.values()}
+        #: Tokens that the file adds to its vocabulary, which keep their id within a text; and whether texts can be cut at them.
+        self.ids = {t.content: id_ for id_, t in added.items()}
+        self.added = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
+        self.cuts = not any(t.lstrip or t.rstrip or t.single_word for t in added.values())
         ranks = {bytes(letters[c] for c in token): rank for token, rank in self.slow.get_vocab().items() if token not in special}
         self.fast = tiktoken.Encoding("byte-level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> np.ndarray:
-        if LONG_RUN.search(text):
-            return np.array(self.slow.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
-        return self.fast.encode_to_numpy(text, disallowed_special=())
+        """The ids that the library gives with add_special_tokens=False."""
+        if self.added is None or not self.added.search(text):
+            return self._plain(text)
+        if not self.cuts:
+            return self._slow(text)
+        parts, at = [], 0
+        for token in self.added.finditer(text):
+            parts += [self._plain(text[at : token.start()]), np.array([self.ids[token.group()]], dtype=np.uint32)]
+            at = token.end()
+        return np.concatenate([*parts, self._plain(text[at:])])
+
+    def _slow(self, text: str) -> np.ndarray:
+        return np.array(self.slow.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+
+    def _plain(self, text: str) -> np.ndarray:
+        return self._slow(text) if LONG_RUN.search(text) else self.fast.encode_to_numpy(text, disallowed_special=())
 
 
 _encoders: dict[str, Encoder] = {}
@@ -170,7 +187,9 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_id
     docs: doc_id, text (more columns are ignored). A document is the ids of its text and then id 0; one that is longer
     than `capacity` is cut into pieces of that length, of which the first may be shorter. Returns per piece: doc_id, piece (from 0), start, length,
     ids_crc32 (of little-endian unsigned 32-bit ids), ids if asked for, sequence_id, offset. Null texts are empty, and so a
-    document of one id. Repeated rows are packed as often as they come; an empty table gives an empty result.
+    document of one id. Strings of the file's special tokens in a text become their ids, as they do in the library. A very long text
+    is encoded whole, in one task, and cut. Rows without an id are packed as any others; repeated rows as often as they
+    come; an empty table gives an empty result.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids
