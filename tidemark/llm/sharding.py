@@ -114,7 +114,9 @@ def shard(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE) -
 
     docs: doc_id, text (more columns are ignored). Returns per row: doc_id, size (UTF-8 bytes and 16), text_crc32, law
     ("bytes"), shard, slot (its place there, from 0 without gaps), grown_shard (null under this law). A null text has no bytes. Equal
-    texts share a shard unless they straddle a splitter and weigh more than a tenth of a shard. Repeated rows are dealt like copies. With
+    texts share a shard unless they straddle a splitter and weigh more than a tenth of a shard. Repeated rows are dealt like copies;
+    rows that repeat an id and a text, and copies without an id, are one place in the order and aren't split. A very long text
+    is one row and can make its shard larger than the others. With
     fewer rows than shards some shards stay empty; an empty table gives an empty result.
     """
     table = stored(keyed(docs))
@@ -124,7 +126,12 @@ def shard(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE) -
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, tolerance: float = TOLERANCE) -> None:
-    """Write whole documents as one folder per shard."""
-    table = stored(keyed(docs))
-    placed = docs.withColumn("key", F.xxhash64("text")).withColumn("spread", F.xxhash64("doc_id")).withColumn("shard", shard_of(splitters(table, shards, tolerance)))
-    placed.drop("key", "spread").repartition("shard", F.pmod(F.xxhash64("doc_id"), F.lit(16))).write.partitionBy("shard").parquet(path)
+    """Write whole documents, with all their columns, as one folder per shard (shard=0, ...; shard_=0 where docs has a column shard)."""
+    places = splitters(stored(keyed(docs)), shards, tolerance)
+    name = "shard"
+    while name in docs.columns:
+        name += "_"
+    row, where = F.struct("key", "spread"), shard_of(places)
+    keyed_rows = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64("text").alias("key"), F.xxhash64("doc_id").alias("spread"))
+    placed = keyed_rows.select("row.*", where.alias(name), F.pmod(F.xxhash64(row), F.lit(16)).alias("deal__"))
+    placed.repartition(name, "deal__").drop("deal__").write.partitionBy(name).parquet(path)
