@@ -1,9 +1,10 @@
 """Approximate nearest neighbours by a forest of hash prefixes.
 
-The vectors are dealt at random to shards of a bounded size, every row to one. A shard is a forest: in each tree, the
-vectors have a string of 16 sign bits of random projections and are kept sorted by it. A query descends in all trees to
-its longest matching prefix, a range of the sorted array, and then ascends in all trees together, one bit at a time,
-until the ranges hold enough candidates; those of all trees are scored exactly. The best of the shards are merged.
+The vectors are dealt at random to shards of a bounded size, every row to one. A shard is a forest, built once and stored:
+in each tree, the vectors have a string of 64 sign bits of random projections and are kept sorted by it. A query descends in
+every tree to the longest prefix that it shares with another vector there, which differs from tree to tree. From the deepest of
+these levels it ascends in all trees together, one bit at a time; a tree joins in at its own depth. The ascent ends when
+the ranges of the sorted arrays hold enough candidates, which are then scored exactly. The best of the shards are merged.
 """
 
 from __future__ import annotations
@@ -16,52 +17,73 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
-from .vectors import best, clean_vectors, padded, query_blocks, union_all, unpacked
+from .vectors import QUERY_ROWS, across, best, cleaned, filled_up, in_blocks, unpacked
 
 SHARD_ROWS = 8192
 TREES = 32
-BITS = 16
+BITS = 64
 #: Candidates at which the ascent ends, all trees together and met twice counted twice, as a multiple of a shard's rows. On
 #: vectors without structure (64 components at random) this visits 0.7 of the rows and finds 0.97 of the neighbours; on
 #: clustered ones the ascent ends within the cluster.
 CANDIDATES = 1.0
 SEED = 20
 
+_ALL = np.uint64(2**64 - 1)
 
-def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows, vectors = clean_vectors(batch.column(1))
-        kept = [(k, v.tobytes()) for k, v in zip(rows, vectors, strict=True) if v.any()]
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([k for k, _ in kept], pa.int64())), pa.array([v for _, v in kept], pa.binary())], ["vec_id", "vector"])
 
+def hash_strings(vectors: np.ndarray) -> np.ndarray:
+    """The hash string, a number of 64 bits, of each vector (column) in each tree (row)."""
+    random = np.random.default_rng(SEED)
+    out = np.empty((TREES, len(vectors)), dtype=np.uint64)
+    with np.errstate(over="ignore", invalid="ignore"):
+        for tree in range(TREES):
+            signs = vectors @ random.standard_normal((BITS, vectors.shape[1])).T > 0
+            out[tree] = np.packbits(signs, axis=1).view(">u8").ravel()
+    return out
 
-class Forest:
-    """The trees over one shard's vectors."""
 
-    def __init__(self, vectors: np.ndarray, trees: int = TREES, bits: int = BITS):
-        self.bits, self.vectors = bits, vectors
-        self.planes = np.random.default_rng(SEED).standard_normal((trees, bits, vectors.shape[1]))
-        strings = self.strings(vectors)
-        self.order = np.argsort(strings, axis=1, kind="stable").astype(np.int32)
-        self.sorted = np.take_along_axis(strings, self.order, axis=1)
+def _bit_length(x: np.ndarray) -> np.ndarray:
+    n = np.zeros(x.shape, dtype=np.int64)
+    for step in (32, 16, 8, 4, 2, 1):
+        large = x >> np.uint64(step) > 0
+        n += step * large
+        x = np.where(large, x >> np.uint64(step), x)
+    return n + (x > 0)
+
 
-    def strings(self, vectors: np.ndarray) -> np.ndarray:
-        """The hash strings, as numbers, of each tree and vector."""
-        weights = 1 << np.arange(self.bits)[::-1]
-        return np.stack([(vectors @ planes.T > 0) @ weights for planes in self.planes])
+class Forest:
+    """The sorted arrays of one shard's vectors."""
+
+    def __init__(self, strings: np.ndarray, order: np.ndarray):
+        self.strings, self.order = strings, order
+
+    @classmethod
+    def build(cls, vectors: np.ndarray) -> Forest:
+        strings = hash_strings(vectors)
+        order = np.argsort(strings, axis=1, kind="stable").astype(np.int32)
+        return cls(np.take_along_axis(strings, order, axis=1), order)
+
+    def depths(self, strings: np.ndarray, inside: np.ndarray) -> np.ndarray:
+        """For each tree and query, the longest prefix shared with a vector other than the query itself; inside: whether it is one of the vectors."""
+        out = np.empty(strings.shape, dtype=np.int64)
+        for tree, (own, wanted) in enumerate(zip(self.strings, strings, strict=True)):
+            lo, hi = np.searchsorted(own, wanted, "left"), np.searchsorted(own, wanted, "right")
+            near = [BITS - _bit_length(own[np.clip(at, 0, len(own) - 1)] ^ wanted) * 1 for at in (lo - 1, hi)]
+            before, behind = np.where(lo > 0, near[0], 0), np.where(hi < len(own), near[1], 0)
+            out[tree] = np.where(hi - lo > inside, BITS, np.maximum(before, behind))
+        return out
 
     def ranges(self, strings: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """In each tree, the range of the sorted array that shares the first `level` bits with each string."""
-        shift = self.bits - level[None, :]
-        first = strings >> shift << shift
-        lo = np.stack([np.searchsorted(s, f) for s, f in zip(self.sorted, first, strict=True)])
-        hi = np.stack([np.searchsorted(s, f) for s, f in zip(self.sorted, first + (1 << shift), strict=True)])
+        rest = np.where(level == 0, _ALL, _ALL >> np.minimum(level, BITS - 1).astype(np.uint64))
+        rest = np.where(level == BITS, np.uint64(0), rest)
+        lo = np.stack([np.searchsorted(own, s & ~rest, "left") for own, s in zip(self.strings, strings, strict=True)])
+        hi = np.stack([np.searchsorted(own, s | rest, "right") for own, s in zip(self.strings, strings, strict=True)])
         return lo, hi
 
-    def search(self, queries: np.ndarray, own: np.ndarray, k: int, enough: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For each query its best k candidates and their scores; own: each query's row here, or -1."""
-        strings = self.strings(queries)
-        level = np.full(len(queries), self.bits)
+    def candidates(self, strings: np.ndarray, own: np.ndarray, enough: int) -> Iterator[np.ndarray]:
+        """For each query the rows met when the ascent ends; own: each query's row here, or -1."""
+        level = self.depths(strings, own >= 0).max(axis=0)
         lo, hi = self.ranges(strings, level)
         while True:
             up = ((hi - lo).sum(axis=0) < enough) & (level > 0)
@@ -69,47 +91,70 @@ class Forest:
                 break
             level = level - up
             lo[:, up], hi[:, up] = self.ranges(strings[:, up], level[up])
-        met = np.zeros(len(self.vectors), dtype=bool)
-        for q in range(len(queries)):
+        met = np.zeros(self.order.shape[1], dtype=bool)
+        for q in range(strings.shape[1]):
             met[:] = False
             for tree, a, b in zip(self.order, lo[:, q], hi[:, q], strict=True):
                 met[tree[a:b]] = True
             if own[q] >= 0:
                 met[own[q]] = False
-            at = np.flatnonzero(met)
-            scores = self.vectors[at] @ queries[q]
-            if len(at) > k:
-                least = np.partition(scores, -k)[-k]
-                at, scores = at[scores >= least], scores[scores >= least]
-            yield at, scores
-
-
-def _search(block, k: int):
-    def run(table: pa.Table) -> pa.Table:
-        ids, queries = block.value
-        vec = table.column("vec_id").to_numpy()
-        forest = Forest(unpacked(table.column("vector")))
-        place = {v: k for k, v in enumerate(vec.tolist())}
-        own = np.array([place.get(q, -1) for q in ids.tolist()])
-        out: list[list[np.ndarray]] = [[], [], []]
-        for q, (at, scores) in enumerate(forest.search(queries, own, k, int(CANDIDATES * len(vec)) + k)):
-            order = np.lexsort((vec[at], -scores))[:k]
-            for to, x in zip(out, (np.full(len(order), ids[q]), vec[at[order]], scores[order]), strict=True):
-                to.append(x)
-        return pa.table({"query_id": np.concatenate(out[0]), "vec_id": np.concatenate(out[1]), "score": np.concatenate(out[2])})
+            yield np.flatnonzero(met)
 
-    return run
 
+def _built(table: pa.Table) -> pa.Table:
+    """One row with the ids, vectors and sorted arrays of a shard."""
+    vectors = unpacked(table.column("vector"))
+    forest = Forest.build(vectors)
+    ids = table.column("vec_id").to_numpy()
+    blobs = [pa.array([x.tobytes()], pa.binary()) for x in (ids, vectors, forest.strings, forest.order)]
+    return pa.table([table.column("v_block").slice(0, 1).cast(pa.int32()), *blobs], ["v_block", "ids", "vectors", "strings", "order"])
 
-def _padded(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data = [x.tobytes() for x in padded([np.frombuffer(x.as_py()) for x in batch.column(1)], width)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], ["vec_id", "vector"])
+
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        strings = hash_strings(unpacked(batch.column(1))).T if len(batch) else []
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([np.ascontiguousarray(s).tobytes() for s in strings], pa.binary())], [*batch.schema.names, "strings"])
+
+
+def _highest(vectors: np.ndarray, at: np.ndarray, query: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, scores) of the k highest products. Equal vectors get equal scores: each is a sum in a fixed order, and the faster
+    product only sorts out vectors that are clearly below."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        if len(at) > k:
+            rough = np.nan_to_num(vectors[at] @ query, nan=-np.inf)
+            slack = 1e-12 * np.sqrt((query * query).sum()) * np.abs(vectors[at]).max() * len(query)
+            least = np.partition(rough, -k)[-k] - slack
+            at = at[~(rough < least)]
+        scores = (vectors[at] * query).sum(axis=1)
+    order = np.lexsort((ids[at], -np.nan_to_num(scores, nan=-np.inf)))[:k]
+    return at[order], scores[order]
+
+
+def _searched(k: int):
+    def run(asked: pa.Table, held: pa.Table) -> pa.Table:
+        out: list[list[np.ndarray]] = [[np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)], [np.zeros(0)]]
+        if len(asked) and len(held):
+            ids = np.frombuffer(held.column("ids")[0].as_py(), dtype=np.int64)
+            vectors = np.frombuffer(held.column("vectors")[0].as_py()).reshape(len(ids), -1)
+            strings = np.frombuffer(held.column("strings")[0].as_py(), dtype=np.uint64).reshape(TREES, -1)
+            forest = Forest(strings, np.frombuffer(held.column("order")[0].as_py(), dtype=np.int32).reshape(TREES, -1))
+            place = {v: row for row, v in enumerate(ids.tolist())}
+            names = asked.column("vec_id").to_pylist()
+            own = np.array([place.get(q, -1) for q in names])
+            queries, wanted = unpacked(asked.column("vector")), np.ascontiguousarray(unpacked(asked.column("strings"), np.uint64).T)
+            for q, at in enumerate(forest.candidates(wanted, own, int(CANDIDATES * len(ids)) + k)):
+                rows, scores = _highest(vectors, at, queries[q], ids, k)
+                for to, x in zip(out, (np.full(len(rows), names[q]), ids[rows], scores), strict=True):
+                    to.append(x)
+        return pa.table({"query_id": np.concatenate(out[0]), "vec_id": np.concatenate(out[1]), "score": np.concatenate(out[2])})
 
     return run
 
 
+def _usable(vector: np.ndarray) -> np.ndarray | None:
+    return vector if vector.any() else None
+
+
 def nearest(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     """The k nearest found of each query, by inner product.
 
@@ -117,19 +162,16 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     `every`, candidates all rows but the query's own. Returns query_id, rank (from 1), vec_id, score, nearest first, ties to the
     smaller vec_id; fewer candidates than k give fewer rows. Vectors that are null, empty or zero or hold a null or non-finite
     component take no part, nor do rows without an id. Shorter vectors count as filled up with zeros. Of rows that repeat an id
-    one counts. An empty table gives an empty result.
+    one counts. Equal vectors have equal scores. An empty table gives an empty result.
     """
-    spark = vectors.sparkSession
-    raw = vectors.filter("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    table = stored(raw.mapInArrow(_clean, "vec_id long, vector binary").groupBy("vec_id").agg(F.min("vector").alias("vector")))
+    table = stored(cleaned(vectors, _usable))
     longest, shortest, rows = table.agg(F.max(F.octet_length("vector")), F.min(F.octet_length("vector")), F.count(F.lit(1))).first()
-    parts = []
-    if rows:
-        if longest != shortest:
-            table = stored(table.mapInArrow(_padded(longest // 8), "vec_id long, vector binary"))
-        shards = -(-rows // SHARD_ROWS)
-        dealt = table.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
-        for ids, matrix in query_blocks(table, every):
-            block = spark.sparkContext.broadcast((ids, matrix))
-            parts.append(best(dealt.groupBy("shard").applyInArrow(_search(block, k), "query_id long, vec_id long, score double"), k))
-    return union_all(parts) if parts else spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    if not rows:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    if longest != shortest:
+        table = stored(filled_up(table, longest // 8))
+    dealt, shards = in_blocks(table, "v_block", SHARD_ROWS)
+    forests = stored(dealt.groupBy("v_block").applyInArrow(_built, "v_block int, ids binary, vectors binary, strings binary, order binary"))
+    asked, q_blocks = in_blocks(table.filter(F.col("vec_id") % every == 0), "q_block", QUERY_ROWS)
+    asked = asked.mapInArrow(_hashed, "vec_id long, vector binary, q_block int, strings binary")
+    return best(across(asked, q_blocks, forests, shards, _searched(k), "query_id long, vec_id long, score double"), k)

@@ -1,8 +1,8 @@
-"""What the vector searches share: reading vectors from Arrow, blocks of queries, and the best k of each query."""
+"""What the vector searches share: reading vectors from Arrow, blocks of queries against blocks of vectors, and the best k of each query."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Queries of one block, which every task holds: 4 MB at 64 components.
-QUERY_BLOCK = 8192
+#: Queries of one block: 4 MB at 64 components.
+QUERY_ROWS = 8192
 
 
 def clean_vectors(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -32,14 +32,26 @@ def clean_vectors(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
     return np.array(rows, dtype=np.int64), vectors
 
 
-def padded(vectors: list[np.ndarray], width: int) -> np.ndarray:
-    """A matrix; vectors shorter than the longest count as filled up with zeros."""
-    if all(len(v) == width for v in vectors):
-        return np.array(vectors, dtype=np.float64).reshape(len(vectors), width)
-    out = np.zeros((len(vectors), width))
-    for row, v in zip(out, vectors, strict=True):
-        row[: len(v)] = v
-    return out
+def cleaned(vectors: DataFrame, usable: Callable[[np.ndarray], np.ndarray | None]) -> DataFrame:
+    """(vec_id, vector): what `usable` makes of each vector, packed as bytes; rows without an id or for which it gives None are left out.
+
+    Of rows that repeat an id one stays. All numbers have eight bytes.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, found = clean_vectors(batch.column(1))
+            kept = [(k, v.tobytes()) for k, v in zip(rows, map(usable, found), strict=True) if v is not None]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([k for k, _ in kept], pa.int64())), pa.array([v for _, v in kept], pa.binary())], ["vec_id", "vector"])
+
+    raw = vectors.filter("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    return raw.mapInArrow(run, "vec_id long, vector binary").groupBy("vec_id").agg(F.min("vector").alias("vector"))
+
+
+def filled_up(table: DataFrame, width: int) -> DataFrame:
+    """Vectors shorter than `width` numbers filled up with zeros."""
+    missing = F.lit(width * 8) - F.octet_length("vector")
+    return table.withColumn("vector", F.concat("vector", F.unhex(F.repeat(F.lit("00"), missing))))
 
 
 def unpacked(column: pa.Array, dtype=np.float64) -> np.ndarray:
@@ -49,25 +61,20 @@ def unpacked(column: pa.Array, dtype=np.float64) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=dtype).reshape(len(column), -1)
 
 
-def query_blocks(vectors: DataFrame, every: int = 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(ids, matrix) of the queries, the rows whose id is divisible by `every`, in blocks of a bounded size, sorted by id."""
-    queries = vectors.filter(F.col("vec_id") % every == 0)
-    blocks = max(1, -(-queries.count() // (QUERY_BLOCK // 2)))
-    for block in range(blocks):
-        mine = queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block)
-        rows = sorted((r.vec_id, bytes(r.vector)) for r in mine.select("vec_id", "vector").collect())
-        if rows:
-            yield np.array([r[0] for r in rows], dtype=np.int64), np.array([np.frombuffer(r[1]) for r in rows])
+def in_blocks(table: DataFrame, name: str, rows: int) -> tuple[DataFrame, int]:
+    """table with a column that deals it to blocks of about `rows` rows, and the number of blocks."""
+    blocks = max(1, -(-table.count() // rows))
+    return table.withColumn(name, F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")), blocks
+
+
+def across(queries: DataFrame, query_blocks: int, vectors: DataFrame, vector_blocks: int, search: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+    """search(queries, vectors) over every pair of a block of queries (q_block) and a block of vectors (v_block): one job, a task a pair."""
+    asked = queries.withColumn("v_block", F.explode(F.sequence(F.lit(0), F.lit(vector_blocks - 1))))
+    held = vectors.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
+    return asked.groupBy("q_block", "v_block").cogroup(held.groupBy("q_block", "v_block")).applyInArrow(search, schema)
 
 
 def best(scored: DataFrame, k: int) -> DataFrame:
     """The k highest scores of each query, ties to the smaller vec_id, with their rank from 1."""
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def union_all(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
