@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -23,18 +24,41 @@ BLOCK_BYTES = 1 << 20
 _MASK = (1 << 64) - 1
 
 
+#: What this process has written to the shared folder.
+_written: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a fresh one where none is set (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where none is set, a local master gets a fresh one; a
+    cluster raises ValueError, since each machine would write to its own disk."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return context.getCheckpointDir()
 
 
+def new_path(spark: SparkSession, kind: str) -> str:
+    """A path in the shared folder that nothing uses yet."""
+    path = f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
+def drop_stored(spark: SparkSession) -> None:
+    """Delete the tables and archives that this process has written to the shared folder. Results that still read them are lost."""
+    files = spark._jvm.org.apache.hadoop.fs
+    while _written:
+        path = files.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it again; cuts the lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    path = new_path(spark, "table")
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -160,6 +184,21 @@ def numbered(df: DataFrame, group: list[str], order: list[str], name: str, rows_
     return out.drop(cell, within, "__cell", "__start", *[f"__{g}" for g in group])
 
 
+def in_order(df: DataFrame, order: list[Column], sums: list[str]) -> DataFrame:
+    """df with __number (from 0, in that order) and, for each column c of sums, __c: its sum over the rows before.
+
+    The rows are sorted over many tasks; only the totals of each task's rows meet in one.
+    """
+    placed = stored(df.orderBy(*order).withColumn("__at", F.monotonically_increasing_id())).withColumn("__part", F.shiftright("__at", 33))
+    names = {"__number": F.count(F.lit(1)), **{f"__{c}": F.sum(c) for c in sums}}
+    up = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row per task of the sort
+    totals = placed.groupBy("__part").agg(*(x.alias(n) for n, x in names.items()))
+    starts = totals.select(F.col("__part").alias("__of"), *(F.coalesce(F.sum(n).over(up), F.lit(0)).alias(f"{n}__start") for n in names))
+    within = Window.partitionBy("__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    out = placed.select("*", *(F.coalesce(x.over(within), F.lit(0)).alias(f"{n}__in") for n, x in names.items())).join(F.broadcast(starts), F.col("__part") == F.col("__of"))
+    return out.select(*df.columns, *((F.col(f"{n}__start") + F.col(f"{n}__in")).alias(n) for n in names))
+
+
 def connected(edges: DataFrame, tables: Callable[[DataFrame], DataFrame] = stored) -> DataFrame:
     """Connected components of the edges (a, b) by large-star and small-star rounds (Kiveris et al., 2014).
 
