@@ -6,11 +6,14 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.llm import lm_scoring
 from tidemark.llm.common import connected, in_order, reconnected
-from tidemark.llm.lm_scoring import BIGRAM_MASS, lm_scores
+from tidemark.llm.lm_scoring import DISCOUNT, PAIR_MASS, lm_scores
 from tidemark.llm.mixing import mix
 from tidemark.llm.near_dedup import near_duplicates
 from tidemark.llm.packing import Encoder, pack, pack_plan, sequences
@@ -233,26 +236,95 @@ def test_sharding_is_even_with_a_hot_text(spark):
     assert split.isEmpty()
 
 
-def test_lm_scores(docs, texts):
-    held_out = remainder(7) == 2
-    rows = lm_scores(docs, held_out).collect()
-    known = [(r.doc_id, lower(t)) for r in docs.select("doc_id", "text").collect() for t in [r.text]]
-    train = [words(t) + ["\n"] for i, t in known if i is None or zlib.crc32(str(i).encode()) % 7 != 2]
+def plain_lm(train):
+    """The log10 probability of a token list under words, pairs and triples counted in plain Python."""
     one = Counter(w for t in train for w in t)
     two = Counter(p for t in train for p in zip(["\r", *t], t, strict=False))
-    before = one | {"\r": len(train)}
+    three = Counter(p for t in train for p in zip(["\r", *t], t, t[1:], strict=False))
+    behind, history = Counter(p[:2] for p in three), Counter()
+    for p, n in three.items():
+        history[p[:2]] += n
+    before = Counter(one | {"\r": len(train)})
     n, v = sum(one.values()), len(one)
-    assert len(rows) == len(known)
-    for r in rows:
-        if r.doc_id is None:
-            continue
-        t = words(lower(texts[r.doc_id])) + ["\n"]
-        root = {w: (one[w] + v / (v + 1)) / (n + v) for w in t}
-        score = sum(math.log10((two[p] + BIGRAM_MASS * root[p[1]]) / (before[p[0]] + BIGRAM_MASS)) for p in zip(["\r", *t], t, strict=False))
+
+    def probability(u, w, x):
+        root = (one[x] + (v or 1) / (v + 1)) / (n + (v or 1))
+        second = (two[w, x] + PAIR_MASS * root) / (before[w] + PAIR_MASS)
+        if u is None or not history[u, w]:
+            return second
+        return (max(three[u, w, x] - DISCOUNT, 0) + DISCOUNT * behind[u, w] * second) / history[u, w]
+
+    return one, n, v, probability, lambda t: sum(math.log10(probability(u, w, x)) for u, w, x in zip([None, "\r", *t], ["\r", *t], t, strict=False))
+
+
+def hold_to_plain_lm(rows, known):
+    one, n, v, _, score = plain_lm([words(t) + ["\n"] for i, t in known if i is None or zlib.crc32(str(i).encode()) % 7 != 2])
+    want = []
+    for i, text in known:
+        t = words(text) + ["\n"]
         base = sum(math.log10((one[w] + 1) / (n + v + 1)) for w in t)
-        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(t), sum(w in one for w in t), n)
-        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 7 == 2)
-        assert r.score == pytest.approx(score) and r.base_score == pytest.approx(base)
+        want.append((str(i), i is not None and zlib.crc32(str(i).encode()) % 7 == 2, len(t), sum(w in one for w in t), n, pytest.approx(base), pytest.approx(score(t))))
+    got = [(str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in rows]
+    assert len(got) == len(want)
+    for a, b in zip(sorted(got), sorted(want, key=lambda x: (*x[:5], x[5].expected, x[6].expected)), strict=True):
+        assert a == b
+
+
+def test_lm_scores(docs):
+    """Every score against a plain model of three orders; a repeated row, rows without an id, and a text of 9000 words."""
+    known = [(r.doc_id, lower(r.text)) for r in docs.select("doc_id", "text").collect()]
+    hold_to_plain_lm(lm_scores(docs, remainder(7) == 2).collect(), known)
+
+
+def test_lm_scores_over_small_chunks(spark, monkeypatch):
+    """Texts of a few words over many chunks and shards, so that most states fail over."""
+    r = random.Random(9)
+    monkeypatch.setattr(lm_scoring, "CHUNK_BYTES", 400)
+    monkeypatch.setattr(lm_scoring, "SHARD_BYTES", 700)
+    rows = [(k, " ".join(r.choices("a b c d e f".split(), [30, 10, 5, 3, 2, 1], k=r.randint(0, 12))) + " rare" * (k % 31 == 0)) for k in range(300)]
+    hold_to_plain_lm(lm_scores(spark.createDataFrame(rows, "doc_id long, text string"), remainder(7) == 2).collect(), rows)
+
+
+def test_lm_probabilities_add_up():
+    """Behind every history, the known words and one unknown one have probability 1 in all."""
+    train = [t.split() + ["\n"] for t in ("a b a c", "a b b", "c a b a", "b", "a b a a")]
+    one, _, _, probability, _ = plain_lm(train)
+    for u, w in [(None, "\r"), ("\r", "a"), ("a", "b"), ("b", "a"), ("c", "a"), ("x", "a"), (None, "x")]:
+        assert sum(probability(u, w, x) for x in [*one, "unknown"]) == pytest.approx(1)
+
+
+def test_automaton_reads_lanes_as_whole_texts():
+    """The same weights for any length of lane, and as following arcs and failure arcs one symbol at a time."""
+    r = np.random.default_rng(2)
+    texts = pa.array([" ".join(r.choice(list("abcdefgh"), n, p=[0.3, 0.2, 0.1, 0.1, 0.1, 0.1, 0.05, 0.05])) for n in (0, 1, 5, 300, 1000)])
+    with np.errstate(over="ignore"):
+        tokens = lm_scoring.Tokens(texts)
+    words_, word_n = np.unique(tokens.token, return_counts=True)
+    triples, triple_n = np.unique(tokens.triple, return_counts=True)
+    starts = lm_scoring._pairs(triples)
+    some = triple_n * (r.random(len(triples)) < 0.6)
+    counts = {"words": word_n, "triples": some, "pairs": np.add.reduceat(some, starts), "behind": np.add.reduceat(some > 0, starts, dtype=int)}
+    symbol, _, automaton, start = lm_scoring._model(tokens, counts, int(word_n.sum()), len(words_), 5)
+    want = []
+    for lo, hi in zip(tokens.first, tokens.first[1:], strict=False):
+        state, total = start, 0.0
+        for s in symbol[lo:hi]:
+            (state,), (weight,) = automaton.step(np.array([state]), np.array([s]))
+            total += weight
+        want.append(total)
+    assert (automaton.failure_weight < 0).any() and (automaton.failure >= 2).any()
+    for lane in (3, 7, 256, 10_000):
+        assert automaton.read(symbol, tokens.first, start, lane) == pytest.approx(want)
+
+
+def test_lm_tells_documents_that_occur_twice(spark):
+    """A text that occurs twice scores far above texts of the same words that occur once."""
+    r = random.Random(4)
+    vocabulary = [f"w{k}" for k in range(300)]
+    rows = [(k, " ".join(r.choices(vocabulary, k=60))) for k in range(400)]
+    rows += [(1000 + k, rows[k][1]) for k in range(40)]
+    got = {x.doc_id: x.score - x.base_score for x in lm_scores(spark.createDataFrame(rows, "doc_id long, text string"), F.lit(False)).collect()}
+    assert min(got[k] for k in range(40)) > max(got[k] for k in range(40, 400))
 
 
 def test_packing(spark, docs, texts):
