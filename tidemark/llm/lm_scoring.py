@@ -31,7 +31,7 @@ from .common import splitmix, stored, text_blocks, word_hashes
 PAIR_MASS = 20.0
 DISCOUNT = 0.9
 #: Bytes of text of a chunk and of a shard's part of the corpus, a row counting ROW_BYTES more. Requests are chunks times shards.
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 4 << 20
 SHARD_BYTES = 8 << 20
 ROW_BYTES = 64
 #: Bits of a triple's key that tell third words apart; the others are the pair's.
