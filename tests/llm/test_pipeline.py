@@ -7,6 +7,7 @@ from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import queries as q
 from tidemark.llm.common import stored
@@ -56,6 +57,57 @@ def test_repeated_rows(spark, tables):
     assert corpus_pipeline.drop_near_copies(spark, twice, DIR).count() == tables[2].count()
 
 
+@pytest.fixture(scope="module")
+def odd(spark, tables, tmp_path_factory):
+    """Rows without ids, rows that share one, null, empty and very long texts, and columns with names that stages use."""
+    base = tables[0].drop("n_chars")
+    toxic, folder = "they called it a wretchbag and left", str(tmp_path_factory.mktemp("odd"))
+    long = " ".join(f"long{k % 5003}x{k % 7}" for k in range(120_000))
+    near = " ".join(f"near{k}" for k in range(60))
+    rows = [(None, toxic, "no id"), (None, "of its own kind of text, five words and more", "no id"), (None, near, "no id"), (None, near + " more", "no id")]
+    rows += [(900_000, toxic, "one id"), (900_000, "harmless text beside it under the same id", "one id"), (900_000, "harmless text beside it under the same id", "one id")]
+    rows += [(800_000 + k, f"wretchbag number {k} of them", "b") for k in range(60)]
+    labels = base.select("doc_id", F.lit(0).alias("toxic")).unionByName(spark.range(800_000, 800_060).select(F.col("id").alias("doc_id"), F.lit(1).alias("toxic")))
+    labels.write.parquet(f"{folder}/labels.parquet")
+    rows += [(900_001, None, None), (900_002, "", "a"), (900_003, long, "a"), (900_004, long + " end", "a"), (None, None, None)]
+    more = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("lang", F.lit("en")).select(base.columns)
+    names = {c: F.lit(c) for c in ("row__", "copies", "copies__", "kept", "predicted", "held_out", "size", "rank", "node", "component_id", "raw", "score", "shared__x")}
+    docs = stored(base.unionByName(more).withColumns(names).withColumn("n_chars", F.length("text")))
+    out = [docs]
+    for _, stage in corpus_pipeline.STAGES:
+        out.append(stored(stage(spark, out[-1], folder)))
+    return out, toxic, near, long
+
+
+def test_stages_decide_on_rows(odd):
+    (docs, clean, single, mixed, packed), toxic, near, long = odd
+    assert docs.columns == clean.columns == single.columns == mixed.columns
+    texts = lambda df: Counter(r.text for r in df.select("text").collect())
+    # Every row with the toxic text goes, and no row beside it under its id.
+    assert texts(docs)[toxic] == 2 and toxic not in texts(clean)
+    assert texts(clean)["harmless text beside it under the same id"] == 2 and texts(clean)[None] == 2
+    # One row of each group stays, with an id or without; empty texts are no copies of each other.
+    left = texts(single)
+    assert left["harmless text beside it under the same id"] == 1 and left[near] + left[near + " more"] == 1
+    assert left[long] == 1 and long + " end" not in left and left[None] == 2 and left[""] >= 1
+    # The mix has whole rows, each twice at most, and its words come near 1.5 times all words.
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    rows, taken = Counter(map(tuple, single.collect())), Counter(map(tuple, mixed.collect()))
+    assert set(taken) <= set(rows) and all(taken[r] <= 2 * rows[r] for r in taken)
+    at = single.columns.index("text")
+    words, mixed_words = (sum(size(r[at]) * n for r, n in x.items()) for x in (rows, taken))
+    assert words < mixed_words < 2 * words
+    assert packed.filter("piece = 0").count() == mixed.count()
+
+
+def test_sequences_hold_all_tokens(spark, tables, tmp_path, monkeypatch):
+    monkeypatch.setattr(corpus_pipeline, "kept", lambda spark, sf_dir: tables[3])
+    corpus_pipeline.write_sequences(spark, DIR, str(tmp_path / "out"))
+    written = {r.sequence_id: len(r.ids) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert sum(written.values()) == sum(r.length for r in tables[4].collect()) and max(written.values()) <= 2048
+    assert len(written) == tables[4].select("sequence_id").distinct().count()
+
+
 def test_empty(spark, tables):
     docs = tables[0].limit(0)
     for _, stage in corpus_pipeline.STAGES:

@@ -16,6 +16,7 @@ from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,10 +38,17 @@ EXCEPTION_DOCS = 3
 BROADCAST_LABELS = 2_000_000
 #: The same for the counts of terms (about 40 bytes each).
 BROADCAST_TERMS = 200_000
+#: Of the words that can be within an exception, as many of the most frequent as every task can know; pairs of these are counted
+#: as numbers, all other pairs as text.
+PAIR_WORDS = 400_000
+#: Pairs that a task gathers before it counts them.
+GATHERED_PAIRS = 4_000_000
 
 # Letters of other alphabets that look like Latin ones, and signs that stand for letters.
 LOOKALIKES = str.maketrans("авеёкмнорстухіјѕԁһӏαβεικνορτυχ", "abeekmhopctyxijsdhlabeiknoptux")
 SIGNS = str.maketrans("01345789@$", "oieastbgas")
+#: Signs without width, and marks that stay apart from their letter in composed forms.
+UNSEEN = re.compile("[\u00ad\u0300-\u036f\u200b-\u200f\u2060-\u2064\u20d0-\u20ff\ufe00-\ufe0f\ufeff]")
 
 _SIGNED = re.compile(r"[0-9@$]")
 _WITH_SIGNS = re.compile(r"[^\W_]*[0-9@$][\w@$]*[^\W\d_]|[^\W\d_]+[0-9]+")
@@ -53,14 +61,20 @@ def _unsigned(match: re.Match) -> str:
 
 
 def fold(text: str) -> str:
+    """Lower case, composed compatibility forms without unseen signs, look-alike letters and signs for letters as the letters."""
     text = text.lower()
     try:
-        text.encode("latin-1")
+        text.encode("ascii")
     except UnicodeEncodeError:
-        text = unicodedata.normalize("NFKC", text).lower().translate(LOOKALIKES)
+        text = UNSEEN.sub("", unicodedata.normalize("NFKC", UNSEEN.sub(_kept_mark, text))).lower().translate(LOOKALIKES)
     return _WITH_SIGNS.sub(_unsigned, text) if _SIGNED.search(text) else text
 
 
+def _kept_mark(match: re.Match) -> str:
+    """A mark may still compose with its letter; signs without width go."""
+    return match.group() if unicodedata.combining(match.group()) else ""
+
+
 def _letter(sign: str) -> bool:
     """Whether _WORD matches it."""
     return sign.isalnum() and not sign.isdecimal()
@@ -103,12 +117,54 @@ def _counts(keys_of: Callable[[str], Iterable[str]]):
 _TERM = "\t"
 
 
-def _terms_and_phrases(text: str) -> Iterator[str]:
-    words = _WORD.findall(text)
-    distinct = set(words)
+def _terms_and_words(text: str) -> Iterator[str]:
+    distinct = set(_WORD.findall(text))
     yield from {_TERM + term for word in distinct for term in _terms_of(word)}
     yield from distinct
-    yield from map(" ".join, set(zip(words, words[1:], strict=False)))
+
+
+def _pair_counts(shared, complete: bool):
+    """Documents by the pairs of words in them, as in _counts: pairs of known words as one number, others as text.
+
+    complete: whether a word that isn't known is in too few documents for any of its pairs to matter.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = {word: k for k, word in enumerate(shared.value)}
+        texts: tuple[Counter, Counter] = Counter(), Counter()
+        pairs: tuple[list, list] = [], []
+        gathered = 0
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            both = [np.concatenate([np.zeros(0, dtype=np.int64), *x]) for x in pairs]
+            keys, inverse = np.unique(np.concatenate(both), return_inverse=True)
+            clean, toxic = (np.bincount(x, minlength=len(keys)) for x in (inverse[: len(both[0])], inverse[len(both[0]) :]))
+            n = clean.astype(np.int64) | toxic.astype(np.int64) << 32
+            for at in range(0, len(keys), 100_000):
+                part = keys[at : at + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(part), pa.nulls(len(part), pa.string()), pa.array(n[at : at + 100_000])], ["pair", "key", "n"])
+            if texts[0] or texts[1]:
+                rest = _counted(*texts)
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(rest), pa.int64()), *rest.columns], ["pair", "key", "n"])
+
+        for batch in batches:
+            for text, toxic in zip(_strings(batch.column(0)), batch.column(1).to_pylist(), strict=True):
+                words = _WORD.findall(fold(text))
+                if len(words) < 2:
+                    continue
+                ids = np.array([number.get(w, -1) for w in words], dtype=np.int64)
+                left, right = ids[:-1], ids[1:]
+                known = (left >= 0) & (right >= 0)
+                pairs[toxic].append(np.unique(left[known] << 32 | right[known]))
+                gathered += len(pairs[toxic][-1])
+                if not complete:
+                    texts[toxic].update({f"{words[k]} {words[k + 1]}" for k in np.flatnonzero(~known)})
+                if gathered > GATHERED_PAIRS or len(texts[0]) + len(texts[1]) > 400_000:
+                    yield from counted()
+                    texts, pairs, gathered = (Counter(), Counter()), ([], []), 0
+        yield from counted()
+
+    return run
 
 
 class Matcher:
@@ -187,7 +243,8 @@ def _raw_scores(lexicon: dict[str, float], exceptions: frozenset[str]):
         matcher = Matcher(lexicon, exceptions)
         for batch in batches:
             raw = [matcher.score(text) for text in _strings(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(raw, pa.float64())], ["doc_id", "held_out", "raw"])
+            names = batch.schema.names
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(raw, pa.float64()), *batch.columns[3:]], [names[0], names[2], "raw", *names[3:]])
 
     return run
 
@@ -252,15 +309,19 @@ def _monotone(bins: list[tuple[int, int, int]]) -> list[tuple[float, float]]:
     return [(s / n, (t + prior) / (n + 1)) for s, n, t in blocks]
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, threshold: float = 0.3) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, threshold: float = 0.3, more: tuple[str, ...] = ()) -> DataFrame:
     """Score every text for toxicity, learning from the labels of rows that aren't held out.
 
-    docs: doc_id, text (more columns are ignored); labels: doc_id, toxic (0 or 1; null: not labelled). Returns per row of
-    docs: doc_id, held_out, score (0 to 1), predicted (1 if score >= threshold, else 0). Null and empty texts score as
-    texts without a match; a null held_out counts as false. Repeated rows are scored alike; labels that contradict each other all count.
-    Without labels every score is 0. An empty table gives an empty result.
+    docs: doc_id, text (more columns are ignored, but for those named in `more`, which come out as they are); labels: doc_id,
+    toxic (0 or 1; null: not labelled). Returns per row of docs: doc_id, held_out, score (0 to 1), predicted (1 if
+    score >= threshold, else 0). Null and empty texts score as texts without a match; texts of any length are matched
+    whole. A null held_out counts as false; rows without an id are scored but have no label. Repeated rows are scored alike; rows
+    that share an id share its label; labels that contradict each other all count. Words of SHORTEST to LONGEST letters can
+    be terms as they are, longer ones by their beginnings, words of one letter not. Without labels every score is 0. An empty
+    table gives an empty result.
     """
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
+    spark = docs.sparkSession
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"), *more)
     known = stored(labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter(~F.coalesce(held_out, F.lit(False)) & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()))
     sizes = {toxic: n for toxic, n in known.groupBy("toxic").count().collect()}
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
@@ -268,13 +329,30 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, threshold: fl
 
     def totals(keys_of: Callable[[], Callable[[str], Iterable[str]]]) -> DataFrame:
         counted = train.select("text", "toxic").mapInArrow(lambda batches: _counts(keys_of())(batches), "key string, n long")
-        return counted.groupBy("key").agg(F.sum("n").alias("n")).select("key", F.col("n").bitwiseAND((1 << 32) - 1).alias("n0"), F.shiftright("n", 32).alias("n1"))
+        return apart(counted.groupBy("key").agg(F.sum("n").alias("n")), "key")
+
+    def apart(counted: DataFrame, *keys: str) -> DataFrame:
+        return counted.select(*keys, F.col("n").bitwiseAND((1 << 32) - 1).alias("n0"), F.shiftright("n", 32).alias("n1"))
+
+    def pairs_of(words: DataFrame) -> DataFrame:
+        """(key, n0, n1) of the pairs of words in enough clean documents; words: (key, n0) of all words in as many."""
+        known = [r.key for r in words.orderBy(F.col("n0").desc(), "key").limit(PAIR_WORDS + 1).select("key").collect()]
+        complete, known = len(known) <= PAIR_WORDS, known[:PAIR_WORDS]
+        numbers = _pair_counts(spark.sparkContext.broadcast(known), complete)
+        found = train.select("text", "toxic").mapInArrow(numbers, "pair long, key string, n long").groupBy("pair", "key").agg(F.sum("n").alias("n"))
+        found = apart(found, "pair", "key").filter((F.col("n0") >= EXCEPTION_DOCS) & no_likelier)
+        names = F.broadcast(spark.createDataFrame(pa.table({"id": pa.array(range(len(known)), pa.int64()), "word": pa.array(known, pa.string())})))
+        named = found
+        for name, id_ in (("left", F.shiftright("pair", 32)), ("right", F.col("pair").bitwiseAND((1 << 32) - 1))):
+            named = named.join(names.select(F.col("id").alias(f"{name}_id"), F.col("word").alias(name)), id_ == F.col(f"{name}_id"), "left")
+        return named.select(F.coalesce("key", F.concat_ws(" ", "left", "right")).alias("key"), "n0", "n1")
 
     lexicon: dict[str, float] = {}
     exceptions: frozenset[str] = frozenset()
     if n_toxic:
         is_term, no_likelier = F.col("key").startswith(_TERM), F.col("n0") * n_toxic >= F.col("n1") * n_clean
-        counts = stored(totals(lambda: _terms_and_phrases).filter(F.when(is_term, F.col("n1") >= LEAST_DOCS).otherwise((F.col("n0") >= EXCEPTION_DOCS) & no_likelier)))
+        single = stored(totals(lambda: _terms_and_words).filter(F.when(is_term, F.col("n1") >= LEAST_DOCS).otherwise(F.col("n0") >= EXCEPTION_DOCS)))
+        counts = stored(single.filter(is_term | no_likelier).unionByName(pairs_of(single.filter(~is_term))))
         cleanness, excepted = _candidates(counts, n_toxic, n_clean)
         if cleanness:  # a phrase that is clean only by a cleaner one beside it is none
             kept = totals(lambda: _cleanest(cleanness, excepted)).filter(no_likelier)
@@ -287,7 +365,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, threshold: fl
             weights |= dict(_weighted(totals(lambda: _terms_outside(touched, exceptions)), n_toxic, n_clean).collect())
         lexicon = _uncovered(weights)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    raw = stored(texts.select("doc_id", "text", "held_out").mapInArrow(_raw_scores(lexicon, exceptions), f"doc_id {kind}, held_out boolean, raw double"))
+    raw = stored(texts.mapInArrow(_raw_scores(lexicon, exceptions), ", ".join([f"doc_id {kind}, held_out boolean, raw double", *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in more)])))
 
     seen = raw.filter("not held_out").join(known, "doc_id").groupBy(_knot(F.col("raw")).alias("step")).agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("toxic"))
     line = _monotone([tuple(r) for r in seen.collect()])  # at most 64 rows
@@ -298,5 +376,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, threshold: fl
         score = F.when(at <= x0, F.lit(y0)).when(at <= x1, part).otherwise(score)
     if line and line[0][0] == 0 and len(line) > 1:  # a text without a match isn't on the way to one with a match
         score = F.when(F.col("raw") <= 0, F.lit(line[0][1])).otherwise(score)
-    scored = raw.select("doc_id", "held_out", F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0)).alias("score"))
+    scored = raw.select("doc_id", "held_out", *more, F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0)).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
