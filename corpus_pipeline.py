@@ -1,5 +1,10 @@
 """From raw documents to training sequences: drop toxic documents, keep one of each group of near copies, mix the sources
-to target weights, pack what is left. Each stage is written as a Parquet table in the shared folder and read again."""
+to target weights, pack what is left. Each stage is written as a Parquet table in the shared folder and read again.
+
+Stages decide on rows, not on ids: rows without a doc_id and rows that share one are documents of their own. Null, empty and
+very long texts pass through every stage as its operator defines; columns beside doc_id, text and source are carried along,
+whatever their names. An empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
@@ -9,40 +14,56 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import stored
 from tidemark.llm.mixing import mix
 from tidemark.llm.near_dedup import near_duplicates
-from tidemark.llm.packing import pack
+from tidemark.llm.packing import pack, sequences
 from tidemark.llm.queries import fold, tokenizer_file
 from tidemark.llm.toxicity import toxicity
 
-#: Ids up to this many are broadcast (8 bytes each) to drop their documents; more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+#: Rows up to this many are broadcast (8 bytes each) to drop their documents; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a column that tells all rows apart, and its name: the doc_id, where every row has one of its own; rows
+    without an id, and rows that share one, get numbers behind all ids. The smallest id of a group stays the smallest."""
+    key = "row__"
+    while key in docs.columns:
+        key += "_"
+    shared = stored(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or doc_id is null").select(F.col("doc_id").alias("shared__"), F.lit(True).alias("several__")))
+    if shared.isEmpty():
+        return docs.withColumn(key, F.col("doc_id").cast("long")), key
+    last = docs.agg(F.max(F.col("doc_id").cast("long"))).first()[0] or 0
+    behind = F.lit(max(last, 0)) + 1 + F.monotonically_increasing_id()
+    marked = docs.join(shared, F.col("doc_id").eqNullSafe(F.col("shared__")), "left")
+    numbered = marked.withColumn(key, F.when(F.col("several__"), behind).otherwise(F.col("doc_id").cast("long")))
+    return stored(numbered.drop("shared__", "several__")), key
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs but for those ids; rows without an id stay."""
-    ids = stored(ids.select("doc_id").filter("doc_id is not null").distinct())
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti").select(*docs.columns)
+def _without(docs: DataFrame, key: str, rows: DataFrame) -> DataFrame:
+    rows = stored(rows.select(key))
+    return docs.join(F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows, key, "left_anti")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity operator doesn't reject, learning from the labels of the table's folder."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return _without(docs, toxicity(docs, labels, held_out=fold(4) == 2).filter("predicted = 1"))
+    rows, key = _keyed(docs)
+    found = toxicity(rows, labels, held_out=fold(4) == 2, more=(key,))
+    return _without(rows, key, found.filter("predicted = 1")).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that with the smallest id; of rows that repeat an id one stays."""
-    once = _without(docs, near_duplicates(docs).filter("not kept"))
-    repeated = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
-    if repeated.isEmpty():
-        return once
-    return _without(once, repeated).unionByName(once.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
+    """One document of each group of near copies: that with the smallest id, of rows that share or lack one any row."""
+    rows, key = _keyed(docs)
+    found = near_duplicates(rows.select(F.col(key).alias("doc_id"), "text"))
+    return _without(rows, key, found.filter("not kept").withColumnRenamed("doc_id", key)).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    copies = mix(docs).filter("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies__")).withColumnRenamed("doc_id", "doc_id__")
-    taken = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("doc_id__")))
-    return taken.withColumn("copy__", F.explode(F.sequence(F.lit(1), F.col("copies__").cast("int")))).select(*docs.columns)
+    rows, key = _keyed(docs)
+    copies = mix(rows, more=(key,)).filter("copies > 0").select(key, F.col("copies").cast("int").alias("copies__"))
+    taken = rows.select(key, F.struct(*docs.columns).alias("kept__")).join(copies, key)
+    return taken.withColumn("copy__", F.explode(F.sequence(F.lit(1), F.col("copies__")))).select("kept__.*")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,8 +77,18 @@ STAGES = [("toxicity", drop_toxic), ("near-duplicates", drop_near_copies), ("mix
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+def kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that the stages before packing leave."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+    return docs
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return STAGES[-1][1](spark, kept(spark, sf_dir), sf_dir)
+
+
+def write_sequences(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """The token ids of every training sequence (sequence_id, ids) as a Parquet table."""
+    sequences(pack(kept(spark, sf_dir), tokenizer_file(), with_ids=True)).write.parquet(path)
