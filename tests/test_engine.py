@@ -73,10 +73,46 @@ def test_envelope(engine):
     assert "Electronics" in got["insight"] and "86.6%" in got["insight"]
     assert [e["agent"] for e in got["agent_logs"]] == ["planner", "retrieval", "sql", "validator", "execution", "insight"]
     assert engine.health() == {"status": "healthy", "index_ready": True}
-    json.dumps(got, default=str)
+    json.dumps(got)
     assert not engine.ask("?")["success"]
 
 
+#: Questions that the rules don't understand, each with what the refusal names.
+REFUSED = {
+    "What is the weather today?": "weather", "Sales by quarter": "quarter", "Compare sales of Delhi and Mumbai": "delhi", "Show sales before 2025-06-01": "before", "How many orders are pending?": "pending", "Bottom 3 products": "measure",
+    "Average order value by region": "no join", "Show sales by region and category": "and", "Show profit by city": "profit", "How many are there?": "count",
+}
+
+
+@pytest.mark.parametrize("question", REFUSED)
+def test_questions_that_are_refused(engine, question):
+    got = engine.ask(question, AS_OF)
+    assert not got["success"] and REFUSED[question] in got["error"] and got["sql"] is None
+
+
+@pytest.mark.parametrize("question", ["Show sales in January", "Show sales in January 2025", "Bottom 2 products by revenue", "What products are in the Electronics category?"])
+def test_more_questions(engine, question):
+    df, sql = compiled(engine, question)
+    rows = [tuple(r) for r in df.collect()]
+    assert sorted(rows) == sorted(tuple(r) for r in engine.sql(sql).collect())
+    if question.startswith("What"):
+        assert rows and {r[2] for r in rows} == {"Electronics"}
+    elif question.startswith("Bottom"):
+        best_first = [tuple(r) for r in compiled(engine, "Top 99 products by revenue")[0].collect()]
+        assert sorted(r[-1] for r in best_first)[:2] == [r[-1] for r in rows]
+    else:
+        assert rows == [(MONTHS[0 if "2025" in question else 12],)]
+
+
+def test_failures_of_any_kind_are_in_the_envelope(engine):
+    engine.model = Model()  # has no answer and raises IndexError
+    try:
+        got = engine.ask("how many orders?", AS_OF)
+    finally:
+        engine.model = None
+    assert not got["success"] and got["error"] and got["agent_logs"][-1]["status"] == "failed"
+
+
 def test_search_finds_the_table(engine):
     hits = engine.index().search("product_name category price", 5).collect()
     assert hits[0].table_name == "products" and len(hits) == 5

@@ -14,6 +14,7 @@ from tidemark.sources.csv import column_names, read_csv, table_name
 @pytest.fixture(scope="module")
 def known(spark):
     spark.createDataFrame([(1, "x", "2024-01-01")], "id long, updated_at string, `create` string").createOrReplaceTempView("guarded")
+    spark.createDataFrame([(7,)], "id long").createOrReplaceTempView("hidden")
     return ["guarded"]
 
 
@@ -24,17 +25,24 @@ ACCEPTED = [
     "SELECT updated_at FROM guarded /* drop */",
     "SELECT id FROM (SELECT id FROM guarded) WHERE id IN (SELECT id FROM guarded) AND EXISTS (SELECT 1 FROM guarded)",
     "SELECT extract(YEAR FROM DATE '2024-01-01') AS y, trim(' ' FROM updated_at) AS t FROM guarded WHERE id IS DISTINCT FROM 2",
+    "SELECT repeat('-', 3) AS a, lpad('x', 5, '0') AS b, format_string('%5d|%s', id, 'x') AS c, hex(id) AS d FROM guarded",
     "SELECT sum(id) OVER w AS s FROM guarded WINDOW w AS (ORDER BY id) UNION ALL SELECT 1 LIMIT 3",
 ]
-DEFAULT_ONLY = ["WITH c AS (SELECT id FROM guarded) SELECT * FROM c", "(SELECT id FROM guarded)", "FROM guarded SELECT id", "TABLE guarded"]
+DEFAULT_ONLY = ["WITH c AS (SELECT id FROM guarded) SELECT * FROM c", "WITH RECURSIVE c(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM c WHERE n < 3) SELECT n FROM c JOIN guarded", "WITH guarded AS (SELECT id FROM guarded) SELECT * FROM guarded", "(SELECT id FROM guarded)", "FROM guarded SELECT id", "TABLE guarded"]
 REJECTED = {
     "security": [
         "INSERT INTO guarded SELECT * FROM guarded", "UPDATE guarded SET id = 1", "DELETE FROM guarded", "DROP TABLE guarded", "ALTER TABLE guarded ADD COLUMNS (x INT)", "CREATE TABLE x AS SELECT 1", "TRUNCATE TABLE guarded",
         "SELECT 1; SELECT 2", "VALUES (1)", "EXPLAIN SELECT 1", "SHOW TABLES", "DESCRIBE guarded", "SET x = 1", "CACHE TABLE guarded", "SELECT reflect('java.lang.System', 'exit', 1)",
         "SELECT TRANSFORM (id) USING 'cat' AS (x) FROM guarded", "SELECT java_method('java.lang.Math', 'random')", "SELECT input_file_name() FROM guarded", "SELECT * FROM range(5)", "SELECT explode(array(1)) FROM guarded",
         "SELECT id FROM guarded WHERE id = (SELECT max(reflect('a', 'b')) FROM guarded)",
+        "SELECT repeat('x', 2000000000) FROM guarded", "SELECT lpad('x', id, 'y') FROM guarded", "SELECT rpad('x', 99999) FROM guarded", "SELECT printf('%2000000000d', 1) FROM guarded", "SELECT format_string(updated_at, 1) FROM guarded",
+    ],
+    "schema": [
+        "WITH guarded AS (SELECT 1 AS id) SELECT * FROM hidden", "WITH hidden AS (SELECT * FROM hidden) SELECT * FROM hidden", "SELECT * FROM (WITH hidden AS (SELECT * FROM hidden) SELECT * FROM hidden)",
+        "SELECT id FROM guarded WHERE id IN (WITH hidden AS (SELECT id FROM hidden) SELECT id FROM hidden)", "WITH RECURSIVE hidden AS (SELECT * FROM hidden) SELECT * FROM hidden",
+        "WITH a AS (WITH hidden AS (SELECT 1 AS id) SELECT * FROM hidden) SELECT * FROM hidden", "WITH a AS (SELECT * FROM hidden), hidden AS (SELECT 1 AS id) SELECT * FROM a",
+        "SELECT * FROM missing", "SELECT * FROM guarded, missing", "SELECT * FROM csv.`/etc/passwd`", "SELECT * FROM main.guarded", "SELECT nosuch FROM guarded", "SELECT FROM WHERE", "SELECT id FROM guarded WHERE id IN (SELECT id FROM missing)",
     ],
-    "schema": ["SELECT * FROM missing", "SELECT * FROM guarded, missing", "SELECT * FROM csv.`/etc/passwd`", "SELECT * FROM main.guarded", "SELECT nosuch FROM guarded", "SELECT FROM WHERE", "SELECT id FROM guarded WHERE id IN (SELECT id FROM missing)"],
 }
 
 

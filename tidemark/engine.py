@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.chart import chart_spec
-from tidemark.operators.execute import MAX_ROWS, execute
+from tidemark.operators.execute import MAX_ROWS, execute, json_value
 from tidemark.operators.insight import insight
-from tidemark.operators.retrieval import Index, enriched, retrieved
+from tidemark.operators.retrieval import Index, retrieved
 from tidemark.operators.schema_docs import schema_documents
 from tidemark.plans.compiler import shape, to_dataframe, to_sql
 from tidemark.plans.guard import ValidationError, Verdict, cleaned, validate
@@ -70,6 +70,8 @@ class Engine:
         now = self.catalog.fingerprint()
         if self._index is None or self._index.fingerprint != now:
             path = f"{self.base_dir}/index"
+            if self._index is not None:
+                self._index.drop()
             found = Index.load(self.spark, path, now)
             if found is None:
                 found = Index.build(schema_documents(self.catalog), now)
@@ -120,7 +122,7 @@ class Engine:
                 raise ValueError(f"a question has {QUESTION_LENGTH[0]} to {QUESTION_LENGTH[1]} characters")
             plan = self._plan(question)
             log.add("planner", "completed", plan.intent)
-            hits = self.index().search(enriched(question, plan.metrics, plan.grouping, plan.filters), RETRIEVED).collect()
+            hits = self.index().search(plan.search_text(), RETRIEVED).collect()
             found = retrieved(hits)
             log.add("retrieval", "completed", ", ".join(found["retrieved_tables"]))
             verdict, ready = self._generated(plan, found["schema_context"], as_of, log)
@@ -131,7 +133,7 @@ class Engine:
                 log.add("execution", "failed", result.error or "")
                 return done(error=result.error)
             log.add("execution", "completed", f"{result.row_count} rows")
-            envelope["result"] = {"columns": result.columns, "rows": result.rows, "row_count": result.row_count}
+            envelope["result"] = {"columns": result.columns, "rows": [{c: json_value(v) for c, v in row.items()} for row in result.rows], "row_count": result.row_count}
             bounded = self.spark.createDataFrame([tuple(r.values()) for r in result.rows], df.toDF(*result.columns).schema)
             spec = chart_spec(bounded, plan.intent)
             value = spec["values"][-1] if spec else None
@@ -139,7 +141,7 @@ class Engine:
             log.add("insight", "completed")
             envelope["metadata"] = {"execution_time_ms": result.execution_time_ms, "tables_used": verdict.tables, "plan": plan.as_dict(), "validation_warnings": verdict.warnings, "chart": spec, "truncated": result.truncated}
             return done(success=True)
-        except (ValidationError, ValueError) as error:
+        except Exception as error:  # whatever fails is told in the envelope
             log.add("pipeline", "failed", str(error))
             return done(error=str(error))
 

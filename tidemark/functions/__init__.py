@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import re
+from fractions import Fraction
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -25,10 +29,23 @@ def cell(value: Column, kind: str) -> Column:
     return F.coalesce(text, F.lit("-"))
 
 
+def _tenth(k: int) -> float:
+    """The least double that is nearer to (k + 1) / 10 than to k / 10, or as near."""
+    middle = Fraction(2 * k + 1, 20)
+    return float(middle) if Fraction(float(middle)) >= middle else math.nextafter(float(middle), math.inf)
+
+
+def one_digit(value: Column) -> Column:
+    """A number from 0 on with one digit behind the point: the digit nearest to the double itself, the larger of two equally near."""
+    whole = F.floor(value)
+    tenths = whole * 10 + reduce(add, ((value - whole >= _tenth(k)).cast("long") for k in range(10)))
+    return F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"))
+
+
 def axis_number(value: Column) -> Column:
     """Millions and thousands of an axis with one digit and a letter."""
     v = value.cast("double")
-    short = lambda by, unit: F.concat(F.format_string("%.1f", v / by), F.lit(unit))
+    short = lambda by, unit: F.concat(one_digit(v / by), F.lit(unit))
     plain = F.when(v == F.floor(v), F.floor(v).cast("string")).otherwise(v.cast("string"))
     return F.when(v >= 1e6, short(1e6, "M")).when(v >= 1e3, short(1e3, "K")).otherwise(plain)
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import math
 import time
 from dataclasses import dataclass, field
+from decimal import Decimal
 from typing import Any
 
 from pyspark.errors import PySparkException
@@ -42,6 +45,23 @@ def execute(df: DataFrame, cap: int = MAX_ROWS) -> Result:
     return Result(True, found.columns, rows[:cap], len(rows[:cap]), len(rows) > cap, elapsed())
 
 
+def json_value(value: Any) -> Any:
+    """A value as JSON has it: whole decimals as integers, others as floats, dates and times as ISO texts, bytes as hex."""
+    if isinstance(value, Decimal):
+        return int(value) if value == value.to_integral_value() else float(value)
+    if isinstance(value, (dt.date, dt.time)):
+        return value.isoformat()
+    if isinstance(value, dt.timedelta):
+        return value.total_seconds()
+    if isinstance(value, (bytes, bytearray)):
+        return value.hex()
+    if isinstance(value, float) and not math.isfinite(value):
+        return None
+    if isinstance(value, dict):
+        return {str(k): json_value(v) for k, v in value.items()}
+    return [json_value(v) for v in value] if isinstance(value, (list, tuple)) else value
+
+
 def as_text(result: Result, rows: int = 20) -> str:
     """Rows as lines of text, with a note of those left out."""
     lines = [f"Row {k}: " + " | ".join(f"{c}: {v}" for c, v in row.items()) for k, row in enumerate(result.rows[:rows], 1)]

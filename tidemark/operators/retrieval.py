@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import add
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,8 +28,14 @@ def lexical_embedding(text: Column, dimensions: int = DIMENSIONS) -> Column:
     return normalized(F.transform(counts, lambda c: F.sqrt(c)))
 
 
-def inner_product(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+def inner_product(a: Column, b: Column, dimensions: int | None = None) -> Column:
+    """The inner product of two arrays. Where their length is given it is written out, which Spark compiles."""
+    if dimensions is None:
+        return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    products = [a[k].cast("double") * b[k].cast("double") for k in range(dimensions)]
+    while len(products) > 1:  # as a balanced tree
+        products = [reduce(add, products[k : k + 2]) for k in range(0, len(products), 2)]
+    return products[0]
 
 
 def top_k(table: DataFrame, vector: str, query: Sequence[float], k: int, tie: str) -> DataFrame:
@@ -48,21 +57,23 @@ class Index:
             raise ValueError("there are no documents to index")
         return index
 
-    def save(self, path: str) -> None:
-        self.table.withColumn("fingerprint", F.lit(self.fingerprint)).write.mode("overwrite").parquet(path)
+    def save(self, folder: str) -> None:
+        """Keep the index in a folder of its own, so that what reads an older one isn't disturbed."""
+        self.table.write.mode("overwrite").parquet(f"{folder}/{self.fingerprint}")
+
+    def drop(self) -> None:
+        self.table.unpersist()
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str, fingerprint: str, embed: Embedder = lexical_embedding) -> Index | None:
-        """The index kept at path, or None if there is none or it describes other tables."""
+    def load(cls, spark: SparkSession, folder: str, fingerprint: str, embed: Embedder = lexical_embedding) -> Index | None:
+        """The index kept for these tables, or None if there is none."""
         try:
-            kept = spark.read.parquet(path)
-        except Exception as error:
+            kept = spark.read.parquet(f"{folder}/{fingerprint}")
+        except AnalysisException as error:
             if "PATH_NOT_FOUND" in str(error):
                 return None
             raise
-        if kept.isEmpty() or not kept.filter(F.col("fingerprint") != fingerprint).isEmpty():
-            return None
-        return cls(kept.drop("fingerprint"), fingerprint, embed)
+        return None if kept.isEmpty() else cls(kept, fingerprint, embed)
 
     def vector(self, text: str) -> list[float]:
         return list(self.table.sparkSession.range(1).select(self.embed(F.lit(text)).alias("v")).first().v)
@@ -72,17 +83,6 @@ class Index:
         return top_k(self.table, "embedding", self.vector(text), k, "table_name").select("table_name", "document", "score")
 
 
-def enriched(question: str, metrics: Sequence[str], grouping: str | None, filters: dict[str, str | None]) -> str:
-    """The text that is searched for: the question and what the plan knows of it."""
-    parts = [question]
-    if metrics:
-        parts.append("Metrics: " + ", ".join(metrics))
-    if grouping:
-        parts.append(f"Group by: {grouping}")
-    parts += [f"Filter {k}: {v}" for k, v in filters.items() if v and v != "null"]
-    return " | ".join(parts)
-
-
 def retrieved(hits: Sequence) -> dict:
     """Tables (each once, best first), their scores and the joined documents of search results."""
     best: dict[str, tuple[float, str]] = {}

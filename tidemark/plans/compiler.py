@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from tidemark.plans.planner import QueryPlan, time_range
 from tidemark.plans.semantics import Join, Semantics
 
-#: The type in which sums of money are exact.
-MONEY = "decimal(38,2)"
+#: The type in which amounts of money are exact; their sums have ten digits more.
+MONEY = "decimal(18,2)"
 
 
 @dataclass(frozen=True)
@@ -29,12 +29,13 @@ class Shape:
     count: bool
     order: tuple[tuple[str, bool], ...]  # (output column, descending)
     limit: int | None
+    aggregate: str = "sum"
 
 
 def shape(plan: QueryPlan, semantics: Semantics, as_of: dt.date) -> Shape:
     metric = semantics.metric(plan.metrics[0]) if plan.metrics else None
     if metric is None and plan.entity is None:
-        metric = semantics.metric("revenue")
+        raise ValueError("the plan has neither a measure nor a table")
     table = metric.table if metric else plan.entity
     needed: list[str] = []
     where: list[tuple[str, str, str, str]] = []
@@ -44,10 +45,14 @@ def shape(plan: QueryPlan, semantics: Semantics, as_of: dt.date) -> Shape:
         start, end = time_range(used["time_range"], as_of)
         needed.append(date_table)
         where += [(date_table, date_column, ">=", start.isoformat()), (date_table, date_column, "<", end.isoformat())]
-    if "location" in used and table in semantics.places:
+    if "location" in used:
+        if table not in semantics.places:
+            raise ValueError(f"not understood: {table} has no place")
         needed.append(semantics.places[table][0])
         where.append((*semantics.places[table], "=", used["location"].lower()))
-    if "category" in used and semantics.categories and metric:
+    if "category" in used:
+        if semantics.categories is None:
+            raise ValueError(f"not understood: the category {used['category']}")
         needed.append(semantics.categories[0])
         where.append((*semantics.categories, "=", used["category"].lower()))
     group: tuple[tuple[str, str, str], ...] = ()
@@ -56,19 +61,39 @@ def shape(plan: QueryPlan, semantics: Semantics, as_of: dt.date) -> Shape:
         d = semantics.dimension(plan.grouping)
         needed.append(d.table)
         group = ((d.table, d.column, d.name), *(((d.table, d.key, f"{d.name}_key"),) if d.key else ()))
-        order = ((metric.name, True), *((name, False) for _, _, name in group))
+        order = ((metric.name, not plan.ascending), *((name, False) for _, _, name in group))
     if plan.grouping == "month":
         needed.append(date_table)
         order = (("month", False),)
     where_month = semantics.date if plan.grouping == "month" else None
     joins = tuple(semantics.path(table, [t for t in needed if t != table]))
-    return Shape(table, joins, tuple(where), group, where_month, (metric.table, metric.column, metric.name) if metric else None, plan.intent == "count", order, plan.limit)
+    return Shape(table, joins, tuple(where), group, where_month, (metric.table, metric.column, metric.name) if metric else None, plan.intent == "count", order, plan.limit, plan.aggregate)
 
 
 def to_dataframe(s: Shape, table: Callable[[str], DataFrame]) -> DataFrame:
     """The plan in DataFrame operations; table: gives a table by its name. Join sides are left to the optimizer."""
     frames = {name: table(name).alias(name) for name in [s.table, *(j.to_table for j in s.joins)]}
     col = lambda t, c: F.col(f"{t}.{c}")
+    df = _joined(s, frames)
+    if s.count:
+        return df.agg(F.count(F.lit(1)).alias("count"))
+    if s.metric is None:
+        df = df.select(f"{s.table}.*")
+        return df if s.limit is None else df.limit(s.limit)
+    t, c, name = s.metric
+    if s.aggregate == "sum" and s.joins and all(j.column == s.joins[0].column for j in s.joins if j.table == s.table) and t == s.table and not any(x[0] == s.table for x in (*s.where, *s.group, *([s.month] if s.month else []))):
+        # All joins hang on one key: the facts are summed by it before they meet the other tables.
+        key = s.joins[0].column
+        summed = table(s.table).groupBy(key).agg(F.sum(F.col(c).cast(MONEY)).alias(c)).alias(s.table)
+        return _grouped(_joined(s, {**frames, s.table: summed}), s, F.sum(col(t, c)).cast("double").alias(name))
+    amount = col(t, c).cast(MONEY)
+    total = {"sum": F.sum(amount).cast("double"), "avg": F.sum(amount).cast("double") / F.count(amount), "max": F.max(amount).cast("double"), "min": F.min(amount).cast("double")}[s.aggregate].alias(name)
+    return _grouped(df, s, total)
+
+
+def _joined(s: Shape, frames: dict[str, DataFrame]) -> DataFrame:
+    """The tables joined and filtered."""
+    col = lambda t, c: F.col(f"{t}.{c}")
     df = frames[s.table]
     for j in s.joins:
         df = df.join(frames[j.to_table], col(j.table, j.column) == col(j.to_table, j.to_column))
@@ -78,15 +103,13 @@ def to_dataframe(s: Shape, table: Callable[[str], DataFrame]) -> DataFrame:
         else:
             day = F.lit(literal).cast("date")
             df = df.filter(col(t, c) >= day if operator == ">=" else col(t, c) < day)
-    if s.count:
-        return df.agg(F.count(F.lit(1)).alias("count"))
-    if s.metric is None:
-        return df if s.limit is None else df.limit(s.limit)
-    t, c, name = s.metric
-    total = F.sum(col(t, c).cast(MONEY)).cast("double").alias(name)
-    keys: list[Column] = [col(gt, gc).alias(gn) for gt, gc, gn in s.group]
+    return df
+
+
+def _grouped(df: DataFrame, s: Shape, total: Column) -> DataFrame:
+    keys: list[Column] = [F.col(f"{gt}.{gc}").alias(gn) for gt, gc, gn in s.group]
     if s.month:
-        keys.append(F.date_format(col(*s.month), "yyyy-MM").alias("month"))
+        keys.append(F.date_format(F.col(".".join(s.month)), "yyyy-MM").alias("month"))
     out = df.groupBy(*keys).agg(total) if keys else df.agg(total)
     if s.order:
         out = out.orderBy(*(F.col(n).desc() if down else F.col(n).asc() for n, down in s.order))
@@ -110,7 +133,8 @@ def to_sql(s: Shape) -> str:
     if s.month:
         keys.append((f"date_format({name(*s.month)}, 'yyyy-MM')", "month"))
     t, c, metric = s.metric
-    total = f"CAST(sum(CAST({name(t, c)} AS {MONEY})) AS DOUBLE) AS `{metric}`"
+    amount = f"CAST({name(t, c)} AS {MONEY})"
+    total = {"avg": f"CAST(sum({amount}) AS DOUBLE) / count({amount})"}.get(s.aggregate, f"CAST({s.aggregate}({amount}) AS DOUBLE)") + f" AS `{metric}`"
     head = "SELECT " + ", ".join([*(f"{e} AS `{n}`" for e, n in keys), total])
     if keys:
         lines.append("GROUP BY " + ", ".join(e for e, _ in keys))

@@ -22,13 +22,18 @@ WITH_NODES = frozenset({"UnresolvedWith"})
 #: Functions that a query may call.
 FUNCTIONS = frozenset(
     "abs add_months any_value array_join avg bool_and bool_or cardinality cast ceil ceiling char_length coalesce collect_list collect_set concat concat_ws contains corr count count_if "
-    "cume_dist current_date date date_add date_diff date_format date_part date_sub date_trunc datediff day dayofmonth dayofweek dayofyear dense_rank div endswith equal_null every exp "
+    "cume_dist current_date date date_add date_diff date_format date_part date_sub date_trunc datediff day dayofmonth dayofweek dayofyear dense_rank div endswith equal_null every exp format_string hex printf "
     "extract first first_value floor format_number from_json get_json_object greatest grouping grouping_id hour if ifnull initcap instr isnotnull isnull json_array_length lag last last_day last_value "
     "lcase lead least left len length like listagg ln log log10 lower lpad ltrim make_date max max_by mean median min min_by minute mod month months_between nth_value ntile nullif nvl nvl2 percent_rank "
     "percentile percentile_approx position pow power quarter rank regexp_extract regexp_replace repeat replace reverse right round row_number rpad rtrim second sign some split sqrt startswith std stddev stddev_pop stddev_samp "
     "string_agg substr substring substring_index sum timestamp to_date to_timestamp translate trim trunc try_add try_avg try_cast try_divide try_subtract try_sum try_to_date typeof ucase unix_timestamp upper var_pop var_samp variance weekofyear when window year".split()
 )
 
+#: Functions that make a text of the length in their second argument, and those that do as their first argument's widths say.
+LENGTHS = frozenset({"repeat", "lpad", "rpad"})
+FORMATS = frozenset({"format_string", "printf"})
+MOST_LENGTH = 10_000
+
 
 class ValidationError(Exception):
     """violation_type: security (never retried) or schema (worth another try)."""
@@ -62,42 +67,76 @@ def _expressions(node) -> Iterator:
         stack += list(_seq(e.children()))
 
 
-def _nodes(plan) -> Iterator:
-    """All plan nodes, with those of common table expressions and subqueries."""
-    stack = [plan]
-    while stack:
-        node = stack.pop()
-        yield node
-        stack += list(_seq(node.children()))
-        if node.nodeName() == "UnresolvedWith":
-            stack += [pair._2() for pair in _seq(node.cteRelations())]
-        for e in _expressions(node):
-            if e.getClass().getSimpleName() in ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery", "FunctionTableSubqueryArgumentExpression"):
-                stack.append(e.plan())
+_SUBQUERIES = frozenset({"ScalarSubquery", "Exists", "ListQuery", "LateralSubquery", "FunctionTableSubqueryArgumentExpression"})
+
 
+def _scoped(plan) -> Iterator[tuple]:
+    """All plan nodes, with those of common table expressions and subqueries, each with the names of the expressions in its scope.
 
-def _check_plan(plan, allowed: frozenset[str]) -> tuple[list[str], set[str]]:
+    A name counts behind its own definition, within its own WITH; in a recursive WITH within the definition too.
+    """
+    stack = [(plan, frozenset())]
+    while stack:
+        node, scope = stack.pop()
+        yield node, scope
+        stack += [(e.plan(), scope) for e in _expressions(node) if e.getClass().getSimpleName() in _SUBQUERIES]
+        if node.nodeName() == "UnresolvedWith":
+            for pair in _seq(node.cteRelations()):
+                defined = scope | {pair._1().lower()}
+                stack.append((pair._2(), defined if node.allowRecursion() else scope))
+                scope = defined
+        stack += [(child, scope) for child in _seq(node.children())]
+
+
+def _check_size(function: str, call) -> None:
+    """Functions that make texts of any length only make short ones: their counts and formats must be literals within bounds."""
+    arguments = list(_seq(call.arguments()))
+    if function in LENGTHS:
+        count = arguments[1] if len(arguments) > 1 else None
+        if count is None or count.getClass().getSimpleName() != "Literal" or not re.fullmatch(r"\d{1,5}", str(count.value())) or int(str(count.value())) > MOST_LENGTH:
+            raise ValidationError("security", f"{function} needs a literal length of at most {MOST_LENGTH}")
+    if function in FORMATS:
+        pattern = arguments[0] if arguments else None
+        if pattern is None or pattern.getClass().getSimpleName() != "Literal" or re.search(r"\d{4}", str(pattern.value())):
+            raise ValidationError("security", f"{function} needs a literal format with widths below 1000")
+
+
+def _check_plan(plan, allowed: frozenset[str]) -> list[str]:
+    """The tables that a plan reads; raises ValidationError for what isn't allowed."""
     relations: list[str] = []
-    local: set[str] = set()
-    for node in _nodes(plan):
+    for node, scope in _scoped(plan):
         name = node.nodeName()
         if name not in allowed:
             raise ValidationError("security", f"{name} isn't allowed in a query")
-        if name == "UnresolvedWith":
-            local |= {pair._1().lower() for pair in _seq(node.cteRelations())}
         if name == "UnresolvedRelation":
             parts = list(_seq(node.multipartIdentifier()))
             if len(parts) != 1:
                 raise ValidationError("schema", f"unknown table {'.'.join(parts)}")
-            relations.append(parts[0])
+            if parts[0].lower() not in scope:
+                relations.append(parts[0])
         for e in _expressions(node):
-            if e.getClass().getSimpleName() == "UnresolvedFunction":
+            kind = e.getClass().getSimpleName()
+            if kind == "UnresolvedFunction":
                 function = ".".join(_seq(e.nameParts())).lower()
                 if function not in FUNCTIONS:
                     raise ValidationError("security", f"the function {function} isn't allowed")
-            if e.getClass().getSimpleName() in ("ExpressionWithUnresolvedIdentifier", "UnresolvedGenerator"):
+                _check_size(function, e)
+            if kind in ("ExpressionWithUnresolvedIdentifier", "UnresolvedGenerator"):
                 raise ValidationError("security", "identifiers and rows can't be generated")
-    return relations, local
+    return relations
+
+
+def _views(analysed) -> set[str]:
+    """The names of the views that an analysed plan reads, without those that these read themselves."""
+    found, stack = set(), [analysed]
+    while stack:
+        node = stack.pop()
+        if node.nodeName() == "View":
+            found.add(node.desc().identifier().table().lower())
+            continue
+        stack += list(_seq(node.children()))
+        stack += [e.plan() for e in _expressions(node) if e.getClass().getSimpleName() in _SUBQUERIES]
+    return found
 
 
 def validate(spark: SparkSession, sql: str, tables: Iterable[str], strict: bool = False) -> Verdict:
@@ -110,18 +149,19 @@ def validate(spark: SparkSession, sql: str, tables: Iterable[str], strict: bool
     except ParseException as error:
         kind = "security" if ";" in text else "schema"
         raise ValidationError(kind, f"the statement can't be parsed: {str(error).splitlines()[0]}") from error
-    relations, local = _check_plan(plan, NODES if strict else NODES | WITH_NODES)
+    relations = _check_plan(plan, NODES if strict else NODES | WITH_NODES)
     known = {t.lower() for t in tables}
     for name in relations:
-        if name.lower() not in known | local:
+        if name.lower() not in known:
             raise ValidationError("schema", f"unknown table {name}; known: {', '.join(sorted(known))}")
     try:
-        spark.sql(text)  # analysed only, nothing runs
+        analysed = spark.sql(text)._jdf.queryExecution().analyzed()  # nothing runs
     except AnalysisException as error:
         hint = (error.getMessageParameters() or {}).get("proposal")
         raise ValidationError("schema", str(error).splitlines()[0] + (f" Did you mean {hint}?" if hint else "")) from error
-    used = sorted({r.lower() for r in relations} - local)
-    return Verdict(True, True, True, text, used)
+    if unlisted := _views(analysed) - known:
+        raise ValidationError("schema", f"unknown table {', '.join(sorted(unlisted))}; known: {', '.join(sorted(known))}")
+    return Verdict(True, True, True, text, sorted({r.lower() for r in relations}))
 
 
 def cleaned(answer: str) -> str:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import json
 import re
+from collections.abc import Iterable
 from dataclasses import asdict, dataclass, field
 from typing import Any, Protocol
 
@@ -28,6 +29,9 @@ class QueryPlan:
     #: Our own additions: the table of a list or count, and how many rows of a ranking are wanted.
     entity: str | None = None
     limit: int | None = None
+    #: sum, avg, max or min of the metric; whether a ranking begins with the least.
+    aggregate: str = "sum"
+    ascending: bool = False
 
     def used_filters(self) -> dict[str, str]:
         return {k: v for k, v in self.filters.items() if v and v != "null"}
@@ -35,17 +39,19 @@ class QueryPlan:
     def as_dict(self) -> dict[str, Any]:
         return {k: list(v) if isinstance(v, tuple) else v for k, v in asdict(self).items() if k != "parse_error" or v}
 
+    def known(self) -> dict[str, str]:
+        """What the plan says, by label."""
+        said = {"Intent": self.intent, "Metrics": ", ".join(self.metrics), **{f"Filter ({k})": v for k, v in self.used_filters().items()}, "Grouping": self.grouping, "Steps": "; ".join(self.steps)}
+        return {label: value for label, value in said.items() if value}
+
     def as_text(self) -> str:
         """The plan in lines, for a model that writes SQL."""
-        lines = [f"Intent: {self.intent}"]
-        if self.metrics:
-            lines.append(f"Metrics: {', '.join(self.metrics)}")
-        lines += [f"Filter ({k}): {v}" for k, v in self.used_filters().items()]
-        if self.grouping:
-            lines.append(f"Grouping: {self.grouping}")
-        if self.steps:
-            lines.append("Steps: " + "; ".join(self.steps))
-        return "\n".join(lines)
+        return "\n".join(map(": ".join, self.known().items()))
+
+    def search_text(self) -> str:
+        """The text that tables are searched by: the question and what the plan knows of its terms."""
+        terms = {label: value for label, value in self.known().items() if label not in ("Intent", "Steps")}
+        return " | ".join([self.original_query, *map(": ".join, terms.items())])
 
 
 class TextModel(Protocol):
@@ -95,46 +101,84 @@ def parsed(question: str, answer: str) -> QueryPlan:
     )
 
 
-_TIMES = (r"last month", r"this month", r"last year", r"this year", r"(?:last|past) \d+ (?:days|months|years)")
+#: Names of months, as questions have them.
+MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+_MONTH = rf"(?:{'|'.join(MONTHS)})(?: (?:19|20)\d\d)?"
+_TIMES = (r"last month", r"this month", r"last year", r"this year", r"(?:last|past) \d+ (?:days|months|years)", rf"(?<=in ){_MONTH}", rf"(?<=for ){_MONTH}")
+_AGGREGATES = {"average": "avg", "mean": "avg", "highest": "max", "maximum": "max", "lowest": "min", "minimum": "min"}
+#: Words that say nothing of their own in a question.
+_PLAIN = frozenset(
+    "a all an are by category compare did do does each every find for from get give have how in is list many me much my number of our per please product show total the their there to us was we were what which who with".split()
+)
+
+
+class _Words:
+    """A question of which the parts that are understood are taken out one by one."""
+
+    def __init__(self, question: str):
+        self.text = f" {re.sub(r'[^\w\s-]', ' ', question.lower())} "
+
+    def take(self, *patterns: str) -> str | None:
+        """The first match of the first pattern that has one; all its matches go."""
+        for pattern in patterns:
+            if found := re.search(rf"(?<![\w-])(?:{pattern})(?![\w-])", self.text):
+                self.text = re.sub(rf"(?<![\w-]){re.escape(found.group())}(?![\w-])", " ", self.text)
+                return found.group()
+        return None
+
+    def take_any(self, words: Iterable[str]) -> bool:
+        return any([self.take(re.escape(w)) for w in sorted(words, key=len, reverse=True)])
+
+    def left(self) -> list[str]:
+        return [w for w in self.text.split() if w not in _PLAIN]
 
 
 def planned(question: str, semantics: Semantics) -> QueryPlan:
-    """A plan by rules; the same question always gives the same plan."""
-    text = re.sub(r"[^\w\s'-]", " ", question.lower())
-    has = lambda word: re.search(rf"\b{re.escape(word)}\b", text) is not None
-    metric = next((m.name for m in semantics.metrics if any(map(has, m.words))), None)
-
-    time = next((m.group() for p in _TIMES if (m := re.search(rf"\b{p}\b", text))), None)
-    if time is None and (year := re.search(r"\b(?:for|in|during|of)\s+((?:19|20)\d\d)\b", text)):
-        time = year.group(1)
-    place = re.search(r"\b(?:from|in)\s+([A-Z][\w'-]*(?:\s+[A-Z][\w'-]*)*)", question)
+    """A plan by rules; the same question always gives the same plan. Raises ValueError with what isn't understood."""
+    words = _Words(question)
+    month = rf"(?i:{'|'.join(MONTHS)})\b"
+    place = re.search(rf"\b(?:from|in)\s+(?!{month})([A-Z][\w'-]*(?:\s+[A-Z][\w'-]*)*)", question)
     category = re.search(r"\b(?:category|in the)\s+([A-Z][\w'-]*)", question)
-
-    grouped = next((d.name for d in semantics.dimensions if any(re.search(rf"\b(?:by|per)\s+{re.escape(w)}\b", text) for w in d.words)), None)
-    top = re.search(r"\b(?:top|bottom)\s+(\d+)\b", text)
-    ranked = bool(top) or has("best selling") or has("most sold")
+    for found in (place, category):
+        if found:
+            words.take(re.escape(re.sub(r"[^\w\s-]", " ", found.group(1).lower())))
+
+    time = words.take(*_TIMES) or (year[-4:] if (year := words.take(r"(?:for|in|during|of) (?:19|20)\d\d")) else None)
+    top = words.take(r"top \d+", r"bottom \d+")
+    trend = words.take_any(("over time", "by month", "per month", "trend", "monthly"))
+    aggregate = next((how for word, how in _AGGREGATES.items() if words.take(word)), "sum")
+    ranked = bool(top) or bool(re.search(r"\b(best selling|most sold)\b", words.text))
+    metric = next((m.name for m in semantics.metrics if words.take_any(m.words)), None)
+    grouped = next((d.name for d in semantics.dimensions if words.take(*(rf"(?:by|per) {re.escape(w)}" for w in d.words))), None)
     if ranked and grouped is None:
-        grouped = next((d.name for d in semantics.dimensions if any(map(has, d.words))), None)
-    trend = any(map(has, ("trend", "monthly", "over time", "by month", "per month")))
-    entity = next((table for word, table in semantics.entities.items() if has(word)), None)
+        grouped = next((d.name for d in semantics.dimensions if words.take_any(d.words)), None)
+    compared = bool(words.take("versus", "compare"))
+    counted = bool(words.take("how many", "number of"))
+    entity = None
+    if counted or metric is None:
+        entity = next((table for word, table in semantics.entities.items() if words.take(re.escape(word))), None)
+    if left := words.left():
+        raise ValueError(f"not understood: {', '.join(left)}")
+    if counted and entity is None:
+        raise ValueError("not understood: of what to count")
+    if metric is None and (entity is None or ranked or trend or grouped):
+        raise ValueError(f"not understood: no measure; known: {', '.join(m.name for m in semantics.metrics)}")
 
     if trend:
         intent, grouped = "trend", "month"
-    elif has("how many") or has("number of"):
+    elif counted:
         intent = "count"
-    elif metric is None and entity is not None:
+    elif metric is None:
         intent = "detail"
-    elif ranked or has("compare") or has("versus"):
-        intent = "comparison"
     else:
-        intent = "aggregation"
-    metrics = () if intent in ("detail", "count") else (metric or "revenue",)
+        intent = "comparison" if ranked or compared else "aggregation"
+    metrics = () if intent in ("detail", "count") else (metric,)
     filters = dict.fromkeys(FILTERS) | {"time_range": time, "location": place.group(1) if place else None, "category": category.group(1) if category else None}
     steps = [f"filter by {k}: {v}" for k, v in filters.items() if v]
-    steps += [f"aggregate {m}" for m in metrics] + ([f"group by {grouped}"] if grouped else []) + (["rank"] if ranked else [])
+    steps += [f"{aggregate} of {m}" for m in metrics] + ([f"group by {grouped}"] if grouped else []) + (["rank"] if ranked else [])
     return QueryPlan(
         question, intent, metrics, filters, grouped if intent not in ("detail", "count") else None, intent != "detail", ranked or intent == "comparison", tuple(steps),
-        entity=entity if intent in ("detail", "count") else None, limit=int(top.group(1)) if top else None,
+        entity=entity if intent in ("detail", "count") else None, limit=int(top.split()[1]) if top else None, aggregate=aggregate, ascending=bool(top) and top.startswith("bottom"),
     )
 
 
@@ -151,6 +195,11 @@ def time_range(text: str, as_of: dt.date) -> tuple[dt.date, dt.date]:
         return dt.date(as_of.year - 1, 1, 1), dt.date(as_of.year, 1, 1)
     if re.fullmatch(r"\d{4}", text):
         return dt.date(int(text), 1, 1), dt.date(int(text) + 1, 1, 1)
+    if (words := text.split())[0] in MONTHS:
+        number = MONTHS.index(words[0]) + 1
+        year = int(words[1]) if len(words) > 1 else as_of.year - (number > as_of.month)  # the last one that has begun
+        start = dt.date(year, number, 1)
+        return start, _months_before(start, -1)
     if found := re.fullmatch(r"(?:last|past) (\d+) (days|months|years)", text):
         n, unit = int(found[1]), found[2]
         if unit == "days":

@@ -12,10 +12,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.engine import timeline
 from tidemark.functions import axis_number, cell, chart_value, highlights
+from tidemark.operators.chart import chart_series, chart_spec
 from tidemark.operators.execute import capped
 from tidemark.operators.insight import facts
-from tidemark.operators.retrieval import top_k
+from tidemark.operators.retrieval import Index, inner_product
 from tidemark.operators.schema_docs import schema_documents
 from tidemark.plans.compiler import shape, to_dataframe
 from tidemark.plans.guard import validate
@@ -23,6 +25,8 @@ from tidemark.plans.planner import planned
 from tidemark.plans.semantics import TPCH
 from tidemark.sources.catalog import Catalog, Keys
 
+#: Components of the table's embeddings.
+DIMENSIONS = 64
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "embeddings")
 #: The day that relative time ranges refer to.
 AS_OF = dt.date(2001, 8, 1)
@@ -273,7 +277,15 @@ def grouping_sets(t):
 
 @query("SELECT event_type, quantile_cont(value, 0.5) AS median FROM events GROUP BY event_type")
 def percentile(t):
-    return t.events.groupBy("event_type").agg(F.percentile("value", 0.5).alias("median"))
+    """The median from the counts of distinct values, summed up in order: no group is held in memory."""
+    counted = t.events.filter("value is not null").groupBy("event_type", "value").agg(rows().alias("n"))
+    w = Window.partitionBy("event_type")
+    upto = counted.select("event_type", "value", "n", F.sum("n").over(w.orderBy("value")).alias("upto"))
+    whole = counted.groupBy("event_type").agg(F.sum("n").alias("whole"))
+    lower, upper = F.floor((F.col("whole") + 1) / 2), F.floor((F.col("whole") + 2) / 2)
+    holds = lambda place: (F.col("upto") >= place) & (F.col("upto") - F.col("n") < place)
+    middle = upto.join(whole, "event_type").filter(holds(lower) | holds(upper))
+    return middle.groupBy("event_type").agg(((F.min("value") + F.max("value")) / 2).alias("median"))
 
 
 @query("SELECT time_bucket(INTERVAL 1 day, ts) AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
@@ -330,8 +342,8 @@ def moving_avg(t):
 @query("SELECT p_type, revenue, revenue / CAST(sum(CAST(revenue AS DECIMAL(38,2))) OVER () AS DOUBLE) AS share FROM (SELECT p_type, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS revenue FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_type)")
 def share_of_total(t):
     by_type = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).groupBy("p_type").agg(total("l_extendedprice").alias("revenue"))
-    everything = by_type.agg(F.sum(F.col("revenue").cast("decimal(38,2)")).cast("double").alias("everything"))
-    return by_type.crossJoin(F.broadcast(everything)).select("p_type", "revenue", (F.col("revenue") / F.col("everything")).alias("share"))
+    everything = F.sum(F.col("revenue").cast("decimal(38,2)")).over(Window.partitionBy()).cast("double")  # over one row for each type
+    return by_type.select("p_type", "revenue", (F.col("revenue") / everything).alias("share"))
 
 
 # Order, limits, sets
@@ -413,14 +425,29 @@ def tpch_catalog(t: Tables) -> Catalog:
     return catalog
 
 
-@query()
+_KINDS = "CASE data_type WHEN 'INTEGER' THEN 'int' WHEN 'BIGINT' THEN 'bigint' WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'double' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'FLOAT[]' THEN 'array<float>' ELSE lower(data_type) END"
+_PRIMARY = "('region.r_regionkey', 'nation.n_nationkey', 'customer.c_custkey', 'supplier.s_suppkey', 'part.p_partkey', 'orders.o_orderkey')"
+_FOREIGN = "(VALUES ('n_regionkey', 'region', 'r_regionkey'), ('o_custkey', 'customer', 'c_custkey'), ('l_orderkey', 'orders', 'o_orderkey'), ('l_partkey', 'part', 'p_partkey'), ('l_suppkey', 'supplier', 's_suppkey')) f(c, t, k)"
+
+
+@query(
+    f"SELECT table_name AS \"table\", CAST(ordinal_position - 1 AS INT) AS ordinal, column_name AS \"column\", {_KINDS} AS type, table_name || '.' || column_name IN {_PRIMARY} AS pk, table_name || '.' || column_name NOT IN {_PRIMARY} AS nullable, "
+    f"CAST(NULL AS VARCHAR) AS \"default\", f.t AS fk_table, f.k AS fk_column FROM information_schema.columns LEFT JOIN {_FOREIGN} ON f.c = column_name WHERE table_name IN {TABLES}"
+)
 def catalog_columns(t):
     return tpch_catalog(t).columns()
 
 
-@query()
+@query(
+    "SELECT 'nation' AS \"table\", 'n_nationkey=' || n_nationkey || ', n_name=' || n_name || ', n_regionkey=' || n_regionkey AS text FROM nation WHERE n_nationkey < 3 "
+    "UNION ALL SELECT 'region', 'r_regionkey=' || r_regionkey || ', r_name=' || r_name FROM region WHERE r_regionkey < 3"
+)
 def table_samples(t):
-    return tpch_catalog(t).samples()
+    """Of tables in the order of their keys; the sample of an unordered table is any of its rows."""
+    catalog = Catalog(t.spark)
+    for name, key in (("region", "r_regionkey"), ("nation", "n_nationkey")):
+        catalog.register(name, getattr(t, name).orderBy(key))
+    return catalog.samples()
 
 
 @query()
@@ -430,8 +457,10 @@ def schema_documents_(t):
 
 @query("SELECT vec_id, label, round(list_dot_product(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)), 6) AS score FROM embeddings ORDER BY list_dot_product(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)) DESC, vec_id LIMIT 5")
 def vector_topk(t):
-    asked = t.embeddings.filter("vec_id = 0").select("embedding").first()[0]
-    return top_k(t.embeddings, "embedding", asked, 5, "vec_id").select("vec_id", "label", F.round("score", 6).alias("score"))
+    asked = t.embeddings.filter("vec_id = 0").select(F.col("embedding").alias("asked")).limit(1)
+    score = inner_product(F.col("embedding"), F.col("asked"), DIMENSIONS)
+    scored = t.embeddings.crossJoin(F.broadcast(asked)).withColumn("score", score)
+    return scored.orderBy(F.col("score").desc(), "vec_id").limit(5).select("vec_id", "label", F.round("score", 6).alias("score"))
 
 
 @query("SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_totalprice > 1000 GROUP BY o_orderstatus")
@@ -440,6 +469,69 @@ def guarded_sql(t):
     return spark.sql(validate(spark, "SELECT o_orderstatus, count(*) AS n FROM Orders WHERE o_totalprice > 1000 GROUP BY o_orderstatus;", TABLES).validated_sql)
 
 
+@query("WITH big AS (SELECT * FROM orders WHERE o_totalprice > 1000) SELECT o_orderpriority, count(*) AS n, hex(o_orderpriority) AS code FROM big GROUP BY ALL")
+def guarded_cte(t):
+    spark = t.views()
+    sql = "WITH big AS (SELECT * FROM orders WHERE o_totalprice > 1000), small AS (SELECT * FROM big) SELECT o_orderpriority, count(*) AS n, hex(o_orderpriority) AS code FROM small GROUP BY o_orderpriority"
+    return spark.sql(validate(spark, sql, TABLES).validated_sql)
+
+
+@query("WITH RECURSIVE up(n) AS (SELECT 0 UNION ALL SELECT n + 1 FROM up WHERE n < 4) SELECT n, r_name FROM up JOIN region ON r_regionkey = n")
+def recursive_cte(t):
+    spark = t.views("region")
+    sql = "WITH RECURSIVE up(n) AS (SELECT 0 UNION ALL SELECT n + 1 FROM up WHERE n < 4) SELECT n, r_name FROM up JOIN region ON r_regionkey = n"
+    return spark.sql(validate(spark, sql, ["region"]).validated_sql)
+
+
+@query("SELECT c_custkey, CAST(row_number() OVER w AS INT) AS place, CAST(sum(CAST(c_acctbal AS DECIMAL(18,2))) OVER w AS DOUBLE) AS upto FROM customer WINDOW w AS (PARTITION BY c_mktsegment ORDER BY c_custkey)")
+def named_window(t):
+    return t.views("customer").sql("SELECT c_custkey, row_number() OVER w AS place, CAST(sum(CAST(c_acctbal AS DECIMAL(18,2))) OVER w AS DOUBLE) AS upto FROM customer WINDOW w AS (PARTITION BY c_mktsegment ORDER BY c_custkey)")
+
+
+@query("SELECT DISTINCT CASE typeof(p_size) WHEN 'INTEGER' THEN 'int' END AS size, CASE typeof(p_partkey) WHEN 'BIGINT' THEN 'bigint' END AS key, CASE typeof(p_name) WHEN 'VARCHAR' THEN 'string' END AS name FROM part")
+def value_types(t):
+    return t.part.select(F.typeof("p_size").alias("size"), F.typeof("p_partkey").alias("key"), F.typeof("p_name").alias("name")).distinct()
+
+
+@query("SELECT agent, s.status, s.timestamp_ms FROM (SELECT event_type AS agent, arg_max({'status': props, 'timestamp_ms': epoch_us(ts) // 1000}, (epoch_us(ts) // 1000, event_id)) AS s FROM events GROUP BY event_type)")
+def agent_timeline(t):
+    log = t.events.select(F.col("event_type").alias("agent"), F.col("props").alias("status"), F.unix_millis(F.col("ts").cast("timestamp")).alias("timestamp_ms"), F.col("event_id").alias("seq"))
+    return timeline(log)
+
+
+@query("SELECT 'doughnut' AS type, 'region' AS label, ['revenue'] AS \"values\"")
+def chart_choice(t):
+    spec = chart_spec(_asked(t, "Sales by region"))
+    return t.spark.createDataFrame([(spec["type"], spec["label"], spec["values"])], "type string, label string, `values` array<string>")
+
+
+@query("SELECT r_name AS label, CAST(count(*) AS DOUBLE) AS n FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
+def chart_series_(t):
+    counted = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).groupBy(F.col("r_name").alias("label")).agg(rows().alias("n"))
+    return chart_series(counted, chart_spec(counted))
+
+
+@query("SELECT 'part' AS table_name")
+def index_search(t):
+    documents = schema_documents(tpch_catalog(t))
+    return Index.build(documents, "sample").search("p_name p_brand p_type p_retailprice", 1).select("table_name")
+
+
+@query("SELECT n_name AS city, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) / count(o_totalprice) AS order_value FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
+def average_by_city(t):
+    return _asked(t, "Average order value by city")
+
+
+@query("SELECT p_name AS product, p_partkey AS product_key, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS revenue FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2 ORDER BY revenue, 1, 2 LIMIT 3")
+def bottom3_products(t):
+    return _asked(t, "Bottom 3 products by revenue")
+
+
+@query("SELECT CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderdate >= DATE '2001-01-01' AND o_orderdate < DATE '2001-02-01'")
+def sales_in_january(t):
+    return _asked(t, "Show sales in January")
+
+
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 500")
 def capped_result(t):
     return capped(t.orders.select("o_orderkey", "o_totalprice").orderBy(F.col("o_totalprice").desc(), "o_orderkey"))
@@ -461,7 +553,7 @@ def chart_label_cast(t):
     return t.events.select("event_id", chart_value(F.col("event_type")).alias("label_value"), chart_value(F.get_json_object("props", "$.k")).alias("k"))
 
 
-@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN '-' ELSE format('{:,}', c_custkey * 1000) END AS cell, CASE WHEN c_custkey = 0 THEN '0' WHEN c_custkey >= 1000 THEN format('{:.1f}M', c_custkey * 1000 / 1000000.0::DOUBLE) ELSE format('{:.1f}K', c_custkey * 1000 / 1000.0::DOUBLE) END AS axis FROM customer")
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN '-' ELSE format('{:,}', c_custkey * 1000) END AS cell, CASE WHEN c_custkey = 0 THEN '0' WHEN c_custkey >= 1000 THEN format('{:.1f}M', x + CASE WHEN (4 * x) % 2 = 1 THEN 0.01 ELSE 0 END) ELSE format('{:.1f}K', x) END AS axis FROM (SELECT c_custkey, c_custkey * 1000 / CASE WHEN c_custkey >= 1000 THEN 1000000.0::DOUBLE ELSE 1000.0::DOUBLE END AS x FROM customer)")
 def cell_formats(t):
     thousand = F.col("c_custkey") * 1000
     return t.customer.select("c_custkey", cell(F.when(F.col("c_custkey") % 3 != 0, thousand), "bigint").alias("cell"), axis_number(thousand).alias("axis"))

@@ -36,15 +36,20 @@ def column_names(header: list[str | None]) -> list[str]:
     return out
 
 
-def encoding_of(spark: SparkSession, path: str) -> str:
-    """UTF-8, unless some line isn't valid UTF-8; ISO-8859-1 then, which reads any byte."""
-    bad = spark.read.text(path).filter(~F.is_valid_utf8("value"))
-    return "UTF-8" if bad.isEmpty() else "ISO-8859-1"
+def layout_of(spark: SparkSession, path: str) -> tuple[str, bool]:
+    """(encoding, whether a quoted value has a line break), from one pass over the lines.
+
+    UTF-8, unless some line isn't valid UTF-8; ISO-8859-1 then, which reads any byte. A quoted line break leaves a line with an
+    odd number of quotes.
+    """
+    odd = (F.length("value") - F.length(F.replace("value", F.lit('"')))) % 2 == 1
+    bad, broken = spark.read.text(path).agg(F.bool_or(~F.is_valid_utf8("value")), F.bool_or(odd)).first()
+    return "ISO-8859-1" if bad else "UTF-8", bool(broken)
 
 
-def _reader(spark: SparkSession, encoding: str):
-    options = {"multiLine": True, "escape": '"', "ignoreLeadingWhiteSpace": True, "encoding": encoding, "mode": "PERMISSIVE"}
-    return spark.read.options(**options)
+def _reader(spark: SparkSession, encoding: str, lines: bool):
+    """lines: rows may go over several lines, for which a file is read by one task; else a large file is read by many."""
+    return spark.read.options(multiLine=lines, escape='"', ignoreLeadingWhiteSpace=True, encoding=encoding, mode="PERMISSIVE")
 
 
 #: Types in the order they are tried; each with a test of a non-null text.
@@ -62,21 +67,19 @@ def _fits(column: Column, kind: str, pattern: str) -> Column:
     return column.rlike(pattern) & column.try_cast(kind).isNotNull()
 
 
-def inferred(df: DataFrame) -> DataFrame:
-    """Cast text columns to the first type that fits all their values; one pass over the table."""
-    if not df.columns:
-        return df
-    tests = []
+def inferred(df: DataFrame, *tests: Column) -> tuple[DataFrame, tuple]:
+    """df with text columns cast to the first type that fits all their values, and the values of more aggregates; one pass over df."""
+    found_by = []
     for k, c in enumerate(df.columns):
         column = F.col(f"`{c}`")
-        tests.append(F.count(column).alias(f"n{k}"))
-        tests += [F.count_if(_fits(column, kind, pattern)).alias(f"n{k}_{j}") for j, (kind, pattern) in enumerate(_KINDS)]
-    found = df.agg(*tests).first()
+        found_by.append(F.count(column).alias(f"n{k}"))
+        found_by += [F.count_if(_fits(column, kind, pattern)).alias(f"n{k}_{j}") for j, (kind, pattern) in enumerate(_KINDS)]
+    found = df.agg(*found_by, *tests).first()
     out = []
     for k, c in enumerate(df.columns):
         kind = next((kind for j, (kind, _) in enumerate(_KINDS) if found[f"n{k}"] and found[f"n{k}_{j}"] == found[f"n{k}"]), "string")
         out.append(F.col(f"`{c}`").try_cast(kind).alias(c))
-    return df.select(*out)
+    return df.select(*out), tuple(found)[len(found_by) :]
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -86,17 +89,18 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """
     if not path.endswith(".csv"):
         raise ValueError("only .csv files can be uploaded")
-    reader = _reader(spark, encoding_of(spark, path))
+    reader = _reader(spark, *layout_of(spark, path))
     first = reader.csv(path).head(1)
     if not first:
         raise ValueError("the file is empty")
     names = column_names(list(first[0]))
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, _EXTRA]])
     raw = reader.option("header", True).option("enforceSchema", True).schema(schema).csv(path)
-    if not raw.filter(F.col(_EXTRA).isNotNull()).isEmpty():
-        raise ValueError("a row has more fields than the header")
     texts = [F.when(~F.col(f"`{n}`").isin(*MISSING), F.col(f"`{n}`")).alias(n) for n in names]
-    return inferred(raw.select(*texts))
+    table, (longer,) = inferred(raw.select(*texts, _EXTRA), F.count(_EXTRA))
+    if longer:
+        raise ValueError("a row has more fields than the header")
+    return table.drop(_EXTRA)
 
 
 def replace_table(df: DataFrame, name: str, base_dir: str) -> DataFrame:
@@ -106,13 +110,3 @@ def replace_table(df: DataFrame, name: str, base_dir: str) -> DataFrame:
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table.createOrReplaceTempView(name)
     return table
-
-
-def run_script(spark: SparkSession, script: str, present: str) -> bool:
-    """Run the statements of an SQL script (one per blank-line separated block), unless the table `present` exists."""
-    if spark.catalog.tableExists(present):
-        return False
-    for statement in re.split(r";\s*\n", script):
-        if statement.strip():
-            spark.sql(statement)
-    return True
