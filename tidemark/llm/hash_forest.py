@@ -116,13 +116,13 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([np.ascontiguousarray(s).tobytes() for s in strings], pa.binary())], [*batch.schema.names, "strings"])
 
 
-def _highest(vectors: np.ndarray, at: np.ndarray, query: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def _highest(vectors: np.ndarray, largest: float, at: np.ndarray, query: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(rows, scores) of the k highest products. Equal vectors get equal scores: each is a sum in a fixed order, and the faster
-    product only sorts out vectors that are clearly below."""
+    product only sorts out vectors that are clearly below. largest: of the vectors' components."""
     with np.errstate(over="ignore", invalid="ignore"):
         if len(at) > k:
             rough = np.nan_to_num(vectors[at] @ query, nan=-np.inf)
-            slack = 1e-12 * np.sqrt((query * query).sum()) * np.abs(vectors[at]).max() * len(query)
+            slack = 1e-12 * np.sqrt((query * query).sum()) * largest * len(query)
             least = np.partition(rough, -k)[-k] - slack
             at = at[~(rough < least)]
         scores = (vectors[at] * query).sum(axis=1)
@@ -138,12 +138,13 @@ def _searched(k: int):
             vectors = np.frombuffer(held.column("vectors")[0].as_py()).reshape(len(ids), -1)
             strings = np.frombuffer(held.column("strings")[0].as_py(), dtype=np.uint64).reshape(TREES, -1)
             forest = Forest(strings, np.frombuffer(held.column("order")[0].as_py(), dtype=np.int32).reshape(TREES, -1))
+            largest = float(np.abs(vectors).max())
             place = {v: row for row, v in enumerate(ids.tolist())}
             names = asked.column("vec_id").to_pylist()
             own = np.array([place.get(q, -1) for q in names])
             queries, wanted = unpacked(asked.column("vector")), np.ascontiguousarray(unpacked(asked.column("strings"), np.uint64).T)
             for q, at in enumerate(forest.candidates(wanted, own, int(CANDIDATES * len(ids)) + k)):
-                rows, scores = _highest(vectors, at, queries[q], ids, k)
+                rows, scores = _highest(vectors, largest, at, queries[q], ids, k)
                 for to, x in zip(out, (np.full(len(rows), names[q]), ids[rows], scores), strict=True):
                     to.append(x)
         return pa.table({"query_id": np.concatenate(out[0]), "vec_id": np.concatenate(out[1]), "score": np.concatenate(out[2])})
