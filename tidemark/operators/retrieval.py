@@ -15,17 +15,23 @@ DIMENSIONS = 512
 Embedder = Callable[[Column], Column]
 
 
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once a row however often, and however deep in lambdas, the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def normalized(vector: Column) -> Column:
-    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(vector, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))
+    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
+    divided = lambda v, n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(0.0))
+    return _once(vector, lambda v: _once(norm(v), lambda n: divided(v, n)))
 
 
 def lexical_embedding(text: Column, dimensions: int = DIMENSIONS) -> Column:
     """Unit vectors of words dealt to dimensions by their hash, with damped counts; words lose a plural s."""
     words = F.filter(F.split(F.regexp_replace(F.lower(text), r"[^a-z0-9]+", " "), " "), lambda w: F.length(w) > 1)
     slots = F.transform(words, lambda w: F.pmod(F.xxhash64(F.regexp_replace(w, "s$", "")), F.lit(dimensions)).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda d: F.size(F.filter(slots, lambda s: s == d)).cast("double"))
-    return normalized(F.transform(counts, lambda c: F.sqrt(c)))
+    counted = lambda slots: F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda d: F.sqrt(F.size(F.filter(slots, lambda s: s == d)).cast("double")))
+    return normalized(_once(slots, counted))
 
 
 def inner_product(a: Column, b: Column, dimensions: int | None = None) -> Column:
