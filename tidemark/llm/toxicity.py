@@ -40,9 +40,9 @@ BROADCAST_LABELS = 2_000_000
 BROADCAST_TERMS = 200_000
 #: Of the words that can be within an exception, as many of the most frequent as every task can know; pairs of these are counted
 #: as numbers, all other pairs as text.
-PAIR_WORDS = 400_000
+PAIR_WORDS = 200_000
 #: Pairs that a task gathers before it counts them.
-GATHERED_PAIRS = 4_000_000
+GATHERED_PAIRS = 2_000_000
 
 # Letters of other alphabets that look like Latin ones, and signs that stand for letters.
 LOOKALIKES = str.maketrans("авеёкмнорстухіјѕԁһӏαβεικνορτυχ", "abeekmhopctyxijsdhlabeiknoptux")
