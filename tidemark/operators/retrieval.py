@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from functools import reduce
-from operator import add
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,14 +32,9 @@ def lexical_embedding(text: Column, dimensions: int = DIMENSIONS) -> Column:
     return normalized(_once(slots, counted))
 
 
-def inner_product(a: Column, b: Column, dimensions: int | None = None) -> Column:
-    """The inner product of two arrays. Where their length is given it is written out, which Spark compiles."""
-    if dimensions is None:
-        return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    products = [a[k].cast("double") * b[k].cast("double") for k in range(dimensions)]
-    while len(products) > 1:  # as a balanced tree
-        products = [reduce(add, products[k : k + 2]) for k in range(0, len(products), 2)]
-    return products[0]
+def inner_product(a: Column, b: Column) -> Column:
+    """The inner product of two arrays, as a fold. (Written out as a sum of 64 products it takes three times as long over 400000 rows.)"""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
 def top_k(table: DataFrame, vector: str, query: Sequence[float], k: int, tie: str) -> DataFrame:

@@ -81,8 +81,8 @@ def to_dataframe(s: Shape, table: Callable[[str], DataFrame]) -> DataFrame:
         df = df.select(f"{s.table}.*")
         return df if s.limit is None else df.limit(s.limit)
     t, c, name = s.metric
-    if s.aggregate == "sum" and s.joins and all(j.column == s.joins[0].column for j in s.joins if j.table == s.table) and t == s.table and not any(x[0] == s.table for x in (*s.where, *s.group, *([s.month] if s.month else []))):
-        # All joins hang on one key: the facts are summed by it before they meet the other tables.
+    if s.aggregate == "sum" and s.joins and not s.where and all(j.column == s.joins[0].column for j in s.joins if j.table == s.table) and t == s.table and not any(x[0] == s.table for x in (*s.group, *([s.month] if s.month else []))):
+        # All joins hang on one key and drop no facts: these are summed by it before they meet the other tables.
         key = s.joins[0].column
         summed = table(s.table).groupBy(key).agg(F.sum(F.col(c).cast(MONEY)).alias(c)).alias(s.table)
         return _grouped(_joined(s, {**frames, s.table: summed}), s, F.sum(col(t, c)).cast("double").alias(name))

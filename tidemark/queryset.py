@@ -25,8 +25,6 @@ from tidemark.plans.planner import planned
 from tidemark.plans.semantics import TPCH
 from tidemark.sources.catalog import Catalog, Keys
 
-#: Components of the table's embeddings.
-DIMENSIONS = 64
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "embeddings")
 #: The day that relative time ranges refer to.
 AS_OF = dt.date(2001, 8, 1)
@@ -458,7 +456,7 @@ def schema_documents_(t):
 @query("SELECT vec_id, label, round(list_dot_product(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)), 6) AS score FROM embeddings ORDER BY list_dot_product(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)) DESC, vec_id LIMIT 5")
 def vector_topk(t):
     asked = t.embeddings.filter("vec_id = 0").select(F.col("embedding").alias("asked")).limit(1)
-    score = inner_product(F.col("embedding"), F.col("asked"), DIMENSIONS)
+    score = inner_product(F.col("embedding"), F.col("asked"))
     scored = t.embeddings.crossJoin(F.broadcast(asked)).withColumn("score", score)
     return scored.orderBy(F.col("score").desc(), "vec_id").limit(5).select("vec_id", "label", F.round("score", 6).alias("score"))
 
