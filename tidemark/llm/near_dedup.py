@@ -264,16 +264,19 @@ def _large_pairs(rows: DataFrame, limit: int | None) -> DataFrame:
     """Pairs across components in larger buckets, compared block against block inside tasks.
 
     Every such pair has a member outside the bucket's main component. Those members fall into blocks of a bounded size,
-    and each block meets all members, in blocks too: where few are outside, a row is copied about twice.
+    and each block meets all members, in blocks too: where few are outside, a row is copied about twice. The main component
+    reaches a bucket's rows block by block, and the pairs of blocks of one bucket are dealt over all tasks.
     """
-    large = rows.filter(F.col("members") > SMALL_BUCKET)
-    by_root = large.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c"))
-    mains = by_root.groupBy("bucket").agg(F.max(F.struct("c", "root"))["root"].alias("main"), (F.sum("c") - F.max("c")).alias("outside"))
-    large = large.join(mains, "bucket").withColumn("minor", F.col("root") != F.col("main"))
     blocks = lambda number: F.ceil(number / SIGNATURE_ROWS).cast("int")
     pick = lambda number: F.pmod(F.xxhash64("node"), blocks(number)).cast("int")
-    rest = large.withColumn("lo", F.explode(F.sequence(F.lit(0), blocks(F.col("outside")) - 1))).withColumn("hi", pick(F.col("members")))
-    minor = large.filter("minor").withColumn("hi", F.explode(F.sequence(F.lit(0), blocks(F.col("members")) - 1))).withColumn("lo", pick(F.col("outside")))
+    each = lambda number: F.explode(F.sequence(F.lit(0), blocks(F.col(number)) - 1))
+    large = rows.filter(F.col("members") > SMALL_BUCKET).withColumn("hi", pick(F.col("members")))
+    by_root = large.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c"), F.first("members").alias("of"))
+    mains = by_root.groupBy("bucket").agg(F.max(F.struct("c", "root"))["root"].alias("main"), (F.sum("c") - F.max("c")).alias("outside"), F.first("of").alias("of"))
+    large = large.join(mains.withColumn("hi", each("of")).drop("of"), ["bucket", "hi"]).withColumn("minor", F.col("root") != F.col("main"))
+    rest = large.withColumn("lo", each("outside"))
+    minor = large.filter("minor").withColumn("hi", each("members")).withColumn("lo", pick(F.col("outside")))
     columns = ["bucket", "lo", "hi", "half", "minor", "node", "root", "n", "sig"]
     met = minor.withColumn("half", F.lit(0)).select(*columns).unionByName(rest.withColumn("half", F.lit(1)).select(*columns))
-    return met.groupBy("bucket", "lo", "hi").applyInArrow(_across(limit), "a long, b long")
+    # Without a shuffle of their own, the block pairs would stay where the join by bucket and block has put them.
+    return met.repartition("bucket", "lo", "hi").groupBy("bucket", "lo", "hi").applyInArrow(_across(limit), "a long, b long")
