@@ -151,6 +151,14 @@ def text_blocks(texts: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int
         row = end
 
 
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; what Arrow no longer uses of those before goes back to the system, as Python workers outlive their tasks."""
+    for batch in batches:
+        yield batch
+        del batch
+        pa.default_memory_pool().release_unused()
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected, reconnected, signed, splitmix, stored, text_blocks, word_hashes
+from .common import connected, reconnected, released, signed, splitmix, stored, text_blocks, word_hashes
 
 PERMUTATIONS = 256
 BANDS = 32
@@ -97,7 +97,7 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
 def _features(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
-            for batch in batches:
+            for batch in released(batches):
                 n, hi, lo, sig = [], [], [], []
                 for shingles in shingle_sets(batch.column(1), width):
                     n.append(len(shingles))
@@ -116,7 +116,7 @@ def _signatures(column: pa.Array) -> np.ndarray:
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     with np.errstate(over="ignore"):
-        for batch in batches:
+        for batch in released(batches):
             for at in range(0, len(batch), 4096):
                 part = batch.slice(at, 4096)
                 keys = signed(band_keys(_signatures(part.column(1))).reshape(-1))
@@ -124,7 +124,7 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _estimates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in released(batches):
         if len(batch):
             same = similarity(_signatures(batch.column(2)), _signatures(batch.column(3)))
             keep = same >= LEAST_ESTIMATE
@@ -167,7 +167,7 @@ def _across(limit: int | None):
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
-            for batch in batches:
+            for batch in released(batches):
                 for at in range(0, len(batch), 500):
                     part = batch.slice(at, 500)
                     sets = [signed(s) for s in shingle_sets(part.column(1), width)]

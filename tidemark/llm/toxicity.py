@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import released, stored
 
 #: Lengths of word beginnings that can enter the lexicon; whole words of SHORTEST to LONGEST letters as well.
 STEMS = (4, 5, 6, 7, 8)
@@ -41,8 +41,9 @@ BROADCAST_TERMS = 200_000
 #: Of the words that can be within an exception, as many of the most frequent as every task can know; pairs of these are counted
 #: as numbers, all other pairs as text.
 PAIR_WORDS = 200_000
-#: Pairs that a task gathers before it counts them.
+#: Pairs that a task gathers before it counts them (8 bytes each), and keys that it counts before it hands them on.
 GATHERED_PAIRS = 4_000_000
+COUNTED_KEYS = 200_000
 
 # Letters of other alphabets that look like Latin ones, and signs that stand for letters.
 LOOKALIKES = str.maketrans("авеёкмнорстухіјѕԁһӏαβεικνορτυχ", "abeekmhopctyxijsdhlabeiknoptux")
@@ -80,7 +81,7 @@ def _letter(sign: str) -> bool:
     return sign.isalnum() and not sign.isdecimal()
 
 
-@lru_cache(100_000)
+@lru_cache(20_000)
 def _terms_of(word: str) -> tuple[str, ...]:
     """The terms that a word counts for: its beginnings, and itself."""
     return tuple({word[:n] for n in STEMS if len(word) >= n} | ({word} if SHORTEST <= len(word) <= LONGEST else set()))
@@ -101,14 +102,15 @@ def _counts(keys_of: Callable[[str], Iterable[str]]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = Counter(), Counter()
-        for batch in batches:
+        for batch in released(batches):
             for text, toxic in zip(_strings(batch.column(0)), batch.column(1).to_pylist(), strict=True):
                 counts[toxic].update(keys_of(fold(text)))
-                if len(counts[0]) + len(counts[1]) > 400_000:
+                if len(counts[0]) + len(counts[1]) > COUNTED_KEYS:
                     yield _counted(*counts)
                     counts = Counter(), Counter()
         if counts[0] or counts[1]:
             yield _counted(*counts)
+        _terms_of.cache_clear()  # the process lives on for later tasks
 
     return run
 
@@ -132,22 +134,25 @@ def _pair_counts(shared, complete: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = {word: k for k, word in enumerate(shared.value)}
         texts: tuple[Counter, Counter] = Counter(), Counter()
-        pairs: tuple[list, list] = [], []
+        pairs: list[np.ndarray] = []
         gathered = 0
 
         def counted() -> Iterator[pa.RecordBatch]:
-            both = [np.concatenate([np.zeros(0, dtype=np.int64), *x]) for x in pairs]
-            keys, inverse = np.unique(np.concatenate(both), return_inverse=True)
-            clean, toxic = (np.bincount(x, minlength=len(keys)) for x in (inverse[: len(both[0])], inverse[len(both[0]) :]))
-            n = clean.astype(np.int64) | toxic.astype(np.int64) << 32
-            for at in range(0, len(keys), 100_000):
-                part = keys[at : at + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part), pa.nulls(len(part), pa.string()), pa.array(n[at : at + 100_000])], ["pair", "key", "n"])
+            """Pairs times 2, and one more in toxic documents, are sorted in place, so that a pair's documents are a run."""
+            marked = np.concatenate([np.zeros(0, dtype=np.int64), *pairs])
+            pairs.clear()
+            marked.sort()
+            runs = np.append(np.flatnonzero(np.diff(marked >> 1, prepend=-1)), len(marked))
+            for at in range(0, len(runs) - 1, 100_000):
+                ends = runs[at : at + 100_001]
+                toxic = np.add.reduceat(marked[ends[0] : ends[-1]] & 1, ends[:-1] - ends[0])
+                n = np.diff(ends) - toxic | toxic << 32
+                yield pa.RecordBatch.from_arrays([pa.array(marked[ends[:-1]] >> 1), pa.nulls(len(n), pa.string()), pa.array(n)], ["pair", "key", "n"])
             if texts[0] or texts[1]:
                 rest = _counted(*texts)
                 yield pa.RecordBatch.from_arrays([pa.nulls(len(rest), pa.int64()), *rest.columns], ["pair", "key", "n"])
 
-        for batch in batches:
+        for batch in released(batches):
             for text, toxic in zip(_strings(batch.column(0)), batch.column(1).to_pylist(), strict=True):
                 words = _WORD.findall(fold(text))
                 if len(words) < 2:
@@ -155,13 +160,13 @@ def _pair_counts(shared, complete: bool):
                 ids = np.array([number.get(w, -1) for w in words], dtype=np.int64)
                 left, right = ids[:-1], ids[1:]
                 known = (left >= 0) & (right >= 0)
-                pairs[toxic].append(np.unique(left[known] << 32 | right[known]))
-                gathered += len(pairs[toxic][-1])
+                pairs.append(np.unique(left[known] << 33 | right[known] << 1 | int(toxic)))
+                gathered += len(pairs[-1])
                 if not complete:
                     texts[toxic].update({f"{words[k]} {words[k + 1]}" for k in np.flatnonzero(~known)})
-                if gathered > GATHERED_PAIRS or len(texts[0]) + len(texts[1]) > 400_000:
+                if gathered > GATHERED_PAIRS or len(texts[0]) + len(texts[1]) > COUNTED_KEYS:
                     yield from counted()
-                    texts, pairs, gathered = (Counter(), Counter()), ([], []), 0
+                    texts, gathered = (Counter(), Counter()), 0
         yield from counted()
 
     return run
@@ -241,7 +246,7 @@ def _terms_outside(terms: frozenset[str], exceptions: frozenset[str]) -> Callabl
 def _raw_scores(lexicon: dict[str, float], exceptions: frozenset[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(lexicon, exceptions)
-        for batch in batches:
+        for batch in released(batches):
             raw = [matcher.score(text) for text in _strings(batch.column(1))]
             names = batch.schema.names
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(raw, pa.float64()), *batch.columns[3:]], [names[0], names[2], "raw", *names[3:]])
