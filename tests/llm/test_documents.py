@@ -505,3 +505,31 @@ def test_toxicity_held_out_quality(spark):
     found = {(r.toxic, r.predicted): r["count"] for r in scored.join(labels, "doc_id").groupBy("toxic", "predicted").count().collect()}
     hit, missed, wrong = found.get((1, 1), 0), found.get((1, 0), 0), found.get((0, 1), 0)
     assert hit / (hit + missed) >= 0.9 and hit / (hit + wrong) >= 0.9
+
+
+@pytest.mark.parametrize("gathered", [50, 4_000_000])
+def test_pair_counts(monkeypatch, gathered):
+    import numpy as np
+    import pyarrow as pa
+
+    from tidemark.llm import toxicity as module
+
+    monkeypatch.setattr(module, "GATHERED_PAIRS", gathered)
+    rng = np.random.default_rng(1)
+    words = [f"w{a}{b}" for a in "abcdefgh" for b in "abcdefgh"]
+    texts = [" ".join(rng.choice(words, rng.integers(0, 60))) for _ in range(500)]
+    toxic = [bool(x) for x in rng.random(500) < 0.3]
+    known = type("Known", (), {"value": words[:50]})
+    want, found = {}, {}
+    for text, label in zip(texts, toxic, strict=True):
+        split = text.split()
+        for pair in set(zip(split, split[1:], strict=False)):
+            n = want.setdefault(" ".join(pair), [0, 0])
+            n[label] += 1
+    for batch in module._pair_counts(known, complete=False)(iter([pa.RecordBatch.from_arrays([pa.array(texts), pa.array(toxic)], ["text", "toxic"])])):
+        for pair, key, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            key = key if pair is None else f"{words[pair >> 32]} {words[pair & (1 << 32) - 1]}"
+            both = found.setdefault(key, [0, 0])
+            both[0] += n & (1 << 32) - 1
+            both[1] += n >> 32
+    assert found == want
