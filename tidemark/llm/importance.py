@@ -14,6 +14,7 @@ import math
 import zlib
 from collections import defaultdict
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -86,7 +87,7 @@ class Trie:
     def __init__(self, block: list[tuple[int, list[bytes]]]):
         number: dict[bytes, int] = defaultdict()
         number.default_factory = number.__len__
-        ids = np.fromiter((number[w] for _, words in block for w in words), dtype=np.int64)
+        ids = np.array(list(map(number.__getitem__, chain.from_iterable(words for _, words in block))), dtype=np.int64)
         sizes = np.array([len(words) for _, words in block], dtype=np.int64)
         start = np.cumsum(sizes) - sizes
         before = np.arange(len(ids)) - np.repeat(start, sizes)  # words of the piece before each

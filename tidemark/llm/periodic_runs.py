@@ -56,7 +56,7 @@ def _numbers(texts: list[list[bytes]]) -> np.ndarray:
     """The words of all texts as numbers, each text followed by a number of its own."""
     number: dict[bytes, int] = defaultdict()
     number.default_factory = number.__len__
-    ids = [np.fromiter((number[w] for w in words), dtype=np.int64, count=len(words)) for words in texts]
+    ids = [np.array(list(map(number.__getitem__, words)), dtype=np.int64) for words in texts]
     return np.concatenate([part for k, own in enumerate(ids) for part in (own, [len(number) + k])])
 
 

@@ -14,6 +14,7 @@ from .mixing import mix
 from .near_dedup import near_duplicates
 from .packing import pack
 from .periodic_runs import periodic_runs
+from .pii import personal_data
 from .sharding import shard
 from .toxicity import toxicity
 from .url_filter import host_of, judge
@@ -97,6 +98,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(_table(spark, sf_dir, "documents"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs(_table(spark, sf_dir, "documents"))
 
