@@ -7,6 +7,7 @@ import hashlib
 import math
 import os
 import tempfile
+import time
 
 import numpy as np
 import pytest
@@ -272,3 +273,18 @@ def test_few_vectors(vectors, run):
     assert run(vectors.limit(0)).count() == 0
     two = vectors.sparkSession.createDataFrame([(0, [1.0, 2.0]), (1, [1.0, 1.0])], "vec_id long, embedding array<double>")
     assert [(r.query_id, r.vec_id) for r in run(two).collect()] == [(0, 1)]
+
+
+def test_long_histories_are_bisected(spark):
+    """The starts of an entry's intervals are made once an entry, not once a step of a capture's bisection."""
+    captures = spark.range(300).selectExpr("id AS page_id", "'http://a.b/' AS url", "timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, CAST(id * 97 AS INT)) AS fetched_at")
+
+    def seconds(changes):
+        history = spark.range(changes).selectExpr("'a.b' AS pattern", "id % 2 = 0 AS added", "timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, CAST(id AS INT)) AS at")
+        began = time.perf_counter()
+        rows = judge(captures, history).collect()
+        assert all(r.listed == (min(r.page_id * 97, changes - 1) % 2 == 0) for r in rows)
+        return time.perf_counter() - began
+
+    seconds(1000)
+    assert seconds(16000) < 4 * seconds(1000) + 3

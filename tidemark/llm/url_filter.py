@@ -61,7 +61,9 @@ def judge(captures: DataFrame, changes: DataFrame) -> DataFrame:
     distinct = rows.filter("host is not null and fetched_at is not null").select("host", "fetched_at").distinct()
     asked = distinct.withColumn("pattern", F.explode(suffixes(F.col("host"))))
     spans = validity(changes).groupBy("pattern").agg(F.sort_array(F.collect_list(F.struct("valid_from", "valid_to"))).alias("spans"))
-    last = F.get("spans", begun(F.transform("spans", lambda s: s["valid_from"]), F.col("fetched_at")) - 1)
+    # The starts are a column before the join: within the bisection they would be made anew at each step.
+    spans = spans.withColumn("starts", F.transform("spans", lambda s: s["valid_from"]))
+    last = F.get("spans", begun(F.col("starts"), F.col("fetched_at")) - 1)
     met = asked.join(spans, "pattern").select("host", "fetched_at", "pattern", last.alias("span"))
     valid = F.col("span").isNotNull() & (F.col("span.valid_to").isNull() | (F.col("fetched_at") < F.col("span.valid_to")))
     hit = F.struct(F.length("pattern").alias("n"), "pattern", F.col("span.valid_from").alias("valid_from"))
