@@ -28,7 +28,10 @@ ACCEPTED = [
     "SELECT repeat('-', 3) AS a, lpad('x', 5, '0') AS b, format_string('%5d|%s', id, 'x') AS c, hex(id) AS d FROM guarded",
     "SELECT sum(id) OVER w AS s FROM guarded WINDOW w AS (ORDER BY id) UNION ALL SELECT 1 LIMIT 3",
 ]
-DEFAULT_ONLY = ["WITH c AS (SELECT id FROM guarded) SELECT * FROM c", "WITH RECURSIVE c(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM c WHERE n < 3) SELECT n FROM c JOIN guarded", "WITH guarded AS (SELECT id FROM guarded) SELECT * FROM guarded", "(SELECT id FROM guarded)", "FROM guarded SELECT id", "TABLE guarded"]
+DEFAULT_ONLY = [
+    "SELECT x.key, variant_get(x.value, '$', 'int') AS v FROM guarded, LATERAL variant_explode(parse_json(updated_at)) AS x",
+    "WITH RECURSIVE t(v, d) AS (SELECT parse_json(updated_at), 0 FROM guarded UNION ALL SELECT x.value, d + 1 FROM t, LATERAL variant_explode(t.v) AS x) SELECT d, to_json(v) AS v FROM t",
+    "WITH c AS (SELECT id FROM guarded) SELECT * FROM c", "WITH RECURSIVE c(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM c WHERE n < 3) SELECT n FROM c JOIN guarded", "WITH guarded AS (SELECT id FROM guarded) SELECT * FROM guarded", "(SELECT id FROM guarded)", "FROM guarded SELECT id", "TABLE guarded"]
 REJECTED = {
     "security": [
         "INSERT INTO guarded SELECT * FROM guarded", "UPDATE guarded SET id = 1", "DELETE FROM guarded", "DROP TABLE guarded", "ALTER TABLE guarded ADD COLUMNS (x INT)", "CREATE TABLE x AS SELECT 1", "TRUNCATE TABLE guarded",
@@ -36,12 +39,15 @@ REJECTED = {
         "SELECT TRANSFORM (id) USING 'cat' AS (x) FROM guarded", "SELECT java_method('java.lang.Math', 'random')", "SELECT input_file_name() FROM guarded", "SELECT * FROM range(5)", "SELECT explode(array(1)) FROM guarded",
         "SELECT id FROM guarded WHERE id = (SELECT max(reflect('a', 'b')) FROM guarded)",
         "SELECT repeat('x', 2000000000) FROM guarded", "SELECT lpad('x', id, 'y') FROM guarded", "SELECT rpad('x', 99999) FROM guarded", "SELECT printf('%2000000000d', 1) FROM guarded", "SELECT format_string(updated_at, 1) FROM guarded",
+        "SELECT replace(repeat('a', 10000), 'a', repeat('b', 10000)) FROM guarded", "SELECT regexp_replace(repeat('a', 9000), 'a', repeat('b', 9000)) FROM guarded", "SELECT replace(x, 'a', y) FROM (SELECT repeat('a', 9000) AS x, repeat('b', 9000) AS y FROM guarded)",
+        "SELECT format_number(1, 100000000) FROM guarded", "SELECT format_number(id, id) FROM guarded", "SELECT collect_list(a.id) FROM guarded a CROSS JOIN guarded b", "SELECT listagg(x) FROM (SELECT a.updated_at AS x FROM guarded a, guarded b)",
+        "SELECT * FROM guarded, LATERAL explode(array(1, 2))", "SELECT * FROM variant_explode(parse_json('[' || repeat('1,', 9000) || '1]')), explode(array(1))", "SELECT * FROM guarded, LATERAL (SELECT reflect('a', 'b'))", "SELECT * FROM guarded, LATERAL variant_explode(parse_json(reflect('a', 'b')))",
     ],
     "schema": [
         "WITH guarded AS (SELECT 1 AS id) SELECT * FROM hidden", "WITH hidden AS (SELECT * FROM hidden) SELECT * FROM hidden", "SELECT * FROM (WITH hidden AS (SELECT * FROM hidden) SELECT * FROM hidden)",
         "SELECT id FROM guarded WHERE id IN (WITH hidden AS (SELECT id FROM hidden) SELECT id FROM hidden)", "WITH RECURSIVE hidden AS (SELECT * FROM hidden) SELECT * FROM hidden",
         "WITH a AS (WITH hidden AS (SELECT 1 AS id) SELECT * FROM hidden) SELECT * FROM hidden", "WITH a AS (SELECT * FROM hidden), hidden AS (SELECT 1 AS id) SELECT * FROM a",
-        "SELECT * FROM missing", "SELECT * FROM guarded, missing", "SELECT * FROM csv.`/etc/passwd`", "SELECT * FROM main.guarded", "SELECT nosuch FROM guarded", "SELECT FROM WHERE", "SELECT id FROM guarded WHERE id IN (SELECT id FROM missing)",
+        "SELECT * FROM missing", "SELECT * FROM guarded, missing", "SELECT * FROM csv.`/etc/passwd`", "SELECT * FROM main.guarded", "SELECT * FROM guarded, LATERAL (SELECT * FROM hidden)", "SELECT nosuch FROM guarded", "SELECT FROM WHERE", "SELECT id FROM guarded WHERE id IN (SELECT id FROM missing)",
     ],
 }
 

@@ -16,7 +16,10 @@ from tidemark.engine import timeline
 from tidemark.functions import axis_number, cell, chart_value, highlights
 from tidemark.operators.chart import chart_series, chart_spec
 from tidemark.operators.execute import capped
+from tidemark.operators.frames import grouped_frames
 from tidemark.operators.insight import facts
+from tidemark.operators.intervals import overlap_join
+from tidemark.operators.json_tables import json_each, json_tree
 from tidemark.operators.retrieval import Index, inner_product
 from tidemark.operators.schema_docs import schema_documents
 from tidemark.plans.compiler import shape, to_dataframe
@@ -200,6 +203,29 @@ def range_join(t):
     return t.part.join(F.broadcast(band), (F.col("p_retailprice") >= F.col("lo")) & (F.col("p_retailprice") < F.col("hi"))).groupBy("name").agg(rows().alias("parts"))
 
 
+@query(
+    "WITH s AS (SELECT event_id AS signup, ts AS s, ts + (event_id % 37 + 1) * INTERVAL 1 HOUR AS e FROM events WHERE event_type = 'signup') "
+    "SELECT signup, event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS value FROM s JOIN events ON ts >= s AND ts < e GROUP BY ALL"
+)
+def events_within(t):
+    """What happens within the hours behind each signup."""
+    hours = F.make_dt_interval(F.lit(0), (F.col("event_id") % 37 + 1).cast("int"))
+    spans = t.events.filter("event_type = 'signup'").select(F.col("event_id").alias("signup"), F.col("ts").alias("s"), (F.col("ts") + hours).alias("e"))
+    met = overlap_join(t.events.select("ts", "event_type", "value"), spans, (F.col("ts"), None), (F.col("s"), F.col("e")))
+    return met.groupBy("right.signup", "left.event_type").agg(rows().alias("n"), F.sum(F.col("left.value").cast("decimal(18,2)")).cast("double").alias("value"))
+
+
+_OPEN = "SELECT o_orderkey AS k, o_custkey AS c, CAST(o_orderdate AS DATE) AS s, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 5 AS INT) AS e FROM orders"
+
+
+@query(f"WITH o AS ({_OPEN}) SELECT a.k, count(*) AS others, min(b.k) AS first FROM o a JOIN o b ON a.s < b.e AND b.s < a.e AND a.k <> b.k WHERE a.s < a.e AND b.s < b.e GROUP BY a.k")
+def open_together(t):
+    """Orders that are open on a day of another, each open for some days of its own."""
+    days = t.orders.select(F.col("o_orderkey").alias("k"), F.to_date("o_orderdate").alias("s"), F.date_add(F.to_date("o_orderdate"), (F.col("o_orderkey") % 5).cast("int")).alias("e"))
+    bounds = (F.col("s"), F.col("e"))
+    return overlap_join(days, days, bounds, bounds).filter("left.k <> right.k").groupBy("left.k").agg(rows().alias("others"), F.min("right.k").alias("first"))
+
+
 @query("SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')")
 def semi_join(t):
     return t.orders.join(t.lineitem.filter("l_returnflag = 'R'"), F.col("l_orderkey") == F.col("o_orderkey"), "left_semi").select("o_orderkey")
@@ -344,6 +370,30 @@ def share_of_total(t):
     return by_type.select("p_type", "revenue", (F.col("revenue") / everything).alias("share"))
 
 
+_DAYS = "CAST(o_orderdate AS DATE)"
+
+
+def _frames(name: str, frame: str, start: int | None, end: int | None, exclude: str = "no others") -> None:
+    """Sums of orders over groups of days of a customer's nation-wide segment: each frame with and without what it excludes."""
+    over = f"OVER (PARTITION BY o_orderpriority ORDER BY {_DAYS} GROUPS BETWEEN {frame}{'' if exclude == 'no others' else f' EXCLUDE {exclude.upper()}'})"
+    price = "CAST(o_totalprice AS DECIMAL(18,2))"
+    SQL[name] = f"SELECT o_orderkey, CAST(sum({price}) {over} AS DOUBLE) AS spent, count({price}) {over} AS n, CAST(min({price}) {over} AS DOUBLE) AS least, CAST(max({price}) {over} AS DOUBLE) AS most FROM orders"
+
+    def build(spark: SparkSession, sf_dir: str) -> DataFrame:
+        orders = Tables(spark, sf_dir).orders.select("o_orderkey", "o_orderpriority", F.to_date("o_orderdate").alias("day"), money("o_totalprice").alias("price"))
+        framed = grouped_frames(orders, ["o_orderpriority"], ["day"], "price", start, end, exclude)
+        return framed.select("o_orderkey", F.col("frame_sum").cast("double").alias("spent"), F.col("frame_count").alias("n"), F.col("frame_min").cast("double").alias("least"), F.col("frame_max").cast("double").alias("most"))
+
+    QUERIES[name] = build
+
+
+_frames("groups_frame", "3 PRECEDING AND 1 FOLLOWING", -3, 1)
+_frames("groups_so_far", "UNBOUNDED PRECEDING AND 1 PRECEDING", None, -1)
+_frames("exclude_current_row", "1 PRECEDING AND 2 FOLLOWING", -1, 2, "current row")
+_frames("exclude_group", "2 PRECEDING AND UNBOUNDED FOLLOWING", -2, None, "group")
+_frames("exclude_ties", "CURRENT ROW AND 1 FOLLOWING", 0, 1, "ties")
+
+
 # Order, limits, sets
 
 
@@ -409,6 +459,35 @@ question("this_year_by_region", "Sales by region this year", f"SELECT r_name AS
 question("customers_from", "How many customers are from India?", "SELECT count(*) AS count FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE lower(n_name) = 'india'")
 
 
+# JSON as tables
+
+_TYPES = "CASE WHEN type IN ('UBIGINT', 'BIGINT') THEN 'integer' WHEN type = 'DOUBLE' THEN 'real' WHEN type = 'VARCHAR' THEN 'text' WHEN type = 'BOOLEAN' THEN CAST(value AS VARCHAR) ELSE lower(type) END"
+#: JSON with an object and a list within, made of each event.
+_NESTED_SQL = "SELECT event_id, '{\"id\":' || event_id || ',\"props\":' || replace(props, ' ', '') || ',\"tags\":[\"' || event_type || '\",{\"user\":' || user_id || '},[true,null]]}' AS doc FROM events"
+
+
+def _nested(t: Tables) -> DataFrame:
+    return t.views("events").sql(_NESTED_SQL)
+
+
+@query(f"SELECT event_id, key, CAST(value AS VARCHAR) AS value, {_TYPES} AS type FROM ({_NESTED_SQL}), json_each(doc)")
+def json_members(t):
+    return json_each(_nested(t), "doc").select("event_id", "key", "value", "type")
+
+
+@query(f"SELECT event_id, fullkey AS path, CAST(value AS VARCHAR) AS value, {_TYPES} AS type FROM ({_NESTED_SQL}), json_tree(doc)")
+def json_values(t):
+    return json_tree(_nested(t), "doc").select("event_id", "path", "value", "type")
+
+
+@query("SELECT event_type, j.key, CAST(sum(CAST(j.value AS BIGINT)) AS BIGINT) AS total, count(*) AS n FROM events, json_each(props) j GROUP BY ALL")
+def guarded_json(t):
+    """Members of JSON in a guarded statement."""
+    spark = t.views("events")
+    sql = "SELECT event_type, x.key, sum(variant_get(x.value, '$', 'bigint')) AS total, count(*) AS n FROM events, LATERAL variant_explode(parse_json(props)) AS x GROUP BY event_type, x.key"
+    return spark.sql(validate(spark, sql, ["events"]).validated_sql)
+
+
 # The engine's own operators
 
 
