@@ -15,6 +15,7 @@ from tidemark.operators.execute import MAX_ROWS, execute, json_value
 from tidemark.operators.insight import insight
 from tidemark.operators.retrieval import Index, retrieved
 from tidemark.operators.schema_docs import schema_documents
+from tidemark.operators.values import ValueIndex
 from tidemark.plans.compiler import shape, to_dataframe, to_sql
 from tidemark.plans.guard import ValidationError, Verdict, cleaned, validate
 from tidemark.plans.planner import QueryPlan, TextModel, parsed, planned
@@ -54,9 +55,19 @@ class Engine:
         self.spark, self.base_dir, self.semantics, self.model = spark, base_dir, semantics, model
         self.catalog = Catalog(spark)
         self._index: Index | None = None
+        self._values = ValueIndex(spark, f"{base_dir}/values", semantics.named_columns() if semantics else {})
+        self._unread: set[str] = set()
 
     def register(self, name: str, df: DataFrame, keys: Keys | None = None) -> None:
         self.catalog.register(name, df, keys)
+        self._unread.add(name)
+
+    def values(self) -> ValueIndex:
+        """The index of the tables' values; those of tables that are new since the last question are read now."""
+        while self._unread:
+            name = self._unread.pop()
+            self._values.add(name, self.spark.table(name))
+        return self._values
 
     def ingest_csv(self, path: str) -> dict[str, Any]:
         """Replace the table named after a CSV file by its contents."""
@@ -95,7 +106,7 @@ class Engine:
             return parsed(question, self.model.complete(prompt, as_json=True))
         if self.semantics is None:
             raise ValueError("questions need a semantic model or a text model")
-        return planned(question, self.semantics)
+        return planned(question, self.semantics, self.values())
 
     def _statement(self, plan: QueryPlan, context: str, as_of: dt.date, refusal: str | None) -> tuple[str, DataFrame | None]:
         if self.model is None:

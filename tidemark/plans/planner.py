@@ -9,6 +9,7 @@ from collections.abc import Iterable
 from dataclasses import asdict, dataclass, field
 from typing import Any, Protocol
 
+from tidemark.operators.values import Match, normal, phrases
 from tidemark.plans.semantics import Semantics
 
 INTENTS = ("aggregation", "comparison", "trend", "detail", "count")
@@ -32,6 +33,10 @@ class QueryPlan:
     #: sum, avg, max or min of the metric; whether a ranking begins with the least.
     aggregate: str = "sum"
     ascending: bool = False
+    #: Values that were looked up, as (table, column, values): one of the values must hold. Filters only tell of them.
+    where: tuple[tuple[str, str, tuple[str, ...]], ...] = ()
+    #: Two sides to compare, as (name, column's table, column, value) or, of time, (name, "", "", time range).
+    sides: tuple[tuple[str, str, str, str], ...] = ()
 
     def used_filters(self) -> dict[str, str]:
         return {k: v for k, v in self.filters.items() if v and v != "null"}
@@ -112,6 +117,18 @@ _PLAIN = frozenset(
 )
 
 
+class Values(Protocol):
+    """What tells of which columns words are values."""
+
+    def lookup(self, terms: Iterable[str]) -> list[Match]: ...
+
+    def near(self, term: str) -> list[str]: ...
+
+
+#: Words of a value at most.
+LONGEST_VALUE = 5
+
+
 class _Words:
     """A question of which the parts that are understood are taken out one by one."""
 
@@ -133,17 +150,58 @@ class _Words:
         return [w for w in self.text.split() if w not in _PLAIN]
 
 
-def planned(question: str, semantics: Semantics) -> QueryPlan:
-    """A plan by rules; the same question always gives the same plan. Raises ValueError with what isn't understood."""
-    words = _Words(question)
-    month = rf"(?i:{'|'.join(MONTHS)})\b"
-    place = re.search(rf"\b(?:from|in)\s+(?!{month})([A-Z][\w'-]*(?:\s+[A-Z][\w'-]*)*)", question)
-    category = re.search(r"\b(?:category|in the)\s+([A-Z][\w'-]*)", question)
-    for found in (place, category):
-        if found:
-            words.take(re.escape(re.sub(r"[^\w\s-]", " ", found.group(1).lower())))
+def _looked_up(words: _Words, semantics: Semantics, values: Values) -> dict[str, list[Match]]:
+    """{phrase: matches} of the question's words that are values, longest first; they are taken out of the words."""
+    known = {w for m in semantics.metrics for t in m.words for w in t.split()} | {w for d in semantics.dimensions for t in d.words for w in t.split()} | {w for e in semantics.entities for w in e.split()}
+    asked = phrases(normal(words.text).split(), LONGEST_VALUE, lambda w: w in _PLAIN or w in known or w in MONTHS)
+    asked = [p for p in asked if not p.replace(" ", "").isdigit()]
+    found: dict[str, list[Match]] = {}
+    for match in values.lookup(asked):
+        found.setdefault(match.term, []).append(match)
+    out = {}
+    for phrase in asked:
+        if phrase in found and words.take(r"[\W_]+".join(map(re.escape, phrase.split()))):
+            out[phrase] = found[phrase]
+    if len(out) > 1:
+        words.take_any(("and", "or"))
+    return out
+
 
+def _meant(phrase: str, matches: list[Match], table: str, semantics: Semantics) -> tuple[str, str]:
+    """The (table, column) whose value a phrase is: the place of what is asked for, the category, else the only one."""
+    columns = list(dict.fromkeys((m.table, m.column) for m in matches))
+    preferred = [c for c in (semantics.places.get(table), semantics.categories) if c in columns]
+    # Places of other tables aren't meant by a question about this one.
+    left = preferred[:1] or [c for c in columns if c not in semantics.places.values()] or columns
+    if len(left) > 1:
+        raise ValueError(f"not understood: {phrase} is a value of {' and of '.join('.'.join(c) for c in left)}")
+    return left[0]
+
+
+_PERIOD = "|".join(_TIMES[:4])
+
+
+def planned(question: str, semantics: Semantics, values: Values | None = None) -> QueryPlan:
+    """A plan by rules; the same question always gives the same plan. Raises ValueError with what isn't understood.
+
+    values: looks up which column a place, a category or any other value in the question belongs to. Without it, a capitalised
+    word behind `from` or `in` is taken for a place, and one behind `category` for a category.
+    """
+    words = _Words(question)
+    place = category = None
+    if values is None:
+        month = rf"(?i:{'|'.join(MONTHS)})\b"
+        place = re.search(rf"\b(?:from|in)\s+(?!{month})([A-Z][\w'-]*(?:\s+[A-Z][\w'-]*)*)", question)
+        category = re.search(r"\b(?:category|in the)\s+([A-Z][\w'-]*)", question)
+        for found in (place, category):
+            if found:
+                words.take(re.escape(re.sub(r"[^\w\s-]", " ", found.group(1).lower())))
+
+    periods = re.search(rf"(?<![\w-])({_PERIOD}) (?:against|versus|vs|with|and|to) ({_PERIOD})(?![\w-])", words.text)
+    if periods:
+        words.take(re.escape(periods.group()))
     time = words.take(*_TIMES) or (year[-4:] if (year := words.take(r"(?:for|in|during|of) (?:19|20)\d\d")) else None)
+    looked_up = _looked_up(words, semantics, values) if values is not None else {}
     top = words.take(r"top \d+", r"bottom \d+")
     trend = words.take_any(("over time", "by month", "per month", "trend", "monthly"))
     aggregate = next((how for word, how in _AGGREGATES.items() if words.take(word)), "sum")
@@ -152,18 +210,41 @@ def planned(question: str, semantics: Semantics) -> QueryPlan:
     grouped = next((d.name for d in semantics.dimensions if words.take(*(rf"(?:by|per) {re.escape(w)}" for w in d.words))), None)
     if ranked and grouped is None:
         grouped = next((d.name for d in semantics.dimensions if words.take_any(d.words)), None)
-    compared = bool(words.take("versus", "compare"))
+    compared = words.take_any(("versus", "vs", "against", "compare", "compared")) or bool(periods)
     counted = bool(words.take("how many", "number of"))
     entity = None
     if counted or metric is None:
         entity = next((table for word, table in semantics.entities.items() if words.take(re.escape(word))), None)
     if left := words.left():
-        raise ValueError(f"not understood: {', '.join(left)}")
+        hints = [f"{w} (like {', '.join(near)}?)" if values is not None and (near := values.near(w)) else w for w in left]
+        raise ValueError(f"not understood: {', '.join(hints)}")
+    if counted and metric == "units" and entity is None:
+        counted = False  # how many units: their sum
+    if counted and metric is not None:
+        raise ValueError(f"not understood: a count of rows together with {metric}")
     if counted and entity is None:
         raise ValueError("not understood: of what to count")
-    if metric is None and (entity is None or ranked or trend or grouped):
+    if metric is None and (entity is None or ranked or trend or (grouped and not counted)):
         raise ValueError(f"not understood: no measure; known: {', '.join(m.name for m in semantics.metrics)}")
 
+    table = semantics.metric(metric).table if metric else entity
+    by_column: dict[tuple[str, str], list[str]] = {}
+    for phrase, matches in looked_up.items():
+        column = _meant(phrase, matches, table, semantics)
+        by_column.setdefault(column, []).append(next(m.value for m in matches if (m.table, m.column) == column))
+    order = {v.lower(): k for k, v in enumerate(sorted((v for vs in by_column.values() for v in vs), key=lambda v: normal(question).find(normal(v))))}
+    by_column = {c: sorted(vs, key=lambda v: order[v.lower()]) for c, vs in by_column.items()}
+    sides: tuple[tuple[str, str, str, str], ...] = ()
+    if compared:
+        several = [c for c, vs in by_column.items() if len(vs) == 2]
+        if periods and not several:
+            sides = tuple((p, "", "", p) for p in periods.groups())
+        elif len(several) == 1 and not periods:
+            sides = tuple((v, *several[0], v) for v in by_column.pop(several[0]))
+        if not sides or metric is None or trend or ranked or grouped:
+            raise ValueError("not understood: what to compare; two values of one column or two periods, and a measure")
+    where = tuple((*c, tuple(vs)) for c, vs in by_column.items())
+
     if trend:
         intent, grouped = "trend", "month"
     elif counted:
@@ -174,11 +255,15 @@ def planned(question: str, semantics: Semantics) -> QueryPlan:
         intent = "comparison" if ranked or compared else "aggregation"
     metrics = () if intent in ("detail", "count") else (metric,)
     filters = dict.fromkeys(FILTERS) | {"time_range": time, "location": place.group(1) if place else None, "category": category.group(1) if category else None}
+    for t, c, vs in where:
+        slot = "location" if (t, c) in semantics.places.values() else "category" if (t, c) == semantics.categories else "other"
+        text = " or ".join(vs) if slot != "other" else f"{t}.{c} = {' or '.join(vs)}"
+        filters[slot] = text if filters[slot] is None else f"{filters[slot]}, {text}"
     steps = [f"filter by {k}: {v}" for k, v in filters.items() if v]
-    steps += [f"{aggregate} of {m}" for m in metrics] + ([f"group by {grouped}"] if grouped else []) + (["rank"] if ranked else [])
+    steps += [f"{aggregate} of {m}" for m in metrics] + ([f"group by {grouped}"] if grouped else []) + (["rank"] if ranked else []) + ([f"compare {' and '.join(s[0] for s in sides)}"] if sides else [])
     return QueryPlan(
-        question, intent, metrics, filters, grouped if intent not in ("detail", "count") else None, intent != "detail", ranked or intent == "comparison", tuple(steps),
-        entity=entity if intent in ("detail", "count") else None, limit=int(top.split()[1]) if top else None, aggregate=aggregate, ascending=bool(top) and top.startswith("bottom"),
+        question, intent, metrics, filters, grouped if intent != "detail" else None, intent != "detail", ranked or intent == "comparison", tuple(steps),
+        entity=entity if intent in ("detail", "count") else None, limit=int(top.split()[1]) if top else None, aggregate=aggregate, ascending=bool(top) and top.startswith("bottom"), where=where, sides=sides,
     )
 
 

@@ -53,6 +53,11 @@ class Semantics:
     def dimension(self, name: str) -> Dimension:
         return next(d for d in self.dimensions if d.name == name)
 
+    def named_columns(self) -> dict[str, tuple[str, ...]]:
+        """{table: columns} whose values questions name."""
+        pairs = [(d.table, d.column) for d in self.dimensions] + [*self.places.values()] + ([self.categories] if self.categories else [])
+        return {t: tuple(dict.fromkeys(c for of, c in pairs if of == t)) for t, _ in pairs}
+
     def path(self, start: str, targets: list[str]) -> list[Join]:
         """The joins, in order, that lead from a table to all the targets by the fewest steps."""
         came: dict[str, tuple[str, Join] | None] = {start: None}

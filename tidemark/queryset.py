@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +23,7 @@ from tidemark.operators.intervals import overlap_join
 from tidemark.operators.json_tables import json_each, json_tree
 from tidemark.operators.retrieval import Index, inner_product
 from tidemark.operators.schema_docs import schema_documents
+from tidemark.operators.values import Match, indexed_values
 from tidemark.plans.compiler import shape, to_dataframe
 from tidemark.plans.guard import validate
 from tidemark.plans.planner import planned
@@ -431,8 +433,22 @@ def except_(t):
 # Questions, through the planner and the compiler
 
 
+class _Looked:
+    """Values looked up in the tables themselves, without a stored index."""
+
+    def __init__(self, t: Tables):
+        parts = [indexed_values(getattr(t, name), name, columns) for name, columns in TPCH.named_columns().items()]
+        self.table = reduce(DataFrame.unionByName, parts)
+
+    def lookup(self, terms):
+        return [Match(*r) for r in self.table.filter(F.col("term").isin(list(terms))).orderBy("term", "table", "column", "value").limit(1000).collect()]
+
+    def near(self, term):
+        return []
+
+
 def _asked(t: Tables, question: str) -> DataFrame:
-    return to_dataframe(shape(planned(question, TPCH), TPCH, AS_OF), lambda name: getattr(t, name))
+    return to_dataframe(shape(planned(question, TPCH, _Looked(t)), TPCH, AS_OF), lambda name: getattr(t, name))
 
 
 _REVENUE = "CAST(sum(CAST(l_extendedprice AS DECIMAL(38,2))) AS DOUBLE) AS revenue"
@@ -456,7 +472,27 @@ question("revenue_by_category", "Revenue by product category", f"SELECT p_type A
 question("monthly_trend", "Monthly sales trend", f"SELECT strftime(o_orderdate, '%Y-%m') AS month, {_REVENUE} FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1")
 question("monthly_trend_1997", "Show monthly sales trend for 1997", f"SELECT strftime(o_orderdate, '%Y-%m') AS month, {_REVENUE} FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE year(o_orderdate) = 1997 GROUP BY 1")
 question("this_year_by_region", "Sales by region this year", f"SELECT r_name AS region, {_REVENUE} FROM {_STAR} WHERE year(o_orderdate) = 2001 GROUP BY 1")
-question("customers_from", "How many customers are from India?", "SELECT count(*) AS count FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE lower(n_name) = 'india'")
+question("customers_from", "How many customers are from Nation 3?", "SELECT count(*) AS count FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_name = 'NATION_3'")
+
+
+question("sales_in_region", "Show sales in Asia", f"SELECT {_REVENUE} FROM {_STAR} WHERE r_name = 'ASIA'")
+question("sales_of_category", "Sales from Promo by region", f"SELECT r_name AS region, {_REVENUE} FROM {_STAR} JOIN part ON l_partkey = p_partkey WHERE p_type = 'PROMO' GROUP BY 1")
+question("sales_in_two_places", "Show sales in Nation 3 and Nation 17 by city", f"SELECT n_name AS city, {_REVENUE} FROM {_STAR} WHERE n_name IN ('NATION_3', 'NATION_17') GROUP BY 1")
+question("customers_by_region", "How many customers by region", "SELECT r_name AS region, count(*) AS count FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
+_SIDES = "SELECT 'revenue' AS measure, {} AS first_side, first, {} AS second_side, second, first - second AS difference, first / second AS ratio FROM (SELECT {} AS first, {} AS second FROM {})"
+_side = lambda test: f"CAST(sum(CAST(l_extendedprice AS DECIMAL(38,2))) FILTER (WHERE {test}) AS DOUBLE)"
+question("compare_places", "Compare sales of Nation 3 and Nation 17", _SIDES.format("'NATION_3'", "'NATION_17'", _side("n_name = 'NATION_3'"), _side("n_name = 'NATION_17'"), _STAR))
+question("compare_years", "Sales this year against last year", _SIDES.format("'this year'", "'last year'", _side("year(o_orderdate) = 2001"), _side("year(o_orderdate) = 2000"), _STAR))
+question("compare_in_place", "Compare sales of Promo and Economy in Asia", _SIDES.format("'PROMO'", "'ECONOMY'", _side("p_type = 'PROMO'"), _side("p_type = 'ECONOMY'"), f"{_STAR} JOIN part ON l_partkey = p_partkey WHERE r_name = 'ASIA'"))
+
+
+@query(
+    "SELECT lower(trim(regexp_replace(lower(value), '[^a-z0-9]+', ' ', 'g'))) AS term, \"table\", \"column\", value FROM (SELECT 'nation' AS \"table\", 'n_name' AS \"column\", n_name AS value FROM nation "
+    "UNION SELECT 'part', 'p_type', p_type FROM part UNION SELECT 'part', 'p_name', p_name FROM part UNION SELECT 'region', 'r_name', r_name FROM region UNION SELECT 'customer', 'c_name', c_name FROM customer)"
+)
+def value_index(t):
+    """The values that questions can name, with their columns."""
+    return _Looked(t).table
 
 
 # JSON as tables
