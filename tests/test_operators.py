@@ -8,7 +8,9 @@ from tidemark.operators.chart import chart_series, chart_spec
 from tidemark.operators.execute import as_text, capped, execute
 from tidemark.operators.insight import NO_ROWS, insight
 from tidemark.plans.guard import ValidationError, cleaned, validate
+from tidemark.sources.catalog import Catalog
 from tidemark.sources.csv import column_names, read_csv, table_name
+from tidemark.sources.keys import discovered
 
 
 @pytest.fixture(scope="module")
@@ -144,3 +146,23 @@ def test_insight(spark):
     text = insight(df, "month", "v", trend=True)
     assert "40.00" in text and "75.0%" in text and "+200.0%" in text
     assert insight(df.select("month"), "month", None) == "The query returned 2 rows."
+
+
+def test_keys_are_found_in_the_rows(spark):
+    make = spark.createDataFrame
+    shops = make([(k, f"s{k}") for k in range(50)], "shop_id int, name string")
+    sales = make([(k, k % 50 if k else None, k % 7) for k in range(300)], "sale_id long, shop_id long, region_id int")
+    regions = make([(k,) for k in range(6)], "region_id int")  # lacks the 6 that sales have
+    logs = make([(1,), (1,)], "shop_id int")
+    nothing = make([], "shop_id int")
+    found = discovered({"shops": shops, "sales": sales, "regions": regions, "logs": logs, "nothing": nothing})
+    assert {t: k.primary for t, k in found.items()} == {"shops": ("shop_id",), "sales": ("sale_id",), "regions": ("region_id",), "logs": (), "nothing": ()}
+    assert {t: k.foreign for t, k in found.items() if k.foreign} == {"sales": {"shop_id": ("shops", "shop_id")}, "logs": {"shop_id": ("shops", "shop_id")}}
+
+
+def test_samples_do_not_depend_on_partitions(spark):
+    catalog, seen = Catalog(spark), set()
+    for parts in (1, 7):
+        catalog.register("numbers", spark.range(1000).withColumn("x", F.when(F.col("id") % 2 == 0, F.col("id") / 3)).repartition(parts))
+        seen.add(tuple(r.text for r in catalog.samples().orderBy("text").collect()))
+    assert len(seen) == 1 and len(seen.pop()) == 3

@@ -22,6 +22,7 @@ from tidemark.plans.planner import QueryPlan, TextModel, parsed, planned
 from tidemark.plans.semantics import Semantics
 from tidemark.sources.catalog import Catalog, Keys
 from tidemark.sources.csv import read_csv, replace_table, table_name
+from tidemark.sources.keys import Sketch, discovered
 
 ATTEMPTS = 3
 RETRIEVED = 5
@@ -57,10 +58,12 @@ class Engine:
         self._index: Index | None = None
         self._values = ValueIndex(spark, f"{base_dir}/values", semantics.named_columns() if semantics else {})
         self._unread: set[str] = set()
+        self._sketches: dict[str, list[Sketch]] = {}
 
     def register(self, name: str, df: DataFrame, keys: Keys | None = None) -> None:
         self.catalog.register(name, df, keys)
         self._unread.add(name)
+        self._sketches.pop(name, None)
 
     def values(self) -> ValueIndex:
         """The index of the tables' values; those of tables that are new since the last question are read now."""
@@ -73,9 +76,16 @@ class Engine:
         """Replace the table named after a CSV file by its contents."""
         name = table_name(path)
         self.register(name, replace_table(read_csv(self.spark, path), name, f"{self.base_dir}/tables"))
+        self.find_keys()
         self.index()
         return {"success": True, "table_name": name, "total_tables": len(self.catalog.tables()), "message": f"the table {name} is ready"}
 
+    def find_keys(self) -> None:
+        """Give tables that came without keys those that their rows show."""
+        for name, keys in discovered({name: self.spark.table(name) for name in self.catalog.tables()}, self._sketches).items():
+            if self.catalog.keys[name] == Keys():
+                self.catalog.keys[name] = keys
+
     def index(self) -> Index:
         """The index over the present tables: the one at hand, the one kept, or a new one."""
         now = self.catalog.fingerprint()

@@ -28,7 +28,8 @@ from tidemark.plans.compiler import shape, to_dataframe
 from tidemark.plans.guard import validate
 from tidemark.plans.planner import planned
 from tidemark.plans.semantics import TPCH
-from tidemark.sources.catalog import Catalog, Keys
+from tidemark.sources.catalog import Catalog
+from tidemark.sources.keys import base_name, discovered
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "embeddings")
 #: The day that relative time ranges refer to.
@@ -528,38 +529,65 @@ def guarded_json(t):
 
 
 def tpch_catalog(t: Tables) -> Catalog:
+    """The tables with the keys that their rows show."""
     catalog = Catalog(t.spark)
-    keys = {name: Keys(primary=(column,)) for name, column in (("region", "r_regionkey"), ("customer", "c_custkey"), ("supplier", "s_suppkey"), ("part", "p_partkey"))}
-    keys["nation"] = Keys(("n_nationkey",), {"n_regionkey": ("region", "r_regionkey")})
-    keys["orders"] = Keys(("o_orderkey",), {"o_custkey": ("customer", "c_custkey")})
-    keys["lineitem"] = Keys((), {"l_orderkey": ("orders", "o_orderkey"), "l_partkey": ("part", "p_partkey"), "l_suppkey": ("supplier", "s_suppkey")})
-    for name in TABLES:
-        catalog.register(name, getattr(t, name), keys.get(name))
+    frames = {name: getattr(t, name) for name in TABLES}
+    for name, keys in discovered(frames).items():
+        catalog.register(name, frames[name], keys)
     return catalog
 
 
 _KINDS = "CASE data_type WHEN 'INTEGER' THEN 'int' WHEN 'BIGINT' THEN 'bigint' WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'double' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'FLOAT[]' THEN 'array<float>' ELSE lower(data_type) END"
-_PRIMARY = "('region.r_regionkey', 'nation.n_nationkey', 'customer.c_custkey', 'supplier.s_suppkey', 'part.p_partkey', 'orders.o_orderkey')"
-_FOREIGN = "(VALUES ('n_regionkey', 'region', 'r_regionkey'), ('o_custkey', 'customer', 'c_custkey'), ('l_orderkey', 'orders', 'o_orderkey'), ('l_partkey', 'part', 'p_partkey'), ('l_suppkey', 'supplier', 's_suppkey')) f(c, t, k)"
+#: Columns of whole numbers and text, in their order.
+_KEYLIKE = {
+    "region": "r_regionkey r_name", "nation": "n_nationkey n_name n_regionkey", "customer": "c_custkey c_name c_nationkey c_mktsegment", "supplier": "s_suppkey s_name s_nationkey", "part": "p_partkey p_name p_brand p_type p_size",
+    "orders": "o_orderkey o_custkey o_orderstatus o_orderpriority", "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_returnflag l_linestatus", "events": "event_id user_id event_type props", "embeddings": "vec_id label",
+}
+_COLUMNS = [(t, k, c) for t, cs in _KEYLIKE.items() for k, c in enumerate(cs.split())]
+#: Which columns hold distinct values without nulls, and the first of each table.
+_UNIQUE = " UNION ALL ".join(f"SELECT '{t}' AS t, {k} AS k, '{c}' AS c FROM {t} HAVING count(*) > 0 AND count(*) = count({c}) AND count(*) = count(DISTINCT {c})" for t, k, c in _COLUMNS)
+_PRIMARY = f"(SELECT t, arg_min(c, k) AS c FROM ({_UNIQUE}) GROUP BY t)"
+#: Which of the columns of one name, but for the prefix, lie within another.
+_INCLUDED = " UNION ALL ".join(
+    f"SELECT '{t}' AS t, '{c}' AS c, '{u}' AS ft, '{d}' AS fc FROM {t} HAVING count({c}) > 0 AND count({c}) FILTER (WHERE {c} NOT IN (SELECT {d} FROM {u})) = 0"
+    for t, _, c in _COLUMNS for u, _, d in _COLUMNS if t != u and base_name(c) == base_name(d) and c.endswith(("key", "id"))
+)
+_FOREIGN = f"(SELECT i.* FROM ({_INCLUDED}) i JOIN {_PRIMARY} p ON p.t = i.ft AND p.c = i.fc)"
 
 
 @query(
-    f"SELECT table_name AS \"table\", CAST(ordinal_position - 1 AS INT) AS ordinal, column_name AS \"column\", {_KINDS} AS type, table_name || '.' || column_name IN {_PRIMARY} AS pk, table_name || '.' || column_name NOT IN {_PRIMARY} AS nullable, "
-    f"CAST(NULL AS VARCHAR) AS \"default\", f.t AS fk_table, f.k AS fk_column FROM information_schema.columns LEFT JOIN {_FOREIGN} ON f.c = column_name WHERE table_name IN {TABLES}"
+    f"SELECT table_name AS \"table\", CAST(ordinal_position - 1 AS INT) AS ordinal, column_name AS \"column\", {_KINDS} AS type, p.c IS NOT NULL AS pk, p.c IS NULL AS nullable, CAST(NULL AS VARCHAR) AS \"default\", f.ft AS fk_table, f.fc AS fk_column "
+    f"FROM information_schema.columns LEFT JOIN {_PRIMARY} p ON p.t = table_name AND p.c = column_name LEFT JOIN {_FOREIGN} f ON f.t = table_name AND f.c = column_name WHERE table_name IN {TABLES}"
 )
 def catalog_columns(t):
     return tpch_catalog(t).columns()
 
 
+@query(f"SELECT t AS \"table\", c AS \"column\", ft AS to_table, fc AS to_column FROM {_FOREIGN}")
+def foreign_keys(t):
+    """The foreign keys that the tables' rows show."""
+    catalog = tpch_catalog(t)
+    return t.spark.createDataFrame([(name, *key) for name in catalog.tables() for key in catalog.foreign_keys(name)], "table string, column string, to_table string, to_column string")
+
+
+def _sampled(name: str, text: str) -> str:
+    return f"SELECT * FROM (SELECT '{name}' AS \"table\", {text} AS text FROM {name} ORDER BY md5({text}), text LIMIT 3)"
+
+
 @query(
-    "SELECT 'nation' AS \"table\", 'n_nationkey=' || n_nationkey || ', n_name=' || n_name || ', n_regionkey=' || n_regionkey AS text FROM nation WHERE n_nationkey < 3 "
-    "UNION ALL SELECT 'region', 'r_regionkey=' || r_regionkey || ', r_name=' || r_name FROM region WHERE r_regionkey < 3"
+    " UNION ALL ".join(
+        [
+            _sampled("nation", "'n_nationkey=' || n_nationkey || ', n_name=' || n_name || ', n_regionkey=' || n_regionkey"),
+            _sampled("region", "'r_regionkey=' || r_regionkey || ', r_name=' || r_name"),
+            _sampled("documents", "'doc_id=' || doc_id || ', lang=' || lang || ', source=' || source || ', n_chars=' || n_chars"),
+        ]
+    )
 )
 def table_samples(t):
-    """Of tables in the order of their keys; the sample of an unordered table is any of its rows."""
+    """Samples of tables in any order of rows."""
     catalog = Catalog(t.spark)
-    for name, key in (("region", "r_regionkey"), ("nation", "n_nationkey")):
-        catalog.register(name, getattr(t, name).orderBy(key))
+    for name in ("region", "nation", "documents"):
+        catalog.register(name, getattr(t, name).drop("text").repartition(3))
     return catalog.samples()
 
 

@@ -55,19 +55,20 @@ class Catalog:
         return self.spark.createDataFrame([r for name in self.tables() for r in self._rows(name)], COLUMNS)
 
     def sample(self, name: str, rows: int = 3) -> DataFrame:
-        return self.spark.table(name).limit(rows)
+        """(text): the rows of a table with the least hashes, as text; the same rows however the table is stored or read."""
+        table = self.spark.table(name)
+        pairs = [F.concat(F.lit(f"{c}="), F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("NULL"))) for c in table.columns]
+        return table.select(F.concat_ws(", ", *pairs).alias("text")).orderBy(F.md5(F.col("text").cast("binary")), "text").limit(rows)
 
     def fingerprint(self) -> str:
         """Changes whenever a table, column, type or key does."""
         return hashlib.sha256(repr([self._rows(name) for name in self.tables()]).encode()).hexdigest()
 
     def samples(self, rows: int = 3) -> DataFrame:
-        """(table, row, text) of the first rows of each table."""
+        """(table, text) of a sample of each table."""
         parts = []
         for name in self.tables():
-            table = self.sample(name, rows)
-            pairs = [F.concat(F.lit(f"{c}="), F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("NULL"))) for c in table.columns]
-            parts.append(table.select(F.lit(name).alias("table"), F.concat_ws(", ", *pairs).alias("text")))
+            parts.append(self.sample(name, rows).select(F.lit(name).alias("table"), "text"))
         if not parts:
             return self.spark.createDataFrame([], "table string, text string")
         out = parts[0]
