@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
-from .vectors import QUERY_ROWS, across, best, cleaned, filled_up, in_blocks, unpacked
+from .vectors import QUERY_ROWS, across, best, cleaned, filled_up, in_blocks, named, told_apart, unpacked
 
 SHARD_ROWS = 8192
 TREES = 32
@@ -162,17 +162,18 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     vectors: vec_id long, embedding array of numbers (more columns are ignored). Queries are the rows whose vec_id is divisible by
     `every`, candidates all rows but the query's own. Returns query_id, rank (from 1), vec_id, score, nearest first, ties to the
     smaller vec_id; fewer candidates than k give fewer rows. Vectors that are null, empty or zero or hold a null or non-finite
-    component take no part, nor do rows without an id. Shorter vectors count as filled up with zeros. Of rows that repeat an id
-    one counts. Equal vectors have equal scores. An empty table gives an empty result.
+    component take no part, nor do rows without an id. Shorter vectors count as filled up with zeros. Rows that
+    repeat an id are vectors of their own, each a query and a candidate of the others. Equal vectors have equal scores. An empty table gives an empty result.
     """
-    table = stored(cleaned(vectors, _usable))
+    table, renamed = told_apart(cleaned(vectors, _usable))
     longest, shortest, rows = table.agg(F.max(F.octet_length("vector")), F.min(F.octet_length("vector")), F.count(F.lit(1))).first()
     if not rows:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if longest != shortest:
         table = stored(filled_up(table, longest // 8))
-    dealt, shards = in_blocks(table, "v_block", SHARD_ROWS)
+    dealt, shards = in_blocks(table.drop("of"), "v_block", SHARD_ROWS)
     forests = stored(dealt.groupBy("v_block").applyInArrow(_built, "v_block int, ids binary, vectors binary, strings binary, order binary"))
-    asked, q_blocks = in_blocks(table.filter(F.col("vec_id") % every == 0), "q_block", QUERY_ROWS)
+    asked, q_blocks = in_blocks(table.filter(F.col("of") % every == 0).drop("of"), "q_block", QUERY_ROWS)
     asked = asked.mapInArrow(_hashed, "vec_id long, vector binary, q_block int, strings binary")
-    return best(across(asked, q_blocks, forests, shards, _searched(k), "query_id long, vec_id long, score double"), k)
+    found = best(across(asked, q_blocks, forests, shards, _searched(k), "query_id long, vec_id long, score double"), k)
+    return named(found, table) if renamed else found

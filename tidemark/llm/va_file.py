@@ -10,16 +10,20 @@ found passes the next bound and so is certain. Only the cells' bounds are fitted
 
 from __future__ import annotations
 
+import heapq
+import math
 from collections.abc import Iterator
+from fractions import Fraction
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import stored
-from .vectors import QUERY_ROWS, across, best, cleaned, filled_up, in_blocks, unpacked
+from .vectors import QUERY_ROWS, across, best, cleaned, filled_up, in_blocks, named, told_apart, unpacked
 
 CELLS = 256
 #: Vectors from which the cells' bounds are taken.
@@ -27,8 +31,12 @@ SAMPLE_ROWS = 20_000
 #: Cells of one block: 1 MB at 64 components; of which a scan takes so many vectors at a time.
 BLOCK_ROWS = 16_384
 SCAN_ROWS = 512
-#: Integer vectors with a sum of squares from here on take no part: their products may not fit a long.
+#: Integer vectors with a sum of squares from here on are long: products with them may not fit a long and are taken in whole numbers of any size.
 MOST_SQUARES = float(1 << 62)
+#: Long vectors, and others that meet them, of one block.
+LONG_ROWS = 1024
+#: Stands for a product below all longs.
+BELOW = -(1 << 63)
 
 
 class Cells:
@@ -63,11 +71,37 @@ class Cells:
         return np.where(size < 1 << 52, 0.0, size * 2.0**-40)
 
 
-def _whole(scale: int):
+def _whole(scale: int, long: bool):
+    """The integer vectors of one kind: as longs, or long ones as doubles, which hold them exactly (a scale of a power of two)."""
+
     def run(vector: np.ndarray) -> np.ndarray | None:
         with np.errstate(over="ignore"):
             x = np.floor(scale * vector)
-            return x.astype(np.int64) if (x * x).sum() < MOST_SQUARES else None
+            if ((x * x).sum() >= MOST_SQUARES) != long:
+                return None
+            return vector if long else x.astype(np.int64)
+
+    return run
+
+
+def _exact(vector: np.ndarray, scale: int) -> list[int]:
+    return [math.floor(scale * Fraction(x)) for x in vector.tolist()]
+
+
+def _long_products(scale: int, k: int):
+    """For each query of a block, its k highest products with a block of vectors, in whole numbers of any size; at least one of both is long."""
+
+    def run(asked: pa.Table, held: pa.Table) -> pa.Table:
+        ints = lambda t: [_exact(np.frombuffer(v, dtype=np.float64), scale) if w else np.frombuffer(v, dtype=np.int64).tolist() for v, w in zip(t.column("vector").to_pylist(), t.column("long").to_pylist(), strict=True)]
+        out = []
+        if len(asked) and len(held):
+            vectors = list(zip(held.column("vec_id").to_pylist(), ints(held), held.column("long").to_pylist(), strict=True))
+            for q, x, wide in zip(asked.column("vec_id").to_pylist(), ints(asked), asked.column("long").to_pylist(), strict=True):
+                scores = ((-sum(a * b for a, b in zip(x, y, strict=False)), v) for v, y, w in vectors if v != q and (wide or w))
+                out += [(q, v, max(-minus, BELOW)) for minus, v in heapq.nsmallest(k, scores)]
+        if any(score >= 1 << 63 for *_, score in out):
+            raise ValueError("a score doesn't fit a long")
+        return pa.table({c: pa.array([row[n] for row in out], pa.int64()) for n, c in enumerate(("query_id", "vec_id", "score"))})
 
     return run
 
@@ -173,12 +207,32 @@ def exact_top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 6
     vectors: vec_id long, embedding array of numbers (more columns are ignored). Components x count as floor(scale * x). Queries are the rows
     whose vec_id is divisible by `every`, candidates all rows but the query's own. Returns query_id, rank (from 1), vec_id,
     score; ties go to the smaller vec_id; fewer candidates than k give fewer rows. Vectors that are null or empty or hold a
-    null or non-finite component take no part, nor do rows without an id, nor integer vectors of a length of 2^31 or more, whose
-    products may not fit a long. Shorter vectors count as filled up with zeros. Of rows that repeat an id one counts. Equal vectors
-    are told apart by their ids. An empty table gives an empty result.
+    null or non-finite component take no part, nor do rows without an id. Shorter vectors count as filled up with zeros. Rows that
+    repeat an id are vectors of their own, each a query and a candidate of the others. Integer vectors of a length of 2^31 or
+    more are searched without bounds, block against block, in whole numbers of any size; a result that doesn't fit a long
+    raises an error. Equal vectors are told apart by their ids. An empty table gives an empty result.
     """
-    spark = vectors.sparkSession
-    table = stored(cleaned(vectors, _whole(scale)))
+    kind = lambda long: cleaned(vectors, _whole(scale, long)).withColumn("long", F.lit(long))
+    every_row = stored(kind(False).unionByName(kind(True)))
+    table, renamed = told_apart(every_row)
+    asks = F.col("of") % every == 0
+    found = _top_of_short(table.filter("not long").drop("long"), asks, k)
+    wide = table.filter("long")
+    if not wide.isEmpty():
+        pairs = [(table.filter(asks), wide), (wide.filter(asks), table.filter("not long"))]
+        parts = [found.select("query_id", "vec_id", "score")]
+        for asked, held in pairs:
+            (asked, q_blocks), (held, v_blocks) = in_blocks(asked, "q_block", LONG_ROWS), in_blocks(held, "v_block", LONG_ROWS)
+            parts.append(across(asked, q_blocks, held, v_blocks, _long_products(scale, k), "query_id long, vec_id long, score long"))
+        found = stored(best(reduce(DataFrame.unionByName, parts), k))
+        if not found.filter(F.col("score") == BELOW).isEmpty():
+            raise ValueError("a score doesn't fit a long")
+    return named(found, table) if renamed else found
+
+
+def _top_of_short(table: DataFrame, asks: Column, k: int) -> DataFrame:
+    """exact_top_k of integer vectors whose products fit a long, with ids that tell rows apart."""
+    spark = table.sparkSession
     longest, shortest, rows = table.agg(F.max(F.octet_length("vector")), F.min(F.octet_length("vector")), F.count(F.lit(1))).first()
     if not rows:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
@@ -189,8 +243,8 @@ def exact_top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 6
     part = table.filter(F.pmod(F.xxhash64("vec_id"), F.lit(max(1, rows // SAMPLE_ROWS))) == 0).select("vector").limit(2 * SAMPLE_ROWS)
     sample = np.frombuffer(b"".join(bytes(r.vector) for r in part.collect()), dtype=np.int64).reshape(-1, longest // 8).astype(np.float64)
     cells = spark.sparkContext.broadcast(Cells(sample if len(sample) else np.stack([least, most]), least, most))
-    held, v_blocks = in_blocks(stored(table.mapInArrow(_approximate(cells), "vec_id long, cells binary")), "v_block", BLOCK_ROWS)
-    asked, q_blocks = in_blocks(table.filter(F.col("vec_id") % every == 0), "q_block", QUERY_ROWS)
+    held, v_blocks = in_blocks(stored(table.select("vec_id", "vector").mapInArrow(_approximate(cells), "vec_id long, cells binary")), "v_block", BLOCK_ROWS)
+    asked, q_blocks = in_blocks(table.filter(asks).drop("of"), "q_block", QUERY_ROWS)
 
     lower = across(asked, q_blocks, held, v_blocks, _lower(cells, k), "query_id long, bounds array<struct<minus:double,vec_id:long>>")
     firsts = F.slice(F.sort_array(F.flatten(F.collect_list("bounds"))), 1, k)
@@ -202,7 +256,7 @@ def exact_top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 6
     query_vectors = table.select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query"))
 
     def read(visits: DataFrame) -> DataFrame:
-        return visits.select("query_id", "vec_id").join(table, "vec_id").join(query_vectors, "query_id").select("query_id", "vec_id", "vector", "query").mapInArrow(_products, "query_id long, vec_id long, score long")
+        return visits.select("query_id", "vec_id").join(table.drop("of"), "vec_id").join(query_vectors, "query_id").select("query_id", "vec_id", "vector", "query").mapInArrow(_products, "query_id long, vec_id long, score long")
 
     upto = k
     scored = stored(read(visits.filter(F.col("turn") <= upto)))

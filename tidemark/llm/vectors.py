@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import in_order, stored
+
 #: Queries of one block: 4 MB at 64 components.
 QUERY_ROWS = 8192
 
@@ -34,9 +36,7 @@ def clean_vectors(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
 
 def cleaned(vectors: DataFrame, usable: Callable[[np.ndarray], np.ndarray | None]) -> DataFrame:
     """(vec_id, vector): what `usable` makes of each vector, packed as bytes; rows without an id or for which it gives None are left out.
-
-    Of rows that repeat an id one stays. All numbers have eight bytes.
-    """
+    All numbers have eight bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -45,7 +45,24 @@ def cleaned(vectors: DataFrame, usable: Callable[[np.ndarray], np.ndarray | None
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([k for k, _ in kept], pa.int64())), pa.array([v for _, v in kept], pa.binary())], ["vec_id", "vector"])
 
     raw = vectors.filter("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    return raw.mapInArrow(run, "vec_id long, vector binary").groupBy("vec_id").agg(F.min("vector").alias("vector"))
+    return raw.mapInArrow(run, "vec_id long, vector binary")
+
+
+def told_apart(table: DataFrame) -> tuple[DataFrame, bool]:
+    """table with a vec_id for each row and a column `of`, and whether these are new: the ids themselves (`of`), or where rows repeat
+    one, the rows' places in the order of ids, so that ties go as before."""
+    kept = stored(table)
+    if kept.groupBy("vec_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+        return kept.withColumn("of", F.col("vec_id")), False
+    placed = in_order(kept, [F.col("vec_id"), F.col("vector")], [])
+    return stored(placed.withColumn("of", F.col("vec_id")).withColumn("vec_id", F.col("__number").cast("long")).drop("__number")), True
+
+
+def named(found: DataFrame, table: DataFrame) -> DataFrame:
+    """The rows found, under the ids that told_apart has replaced."""
+    at = lambda c: table.select(F.col("vec_id").alias(c), F.col("of").alias(f"{c}_of"))
+    out = found.join(at("query_id"), "query_id").join(at("vec_id"), "vec_id")
+    return out.select(F.col("query_id_of").alias("query_id"), "rank", F.col("vec_id_of").alias("vec_id"), "score")
 
 
 def filled_up(table: DataFrame, width: int) -> DataFrame:
