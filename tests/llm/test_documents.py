@@ -96,6 +96,16 @@ def test_near_duplicates(docs, texts):
     assert sorted((str(r.component_id), r.kept) for r in rows if r.doc_id is None) == [(str(want[20]), False), ("None", True)]
 
 
+@pytest.mark.parametrize("ids", [(3, 1, 7), (2**63 - 1, 2**63 - 2, 1), (-(2**63), 2**63 - 1, 0)])
+def test_rows_without_ids_link_as_all_others(spark, ids):
+    """A chain of near copies whose middle has no id is one component; two rows without ids that resemble only each other have none."""
+    text = lambda lo, hi: " ".join(f"w{k}" for k in range(lo, hi))
+    rows = [(ids[0], text(0, 100)), (None, text(10, 110)), (ids[1], text(20, 120)), (ids[2], text(500, 540)), (None, text(600, 640)), (None, text(600, 640) + " end")]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    least = min(ids[:2])
+    assert sorted((str(r.doc_id), str(r.component_id), r.kept) for r in got) == sorted([(str(i), str(least), i == least) for i in ids[:2]] + [(str(ids[2]), str(ids[2]), True), ("None", str(least), False), ("None", "None", True), ("None", "None", True)])
+
+
 def test_near_duplicates_one_large_group(spark):
     """A group too large for a bucket's join, of which no member resembles all others: links lie across blocks."""
     r = random.Random(2)

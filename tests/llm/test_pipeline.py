@@ -100,6 +100,13 @@ def test_stages_decide_on_rows(odd):
     assert packed.filter("piece = 0").count() == mixed.count()
 
 
+def test_rows_are_told_apart_beside_any_ids(spark):
+    rows = [(2**63 - 1, "a"), (None, "b"), (None, "b"), (-(2**63), "c"), (5, "d"), (5, "e")]
+    keyed, key = corpus_pipeline._keyed(spark.createDataFrame(rows, "doc_id long, text string"))
+    found = sorted((r[key], r.doc_id, r.text) for r in keyed.collect())
+    assert [k for k, *_ in found] == list(range(6)) and [i for _, i, _ in found] == [-(2**63), 5, 5, 2**63 - 1, None, None]
+
+
 def test_sequences_hold_all_tokens(spark, tables, tmp_path, monkeypatch):
     monkeypatch.setattr(corpus_pipeline, "kept", lambda spark, sf_dir: tables[3])
     corpus_pipeline.write_sequences(spark, DIR, str(tmp_path / "out"))

@@ -47,10 +47,15 @@ def new_path(spark: SparkSession, kind: str) -> str:
     return path
 
 
-def drop_stored(spark: SparkSession) -> None:
-    """Delete the tables and archives that this process has written to the shared folder. Results that still read them are lost."""
+def stored_so_far() -> int:
+    """A mark for drop_stored: how many tables and archives this process has written by now."""
+    return len(_written)
+
+
+def drop_stored(spark: SparkSession, since: int = 0) -> None:
+    """Delete the tables and archives that this process has written to the shared folder (since a mark). Results that still read them are lost."""
     files = spark._jvm.org.apache.hadoop.fs
-    while _written:
+    while len(_written) > since:
         path = files.Path(_written.pop())
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 

@@ -191,6 +191,16 @@ def _linked(texts: DataFrame, pairs: DataFrame, width: int, percent: int) -> Dat
     return pairs.select("a", "b").join(one, "a").join(two, "b").filter(similar).select("a", "b")
 
 
+def _free(rows: DataFrame) -> int:
+    """Where 2^62 numbers begin that no doc_id uses; raises ValueError where ids lie in all quarters of the longs."""
+    quarter = F.shiftright("doc_id", 61)  # from -4 to 3
+    used = {r[0] for r in rows.filter("doc_id is not null").select(quarter.alias("q")).distinct().collect()}
+    begins = [q << 61 for q in (2, 1, 0, -2, -1, -4, -3) if not {q, q + 1} & used]
+    if not begins:
+        raise ValueError("the ids leave no numbers for rows without one")
+    return begins[0]
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
     """Groups of documents whose sets of `width`-word shingles have a Jaccard similarity of percent / 100 or more.
 
@@ -199,30 +209,36 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
 
     Null or wordless texts have an empty set, link with nothing and are kept. Texts of fewer than `width` words are one
     shingle. Rows that share a doc_id are one document, so links of either hold for both, and both rows come out. Rows with a null
-    doc_id join the group of equal sets; where no member has an id, component_id is null and the row is kept. An empty
+    doc_id link as all others do and join the groups of what they resemble; where no member has an id, component_id is null and
+    the row is kept. A very long text is one set, whatever its size. An empty
     table gives an empty result. The bands and bounds hold for a percent of LEAST_PERCENT or more; less raises ValueError.
     """
     if percent < LEAST_PERCENT:
         raise ValueError(f"percent is {percent}, but links below {LEAST_PERCENT} would be missed")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+    # Rows without an id get numbers that no id uses, until the end.
+    if nameless := not texts.filter("doc_id is null").isEmpty():
+        begin = _free(texts)
+        numbers = stored(texts.filter("doc_id is null").select((F.lit(begin) + F.monotonically_increasing_id()).alias("doc_id"), "text"))
+        texts = texts.filter("doc_id is not null").unionByName(numbers)
     rows = stored(texts.mapInArrow(_features(width), "doc_id long, n_shingles long, key_hi long, key_lo long, sig binary"))
     full = rows.filter("n_shingles > 0")
     nodes = stored(full.groupBy("key_hi", "key_lo").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")))
-    known = nodes.filter("node is not null")
+    known = nodes
 
     buckets = known.select("node", "sig").mapInArrow(_bands, "bucket long, node long")
     crowded = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
     members = stored(buckets.join(crowded, "bucket"))
     met = members.groupBy("node").agg(F.sum("members").alias("met"))
     ranked = members.join(met, "node")
-    pivots = ranked.groupBy("bucket").agg((-F.max(F.struct("met", (-F.col("node")).alias("minus")))["minus"]).alias("pivot"))
+    pivots = ranked.groupBy("bucket").agg(F.bitwise_not(F.max(F.struct("met", F.bitwise_not("node").alias("minus")))["minus"]).alias("pivot"))
     starred = ranked.join(pivots, "bucket").filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
     estimated = stored(_estimated(starred, known))
 
     # First the best partner of each node, then whatever still lies between different components.
-    best = estimated.groupBy("a").agg(F.max_by("b", F.struct("estimate", (-F.col("b")).alias("x"))).alias("b"))
+    best = estimated.groupBy("a").agg(F.max_by("b", F.struct("estimate", F.bitwise_not("b").alias("x"))).alias("b"))
     same_id = full.select("doc_id", "key_hi", "key_lo").join(nodes, ["key_hi", "key_lo"]).filter("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    repeated = rows.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    repeated = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     same_id = same_id.join(repeated, same_id["a"] == repeated["doc_id"], "left_semi")
     roots = stored(connected(_linked(texts, best, width, percent).unionByName(same_id)))
 
@@ -240,6 +256,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     grouped = nodes.join(roots, "node", "left").select("key_hi", "key_lo", F.coalesce("root", "node").alias("component"))
     plain = rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     out = full.join(grouped, ["key_hi", "key_lo"]).select("doc_id", "n_shingles", F.col("component").alias("component_id")).unionByName(plain)
+    if nameless:  # a component is known by its smallest id, not by a number that stands for none
+        named = F.when(~F.col("doc_id").between(begin, begin + (1 << 62) - 1), F.col("doc_id"))
+        out = stored(out.withColumn("doc_id", named).withColumnRenamed("component_id", "component"))
+        least = out.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+        out = out.join(least, "component").select("doc_id", "n_shingles", "component_id")
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
