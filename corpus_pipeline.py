@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stored
+from tidemark.llm.common import drop_stored, in_order, stored, stored_so_far
 from tidemark.llm.mixing import mix
 from tidemark.llm.near_dedup import near_duplicates
 from tidemark.llm.packing import pack, sequences
@@ -23,19 +23,16 @@ BROADCAST_ROWS = 1_000_000
 
 
 def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
-    """docs with a column that tells all rows apart, and its name: the doc_id, where every row has one of its own; rows
-    without an id, and rows that share one, get numbers behind all ids. The smallest id of a group stays the smallest."""
+    """docs with a column that tells all rows apart, and its name: the doc_id, where every row has one of its own; else the rows'
+    places in the order of ids, those without one last. The smallest id of a group stays the smallest."""
     key = "row__"
     while key in docs.columns:
         key += "_"
-    shared = stored(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or doc_id is null").select(F.col("doc_id").alias("shared__"), F.lit(True).alias("several__")))
+    shared = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or doc_id is null")
     if shared.isEmpty():
         return docs.withColumn(key, F.col("doc_id").cast("long")), key
-    last = docs.agg(F.max(F.col("doc_id").cast("long"))).first()[0] or 0
-    behind = F.lit(max(last, 0)) + 1 + F.monotonically_increasing_id()
-    marked = docs.join(shared, F.col("doc_id").eqNullSafe(F.col("shared__")), "left")
-    numbered = marked.withColumn(key, F.when(F.col("several__"), behind).otherwise(F.col("doc_id").cast("long")))
-    return stored(numbered.drop("shared__", "several__")), key
+    placed = in_order(docs, [F.col("doc_id").asc_nulls_last()], [])
+    return stored(placed.withColumnRenamed("__number", key)), key
 
 
 def _without(docs: DataFrame, key: str, rows: DataFrame) -> DataFrame:
@@ -90,5 +87,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def write_sequences(spark: SparkSession, sf_dir: str, path: str) -> None:
-    """The token ids of every training sequence (sequence_id, ids) as a Parquet table."""
+    """The token ids of every training sequence (sequence_id, ids) as a Parquet table. What the stages have stored on the way goes."""
+    since = stored_so_far()
     sequences(pack(kept(spark, sf_dir), tokenizer_file(), with_ids=True)).write.parquet(path)
+    drop_stored(spark, since)
