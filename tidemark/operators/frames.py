@@ -7,9 +7,10 @@ back to the rows by a join on the order. What EXCLUDE takes out is taken from th
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -39,7 +40,13 @@ def grouped_frames(df: DataFrame, partition: list[str], order: list[str], value:
     parts = [(start, end)]
     if holds_own and exclude != "no others":  # the groups before and behind, without the own one
         parts = [p for p in ((start, -1) if start is None or start <= -1 else None, (1, end) if end is None or end >= 1 else None) if p is not None]
-    over = lambda f, name, p: f(name).over(line.rowsBetween(*_between(*p)))
+    back = Window.partitionBy(*partition).orderBy(*(F.col(f"`{c}`").desc() for c in order))
+
+    def over(f: Callable, name: str, p: tuple[int | None, int | None]) -> Column:
+        # A frame that only has a start grows along the reversed order; as it stands, Spark would sum it anew for each row.
+        grows = p[1] is None and p[0] is not None
+        return f(name).over(back.rowsBetween(Window.unboundedPreceding, -p[0]) if grows else line.rowsBetween(*_between(*p)))
+
     summed = lambda columns, f: reduce(f, columns) if columns else F.lit(None)
     both = lambda a, b: F.coalesce(a + b, a, b)
     kind = dict(peers.dtypes)
