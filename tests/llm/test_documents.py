@@ -205,6 +205,31 @@ def test_mixing_draws_whole_range(spark):
     assert sum(halves) == pytest.approx(got.first().target, abs=1) and max(halves) < 1.1 * min(halves)
 
 
+@pytest.mark.parametrize("big", [4, 12, 40])
+def test_mixing_draws_with_unequal_probabilities(spark, big):
+    """Within a source, documents of as many binary digits are taken as often as their expected copies say, found by plain search."""
+    rng = random.Random(big)
+    rows = [(k, "w " * min(rng.randrange(1, 6) ** rng.randrange(1, 4), 40), "a") for k in range(12000)]
+    rows += [(k, "w " * big, "b") for k in range(12000, 24000)]
+    got = mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    hold_to_targets(got)
+    for source in "ab":
+        mine = [r for r in got if r.source == source]
+        size = Counter()
+        for r in mine:
+            size[(r.size + 1).bit_length()] += r.size
+        low, high = 0.0, 2.0
+        for _ in range(60):
+            level = (low + high) / 2
+            low, high = (level, high) if sum(w * min(2, level * d) for d, w in size.items()) < mine[0].target else (low, level)
+        for d in size:
+            copies = [r.copies for r in mine if (r.size + 1).bit_length() == d]
+            want = min(2, high * d)
+            assert set(copies) <= {int(want + 1e-9), min(int(want + 1e-9) + 1, 2)}
+            p = want % 1
+            assert sum(copies) / len(copies) == pytest.approx(want, abs=0.01 + 5 * (p * (1 - p) / len(copies)) ** 0.5)
+
+
 def test_sharding(docs, texts, tmp_path):
     rows = shard(docs, shards=8).collect()
     assert len(rows) == docs.count()

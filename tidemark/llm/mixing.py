@@ -1,10 +1,12 @@
 """Mixing sources to target weights by Pareto order sampling, in DataFrame operations only.
 
-A source's target over its size is the expected number of copies of each of its documents. The whole part is certain;
-the fraction p is an inclusion probability, which differs from source to source. Each document draws u and is ranked by
-the odds of u over the odds of p; a source takes its documents in that order until the words left of its target are used
-up, and then the one document outside whose size fits the gap best. No source is sorted as a whole: histograms of the
-words by rank find where the target falls, and only the documents of that narrow step are put in order.
+A document's expected number of copies grows with the number of binary digits of its size, as longer documents bear more
+repetition: it is those digits times its source's level, `most` at most, and levels are such that the expected words of a source
+are its target. The whole part is certain; the fraction p is an inclusion probability, unequal within a source and between
+sources. Each document draws u and is ranked by the odds of u over the odds of p; a source takes its documents in that
+order until the words left of its target are used up, and then the one document outside whose size fits the gap best. No
+source is sorted as a whole: histograms of the words by rank find where the target falls, and only the documents of that narrow
+step are put in order.
 """
 
 from __future__ import annotations
@@ -47,6 +49,33 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share
     return filled.select("source", "source_size", target.alias("target"))
 
 
+def digits(size: Column) -> Column:
+    """The binary digits of a size and one: what a document's expected copies are in proportion to."""
+    return F.length(F.bin(size + 1)).cast("long")
+
+
+def expected_copies(most: int) -> Column:
+    """Of a document with `digits`, in a source with source_size, target and level."""
+    full = F.col("target") >= (most * F.col("source_size")).cast("double")
+    risen = F.least(F.lit(float(most)), F.col("level") * F.col("digits"))
+    return F.when(F.col("source_size") == 0, 0.0).when(full, float(most)).otherwise(risen)
+
+
+def source_levels(classes: DataFrame, targets: DataFrame, most: int = MOST_COPIES) -> DataFrame:
+    """(source, source_size, target, level, rest) from (source, digits, words) and targets; rest: words that certain copies leave."""
+    table = classes.withColumnRenamed("source", "source_")
+    joined = table.join(targets, F.col("source").eqNullSafe(F.col("source_"))).drop("source_").filter("words > 0")
+    # Classes with more digits are full first; of the levels that overfill no class, the highest is right.
+    along = Window.partitionBy("source").orderBy(F.col("digits").desc())
+    before = F.coalesce(F.sum("words").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    weight = F.sum(F.col("words") * F.col("digits")).over(along.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    level = (F.col("target") - (most * before).cast("double")) / weight.cast("double")
+    risen = joined.withColumn("at", level)
+    levels = risen.withColumn("level", F.max(F.when(F.col("at") * F.col("digits") <= most, F.col("at"))).over(Window.partitionBy("source")))
+    certain = F.sum(F.floor(expected_copies(most)) * F.col("words"))
+    return levels.groupBy("source", "source_size", "target", "level").agg((F.col("target") - certain.cast("double")).alias("rest"))
+
+
 def _drawn(rows: DataFrame, seed: int) -> DataFrame:
     """rows with u and a number `again` that tells apart rows of one doc_id, source and text; rows that share a doc_id draw each on its own."""
     rows = stored(rows.withColumn("row", F.monotonically_increasing_id()))
@@ -72,18 +101,23 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[int, i
     """
     size = word_count(F.col("text").cast("string"))
     sized = stored(_drawn(docs.select("doc_id", "source", *more, size.alias("size"), F.xxhash64(F.col("text")).alias("text_hash")), seed))
-    sources = stored(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
-    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    targets = source_targets(sources, weights, share, most).withColumn("whole", F.floor(ratio))
-    targets = stored(targets.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")).withColumn("p", F.when(F.col("source_size") > 0, F.col("rest") / F.col("source_size")).otherwise(0.0)))
+    sized = sized.withColumn("digits", digits(F.col("size")))
+    classes = stored(sized.groupBy("source", "digits").agg(F.sum("size").alias("words")))
+    sources = stored(classes.groupBy("source").agg(F.sum("words").alias("source_size")))
+    targets = stored(source_targets(sources, weights, share, most))
 
     def by_source(rows: DataFrame, table: DataFrame, how: str = "inner") -> DataFrame:
         table = table.withColumnRenamed("source", "source_")
         return rows.join(table, F.col("source").eqNullSafe(F.col("source_")), how).drop("source_")
 
+    levels = source_levels(classes, targets, most).select("source", "level", "rest")
+    # Sources without words have no level.
+    targets = stored(by_source(targets, levels, "left"))
+    copied = by_source(sized, targets).withColumn("whole", F.floor(expected_copies(most)))
+    copied = copied.withColumn("p", expected_copies(most) - F.col("whole").cast("double"))
     odds = (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))
     rank = F.floor(odds / (1 + odds) * float(1 << RANK_BITS)).cast("long")
-    ranked = stored(by_source(sized, targets).withColumn("rank", F.when((F.col("p") > 0) & (F.col("p") < 1), rank)))
+    ranked = stored(copied.withColumn("rank", F.when((F.col("p") > 0) & (F.col("p") < 1), rank)))
     drawn = ranked.filter("rank is not null")
 
     def step(rows: DataFrame, shift: int) -> DataFrame:
@@ -109,12 +143,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[int, i
         (F.first("rest") - F.coalesce(F.max(F.when(F.col("sum") <= F.col("rest"), F.col("sum"))), F.lit(0))).alias("gap"),
     )
     cuts = stored(cuts)
-    beyond = by_source(ranked, cuts).filter(place >= F.col("cut"))
+    beyond = by_source(drawn, cuts).filter(place >= F.col("cut"))
     miss = F.abs(F.col("gap") - F.col("size"))
     closing = beyond.filter(miss < F.col("gap")).groupBy("source").agg(F.min(F.struct(miss.alias("miss"), *line)).alias("closing"))
     ends = stored(by_source(cuts, closing, "left"))
-    before_cut = F.coalesce((place < F.col("cut")).cast("long"), F.lit(0))
-    closes = F.coalesce((F.col("closing").isNotNull() & (place == F.struct(*(F.col(f"closing.{c}") for c in line)))).cast("long"), F.lit(0))
+    # A source without a cut has room for all that it draws.
+    before_cut = F.when(F.col("rank").isNull(), 0).when(F.col("cut").isNull() | (place < F.col("cut")), 1).otherwise(0)
+    closes = F.coalesce((F.col("closing").isNotNull() & F.col("rank").isNotNull() & (place == F.struct(*(F.col(f"closing.{c}") for c in line)))).cast("long"), F.lit(0))
     copies = (F.col("whole") + before_cut + closes).cast("long")
     out = by_source(ranked, ends, "left").withColumn("copies", copies)
     return out.select("doc_id", "size", "source", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), *more)

@@ -21,10 +21,12 @@ FROM s JOIN (SELECT x, min(y) AS component_id FROM r GROUP BY x) c ON c.x = s.do
 """
 
 op2_mixing = r"""
-WITH d AS (
+WITH n AS (
     SELECT doc_id, source, CAST(len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS BIGINT) AS size,
         (CAST(('0x' || substr(md5('0/' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13)) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
     FROM documents
+), d AS (
+    SELECT *, CAST(length(bin(size + 1)) AS BIGINT) AS digits FROM n
 ), s AS (
     SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source
 ), w AS (
@@ -36,14 +38,25 @@ WITH d AS (
 ), t AS (
     SELECT source, source_size, least(CAST(2 * source_size AS DOUBLE),
         weight * max(CASE WHEN l * weight <= 4 * source_size * rest THEN CAST(l AS DOUBLE) / CAST(2 * rest AS DOUBLE) END) OVER ()) AS target FROM f
+), b AS (
+    SELECT source, digits, CAST(sum(size) AS BIGINT) AS words FROM d GROUP BY source, digits HAVING sum(size) > 0
 ), p AS (
-    SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM t
+    SELECT b.*, t.source_size, t.target,
+        (t.target - CAST(2 * coalesce(sum(words) OVER (PARTITION BY b.source ORDER BY digits DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE))
+        / CAST(sum(words * digits) OVER (PARTITION BY b.source ORDER BY digits DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS level
+    FROM b JOIN t ON b.source IS NOT DISTINCT FROM t.source
+), v AS (
+    SELECT source, max(CASE WHEN level * digits <= 2 THEN level END) AS level FROM p GROUP BY source
+), x AS (
+    SELECT d.*, t.source_size, t.target,
+        CASE WHEN t.source_size = 0 THEN 0.0::DOUBLE WHEN t.target >= CAST(2 * t.source_size AS DOUBLE) THEN 2.0::DOUBLE ELSE least(2.0::DOUBLE, v.level * d.digits) END AS expected
+    FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN v ON d.source IS NOT DISTINCT FROM v.source
 ), q AS (
-    SELECT *, target - whole * source_size AS rest, CASE WHEN source_size > 0 THEN (target - whole * source_size) / source_size ELSE 0 END AS p FROM p
+    SELECT *, CAST(floor(expected) AS BIGINT) AS whole, expected - floor(expected) AS p FROM x
 ), r AS (
-    SELECT d.*, q.source_size, q.target, q.whole, q.rest, q.p,
-        CASE WHEN q.p > 0 AND q.p < 1 THEN (d.u / (1 - d.u)) / (q.p / (1 - q.p)) END AS odds
-    FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source
+    SELECT *, target - CAST(sum(whole * size) OVER (PARTITION BY source) AS DOUBLE) AS rest,
+        CASE WHEN p > 0 AND p < 1 THEN (u / (1 - u)) / (p / (1 - p)) END AS odds
+    FROM q
 ), k AS (
     SELECT *, CAST(floor(odds / (1 + odds) * 281474976710656.0::DOUBLE) AS BIGINT) AS rank FROM r
 ), c AS (
