@@ -206,10 +206,10 @@ def test_timeline(spark):
 def test_upload(engine, tmp_path):
     path = tmp_path / "My Data-2024.csv"
     path.write_text("a,b\n1,x\n2,y\n")
-    before = engine.index().fingerprint
+    before = engine.index().version
     got = engine.ingest_csv(str(path))
     assert (got["success"], got["table_name"], got["total_tables"]) == (True, "my_data_2024", 6)
-    assert engine.index().fingerprint != before and engine.sql("SELECT sum(a) AS s FROM my_data_2024").first().s == 3
+    assert engine.index().version > before and engine.sql("SELECT sum(a) AS s FROM my_data_2024").first().s == 3
     path.write_text("a\n5\n")
     engine.ingest_csv(str(path))
     assert engine.sql("SELECT * FROM my_data_2024").collect() == [(5,)]

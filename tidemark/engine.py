@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import time
+import uuid
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.chart import chart_spec
 from tidemark.operators.execute import MAX_ROWS, execute, json_value
 from tidemark.operators.insight import insight
-from tidemark.operators.retrieval import Index, retrieved
+from tidemark.operators.retrieval import Embedder, Index, retrieved
 from tidemark.operators.schema_docs import schema_documents
 from tidemark.operators.values import ValueIndex
 from tidemark.plans.compiler import shape, to_dataframe, to_sql
@@ -52,16 +53,17 @@ class Engine:
     the guard, with the reason of a refusal in its next prompt.
     """
 
-    def __init__(self, spark: SparkSession, base_dir: str, semantics: Semantics | None = None, model: TextModel | None = None):
-        self.spark, self.base_dir, self.semantics, self.model = spark, base_dir, semantics, model
+    def __init__(self, spark: SparkSession, base_dir: str, semantics: Semantics | None = None, model: TextModel | None = None, embed: Embedder | None = None):
+        self.spark, self.base_dir, self.semantics, self.model, self.embed = spark, base_dir, semantics, model, embed
         self.catalog = Catalog(spark)
         self._index: Index | None = None
         self._values = ValueIndex(spark, f"{base_dir}/values", semantics.named_columns() if semantics else {})
         self._unread: set[str] = set()
         self._sketches: dict[str, list[Sketch]] = {}
 
-    def register(self, name: str, df: DataFrame, keys: Keys | None = None) -> None:
-        self.catalog.register(name, df, keys)
+    def register(self, name: str, df: DataFrame, keys: Keys | None = None, version: str = "") -> None:
+        """Add a table or replace it. version: tells rows apart that the schema doesn't, such as those of two uploads."""
+        self.catalog.register(name, df, keys, version)
         self._unread.add(name)
         self._sketches.pop(name, None)
 
@@ -75,9 +77,10 @@ class Engine:
     def ingest_csv(self, path: str) -> dict[str, Any]:
         """Replace the table named after a CSV file by its contents."""
         name = table_name(path)
-        self.register(name, replace_table(read_csv(self.spark, path), name, f"{self.base_dir}/tables"))
+        self.register(name, replace_table(read_csv(self.spark, path), name, f"{self.base_dir}/tables"), version=uuid.uuid4().hex)
         self.find_keys()
         self.index()
+        Index.vacuum(self.spark, f"{self.base_dir}/index")
         return {"success": True, "table_name": name, "total_tables": len(self.catalog.tables()), "message": f"the table {name} is ready"}
 
     def find_keys(self) -> None:
@@ -87,17 +90,10 @@ class Engine:
                 self.catalog.keys[name] = keys
 
     def index(self) -> Index:
-        """The index over the present tables: the one at hand, the one kept, or a new one."""
-        now = self.catalog.fingerprint()
-        if self._index is None or self._index.fingerprint != now:
-            path = f"{self.base_dir}/index"
-            if self._index is not None:
-                self._index.drop()
-            found = Index.load(self.spark, path, now)
-            if found is None:
-                found = Index.build(schema_documents(self.catalog), now)
-                found.save(path)
-            self._index = found
+        """The index over the present tables: the one at hand, the one kept, or a version with what is new described."""
+        now = self.catalog.fingerprints()
+        if self._index is None or self._index.fingerprints != now:
+            self._index = Index.updated(self.spark, f"{self.base_dir}/index", now, lambda names: schema_documents(self.catalog, names), self.embed)
         return self._index
 
     def health(self) -> dict[str, Any]:

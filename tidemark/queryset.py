@@ -23,11 +23,13 @@ from tidemark.operators.intervals import overlap_join
 from tidemark.operators.json_tables import json_each, json_tree
 from tidemark.operators.retrieval import Index, inner_product
 from tidemark.operators.schema_docs import schema_documents
+from tidemark.operators.terms import search_texts
 from tidemark.operators.values import Match, indexed_values
 from tidemark.plans.compiler import shape, to_dataframe
 from tidemark.plans.guard import validate
 from tidemark.plans.planner import planned
 from tidemark.plans.semantics import TPCH
+from tidemark.session import new_folder
 from tidemark.sources.catalog import Catalog
 from tidemark.sources.keys import base_name, discovered
 
@@ -640,10 +642,14 @@ def agent_timeline(t):
     return timeline(log)
 
 
-@query("SELECT 'doughnut' AS type, 'region' AS label, ['revenue'] AS \"values\"")
+_CHOSEN = "SELECT {0} AS question, CASE WHEN {1} THEN 'line' WHEN count(DISTINCT label) <= 6 THEN 'doughnut' ELSE 'bar' END AS type, any_value(CASE WHEN {1} THEN 'month' ELSE {2} END) AS label, ['revenue'] AS \"values\" FROM (SELECT {3} AS label FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"
+
+
+@query(" UNION ALL ".join([_CHOSEN.format("'Sales by region'", "false", "'region'", "r_name"), _CHOSEN.format("'Sales by city'", "false", "'city'", "n_name"), _CHOSEN.format("'Show monthly sales trend'", "true", "'month'", "strftime(o_orderdate, '%Y-%m')")]))
 def chart_choice(t):
-    spec = chart_spec(_asked(t, "Sales by region"))
-    return t.spark.createDataFrame([(spec["type"], spec["label"], spec["values"])], "type string, label string, `values` array<string>")
+    """The charts that answers of a few labels, of many and over time are given."""
+    chosen = {question: chart_spec(_asked(t, question)) for question in ("Sales by region", "Sales by city", "Show monthly sales trend")}
+    return t.spark.createDataFrame([(q, s["type"], s["label"], s["values"]) for q, s in chosen.items()], "question string, type string, label string, `values` array<string>")
 
 
 @query("SELECT r_name AS label, CAST(count(*) AS DOUBLE) AS n FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
@@ -652,10 +658,44 @@ def chart_series_(t):
     return chart_series(counted, chart_spec(counted))
 
 
-@query("SELECT 'part' AS table_name")
+def _tfidf(texts: str, query: str, key: str, k: int, least: str) -> str:
+    """The k best of (id, text) by the cosine of word counts times ln((1 + texts) / (1 + texts with the word)) + 1."""
+    words = r"list_filter(list_transform(string_split_regex(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: regexp_replace(x, 's$', '')), lambda x: length(x) > 1)"
+    asked = words.format(f"'{query}'")
+    return (
+        f"WITH w AS (SELECT id, {words.format("coalesce(text, '')")} AS words FROM ({texts})), n AS (SELECT count(*) AS total FROM w), p AS (SELECT id, unnest(words) AS word FROM w), c AS (SELECT id, word, count(*) AS n FROM p GROUP BY ALL), "
+        "f AS (SELECT word, ln((1.0::DOUBLE + total) / (1.0::DOUBLE + count(DISTINCT id))) + 1 AS idf FROM p, n GROUP BY word, total), "
+        f"q AS (SELECT word, count(*) AS times FROM (SELECT unnest({asked}) AS word) GROUP BY word), l AS (SELECT coalesce(sqrt(sum(times * idf * times * idf)), 0) AS length FROM q JOIN f USING (word)), "
+        "s AS (SELECT id, sum(n * idf * coalesce(times, 0) * idf) AS product, sqrt(sum(n * idf * n * idf)) AS norm FROM c JOIN f USING (word) LEFT JOIN q USING (word) GROUP BY id) "
+        f"SELECT id AS {key}, CASE WHEN product > 0 THEN round(product / (norm * length), 9) ELSE 0 END AS score FROM s, l WHERE {least} ORDER BY score DESC, id LIMIT {k}"
+    )
+
+
+_SOUGHT = "the results of the market and the new price of energy"
+
+
+@query(_tfidf("SELECT doc_id AS id, text FROM documents", _SOUGHT, "doc_id", 50, "product > 0"))
+def text_search(t):
+    """The documents most like a query, by word frequencies over all of them."""
+    return search_texts(t.documents, "doc_id", "text", _SOUGHT, 50).withColumnRenamed("id", "doc_id")
+
+
+_DESCRIBED = {"region": "r_name", "nation": "n_name", "part": "p_type", "customer": "c_mktsegment", "orders": "o_orderpriority", "events": "event_type", "documents": "source"}
+_ASKED = "urgent orders of large and promo parts in Asia"
+
+
+@query(_tfidf(" UNION ALL ".join(f"SELECT '{name}' AS id, string_agg(DISTINCT {c}, ' ') AS text FROM {name}" for name, c in _DESCRIBED.items()), _ASKED, "table_name", 4, "true"))
 def index_search(t):
-    documents = schema_documents(tpch_catalog(t))
-    return Index.build(documents, "sample").search("p_name p_brand p_type p_retailprice", 1).select("table_name")
+    """The nearest tables, described by their values, in an index that two uploads made; the second replaced two tables."""
+
+    def described(names: list[str]) -> DataFrame:
+        texts = [getattr(t, n).agg(F.concat_ws(" ", F.sort_array(F.collect_set(_DESCRIBED[n]))).alias("document")).select(F.lit(n).alias("table_name"), "document") for n in names]
+        return reduce(DataFrame.unionByName, texts)
+
+    earlier = lambda names: described(names).withColumn("document", F.when(F.col("table_name").isin("part", "region"), "an earlier text").otherwise(F.col("document")))
+    folder = new_folder(t.spark, "index")
+    Index.updated(t.spark, folder, {n: "old" if n in ("part", "region") else "now" for n in _DESCRIBED}, earlier)
+    return Index.updated(t.spark, folder, dict.fromkeys(_DESCRIBED, "now"), described).search(_ASKED, 4).select("table_name", "score")
 
 
 @query("SELECT n_name AS city, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) / count(o_totalprice) AS order_value FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")

@@ -26,9 +26,11 @@ class Catalog:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.keys: dict[str, Keys] = {}
+        self.versions: dict[str, str] = {}
 
-    def register(self, name: str, df: DataFrame, keys: Keys | None = None) -> None:
+    def register(self, name: str, df: DataFrame, keys: Keys | None = None, version: str = "") -> None:
         df.createOrReplaceTempView(name)
+        self.versions[name] = version
         self.keys[name] = keys or Keys()
 
     def tables(self) -> list[str]:
@@ -50,9 +52,9 @@ class Catalog:
         """The columns of a table in their order."""
         return self.spark.createDataFrame(self._rows(name), COLUMNS)
 
-    def columns(self) -> DataFrame:
-        """The columns of all tables."""
-        return self.spark.createDataFrame([r for name in self.tables() for r in self._rows(name)], COLUMNS)
+    def columns(self, names: list[str] | None = None) -> DataFrame:
+        """The columns of the tables named, or of all."""
+        return self.spark.createDataFrame([r for name in names or self.tables() for r in self._rows(name)], COLUMNS)
 
     def sample(self, name: str, rows: int = 3) -> DataFrame:
         """(text): the rows of a table with the least hashes, as text; the same rows however the table is stored or read."""
@@ -60,14 +62,14 @@ class Catalog:
         pairs = [F.concat(F.lit(f"{c}="), F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("NULL"))) for c in table.columns]
         return table.select(F.concat_ws(", ", *pairs).alias("text")).orderBy(F.md5(F.col("text").cast("binary")), "text").limit(rows)
 
-    def fingerprint(self) -> str:
-        """Changes whenever a table, column, type or key does."""
-        return hashlib.sha256(repr([self._rows(name) for name in self.tables()]).encode()).hexdigest()
+    def fingerprints(self) -> dict[str, str]:
+        """For each table a text that changes whenever its version, a column, a type or a key of it does."""
+        return {name: hashlib.sha256(repr((self.versions.get(name, ""), self._rows(name))).encode()).hexdigest() for name in self.tables()}
 
-    def samples(self, rows: int = 3) -> DataFrame:
-        """(table, text) of a sample of each table."""
+    def samples(self, rows: int = 3, names: list[str] | None = None) -> DataFrame:
+        """(table, text) of a sample of each table named, or of all."""
         parts = []
-        for name in self.tables():
+        for name in names or self.tables():
             parts.append(self.sample(name, rows).select(F.lit(name).alias("table"), "text"))
         if not parts:
             return self.spark.createDataFrame([], "table string, text string")
