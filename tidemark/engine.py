@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 import time
 import uuid
 from dataclasses import dataclass, field
@@ -24,6 +25,7 @@ from tidemark.plans.semantics import Semantics
 from tidemark.sources.catalog import Catalog, Keys
 from tidemark.sources.csv import read_csv, replace_table, table_name
 from tidemark.sources.keys import Sketch, discovered
+from tidemark.sources.script import run_script
 
 ATTEMPTS = 3
 RETRIEVED = 5
@@ -83,6 +85,14 @@ class Engine:
         Index.vacuum(self.spark, f"{self.base_dir}/index")
         return {"success": True, "table_name": name, "total_tables": len(self.catalog.tables()), "message": f"the table {name} is ready"}
 
+    def bootstrap(self, path: str) -> list[str]:
+        """The tables of a script of CREATE TABLE and INSERT statements; a script that has run before is not run again."""
+        row = self.spark.read.text(path, wholetext=True).first()
+        made = run_script(self.spark, row.value if row else "", self.base_dir)
+        for name, (df, keys) in made.items():
+            self.register(name, df, keys, version=hashlib.sha256(row.value.encode()).hexdigest())
+        return list(made)
+
     def find_keys(self) -> None:
         """Give tables that came without keys those that their rows show."""
         for name, keys in discovered({name: self.spark.table(name) for name in self.catalog.tables()}, self._sketches).items():

@@ -21,6 +21,7 @@ from tidemark.operators.frames import grouped_frames
 from tidemark.operators.insight import facts
 from tidemark.operators.intervals import overlap_join
 from tidemark.operators.json_tables import json_each, json_tree
+from tidemark.operators.medians import medians
 from tidemark.operators.retrieval import Index, inner_product
 from tidemark.operators.schema_docs import schema_documents
 from tidemark.operators.terms import search_texts
@@ -32,6 +33,7 @@ from tidemark.plans.semantics import TPCH
 from tidemark.session import new_folder
 from tidemark.sources.catalog import Catalog
 from tidemark.sources.keys import base_name, discovered
+from tidemark.sources.script import run_script
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "embeddings")
 #: The day that relative time ranges refer to.
@@ -306,15 +308,8 @@ def grouping_sets(t):
 
 @query("SELECT event_type, quantile_cont(value, 0.5) AS median FROM events GROUP BY event_type")
 def percentile(t):
-    """The median from the counts of distinct values, summed up in order: no group is held in memory."""
-    counted = t.events.filter("value is not null").groupBy("event_type", "value").agg(rows().alias("n"))
-    w = Window.partitionBy("event_type")
-    upto = counted.select("event_type", "value", "n", F.sum("n").over(w.orderBy("value")).alias("upto"))
-    whole = counted.groupBy("event_type").agg(F.sum("n").alias("whole"))
-    lower, upper = F.floor((F.col("whole") + 1) / 2), F.floor((F.col("whole") + 2) / 2)
-    holds = lambda place: (F.col("upto") >= place) & (F.col("upto") - F.col("n") < place)
-    middle = upto.join(whole, "event_type").filter(holds(lower) | holds(upper))
-    return middle.groupBy("event_type").agg(((F.min("value") + F.max("value")) / 2).alias("median"))
+    """The median of each type, found by counting values in ever narrower ranges: no type's values are in one task."""
+    return medians(t.events, "event_type", "value")
 
 
 @query("SELECT time_bucket(INTERVAL 1 day, ts) AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
@@ -698,6 +693,20 @@ def index_search(t):
     return Index.updated(t.spark, folder, dict.fromkeys(_DESCRIBED, "now"), described).search(_ASKED, 4).select("table_name", "score")
 
 
+_SCRIPT = """
+-- what customers have spent; 'none' for those without orders
+CREATE TABLE spent (custkey BIGINT PRIMARY KEY, total DOUBLE NOT NULL, n BIGINT DEFAULT 0, tier STRING DEFAULT 'buys; often');
+INSERT INTO spent (custkey, total, n) SELECT o_custkey, sum(CAST(o_totalprice AS DECIMAL(18,2))), count(*) FROM orders GROUP BY o_custkey;
+INSERT INTO spent (custkey, total, tier) SELECT c_custkey, 0, NULL FROM customer LEFT ANTI JOIN orders ON o_custkey = c_custkey;
+"""
+
+
+@query("SELECT c_custkey AS custkey, coalesce(CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE), 0) AS total, count(o_orderkey) AS n, CASE WHEN count(o_orderkey) > 0 THEN 'buys; often' END AS tier FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
+def scripted_table(t):
+    """A table that a script makes, its rows inserted from queries."""
+    return run_script(t.views("orders", "customer"), _SCRIPT, new_folder(t.spark, "script"))["spent"][0]
+
+
 @query("SELECT n_name AS city, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) / count(o_totalprice) AS order_value FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
 def average_by_city(t):
     return _asked(t, "Average order value by city")
