@@ -278,11 +278,12 @@ def test_forest_descends_and_ascends():
     x = np.random.default_rng(1).standard_normal((400, 8))
     x[7] = x[3]
     forest, strings = hash_forest.Forest.build(x), hash_forest.hash_strings(x)
-    shared = lambda a, b: next((k for k in range(64) if (int(a) ^ int(b)) >> (63 - k) & 1), 64)
+    symbols = lambda a: [int(a) >> 7 * k & 127 for k in reversed(range(9))]
+    shared = lambda a, b: next((k for k, (x, y) in enumerate(zip(symbols(a), symbols(b), strict=True)) if x != y), 9)
     depths = forest.depths(strings, np.ones(400, dtype=bool))
     for q in (0, 3, 7, 399):
         assert all(depths[t, q] == max(shared(strings[t, q], strings[t, i]) for i in range(400) if i != q) for t in range(4))
-        for level in (0, 1, 5, 64):
+        for level in (0, 1, 2, 9):
             lo, hi = forest.ranges(strings[:, [q]], np.array([level]))
             for t in range(4):
                 assert set(forest.order[t, lo[t, 0] : hi[t, 0]]) == {i for i in range(400) if shared(strings[t, q], strings[t, i]) >= level}
@@ -295,6 +296,28 @@ def test_hash_forest_recall_on_the_table(spark, sf):
     assert recall(want, by_query(nearest(table).collect())) >= 0.9
 
 
+def test_forest_scores_few(spark):
+    """Of the given table, where vectors have little structure, less than a fifth is scored; recall is tested above."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()
+    x, own = np.array([r.embedding for r in rows], dtype=np.float64), np.array([n for n, r in enumerate(rows) if r.vec_id % 20 == 0])
+    forest, strings = hash_forest.Forest.build(x), hash_forest.hash_strings(x[own])
+    least = int(hash_forest.SCORED * len(x)) + hash_forest.SCORED_K * 20
+    met = list(forest.candidates(strings, own, least))
+    assert all(len(m) >= least and n not in m for m, n in zip(met, own, strict=True))
+    assert np.mean([len(m) for m in met]) < 0.2 * len(x)
+
+
+def test_forest_ascends_from_a_small_group(spark):
+    """Five near-equal vectors meet in all trees, yet each query gets k rows, the group's first."""
+    random = np.random.default_rng(4)
+    x = random.standard_normal((400, 16))
+    x[:100:20] = 9 * x[0] + 1e-6 * random.standard_normal((5, 16))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = by_query(nearest(table).collect())
+    assert set(got) == set(range(0, 400, 20)) and all(len(found) == 20 for found in got.values())
+    assert all({i for i, _ in got[q][:4]} == set(range(0, 100, 20)) - {q} for q in range(0, 100, 20))
+
+
 @pytest.mark.parametrize("run", [exact_top_k, nearest])
 def test_few_vectors(vectors, run):
     assert run(vectors.limit(0)).count() == 0

@@ -1,10 +1,12 @@
 """Approximate nearest neighbours by a forest of hash prefixes.
 
 The vectors are dealt at random to shards of a bounded size, every row to one. A shard is a forest, built once and stored:
-in each tree, the vectors have a string of 64 sign bits of random projections and are kept sorted by it. A query descends in
-every tree to the longest prefix that it shares with another vector there, which differs from tree to tree. From the deepest of
-these levels it ascends in all trees together, one bit at a time; a tree joins in at its own depth. The ascent ends when
-the ranges of the sorted arrays hold enough candidates, which are then scored exactly. The best of the shards are merged.
+in each tree, the vectors have a string of 9 symbols and are kept sorted by it. A symbol (7 bits) tells which of 64 random
+directions a vector is nearest to, and on which side; near vectors share it far more often than they share 7 signs of
+projections. A query descends in every tree to the longest prefix that it shares with another vector there, which differs from
+tree to tree. From the deepest of these levels it ascends in all trees together, one symbol at a time; a tree joins in at its own
+depth. The ascent ends when the ranges of the sorted arrays hold enough candidates. Those that most trees have met are scored
+exactly. The best of the shards are merged.
 """
 
 from __future__ import annotations
@@ -20,25 +22,28 @@ from .common import stored
 from .vectors import QUERY_ROWS, across, best, cleaned, filled_up, in_blocks, named, told_apart, unpacked
 
 SHARD_ROWS = 8192
-TREES = 32
-BITS = 64
-#: Candidates at which the ascent ends, all trees together and met twice counted twice, as a multiple of a shard's rows. On
-#: vectors without structure (64 components at random) this visits 0.7 of the rows and finds 0.97 of the neighbours; on
-#: clustered ones the ascent ends within the cluster.
-CANDIDATES = 1.0
+TREES = 128
+SYMBOLS, DIRECTIONS = 9, 64
+SYMBOL_BITS = 7
+#: Candidates that are scored at least (all rows, if fewer): this share of a shard's rows, and so many times k. The ascent ends
+#: when as many are met; of more, those that as many trees have met as leave this number, ties included.
+SCORED, SCORED_K = 0.06, 7
 SEED = 20
 
-_ALL = np.uint64(2**64 - 1)
-
 
 def hash_strings(vectors: np.ndarray) -> np.ndarray:
-    """The hash string, a number of 64 bits, of each vector (column) in each tree (row)."""
+    """The hash string, a number of 63 bits, of each vector (column) in each tree (row). A vector's length doesn't matter."""
     random = np.random.default_rng(SEED)
-    out = np.empty((TREES, len(vectors)), dtype=np.uint64)
-    with np.errstate(over="ignore", invalid="ignore"):
-        for tree in range(TREES):
-            signs = vectors @ random.standard_normal((BITS, vectors.shape[1])).T > 0
-            out[tree] = np.packbits(signs, axis=1).view(">u8").ravel()
+    out = np.zeros((TREES, len(vectors)), dtype=np.uint64)
+    largest = np.abs(vectors).max(axis=1, initial=0, keepdims=True)
+    unit = (vectors / np.where(largest > 0, largest, 1)).astype(np.float32)
+    rows = np.arange(len(vectors))
+    for tree in range(TREES):
+        for _ in range(SYMBOLS):
+            along = unit @ random.standard_normal((DIRECTIONS, vectors.shape[1]), dtype=np.float32).T
+            nearest_to = np.abs(along).argmax(axis=1)
+            symbol = 2 * nearest_to + (along[rows, nearest_to] > 0)
+            out[tree] = out[tree] << np.uint64(SYMBOL_BITS) | symbol.astype(np.uint64)
     return out
 
 
@@ -64,41 +69,42 @@ class Forest:
         return cls(np.take_along_axis(strings, order, axis=1), order)
 
     def depths(self, strings: np.ndarray, inside: np.ndarray) -> np.ndarray:
-        """For each tree and query, the longest prefix shared with a vector other than the query itself; inside: whether it is one of the vectors."""
+        """For each tree and query, the symbols of the longest prefix shared with a vector other than the query itself; inside: whether it is one of the vectors."""
         out = np.empty(strings.shape, dtype=np.int64)
         for tree, (own, wanted) in enumerate(zip(self.strings, strings, strict=True)):
             lo, hi = np.searchsorted(own, wanted, "left"), np.searchsorted(own, wanted, "right")
-            near = [BITS - _bit_length(own[np.clip(at, 0, len(own) - 1)] ^ wanted) * 1 for at in (lo - 1, hi)]
+            near = [SYMBOLS - -(-_bit_length(own[np.clip(at, 0, len(own) - 1)] ^ wanted) // SYMBOL_BITS) for at in (lo - 1, hi)]
             before, behind = np.where(lo > 0, near[0], 0), np.where(hi < len(own), near[1], 0)
-            out[tree] = np.where(hi - lo > inside, BITS, np.maximum(before, behind))
+            out[tree] = np.where(hi - lo > inside, SYMBOLS, np.maximum(before, behind))
         return out
 
     def ranges(self, strings: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """In each tree, the range of the sorted array that shares the first `level` bits with each string."""
-        rest = np.where(level == 0, _ALL, _ALL >> np.minimum(level, BITS - 1).astype(np.uint64))
-        rest = np.where(level == BITS, np.uint64(0), rest)
+        """In each tree, the range of the sorted array that shares the first `level` symbols with each string."""
+        rest = (np.uint64(1) << (SYMBOL_BITS * (SYMBOLS - level)).astype(np.uint64)) - np.uint64(1)
         lo = np.stack([np.searchsorted(own, s & ~rest, "left") for own, s in zip(self.strings, strings, strict=True)])
         hi = np.stack([np.searchsorted(own, s | rest, "right") for own, s in zip(self.strings, strings, strict=True)])
         return lo, hi
 
-    def candidates(self, strings: np.ndarray, own: np.ndarray, enough: int) -> Iterator[np.ndarray]:
-        """For each query the rows met when the ascent ends; own: each query's row here, or -1."""
+    def candidates(self, strings: np.ndarray, own: np.ndarray, least: int) -> Iterator[np.ndarray]:
+        """For each query the rows to score, at least `least` or all others; own: each query's row here, or -1."""
         level = self.depths(strings, own >= 0).max(axis=0)
         lo, hi = self.ranges(strings, level)
-        while True:
-            up = ((hi - lo).sum(axis=0) < enough) & (level > 0)
-            if not up.any():
-                break
+        while (up := ((hi - lo).sum(axis=0) < least) & (level > 0)).any():
             level = level - up
             lo[:, up], hi[:, up] = self.ranges(strings[:, up], level[up])
-        met = np.zeros(self.order.shape[1], dtype=bool)
-        for q in range(strings.shape[1]):
-            met[:] = False
-            for tree, a, b in zip(self.order, lo[:, q], hi[:, q], strict=True):
-                met[tree[a:b]] = True
-            if own[q] >= 0:
-                met[own[q]] = False
-            yield np.flatnonzero(met)
+        for q, at in enumerate(level):
+            begin, end = lo[:, q], hi[:, q]
+            while True:
+                meetings = np.bincount(np.concatenate([tree[a:b] for tree, a, b in zip(self.order, begin, end, strict=True)]), minlength=self.order.shape[1])
+                if own[q] >= 0:
+                    meetings[own[q]] = 0
+                if at == 0 or np.count_nonzero(meetings) >= least:
+                    break
+                at -= 1
+                begin, end = (x[:, 0] for x in self.ranges(strings[:, [q]], np.array([at])))
+            met_so_often = np.cumsum(np.bincount(meetings)[::-1])[::-1]
+            often = max(1, int(np.count_nonzero(met_so_often >= least)) - 1)
+            yield np.flatnonzero(meetings >= often)
 
 
 def _built(table: pa.Table) -> pa.Table:
@@ -143,7 +149,7 @@ def _searched(k: int):
             names = asked.column("vec_id").to_pylist()
             own = np.array([place.get(q, -1) for q in names])
             queries, wanted = unpacked(asked.column("vector")), np.ascontiguousarray(unpacked(asked.column("strings"), np.uint64).T)
-            for q, at in enumerate(forest.candidates(wanted, own, int(CANDIDATES * len(ids)) + k)):
+            for q, at in enumerate(forest.candidates(wanted, own, int(SCORED * len(ids)) + SCORED_K * k)):
                 rows, scores = _highest(vectors, largest, at, queries[q], ids, k)
                 for to, x in zip(out, (np.full(len(rows), names[q]), ids[rows], scores), strict=True):
                     to.append(x)
@@ -164,6 +170,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     smaller vec_id; fewer candidates than k give fewer rows. Vectors that are null, empty or zero or hold a null or non-finite
     component take no part, nor do rows without an id. Shorter vectors count as filled up with zeros. Rows that
     repeat an id are vectors of their own, each a query and a candidate of the others. Equal vectors have equal scores. An empty table gives an empty result.
+    Directions are searched: where vectors differ much in length, long ones that point elsewhere are found less often.
     """
     table, renamed = told_apart(cleaned(vectors, _usable))
     longest, shortest, rows = table.agg(F.max(F.octet_length("vector")), F.min(F.octet_length("vector")), F.count(F.lit(1))).first()
