@@ -7,6 +7,7 @@ from tidemark.functions import axis_number, cell, is_time_label, pretty_sql
 from tidemark.operators.chart import chart_series, chart_spec
 from tidemark.operators.execute import as_text, capped, execute
 from tidemark.operators.insight import NO_ROWS, insight
+from tidemark.operators.values import indexed_values
 from tidemark.plans.guard import ValidationError, cleaned, validate
 from tidemark.sources.catalog import Catalog
 from tidemark.sources.csv import column_names, read_csv, table_name
@@ -166,3 +167,9 @@ def test_samples_do_not_depend_on_partitions(spark):
         catalog.register("numbers", spark.range(1000).withColumn("x", F.when(F.col("id") % 2 == 0, F.col("id") / 3)).repartition(parts))
         seen.add(tuple(r.text for r in catalog.samples().orderBy("text").collect()))
     assert len(seen) == 1 and len(seen.pop()) == 3
+
+
+def test_columns_of_many_values_are_indexed(spark):
+    rows = spark.range(110_000).select(F.concat(F.lit("Name#"), "id").alias("name"), F.lit("kind").alias("kind"))
+    found = indexed_values(rows, "t", ["name", "kind"])
+    assert found.count() == 110_001 and [r.value for r in found.filter("term = 'name 109999'").collect()] == ["Name#109999"]
