@@ -8,8 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators.frames import EXCLUDED, grouped_frames
-from tidemark.operators.intervals import overlap_join
+from tidemark.operators.intervals import overlap_join, span_totals
 from tidemark.operators.json_tables import json_each, json_tree
+from tidemark.queryset import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -92,3 +93,25 @@ def test_json_tables(spark):
     assert {(r.path, r.type) for r in tree if r.id == 5 and r.depth >= 2} == {("$.a.b", "array"), *((f"$.a.b[{k}]", t) for k, t in enumerate(["integer", "text", "null", "true", "real", "object"])), ("$.a.b[5].c", "array")}
     each = sorted((r.id, r.key, r.pos, r.type) for r in json_each(df.filter("id >= 5"), "text").collect())
     assert each == [(5, "a", 0, "object"), (5, "d", 1, "integer"), (6, None, 0, "array")]
+
+
+def test_totals_over_spans_make_no_pairs(spark, tmp_path):
+    """Odd rows against a plain count, and rows so dense that their pairs (10^9 and more) wouldn't end."""
+    r = random.Random(5)
+    points = [(None if k % 31 == 0 else r.randint(-50, 50), r.choice(["a", "b", None]), None if k % 3 else r.randint(-9, 9)) for k in range(300)]
+    spans = [(k // 2 if k % 17 else None, s, None if k % 23 == 0 else s + r.choice([-3, 0, 1, 4, 40, 200])) for k, s in ((k, r.randint(-60, 60)) for k in range(150))]
+    want = {}
+    for key, s, e in spans:
+        for at, by, v in points:
+            if None not in (at, s, e) and s <= at < e:
+                n, values = want.get((key, by), (0, ()))
+                want[key, by] = (n + 1, values if v is None else (*values, v))
+    frames = spark.createDataFrame(points, "at int, by string, v int").repartition(3), spark.createDataFrame(spans, "key int, s int, e int").repartition(2)
+    totals = lambda points, spans: span_totals(points, F.col("at"), ["by"], {"v": F.col("v")}, spans, (F.col("s"), F.col("e")), ["key"])
+    got = {(x.key, x.by): (x.n, x.v) for x in totals(*frames).collect()}
+    assert got == {k: (n, sum(v) if v else None) for k, (n, v) in want.items()}
+    assert totals(frames[0].limit(0), frames[1]).count() == totals(frames[0], frames[1].limit(0)).count() == 0
+
+    spark.range(60_000).select(F.col("id").alias("event_id"), F.timestamp_micros(F.col("id")).alias("ts"), F.when(F.col("id") % 2 == 0, "signup").otherwise("view").alias("event_type"), F.lit(0.5).alias("value")).write.parquet(f"{tmp_path}/events.parquet")
+    dense = QUERIES["events_within"](spark, str(tmp_path)).agg(F.count("*"), F.sum("n"), F.sum("value")).first()
+    assert tuple(dense) == (60_000, sum(60_000 - k for k in range(0, 60_000, 2)), sum(60_000 - k for k in range(0, 60_000, 2)) / 2)

@@ -1,4 +1,5 @@
 """Joins of intervals that overlap, as equi-joins on cells; no nested loop, and no key holds more than a bounded share of the rows.
+Totals over what overlaps need no pairs: `span_totals`.
 
 An interval of length n lies on the level whose cells are the next power of two wide, so it meets at most two cells there,
 and at most two on every level above. Each side goes into the cells of its own level and of the levels above that the other
@@ -8,11 +9,15 @@ them starts. Cells with very many rows are split: one side is dealt to slots by
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Rows of the dealt side in one slot of a cell, about.
 SLOT_ROWS = 100_000
+#: Cells of about as many instants each, in which running totals are taken.
+CELLS = 2000
 
 
 def _long(value: Column, kind: str) -> Column:
@@ -70,3 +75,37 @@ def overlap_join(left: DataFrame, right: DataFrame, left_bounds: tuple[Column, C
     once = (F.col("level") == F.greatest("left_level", "right_level")) & (F.call_function("shiftright", later, F.col("level")) == F.col("cell"))
     overlap = (F.col("left_start") < F.col("right_end")) & (F.col("right_start") < F.col("left_end"))
     return met.filter(once & overlap).select("left", "right")
+
+
+def span_totals(points: DataFrame, at: Column, by: list[str], sums: dict[str, Column], spans: DataFrame, bounds: tuple[Column, Column], keys: list[str]) -> DataFrame:
+    """For each value of the spans' `keys` and the points' `by`: how many points (n) lie within spans [start, end), and sums over them.
+
+    Pairs without a point are left out; a sum of nulls is null. sums are of whole numbers or decimals, so differences are exact.
+    No pair of a point and a span is made: totals up to the end less totals up to the start, from running totals within cells
+    of as many instants each and the totals of the cells before. Rows: those of the points, and instants times values of `by`.
+    """
+    kinds = dict(spans.select(bounds[0].alias("s"), bounds[1].alias("e")).dtypes) | dict(points.select(at.alias("at")).dtypes)
+    totals = {"n": F.count(F.lit(1))} | {f"sum{k}": F.sum(f"v{k}") for k in range(len(sums))} | {f"count{k}": F.count(f"v{k}") for k in range(len(sums))}
+    valued = points.select(_long(at, kinds["at"]).alias("at"), F.struct(*by).alias("by"), *(x.alias(f"v{k}") for k, x in enumerate(sums.values()))).filter("at is not null")
+    weights = valued.groupBy("at", "by").agg(*(x.alias(n) for n, x in totals.items()))
+    ends = spans.select(F.struct(*keys).alias("key"), _long(bounds[0], kinds["s"]).alias("s"), _long(bounds[1], kinds["e"]).alias("e")).filter("s < e")
+    marks = ends.select("key", F.explode(F.array(F.struct(F.col("s").alias("at"), F.lit(False).alias("up")), F.struct(F.col("e").alias("at"), F.lit(True).alias("up")))).alias("x")).select("key", "x.*")
+    instants, kinds_of = marks.select("at").distinct(), weights.select("by").distinct()
+
+    # Any cuts give the same totals; these make the cells about equal.
+    cuts = weights.select("at").union(instants).agg(F.percentile_approx("at", [k / CELLS for k in range(1, CELLS)], 10 * CELLS)).first()[0]
+    splits = [-float("inf"), *sorted({float(x) for x in cuts or [0]}), float("inf")]
+    in_cells = lambda df: Bucketizer(splits=splits, inputCol="place", outputCol="cell").transform(df.withColumn("place", F.col("at").cast("double"))).drop("place")
+    weights = in_cells(weights)
+    asked = in_cells(instants).crossJoin(F.broadcast(kinds_of))
+    line = Window.partitionBy("cell", "by").orderBy("at", "weighs").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # an instant's own points are behind it
+    both = weights.withColumn("weighs", F.lit(True)).unionByName(asked.withColumn("weighs", F.lit(False)), allowMissingColumns=True)
+    within = both.select("cell", "by", "at", "weighs", *(F.sum(n).over(line).alias(n) for n in totals)).filter("not weighs").drop("weighs")
+    before = Window.partitionBy("by").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)  # one row a cell
+    grid = points.sparkSession.range(len(splits) - 1).select(F.col("id").cast("double").alias("cell")).crossJoin(F.broadcast(kinds_of))
+    in_cell = grid.join(weights.groupBy("cell", "by").agg(*(F.sum(n).alias(n) for n in totals)), ["cell", "by"], "left")
+    starts = in_cell.select("cell", "by", *(F.sum(n).over(before).alias(f"{n}_before") for n in totals))
+    zero = F.lit(0)
+    upto = within.join(F.broadcast(starts), ["cell", "by"]).select("at", "by", *((F.coalesce(n, zero) + F.coalesce(f"{n}_before", zero)).alias(n) for n in totals))
+    differences = marks.join(upto, "at").groupBy("key", "by").agg(*(F.sum(F.when(F.col("up"), F.col(n)).otherwise(-F.col(n))).alias(n) for n in totals)).filter("n > 0")
+    return differences.select("key.*", "by.*", "n", *(F.when(F.col(f"count{k}") > 0, F.col(f"sum{k}")).alias(name) for k, name in enumerate(sums)))
