@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators.frames import EXCLUDED, grouped_frames
-from tidemark.operators.intervals import overlap_join, span_totals
+from tidemark.operators.intervals import met_others, overlap_join, span_totals
 from tidemark.operators.json_tables import json_each, json_tree
 from tidemark.queryset import QUERIES
 
@@ -112,6 +112,16 @@ def test_totals_over_spans_make_no_pairs(spark, tmp_path):
     assert got == {k: (n, sum(v) if v else None) for k, (n, v) in want.items()}
     assert totals(frames[0].limit(0), frames[1]).count() == totals(frames[0], frames[1].limit(0)).count() == 0
 
+    others = {}
+    for a in spans:
+        for b in spans:
+            if None not in (*a, *b) and max(a[1], b[1]) < min(a[2], b[2]) and a[0] != b[0]:
+                others.setdefault(a[0], []).append(b[0])
+    found = met_others(frames[1], "key", (F.col("s"), F.col("e")))
+    assert {x.key: (x.others, x.first) for x in found.collect()} == {k: (len(v), min(v)) for k, v in others.items()}
+
+    spark.range(60_000).select(F.col("id").alias("o_orderkey"), F.lit(1).alias("o_custkey"), F.lit("1998-02-06").cast("timestamp").alias("o_orderdate")).write.parquet(f"{tmp_path}/orders.parquet")
+    assert QUERIES["open_together"](spark, str(tmp_path)).groupBy("others", "first").count().orderBy("first").collect() == [(47_999, 1, 47_999), (47_999, 2, 1)]
     spark.range(60_000).select(F.col("id").alias("event_id"), F.timestamp_micros(F.col("id")).alias("ts"), F.when(F.col("id") % 2 == 0, "signup").otherwise("view").alias("event_type"), F.lit(0.5).alias("value")).write.parquet(f"{tmp_path}/events.parquet")
     dense = QUERIES["events_within"](spark, str(tmp_path)).agg(F.count("*"), F.sum("n"), F.sum("value")).first()
     assert tuple(dense) == (60_000, sum(60_000 - k for k in range(0, 60_000, 2)), sum(60_000 - k for k in range(0, 60_000, 2)) / 2)

@@ -1,5 +1,5 @@
 """Joins of intervals that overlap, as equi-joins on cells; no nested loop, and no key holds more than a bounded share of the rows.
-Totals over what overlaps need no pairs: `span_totals`.
+Totals over what overlaps need no pairs: `span_totals` and `met_others`.
 
 An interval of length n lies on the level whose cells are the next power of two wide, so it meets at most two cells there,
 and at most two on every level above. Each side goes into the cells of its own level and of the levels above that the other
@@ -109,3 +109,24 @@ def span_totals(points: DataFrame, at: Column, by: list[str], sums: dict[str, Co
     upto = within.join(F.broadcast(starts), ["cell", "by"]).select("at", "by", *((F.coalesce(n, zero) + F.coalesce(f"{n}_before", zero)).alias(n) for n in totals))
     differences = marks.join(upto, "at").groupBy("key", "by").agg(*(F.sum(F.when(F.col("up"), F.col(n)).otherwise(-F.col(n))).alias(n) for n in totals)).filter("n > 0")
     return differences.select("key.*", "by.*", "n", *(F.when(F.col(f"count{k}") > 0, F.col(f"sum{k}")).alias(name) for k, name in enumerate(sums)))
+
+
+def met_others(df: DataFrame, key: str, bounds: tuple[Column, Column]) -> DataFrame:
+    """(key, others, first): for each key, how many rows of other keys its intervals [start, end) overlap, and the least of those keys.
+
+    Keys that meet no other are left out. Only distinct intervals are joined, each with the number and the two least keys of its
+    rows, so the pairs grow with the different intervals and not with the rows; a key's own intervals meet in one row.
+    """
+    kinds = dict(df.select(bounds[0].alias("s"), bounds[1].alias("e")).dtypes)
+    own = df.select(F.col(key).alias("k"), _long(bounds[0], kinds["s"]).cast("long").alias("s"), _long(bounds[1], kinds["e"]).cast("long").alias("e")).filter("s < e and k is not null").groupBy("k", "s", "e").agg(F.count(F.lit(1)).alias("m"))
+    least = own.withColumn("rank", F.row_number().over(Window.partitionBy("s", "e").orderBy("k"))).filter("rank <= 2").groupBy("s", "e").agg(F.collect_list("k").alias("least"))
+    spans = own.groupBy("s", "e").agg(F.sum("m").alias("n")).join(least, ["s", "e"])
+    ends = (F.col("s"), F.col("e"))
+    met = overlap_join(spans, spans, ends, ends).groupBy("left.s", "left.e")
+    around = met.agg(F.sum("right.n").alias("met"), F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("right.least")))), 1, 2).alias("least"))
+    other = F.when(F.col("least")[0] != F.col("k"), F.col("least")[0]).otherwise(F.get("least", F.lit(1)))
+    counted = own.join(around, ["s", "e"]).groupBy("k").agg(F.sum(F.col("m") * F.col("met")).alias("met"), F.min(other).alias("first"), F.collect_list(F.struct("s", "e", "m")).alias("mine"))
+    both = lambda a, b: F.when((a["s"] < b["e"]) & (b["s"] < a["e"]), a["m"] * b["m"]).otherwise(F.lit(0).cast("long"))
+    zero = F.lit(0).cast("long")
+    same = F.aggregate("mine", zero, lambda n, a: n + F.aggregate("mine", zero, lambda m, b: m + both(a, b)))
+    return counted.select(F.col("k").alias(key), (F.col("met") - same).alias("others"), "first").filter("others > 0")
