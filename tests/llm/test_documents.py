@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -568,3 +569,15 @@ def test_pair_counts(monkeypatch, gathered):
             both[0] += n & (1 << 32) - 1
             both[1] += n >> 32
     assert found == want
+
+
+def test_folding_reads_words_once():
+    """As by the plain patterns, and in time linear in a word's length."""
+    r = random.Random(3)
+    signs = "ab cеё1@$_-0é́​­ſßİ①٣²Ⅷ𝒳α9z.\x1c"
+    for _ in range(20_000):
+        text = "".join(r.choice(signs) for _ in range(r.randint(0, 14)))
+        assert toxicity_module._signed_runs(text) == toxicity_module._WITH_SIGNS.sub(toxicity_module._unsigned, text) and toxicity_module._words(text) == toxicity_module._WORD.findall(text), text
+    began = time.process_time()
+    fold("a" * 60_000 + " 1")
+    assert time.process_time() - began < 1

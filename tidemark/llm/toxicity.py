@@ -15,6 +15,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -44,15 +45,26 @@ PAIR_WORDS = 200_000
 #: Pairs that a task gathers before it counts them (8 bytes each), and keys that it counts before it hands them on.
 GATHERED_PAIRS = 4_000_000
 COUNTED_KEYS = 200_000
+#: Words whose terms a task keeps at hand.
+KNOWN_WORDS = 100_000
+#: Terms in enough toxic documents, if they are at most so many, are known to the tasks that count all documents, so that no
+#: others are counted; with more, all are counted and those in too few dropped behind.
+KNOWN_TERMS = 500_000
+#: Pairs of numbered words travel as lists, one for each shard of a task's pairs: left * PAIR_BASE + right = list's number * SHARDS + shard.
+SHARDS = 4096
+PAIR_BASE = PAIR_WORDS + 3
+LISTED_PAIRS = 1_000_000
 
 # Letters of other alphabets that look like Latin ones, and signs that stand for letters.
-LOOKALIKES = str.maketrans("авеёкмнорстухіјѕԁһӏαβεικνορτυχ", "abeekmhopctyxijsdhlabeiknoptux")
+LOOKALIKES = {ord(x): y for x, y in zip("авеёкмнорстухіјѕԁһӏαβεικνορτυχ", "abeekmhopctyxijsdhlabeiknoptux", strict=True)}
+_ALIKE = frozenset(map(chr, LOOKALIKES))
 SIGNS = str.maketrans("01345789@$", "oieastbgas")
 #: Signs without width, and marks that stay apart from their letter in composed forms.
 UNSEEN = re.compile("[\u00ad\u0300-\u036f\u200b-\u200f\u2060-\u2064\u20d0-\u20ff\ufe00-\ufe0f\ufeff]")
 
 _SIGNED = re.compile(r"[0-9@$]")
 _WITH_SIGNS = re.compile(r"[^\W_]*[0-9@$][\w@$]*[^\W\d_]|[^\W\d_]+[0-9]+")
+_RUN = re.compile(r"[\w@$]+")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -61,14 +73,31 @@ def _unsigned(match: re.Match) -> str:
     return word.translate(SIGNS) if sum(map(str.isalpha, word)) >= 2 else word
 
 
+def _signed_runs(text: str) -> str:
+    """_WITH_SIGNS.sub(_unsigned, text), which looks only at the runs that hold a sign: its matches lie within them."""
+    out, done = [], 0
+    while sign := _SIGNED.search(text, done):
+        start, end = sign.start(), _RUN.match(text, sign.start()).end()
+        while start > done and _RUN.match(text[start - 1]):
+            start -= 1
+        out += text[done:start], _WITH_SIGNS.sub(_unsigned, text[start:end])
+        done = end
+    return "".join([*out, text[done:]])
+
+
 def fold(text: str) -> str:
     """Lower case, composed compatibility forms without unseen signs, look-alike letters and signs for letters as the letters."""
     text = text.lower()
-    try:
-        text.encode("ascii")
-    except UnicodeEncodeError:
-        text = UNSEEN.sub("", unicodedata.normalize("NFKC", UNSEEN.sub(_kept_mark, text))).lower().translate(LOOKALIKES)
-    return _WITH_SIGNS.sub(_unsigned, text) if _SIGNED.search(text) else text
+    if not text.isascii():
+        if UNSEEN.search("".join(set(text))):
+            text = UNSEEN.sub(_kept_mark, text)
+        text = unicodedata.normalize("NFKC", text)
+        if UNSEEN.search("".join(set(text))):
+            text = UNSEEN.sub("", text)
+        text = text.lower()
+        for sign in _ALIKE.intersection(text):
+            text = text.replace(sign, LOOKALIKES[ord(sign)])
+    return _signed_runs(text)
 
 
 def _kept_mark(match: re.Match) -> str:
@@ -81,6 +110,20 @@ def _letter(sign: str) -> bool:
     return sign.isalnum() and not sign.isdecimal()
 
 
+#: ASCII signs that aren't letters, as spaces.
+_GAPS = {n: " " for n in range(128) if not _letter(chr(n))}
+
+
+def _words(text: str) -> list[str]:
+    """_WORD.findall(text): signs that aren't letters become spaces."""
+    if text.isascii():
+        return text.translate(_GAPS).split()
+    for sign in set(text):
+        if sign != " " and not _letter(sign):
+            text = text.replace(sign, " ")
+    return text.split()
+
+
 @lru_cache(20_000)
 def _terms_of(word: str) -> tuple[str, ...]:
     """The terms that a word counts for: its beginnings, and itself."""
@@ -119,10 +162,26 @@ def _counts(keys_of: Callable[[str], Iterable[str]]):
 _TERM = "\t"
 
 
-def _terms_and_words(text: str) -> Iterator[str]:
-    distinct = set(_WORD.findall(text))
-    yield from {_TERM + term for word in distinct for term in _terms_of(word)}
-    yield from distinct
+def _terms_and_words(terms: frozenset[str] | None) -> Callable[[str], set[str]]:
+    """The words of a text and those of the terms (None: all) that they count for."""
+    known: dict[str, tuple[str, ...]] = {}
+
+    def run(text: str) -> set[str]:
+        words = set(_words(text))
+        out = set(words)
+        for word in words:
+            if (of := known.get(word)) is None:
+                if len(known) >= KNOWN_WORDS:
+                    known.clear()
+                of = known[word] = tuple(_TERM + term for term in _terms_of(word) if terms is None or term in terms)
+            out.update(of)
+        return out
+
+    return run
+
+
+def _terms_in(text: str) -> set[str]:
+    return {_TERM + term for word in set(_words(text)) for term in _terms_of(word)}
 
 
 def _pair_counts(shared, complete: bool):
@@ -154,7 +213,7 @@ def _pair_counts(shared, complete: bool):
 
         for batch in released(batches):
             for text, toxic in zip(_strings(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-                words = _WORD.findall(fold(text))
+                words = _words(fold(text))
                 if len(words) < 2:
                     continue
                 ids = np.array([number.get(w, -1) for w in words], dtype=np.int64)
@@ -172,6 +231,44 @@ def _pair_counts(shared, complete: bool):
     return run
 
 
+def _listed(pairs: np.ndarray, keys: list[str], n: np.ndarray, n_keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Lists (shard, pairs, keys, n) of pairs as numbers, then of pairs as text, a row for each shard."""
+    pairs = (pairs >> 32) * PAIR_BASE + (pairs & (1 << 32) - 1)
+    shard = np.array([crc32(key.encode()) % SHARDS for key in keys], dtype=np.int64)
+    for shard, values, n in ((pairs % SHARDS, pa.array((pairs // SHARDS).astype(np.int32)), n), (shard, pa.array(keys, pa.string()), n_keys)):
+        order = np.lexsort((n, shard))  # equal counts side by side are stored in few bytes
+        shard = shard[order]
+        at = np.append(np.flatnonzero(np.diff(shard, prepend=-1)), len(shard)).astype(np.int32)
+        columns = [pa.array(shard[at[:-1]], pa.int32()), *(pa.nulls(len(at) - 1, pa.list_(t)) for t in (pa.int32(), pa.string())), pa.ListArray.from_arrays(at, pa.array(n[order], pa.int64()))]
+        columns[1 if pa.types.is_integer(values.type) else 2] = pa.ListArray.from_arrays(at, values.take(pa.array(order)))
+        rows = pa.RecordBatch.from_arrays(columns, ["shard", "pairs", "keys", "n"])
+        for k in range(0, len(rows), 512):
+            yield rows.slice(k, 512)
+
+
+def _pair_lists(counts: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """What _pair_counts gives, as lists of about LISTED_PAIRS pairs in all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def listed() -> Iterator[pa.RecordBatch]:
+            numbers = [b for b in held if not b.column(0).null_count]
+            texts = [b for b in held if b.column(0).null_count]
+            joined = lambda part, c: np.concatenate([np.zeros(0, dtype=np.int64), *(b.column(c).to_numpy() for b in part)])
+            keys = [key for b in texts for key in b.column(1).to_pylist()]
+            yield from _listed(joined(numbers, 0), keys, joined(numbers, 2), joined(texts, 2))
+            held.clear()
+
+        for batch in counts(batches):
+            held.append(batch)
+            if sum(map(len, held)) >= LISTED_PAIRS:
+                yield from listed()
+        yield from listed()
+
+    return run
+
+
 class Matcher:
     """Aho-Corasick automaton over the weighted lexicon, with exception phrases."""
 
@@ -332,8 +429,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, threshold: fl
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
     train = texts.filter("not held_out").join(F.broadcast(known) if n_toxic + n_clean <= BROADCAST_LABELS else known, "doc_id")
 
-    def totals(keys_of: Callable[[], Callable[[str], Iterable[str]]]) -> DataFrame:
-        counted = train.select("text", "toxic").mapInArrow(lambda batches: _counts(keys_of())(batches), "key string, n long")
+    def totals(keys_of: Callable[[], Callable[[str], Iterable[str]]], rows: DataFrame = train) -> DataFrame:
+        counted = rows.select("text", "toxic").mapInArrow(lambda batches: _counts(keys_of())(batches), "key string, n long")
         return apart(counted.groupBy("key").agg(F.sum("n").alias("n")), "key")
 
     def apart(counted: DataFrame, *keys: str) -> DataFrame:
@@ -343,12 +440,15 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, threshold: fl
         """(key, n0, n1) of the pairs of words in enough clean documents; words: (key, n0) of all words in as many."""
         known = [r.key for r in words.orderBy(F.col("n0").desc(), "key").limit(PAIR_WORDS + 1).select("key").collect()]
         complete, known = len(known) <= PAIR_WORDS, known[:PAIR_WORDS]
-        numbers = _pair_counts(spark.sparkContext.broadcast(known), complete)
-        found = train.select("text", "toxic").mapInArrow(numbers, "pair long, key string, n long").groupBy("pair", "key").agg(F.sum("n").alias("n"))
+        numbers = _pair_lists(_pair_counts(spark.sparkContext.broadcast(known), complete))
+        listed = train.select("text", "toxic").mapInArrow(numbers, "shard int, pairs array<int>, keys array<string>, n array<long>").repartition("shard")
+        each = listed.select("shard", F.explode(F.arrays_zip(F.coalesce("pairs", F.array().cast("array<int>")), F.coalesce("keys", F.array().cast("array<string>")), F.col("n"))).alias("x"))
+        found = each.select("shard", F.col("x.0").alias("place"), F.col("x.1").alias("key"), F.col("x.n").alias("n")).groupBy("shard", "place", "key").agg(F.sum("n").alias("n"))
+        found = found.select((F.col("place").cast("long") * SHARDS + F.col("shard")).alias("pair"), "key", "n")
         found = apart(found, "pair", "key").filter((F.col("n0") >= EXCEPTION_DOCS) & no_likelier)
         names = F.broadcast(spark.createDataFrame(pa.table({"id": pa.array(range(len(known)), pa.int64()), "word": pa.array(known, pa.string())})))
         named = found
-        for name, id_ in (("left", F.shiftright("pair", 32)), ("right", F.col("pair").bitwiseAND((1 << 32) - 1))):
+        for name, id_ in (("left", F.floor(F.col("pair") / PAIR_BASE)), ("right", F.col("pair") % PAIR_BASE)):
             named = named.join(names.select(F.col("id").alias(f"{name}_id"), F.col("word").alias(name)), id_ == F.col(f"{name}_id"), "left")
         return named.select(F.coalesce("key", F.concat_ws(" ", "left", "right")).alias("key"), "n0", "n1")
 
@@ -356,7 +456,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, threshold: fl
     exceptions: frozenset[str] = frozenset()
     if n_toxic:
         is_term, no_likelier = F.col("key").startswith(_TERM), F.col("n0") * n_toxic >= F.col("n1") * n_clean
-        single = stored(totals(lambda: _terms_and_words).filter(F.when(is_term, F.col("n1") >= LEAST_DOCS).otherwise(F.col("n0") >= EXCEPTION_DOCS)))
+        toxic = stored(totals(lambda: _terms_in, train.filter("toxic = 1")).filter(F.col("n1") >= LEAST_DOCS).select(F.expr("substring(key, 2)")))
+        in_toxic = spark.sparkContext.broadcast(frozenset(term for (term,) in toxic.collect()) if toxic.count() <= KNOWN_TERMS else None)
+        single = stored(totals(lambda: _terms_and_words(in_toxic.value)).filter(F.when(is_term, F.col("n1") >= LEAST_DOCS).otherwise(F.col("n0") >= EXCEPTION_DOCS)))
         counts = stored(single.filter(is_term | no_likelier).unionByName(pairs_of(single.filter(~is_term))))
         cleanness, excepted = _candidates(counts, n_toxic, n_clean)
         if cleanness:  # a phrase that is clean only by a cleaner one beside it is none
