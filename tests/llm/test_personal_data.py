@@ -5,7 +5,9 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
+from tidemark.llm import pii
 from tidemark.llm.pii import KINDS, personal_data
 from tidemark.llm.queries import op11_personal_data
 
@@ -134,3 +136,13 @@ def test_op11_on_documents(spark):
 
 def test_nothing(spark):
     assert personal_data(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_all_spans_are_learnt_from(spark, monkeypatch):
+    tables = []
+    monkeypatch.setattr(pii, "stored", lambda df: tables.append(df.localCheckpoint()) or tables[-1])
+    rows = spark.range(5000).withColumn("text", F.concat(F.lit("10.1.2."), F.col("id") % 250))
+    spans = lambda rows: rows.selectExpr("id AS row", "'ip' AS kind", "3L AS start", "3L + length(text) AS end", "text", "'at ' AS before", "'' AS behind", "'at ' AS context")
+    pii.learnt(spans(rows), spans(rows.withColumn("text", F.concat(F.lit("300."), "text"))), trees=1, depth=1)
+    fitted = {r.label: r.n for r in tables[0].groupBy("label").agg(F.sum("weight").alias("n")).collect()}
+    assert fitted == {1.0: 25_000, 0.0: 5000}  # base spans as they are and in four forms

@@ -2,8 +2,8 @@
 
 Strict patterns with checks give the base spans of emails, IP addresses, card numbers and phone numbers. Wider generators propose
 more, which may overlap: written-out and bracketed signs, other separators, numbers without their prefix, and stretches of
-digit groups within longer clusters. Boosted trees judge a proposal by its form and its surroundings. They learn from a bounded
-sample: base spans, and these rewritten in the generators' forms, against proposals that no check confirms; most of these are
+digit groups within longer clusters. Boosted trees judge a proposal by its form and its surroundings. They learn from all
+rows: base spans, and these rewritten in the generators' forms, against proposals that no check confirms; most of these are
 no personal data. A threshold for each kind is set on rows that the trees haven't seen. Proposals above it that meet no base span
 are added, the likeliest first where they overlap.
 """
@@ -23,12 +23,10 @@ from pyspark.sql.window import Window
 from .common import stored
 
 KINDS = ("email", "ip", "card", "phone")
-#: About how many spans of each kind and label the trees are fitted to; about half as many again set the thresholds.
-SAMPLE = 2000
 TREES, DEPTH = 20, 4
 #: Least share of confirmed spans above a threshold (data in forms that no check confirms count against it), and the least threshold.
 PRECISION, LEAST_THRESHOLD = 0.8, 0.5
-#: Fewer confirmed spans of a kind in the sample teach nothing about it: none is added.
+#: Fewer confirmed spans of a kind teach nothing about it: none is added.
 LEAST_CONFIRMED = 20
 #: Code points of context before and behind a span.
 BEFORE, BEHIND = 48, 24
@@ -179,11 +177,6 @@ def described(spans: DataFrame) -> tuple[DataFrame, list[str]]:
     return spans.select("*", *(F.coalesce(x.cast("double"), F.lit(0.0)).alias(f"f_{n}") for n, x in numbers.items())), [f"f_{n}" for n in numbers]
 
 
-def _share(column: Column) -> Column:
-    """A number within [0, 1) of the row and span."""
-    return F.pmod(column, F.lit(1 << 40)) / float(1 << 40)
-
-
 def _rewritten(spans: DataFrame) -> DataFrame:
     """Base spans as they are and in the forms of REWRITTEN."""
 
@@ -197,41 +190,32 @@ def _rewritten(spans: DataFrame) -> DataFrame:
     return spans.withColumn("text", F.explode(F.array(F.col("text"), *(form(n) for n in range(4)))))
 
 
-def learnt(base: DataFrame, others: DataFrame, sample: int = SAMPLE, trees: int = TREES, depth: int = DEPTH):
-    """(model, features, {kind: threshold}) from about `sample` spans of each kind and label; None where there is nothing to learn.
+def learnt(base: DataFrame, others: DataFrame, trees: int = TREES, depth: int = DEPTH):
+    """(model, features, {kind: threshold}) from all spans; None where there is nothing to learn.
 
-    Spans are taken by a hash, so the sample depends neither on order nor on partitions; it is read by one task, as sums of doubles
-    depend on their order.
+    Spans that look alike (all numbers that the trees see) are one row with their count as its weight. A third of the spans, by
+    a hash of kind, text and place, isn't seen by the trees and sets the thresholds. The looks are read by one task, as sums of
+    doubles depend on their order.
     """
     labelled = base.withColumn("label", F.lit(1.0)).unionByName(others.withColumn("label", F.lit(0.0)))
     counts = {(r.kind, r.label): r.n for r in labelled.groupBy("kind", "label").agg(F.count(F.lit(1)).alias("n")).collect()}
     taught = [k for k in KINDS if counts.get((k, 1.0), 0) >= LEAST_CONFIRMED and counts.get((k, 0.0), 0)]
     if not taught:
         return None
-    place = F.xxhash64("row", "kind", "start", "end")
-    share = reduce(lambda out, x: F.when((F.col("kind") == x[0][0]) & (F.col("label") == x[0][1]), F.lit(1.5 * sample / x[1])).otherwise(out), counts.items(), F.lit(0.0))
-    drawn = labelled.filter(_share(place) < share).withColumn("unseen", F.pmod(F.xxhash64(place), F.lit(3)) == 0)
+    drawn = labelled.withColumn("unseen", F.pmod(F.xxhash64("kind", "text", "start", "end"), F.lit(3)) == 0)
     both = _rewritten(drawn.filter("label = 1")).unionByName(drawn.filter("label = 0"))
     numbers, names = described(both)
-    order = [F.col(c) for c in (*SPAN, "text")]
-    small = stored(numbers.select(*SPAN, "text", "label", "unseen", *names).coalesce(1).sortWithinPartitions(*order))
+    looks = ["kind", "label", "unseen", *names]
+    small = stored(numbers.groupBy(*looks).agg(F.count(F.lit(1)).cast("double").alias("weight")).coalesce(1).sortWithinPartitions(*looks))
     seen = VectorAssembler(inputCols=names, outputCol="features").transform(small)
     if seen.filter("not unseen").select("label").distinct().count() < 2:
         return None
-    model = GBTClassifier(maxIter=trees, maxDepth=depth, maxBins=64, stepSize=0.2, seed=1, cacheNodeIds=False).fit(seen.filter("not unseen").select("features", "label"))
-    thresholds = {}
-    held: dict[str, list[tuple[float, float]]] = {k: [] for k in taught}
-    for kind, p, label in model.transform(seen.filter("unseen")).select("kind", vector_to_array("probability")[1].alias("p"), "label").collect():  # of the sample
-        if kind in held:
-            held[kind].append((p, label))
-    for kind, rows in held.items():
-        right, n, level = 0.0, 0, None
-        for p, label in sorted(rows, reverse=True):
-            right, n = right + label, n + 1
-            if right >= PRECISION * n:
-                level = p
-        if level is not None:
-            thresholds[kind] = max(level, LEAST_THRESHOLD)
+    model = GBTClassifier(maxIter=trees, maxDepth=depth, maxBins=64, stepSize=0.2, seed=1, cacheNodeIds=False, weightCol="weight").fit(seen.filter("not unseen").select("features", "label", "weight"))
+    judged = model.transform(seen.filter(F.col("unseen") & F.col("kind").isin(taught))).select("kind", vector_to_array("probability")[1].alias("p"), "label", "weight")
+    levels = judged.groupBy("kind", "p").agg(F.sum("weight").alias("n"), F.sum(F.col("weight") * F.col("label")).alias("right"))
+    above = Window.partitionBy("kind").orderBy(F.col("p").desc())  # one row for each probability that the trees give
+    precise = levels.select("kind", "p", F.sum("n").over(above).alias("n"), F.sum("right").over(above).alias("right")).filter(F.col("right") >= PRECISION * F.col("n"))
+    thresholds = {r.kind: max(r.p, LEAST_THRESHOLD) for r in precise.groupBy("kind").agg(F.min("p").alias("p")).collect()}
     return (model, names, thresholds) if thresholds else None
 
 
@@ -248,14 +232,14 @@ def _chosen(spans: DataFrame) -> DataFrame:
     return listed.select("row", F.explode(kept).alias("span")).select("row", "span.kind", "span.start", "span.end")
 
 
-def personal_data(docs: DataFrame, sample: int = SAMPLE, trees: int = TREES, depth: int = DEPTH) -> DataFrame:
+def personal_data(docs: DataFrame, trees: int = TREES, depth: int = DEPTH) -> DataFrame:
     """The personal data of each whole text.
 
     docs: doc_id, text (more columns are ignored, whatever their names). Returns per row: doc_id, n_email, n_ip, n_card and n_phone
     (base spans), base_sha256 (of the base spans as `spans` has them), spans: kind:start:end of all spans, base and added, by kind
     as in KINDS, then start, joined by commas; in code points, end exclusive. Null and empty texts have no spans; a null doc_id
     stays null; repeated rows are answered each; an empty table gives an empty result. Very long texts, and clusters of very many
-    numbers, take time linear in their length. The trees are fitted to about `sample` spans of each kind and label (and their
+    numbers, take time linear in their length. The trees are fitted to all spans (and the base spans'
     rewritten forms); base spans are found in all rows and don't depend on them.
     """
     kept = stored(scanned(docs))
@@ -263,7 +247,7 @@ def personal_data(docs: DataFrame, sample: int = SAMPLE, trees: int = TREES, dep
     base, others = (stored(spans) for spans in proposed(hits))
     number = reduce(lambda out, k: F.when(F.col("kind") == KINDS[k], k).otherwise(out), range(len(KINDS)), F.lit(None).cast("int"))
     spans = base.select(*SPAN, F.lit(True).alias("base"))
-    if (found := learnt(base, others, sample, trees, depth)) is not None:
+    if (found := learnt(base, others, trees, depth)) is not None:
         model, names, thresholds = found
         numbers, _ = described(others.filter(F.col("kind").isin(*thresholds)))
         judged = model.transform(VectorAssembler(inputCols=names, outputCol="features").transform(numbers)).select(*SPAN, vector_to_array("probability")[1].alias("p"))
