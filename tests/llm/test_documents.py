@@ -571,6 +571,51 @@ def test_pair_counts(monkeypatch, gathered):
     assert found == want
 
 
+def test_pairs_that_cannot_be_exceptions_are_not_counted():
+    """The fewest clean documents of an exception, against trying all; of 2 rows of rare words only pairs beside a toxic one travel."""
+    import itertools
+
+    import numpy as np
+    import pyarrow as pa
+
+    for t0, t1 in itertools.product([0, 2, 3, 4, 7, 20, 60, 300], [0, 1, 3, 8, 30, 200]):
+        tried = [n0 for n0 in range(toxicity_module.EXCEPTION_DOCS, t0 + 1) if any(toxicity_module._margin(t0, t1, n0, n1) >= -1e-6 for n1 in range(t1 + 1))]
+        assert toxicity_module.least_clean(np.array([t0]), np.array([t1]))[0] == min(tried, default=np.inf)
+    rare = [f"r{a}{b}" for a in "abcdefghij" for b in "abcdefghij"]
+    shared = lambda x: type("Shared", (), {"value": x})
+    texts = pa.RecordBatch.from_arrays([pa.array([" ".join(rare), "ra wretch rb the rc the wretch"]), pa.array([0, 1])], ["text", "toxic"])
+    bounds = shared((np.array([40, 90, 4]), np.array([3, np.inf, np.inf])))  # "wretch" has exceptions from 3 documents on; unknown words are in 4 at most
+    found = [x for batch in toxicity_module._pair_counts(shared(["wretch", "the"]), False, bounds)(iter([texts])) for x in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+    assert sorted(x[1] or x[0] for x in found if x[0] is None) == ["ra wretch", "wretch rb"] and [x[0] for x in found if x[1] is None] == [1 << 32]
+
+
+def test_lists_of_counts():
+    """What tasks send as lists comes back: pairs as packed steps, in several runs of equal counts, and texts."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng, want = np.random.default_rng(1), {}
+    base, lists = toxicity_module.PAIR_BASE, []
+    for _ in range(3):
+        left, right = rng.integers(0, base, 3000), rng.integers(0, 50, 3000)
+        pairs, n = np.unique(left % 70 << 32 | right), rng.choice([3, 4, 300, 2 | 5 << 32, 1 << 32], 3000)
+        n = n[: len(pairs)]
+        keys = [f"a{k} b{k % 7}" for k in range(100)]
+        for k, x in [*zip(((pairs >> 32) * base + (pairs & (1 << 32) - 1)).tolist(), n.tolist(), strict=True), *((key, 1) for key in keys)]:
+            want[k] = want.get(k, 0) + x
+        lists += toxicity_module._listed(pairs, keys, n, np.ones(100, dtype=np.int64))
+    rows = pa.Table.from_batches(lists)
+    found = {}
+    for shard in set(rows.column("shard").to_pylist()):
+        part = toxicity_module._pairs_of_shard(rows.filter(pa.compute.equal(rows.column("shard"), shard)))
+        for pair, key, n in zip(*(c.to_pylist() for c in part.columns), strict=True):
+            assert found.setdefault(key or pair, n) == n
+    least = toxicity_module.EXCEPTION_DOCS
+    assert found == {k: n for k, n in want.items() if isinstance(k, str) or n % (1 << 32) >= least}
+    numbers = np.array([0, 1, 127, 128, 16_383, 16_384, 2**40, 2**62])
+    assert (toxicity_module._unpacked(toxicity_module._packed(numbers)[0]) == numbers).all()
+
+
 def test_folding_reads_words_once():
     """As by the plain patterns, and in time linear in a word's length."""
     r = random.Random(3)

@@ -19,6 +19,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,19 +40,19 @@ EXCEPTION_DOCS = 3
 BROADCAST_LABELS = 2_000_000
 #: The same for the counts of terms (about 40 bytes each).
 BROADCAST_TERMS = 200_000
-#: Of the words that can be within an exception, as many of the most frequent as every task can know; pairs of these are counted
-#: as numbers, all other pairs as text.
+#: Of the words that can be within an exception, as many as every task can know: first those with a term that a pair can be an
+#: exception of, then the most frequent; pairs of these are counted as numbers, all other pairs as text.
 PAIR_WORDS = 200_000
 #: Pairs that a task gathers before it counts them (8 bytes each), and keys that it counts before it hands them on.
-GATHERED_PAIRS = 4_000_000
+GATHERED_PAIRS = 1_500_000
 COUNTED_KEYS = 200_000
 #: Words whose terms a task keeps at hand.
-KNOWN_WORDS = 100_000
+KNOWN_WORDS = 50_000
 #: Terms in enough toxic documents, if they are at most so many, are known to the tasks that count all documents, so that no
 #: others are counted; with more, all are counted and those in too few dropped behind.
 KNOWN_TERMS = 500_000
-#: Pairs of numbered words travel as lists, one for each shard of a task's pairs: left * PAIR_BASE + right = list's number * SHARDS + shard.
-SHARDS = 4096
+#: Counts travel as lists, one for each shard of a task's keys; a pair of numbered words is left * PAIR_BASE + right = list's number * SHARDS + shard.
+SHARDS = 1024
 PAIR_BASE = PAIR_WORDS + 3
 LISTED_PAIRS = 1_000_000
 
@@ -140,8 +141,64 @@ def _counted(clean: Counter, toxic: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(both, pa.int64())], ["key", "n"])
 
 
+def _by_shard(shard: pa.Array, keys: pa.Array, n: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array, pa.Array]:
+    """Where the shards begin (and the end), and shards, keys and counts in order: equal counts and keys that are alike side by side."""
+    rows = pa.table({"shard": shard, "n": n, "key": keys})
+    rows = rows.take(pc.sort_indices(rows, [(name, "ascending") for name in rows.column_names])).combine_chunks()
+    shard, n, keys = (pa.concat_arrays([pa.array([], c.type), *c.chunks]) for c in rows.columns)
+    at = np.append(np.flatnonzero(np.diff(shard.to_numpy(), prepend=-1)), len(shard)).astype(np.int32)
+    return pa.array(at), shard.take(pa.array(at[:-1])), keys, n
+
+
+def _shards(keys: Iterable[str]) -> pa.Array:
+    return pa.array([crc32(key.encode()) % SHARDS for key in keys], pa.int32())
+
+
+def _key_lists(counted: pa.RecordBatch) -> pa.RecordBatch:
+    """(shard, keys, n): a shard's keys, parted by line feeds, and their counts."""
+    keys, n = counted.columns
+    at, shard, keys, n = _by_shard(_shards(keys.to_pylist()), keys, n)
+    return pa.RecordBatch.from_arrays([shard, pc.binary_join(pa.ListArray.from_arrays(at, keys), "\n"), pa.ListArray.from_arrays(at, n)], ["shard", "keys", "n"])
+
+
+def _packed(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers from 0 to 2^63 - 1 as bytes of 7 bits each, the lowest first (all but a number's last have 128 added), and where each ends."""
+    size = np.ones(len(numbers), dtype=np.int64)
+    for bits in range(7, 63, 7):
+        if not (more := numbers >> bits > 0).any():
+            break
+        size += more
+    ends = np.cumsum(size)
+    out = np.zeros(ends[-1] if len(ends) else 0, dtype=np.uint8)
+    for k in range(int(size.max(initial=0))):
+        own = np.flatnonzero(size > k)
+        out[ends[own] - size[own] + k] = numbers[own] >> 7 * k & 127 | (size[own] > k + 1) * 128
+    return out, ends
+
+
+def _unpacked(data: np.ndarray) -> np.ndarray:
+    """The numbers that _packed has made into bytes."""
+    last = np.flatnonzero(data < 128)
+    first = np.append(0, last[:-1] + 1) if len(last) else last
+    place = np.arange(len(data)) - np.repeat(first, last - first + 1)
+    return np.add.reduceat((data & 127).astype(np.int64) << 7 * place, first) if len(first) else np.zeros(0, dtype=np.int64)
+
+
+def _steps(numbers: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Each number less the one before it, but where a run begins."""
+    out = np.diff(numbers, prepend=0)
+    out[begins] = numbers[begins]
+    return out
+
+
+def _summed(steps: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """The numbers that _steps has made into steps."""
+    total = np.cumsum(steps)
+    return total - np.repeat(total[begins] - steps[begins], np.diff(np.append(begins, len(steps))))
+
+
 def _counts(keys_of: Callable[[str], Iterable[str]]):
-    """Clean documents, and toxic ones times 2^32, by the keys that keys_of gives for a folded text, each once."""
+    """Clean documents, and toxic ones times 2^32, by the keys that keys_of gives for a folded text, each once, as lists."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = Counter(), Counter()
@@ -149,10 +206,10 @@ def _counts(keys_of: Callable[[str], Iterable[str]]):
             for text, toxic in zip(_strings(batch.column(0)), batch.column(1).to_pylist(), strict=True):
                 counts[toxic].update(keys_of(fold(text)))
                 if len(counts[0]) + len(counts[1]) > COUNTED_KEYS:
-                    yield _counted(*counts)
+                    yield _key_lists(_counted(*counts))
                     counts = Counter(), Counter()
         if counts[0] or counts[1]:
-            yield _counted(*counts)
+            yield _key_lists(_counted(*counts))
         _terms_of.cache_clear()  # the process lives on for later tasks
 
     return run
@@ -184,10 +241,49 @@ def _terms_in(text: str) -> set[str]:
     return {_TERM + term for word in set(_words(text)) for term in _terms_of(word)}
 
 
-def _pair_counts(shared, complete: bool):
+def _margin(t0: np.ndarray, t1: np.ndarray, n0: np.ndarray, n1: float) -> np.ndarray:
+    """What _candidates asks of a phrase in n0 clean and n1 toxic documents, of a term in t0 and t1: 0 or more if it is met."""
+    cells = [t1 - n1 + 0.5, t0 - n0 + 0.5, n1 + 0.5, n0 + 0.5]
+    return np.log(cells[0]) - np.log(cells[1]) - np.log(cells[2]) + np.log(cells[3]) - LEAST_Z * np.sqrt(sum(1 / c for c in cells))
+
+
+def least_clean(t0: np.ndarray, t1: np.ndarray) -> np.ndarray:
+    """The fewest clean documents that a phrase can be in and be an exception of a term in t0 clean and t1 toxic ones; infinite
+    if none can.
+
+    The margin falls with n1 from 2 on, as -log(x) - 3 * sqrt(1 / x + c) does for x of 2.25 or more, and rises with n0 up to t0 - 2
+    for the same reason; so n1 up to 2, the last three n0 and a bisection below them tell. Rounding can't lose a phrase: 10^-6 is let pass.
+    """
+    t0, t1 = t0.astype(float), t1.astype(float)
+    out = np.full(len(t0), np.inf)
+    for n1 in (0.0, 1.0, 2.0):
+        for n0 in (t0, t0 - 1, t0 - 2):
+            own = np.flatnonzero((t1 >= n1) & (n0 >= EXCEPTION_DOCS))
+            own = own[_margin(t0[own], t1[own], n0[own], n1) >= -1e-6]
+            out[own] = np.minimum(out[own], n0[own])
+        # Where n0 = t0 - 2 does, less may do.
+        a, b = t0[own], t1[own]
+        low, high = np.full(len(own), float(EXCEPTION_DOCS)), n0[own]
+        while (low < high).any():
+            middle = np.floor((low + high) / 2)
+            enough = _margin(a, b, middle, n1) >= -1e-6
+            low, high = np.where(enough, low, np.minimum(middle + 1, high)), np.where(enough, middle, high)
+        out[own] = np.minimum(out[own], high)
+    return out
+
+
+def _least_clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        least = least_clean(batch.column(1).to_numpy(), batch.column(2).to_numpy())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(least)], ["term", "least"])
+
+
+def _pair_counts(shared, complete: bool, bounds=None):
     """Documents by the pairs of words in them, as in _counts: pairs of known words as one number, others as text.
 
     complete: whether a word that isn't known is in too few documents for any of its pairs to matter.
+    bounds: for each known word, and behind them for all others at once, the clean documents that it is in (at most) and the
+    fewest that a pair must be in to be an exception of one of its terms; pairs that can't be in as many aren't counted.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,11 +314,18 @@ def _pair_counts(shared, complete: bool):
                     continue
                 ids = np.array([number.get(w, -1) for w in words], dtype=np.int64)
                 left, right = ids[:-1], ids[1:]
+                if bounds is not None:
+                    n0, least = bounds.value
+                    useful = np.minimum(n0[left], n0[right]) >= np.minimum(least[left], least[right])
+                    at = np.flatnonzero(useful)
+                    left, right = left[at], right[at]
+                else:
+                    at = np.arange(len(left))
                 known = (left >= 0) & (right >= 0)
                 pairs.append(np.unique(left[known] << 33 | right[known] << 1 | int(toxic)))
                 gathered += len(pairs[-1])
                 if not complete:
-                    texts[toxic].update({f"{words[k]} {words[k + 1]}" for k in np.flatnonzero(~known)})
+                    texts[toxic].update({f"{words[k]} {words[k + 1]}" for k in at[~known]})
                 if gathered > GATHERED_PAIRS or len(texts[0]) + len(texts[1]) > COUNTED_KEYS:
                     yield from counted()
                     texts, gathered = (Counter(), Counter()), 0
@@ -232,18 +335,44 @@ def _pair_counts(shared, complete: bool):
 
 
 def _listed(pairs: np.ndarray, keys: list[str], n: np.ndarray, n_keys: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Lists (shard, pairs, keys, n) of pairs as numbers, then of pairs as text, a row for each shard."""
-    pairs = (pairs >> 32) * PAIR_BASE + (pairs & (1 << 32) - 1)
-    shard = np.array([crc32(key.encode()) % SHARDS for key in keys], dtype=np.int64)
-    for shard, values, n in ((pairs % SHARDS, pa.array((pairs // SHARDS).astype(np.int32)), n), (shard, pa.array(keys, pa.string()), n_keys)):
-        order = np.lexsort((n, shard))  # equal counts side by side are stored in few bytes
-        shard = shard[order]
-        at = np.append(np.flatnonzero(np.diff(shard, prepend=-1)), len(shard)).astype(np.int32)
-        columns = [pa.array(shard[at[:-1]], pa.int32()), *(pa.nulls(len(at) - 1, pa.list_(t)) for t in (pa.int32(), pa.string())), pa.ListArray.from_arrays(at, pa.array(n[order], pa.int64()))]
-        columns[1 if pa.types.is_integer(values.type) else 2] = pa.ListArray.from_arrays(at, values.take(pa.array(order)))
-        rows = pa.RecordBatch.from_arrays(columns, ["shard", "pairs", "keys", "n"])
-        for k in range(0, len(rows), 512):
-            yield rows.slice(k, 512)
+    """Lists (shard, pairs, keys, n) of pairs as numbers (a run's steps, packed), then of pairs as text, a row for each shard."""
+    names = ["shard", "pairs", "keys", "n"]
+    if len(pairs):
+        pairs = (pairs >> 32) * PAIR_BASE + (pairs & (1 << 32) - 1)
+        at, shard, numbers, n = _by_shard(pa.array((pairs % SHARDS).astype(np.int32)), pa.array(pairs // SHARDS), pa.array(n))
+        data, ends = _packed(_steps(numbers.to_numpy(), _runs(n.to_numpy(), at.to_numpy()[:-1])))
+        ends = pa.array(np.append(0, ends)[at.to_numpy()].astype(np.int32))
+        packed = pa.Array.from_buffers(pa.binary(), len(shard), [None, ends.buffers()[1], pa.py_buffer(data)])
+        yield pa.RecordBatch.from_arrays([shard, packed, pa.nulls(len(shard), pa.string()), pa.ListArray.from_arrays(at, n)], names)
+    if keys:
+        shard, keys, n = _key_lists(pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(n_keys)], ["key", "n"])).columns
+        yield pa.RecordBatch.from_arrays([shard, pa.nulls(len(shard), pa.binary()), keys, n], names)
+
+
+def _runs(n: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Where runs of equal counts begin, also where a list begins."""
+    first = np.diff(n, prepend=-1) != 0
+    first[begins] = True
+    return np.flatnonzero(first)
+
+
+def _pairs_of_shard(table: pa.Table) -> pa.Table:
+    """(pair, key, n) of the lists of one shard, each pair once, if it is in EXCEPTION_DOCS clean documents."""
+    shard = table.column("shard")[0].as_py()
+    table = table.select(["pairs", "keys", "n"])
+    numbers, texts = table.filter(pc.is_valid(table.column("pairs"))), table.filter(pc.is_valid(table.column("keys")))
+    n = pc.list_flatten(numbers.column("n")).to_numpy()
+    begins = np.cumsum([0, *pc.list_value_length(numbers.column("n")).to_pylist()])[:-1]
+    steps = _unpacked(np.frombuffer(b"".join(numbers.column("pairs").to_pylist()), dtype=np.uint8))
+    place, of = np.unique(_summed(steps, _runs(n, begins)), return_inverse=True)
+    total = np.zeros(len(place), dtype=np.int64)
+    np.add.at(total, of, n)
+    keys = pa.array([key for text in texts.column("keys").to_pylist() for key in text.split("\n")], pa.string())
+    named = pa.table({"key": keys, "n": pc.list_flatten(texts.column("n"))}).group_by("key").aggregate([("n", "sum")])
+    enough = (total & (1 << 32) - 1) >= EXCEPTION_DOCS
+    out = pa.table({"pair": pa.array(place[enough] * SHARDS + shard), "key": pa.nulls(int(enough.sum()), pa.string()), "n": pa.array(total[enough])})
+    rest = pa.table({"pair": pa.nulls(len(named), pa.int64()), "key": named.column("key"), "n": named.column("n_sum")})
+    return pa.concat_tables([out, rest])
 
 
 def _pair_lists(counts: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
@@ -363,6 +492,13 @@ def _weighted(counts: DataFrame, n_toxic: int, n_clean: int) -> DataFrame:
     return weighted.filter((F.col("weight") >= LEAST_WEIGHT) & (F.col("weight") >= LEAST_Z * F.sqrt("variance"))).select("term", "weight")
 
 
+def _terms_within(phrase: str) -> Column:
+    """The terms of a phrase's words, each once."""
+    words = F.split(phrase, " ")
+    stems = [F.transform(F.filter(words, lambda w, n=n: F.length(w) >= n), lambda w, n=n: F.substring(w, 1, n)) for n in STEMS]
+    return F.array_distinct(F.concat(F.filter(words, lambda w: F.length(w).between(SHORTEST, LONGEST)), *stems))
+
+
 def _candidates(counts: DataFrame, n_toxic: int, n_clean: int) -> tuple[dict[str, float], set[str]]:
     """Phrases (with the log ratio of their shares of clean and toxic documents) that can be exceptions of a term that can
     enter the lexicon with them, and those terms, from the (key, n0, n1) of terms and phrases."""
@@ -370,10 +506,7 @@ def _candidates(counts: DataFrame, n_toxic: int, n_clean: int) -> tuple[dict[str
     terms = counts.filter(is_term).select(F.expr("substring(key, 2)").alias("term"), F.col("n0").alias("t0"), F.col("n1").alias("t1"))
     terms = terms.filter(_weight(F.col("t1"), F.lit(0), n_toxic, n_clean) >= LEAST_WEIGHT)
     terms = F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms
-    words = F.split("key", " ")
-    stems = [F.transform(F.filter(words, lambda w, n=n: F.length(w) >= n), lambda w, n=n: F.substring(w, 1, n)) for n in STEMS]
-    whole = F.filter(words, lambda w: F.length(w).between(SHORTEST, LONGEST))
-    phrases = counts.filter(~is_term).select(F.col("key").alias("phrase"), "n0", "n1", F.explode(F.array_distinct(F.concat(whole, *stems))).alias("term"))
+    phrases = counts.filter(~is_term).select(F.col("key").alias("phrase"), "n0", "n1", F.explode(_terms_within("key")).alias("term"))
     pairs = phrases.join(terms, "term")
     cells = [F.col("t1") - F.col("n1") + 0.5, F.col("t0") - F.col("n0") + 0.5, F.col("n1") + 0.5, F.col("n0") + 0.5]
     apart = F.log(cells[0]) - F.log(cells[1]) - F.log(cells[2]) + F.log(cells[3])
@@ -430,21 +563,38 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, threshold: fl
     train = texts.filter("not held_out").join(F.broadcast(known) if n_toxic + n_clean <= BROADCAST_LABELS else known, "doc_id")
 
     def totals(keys_of: Callable[[], Callable[[str], Iterable[str]]], rows: DataFrame = train) -> DataFrame:
-        counted = rows.select("text", "toxic").mapInArrow(lambda batches: _counts(keys_of())(batches), "key string, n long")
-        return apart(counted.groupBy("key").agg(F.sum("n").alias("n")), "key")
+        listed = rows.select("text", "toxic").mapInArrow(lambda batches: _counts(keys_of())(batches), "shard int, keys string, n array<long>").repartition("shard")
+        each = listed.select("shard", F.explode(F.arrays_zip(F.split("keys", "\n"), F.col("n"))).alias("x"))
+        return apart(each.select("shard", F.col("x.0").alias("key"), F.col("x.n").alias("n")).groupBy("shard", "key").agg(F.sum("n").alias("n")), "key")
 
     def apart(counted: DataFrame, *keys: str) -> DataFrame:
         return counted.select(*keys, F.col("n").bitwiseAND((1 << 32) - 1).alias("n0"), F.shiftright("n", 32).alias("n1"))
 
-    def pairs_of(words: DataFrame) -> DataFrame:
-        """(key, n0, n1) of the pairs of words in enough clean documents; words: (key, n0) of all words in as many."""
-        known = [r.key for r in words.orderBy(F.col("n0").desc(), "key").limit(PAIR_WORDS + 1).select("key").collect()]
-        complete, known = len(known) <= PAIR_WORDS, known[:PAIR_WORDS]
-        numbers = _pair_lists(_pair_counts(spark.sparkContext.broadcast(known), complete))
-        listed = train.select("text", "toxic").mapInArrow(numbers, "shard int, pairs array<int>, keys array<string>, n array<long>").repartition("shard")
-        each = listed.select("shard", F.explode(F.arrays_zip(F.coalesce("pairs", F.array().cast("array<int>")), F.coalesce("keys", F.array().cast("array<string>")), F.col("n"))).alias("x"))
-        found = each.select("shard", F.col("x.0").alias("place"), F.col("x.1").alias("key"), F.col("x.n").alias("n")).groupBy("shard", "place", "key").agg(F.sum("n").alias("n"))
-        found = found.select((F.col("place").cast("long") * SHARDS + F.col("shard")).alias("pair"), "key", "n")
+    def few(rows: DataFrame) -> DataFrame:
+        rows = stored(rows)
+        return F.broadcast(rows) if rows.count() <= BROADCAST_TERMS else rows
+
+    def pairs_of(words: DataFrame, terms: DataFrame) -> DataFrame:
+        """(key, n0, n1) of the pairs of words in enough clean documents to be exceptions; words: (key, n0) of all words in as many,
+        terms: (term, n0, n1)."""
+        can = terms.filter(_weight(F.col("n1"), F.lit(0), n_toxic, n_clean) >= LEAST_WEIGHT - 1e-6).select("term", "n0", "n1")
+        can = few(can.mapInArrow(_least_clean, "term string, least double").filter("least < double('infinity')"))
+        each = words.select("key", "n0", F.explode(_terms_within("key")).alias("term"))
+        core = few(each.join(can, "term").filter("least <= n0").groupBy("key").agg(F.min("least").alias("least")))
+        first = words.select("key", "n0").join(core, "key", "left").orderBy(F.col("least").isNull(), F.col("n0").desc(), "key").limit(PAIR_WORDS + 1).toArrow()
+        complete, beyond, first = len(first) <= PAIR_WORDS, first.slice(PAIR_WORDS), first.slice(0, PAIR_WORDS)
+        known = first.column("key").to_pylist()
+        n0, least = first.column("n0").to_numpy(), pc.fill_null(first.column("least"), np.inf).to_numpy()
+        if complete:
+            others = 0, np.inf
+        elif beyond.column("least").null_count:  # no pair is an exception of their terms
+            others = beyond.column("n0")[0].as_py(), np.inf
+        else:
+            others = np.iinfo(np.int64).max, 0
+        bounds = spark.sparkContext.broadcast((np.append(n0, others[0]), np.append(least, others[1])))
+        numbers = _pair_lists(_pair_counts(spark.sparkContext.broadcast(known), complete, bounds))
+        listed = train.select("text", "toxic").mapInArrow(numbers, "shard int, pairs binary, keys string, n array<long>")
+        found = listed.groupBy("shard").applyInArrow(_pairs_of_shard, "pair long, key string, n long")
         found = apart(found, "pair", "key").filter((F.col("n0") >= EXCEPTION_DOCS) & no_likelier)
         names = F.broadcast(spark.createDataFrame(pa.table({"id": pa.array(range(len(known)), pa.int64()), "word": pa.array(known, pa.string())})))
         named = found
@@ -459,7 +609,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, threshold: fl
         toxic = stored(totals(lambda: _terms_in, train.filter("toxic = 1")).filter(F.col("n1") >= LEAST_DOCS).select(F.expr("substring(key, 2)")))
         in_toxic = spark.sparkContext.broadcast(frozenset(term for (term,) in toxic.collect()) if toxic.count() <= KNOWN_TERMS else None)
         single = stored(totals(lambda: _terms_and_words(in_toxic.value)).filter(F.when(is_term, F.col("n1") >= LEAST_DOCS).otherwise(F.col("n0") >= EXCEPTION_DOCS)))
-        counts = stored(single.filter(is_term | no_likelier).unionByName(pairs_of(single.filter(~is_term))))
+        terms = single.filter(is_term).withColumn("term", F.expr("substring(key, 2)"))
+        counts = stored(single.filter(is_term | no_likelier).unionByName(pairs_of(single.filter(~is_term), terms)))
         cleanness, excepted = _candidates(counts, n_toxic, n_clean)
         if cleanness:  # a phrase that is clean only by a cleaner one beside it is none
             kept = totals(lambda: _cleanest(cleanness, excepted)).filter(no_likelier)
