@@ -601,13 +601,14 @@ def test_lists_of_counts():
         pairs, n = np.unique(left % 70 << 32 | right), rng.choice([3, 4, 300, 2 | 5 << 32, 1 << 32], 3000)
         n = n[: len(pairs)]
         keys = [f"a{k} b{k % 7}" for k in range(100)]
-        for k, x in [*zip(((pairs >> 32) * base + (pairs & (1 << 32) - 1)).tolist(), n.tolist(), strict=True), *((key, 1) for key in keys)]:
+        numbers = (pairs >> 32) * base + (pairs & (1 << 32) - 1)
+        for k, x in [*zip(numbers.tolist(), n.tolist(), strict=True), *((key, 1) for key in keys)]:
             want[k] = want.get(k, 0) + x
-        lists += toxicity_module._listed(pairs, keys, n, np.ones(100, dtype=np.int64))
+        lists += toxicity_module._listed(numbers, keys, n, np.ones(100, dtype=np.int64))
     rows = pa.Table.from_batches(lists)
     found = {}
     for shard in set(rows.column("shard").to_pylist()):
-        part = toxicity_module._pairs_of_shard(rows.filter(pa.compute.equal(rows.column("shard"), shard)))
+        part = toxicity_module._of_shard(rows.filter(pa.compute.equal(rows.column("shard"), shard)), toxicity_module.EXCEPTION_DOCS)
         for pair, key, n in zip(*(c.to_pylist() for c in part.columns), strict=True):
             assert found.setdefault(key or pair, n) == n
     least = toxicity_module.EXCEPTION_DOCS

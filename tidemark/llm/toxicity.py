@@ -45,13 +45,14 @@ BROADCAST_TERMS = 200_000
 PAIR_WORDS = 200_000
 #: Pairs that a task gathers before it counts them (8 bytes each), and keys that it counts before it hands them on.
 GATHERED_PAIRS = 1_500_000
-COUNTED_KEYS = 200_000
+COUNTED_KEYS = 400_000
 #: Words whose terms a task keeps at hand.
 KNOWN_WORDS = 50_000
-#: Terms in enough toxic documents, if they are at most so many, are known to the tasks that count all documents, so that no
-#: others are counted; with more, all are counted and those in too few dropped behind.
+#: Terms in enough toxic documents, if they are at most so many, are known to the tasks that count all documents by numbers, so that
+#: no others are counted; with more, all are counted and those in too few dropped behind.
 KNOWN_TERMS = 500_000
-#: Counts travel as lists, one for each shard of a task's keys; a pair of numbered words is left * PAIR_BASE + right = list's number * SHARDS + shard.
+#: Counts travel as lists, one for each shard of a task's keys; a pair of numbered words is left * PAIR_BASE + right, and any number is
+#: that of its list * SHARDS + shard.
 SHARDS = 1024
 PAIR_BASE = PAIR_WORDS + 3
 LISTED_PAIRS = 1_000_000
@@ -197,8 +198,13 @@ def _summed(steps: np.ndarray, begins: np.ndarray) -> np.ndarray:
     return total - np.repeat(total[begins] - steps[begins], np.diff(np.append(begins, len(steps))))
 
 
-def _counts(keys_of: Callable[[str], Iterable[str]]):
-    """Clean documents, and toxic ones times 2^32, by the keys that keys_of gives for a folded text, each once, as lists."""
+def _counts(keys_of: Callable[[str], Iterable[str | int]]):
+    """Clean documents, and toxic ones times 2^32, by the keys that keys_of gives for a folded text, each once, as lists. Keys are texts or numbers."""
+
+    def listed(clean: Counter, toxic: Counter) -> Iterator[pa.RecordBatch]:
+        keys = clean.keys() | toxic.keys()
+        numbers, texts = np.array([key for key in keys if type(key) is int], dtype=np.int64), [key for key in keys if type(key) is str]
+        yield from _listed(numbers, texts, *(np.array([clean[key] | toxic[key] << 32 for key in part], dtype=np.int64) for part in (numbers.tolist(), texts)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = Counter(), Counter()
@@ -206,10 +212,9 @@ def _counts(keys_of: Callable[[str], Iterable[str]]):
             for text, toxic in zip(_strings(batch.column(0)), batch.column(1).to_pylist(), strict=True):
                 counts[toxic].update(keys_of(fold(text)))
                 if len(counts[0]) + len(counts[1]) > COUNTED_KEYS:
-                    yield _key_lists(_counted(*counts))
+                    yield from listed(*counts)
                     counts = Counter(), Counter()
-        if counts[0] or counts[1]:
-            yield _key_lists(_counted(*counts))
+        yield from listed(*counts)
         _terms_of.cache_clear()  # the process lives on for later tasks
 
     return run
@@ -219,18 +224,18 @@ def _counts(keys_of: Callable[[str], Iterable[str]]):
 _TERM = "\t"
 
 
-def _terms_and_words(terms: frozenset[str] | None) -> Callable[[str], set[str]]:
-    """The words of a text and those of the terms (None: all) that they count for."""
-    known: dict[str, tuple[str, ...]] = {}
+def _terms_and_words(terms: dict[str, int] | None) -> Callable[[str], set[str | int]]:
+    """The words of a text and the numbers of those of the terms (None: all, as texts) that they count for."""
+    known: dict[str, tuple[str | int, ...]] = {}
 
-    def run(text: str) -> set[str]:
+    def run(text: str) -> set[str | int]:
         words = set(_words(text))
-        out = set(words)
+        out: set[str | int] = set(words)
         for word in words:
             if (of := known.get(word)) is None:
                 if len(known) >= KNOWN_WORDS:
                     known.clear()
-                of = known[word] = tuple(_TERM + term for term in _terms_of(word) if terms is None or term in terms)
+                of = known[word] = tuple(_TERM + term if terms is None else terms[term] for term in _terms_of(word) if terms is None or term in terms)
             out.update(of)
         return out
 
@@ -334,12 +339,11 @@ def _pair_counts(shared, complete: bool, bounds=None):
     return run
 
 
-def _listed(pairs: np.ndarray, keys: list[str], n: np.ndarray, n_keys: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Lists (shard, pairs, keys, n) of pairs as numbers (a run's steps, packed), then of pairs as text, a row for each shard."""
-    names = ["shard", "pairs", "keys", "n"]
-    if len(pairs):
-        pairs = (pairs >> 32) * PAIR_BASE + (pairs & (1 << 32) - 1)
-        at, shard, numbers, n = _by_shard(pa.array((pairs % SHARDS).astype(np.int32)), pa.array(pairs // SHARDS), pa.array(n))
+def _listed(numbers: np.ndarray, keys: list[str], n: np.ndarray, n_keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Lists (shard, numbers, keys, n) of keys that are numbers (a run's steps, packed), then of those that are texts, a row for each shard."""
+    names = ["shard", "numbers", "keys", "n"]
+    if len(numbers):
+        at, shard, numbers, n = _by_shard(pa.array((numbers % SHARDS).astype(np.int32)), pa.array(numbers // SHARDS), pa.array(n))
         data, ends = _packed(_steps(numbers.to_numpy(), _runs(n.to_numpy(), at.to_numpy()[:-1])))
         ends = pa.array(np.append(0, ends)[at.to_numpy()].astype(np.int32))
         packed = pa.Array.from_buffers(pa.binary(), len(shard), [None, ends.buffers()[1], pa.py_buffer(data)])
@@ -356,22 +360,25 @@ def _runs(n: np.ndarray, begins: np.ndarray) -> np.ndarray:
     return np.flatnonzero(first)
 
 
-def _pairs_of_shard(table: pa.Table) -> pa.Table:
-    """(pair, key, n) of the lists of one shard, each pair once, if it is in EXCEPTION_DOCS clean documents."""
+#: Columns of lists.
+LISTS = "shard int, numbers binary, keys string, n array<long>"
+
+
+def _of_shard(table: pa.Table, least: int = 0) -> pa.Table:
+    """(number, key, n) of the lists of one shard, each key once; numbers only if they are in `least` clean documents."""
     shard = table.column("shard")[0].as_py()
-    table = table.select(["pairs", "keys", "n"])
-    numbers, texts = table.filter(pc.is_valid(table.column("pairs"))), table.filter(pc.is_valid(table.column("keys")))
+    numbers, texts = table.filter(pc.is_valid(table.column("numbers"))), table.filter(pc.is_valid(table.column("keys")))
     n = pc.list_flatten(numbers.column("n")).to_numpy()
     begins = np.cumsum([0, *pc.list_value_length(numbers.column("n")).to_pylist()])[:-1]
-    steps = _unpacked(np.frombuffer(b"".join(numbers.column("pairs").to_pylist()), dtype=np.uint8))
+    steps = _unpacked(np.frombuffer(b"".join(numbers.column("numbers").to_pylist()), dtype=np.uint8))
     place, of = np.unique(_summed(steps, _runs(n, begins)), return_inverse=True)
     total = np.zeros(len(place), dtype=np.int64)
     np.add.at(total, of, n)
     keys = pa.array([key for text in texts.column("keys").to_pylist() for key in text.split("\n")], pa.string())
     named = pa.table({"key": keys, "n": pc.list_flatten(texts.column("n"))}).group_by("key").aggregate([("n", "sum")])
-    enough = (total & (1 << 32) - 1) >= EXCEPTION_DOCS
-    out = pa.table({"pair": pa.array(place[enough] * SHARDS + shard), "key": pa.nulls(int(enough.sum()), pa.string()), "n": pa.array(total[enough])})
-    rest = pa.table({"pair": pa.nulls(len(named), pa.int64()), "key": named.column("key"), "n": named.column("n_sum")})
+    enough = (total & (1 << 32) - 1) >= least
+    out = pa.table({"number": pa.array(place[enough] * SHARDS + shard), "key": pa.nulls(int(enough.sum()), pa.string()), "n": pa.array(total[enough])})
+    rest = pa.table({"number": pa.nulls(len(named), pa.int64()), "key": named.column("key"), "n": named.column("n_sum")})
     return pa.concat_tables([out, rest])
 
 
@@ -386,7 +393,8 @@ def _pair_lists(counts: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
             texts = [b for b in held if b.column(0).null_count]
             joined = lambda part, c: np.concatenate([np.zeros(0, dtype=np.int64), *(b.column(c).to_numpy() for b in part)])
             keys = [key for b in texts for key in b.column(1).to_pylist()]
-            yield from _listed(joined(numbers, 0), keys, joined(numbers, 2), joined(texts, 2))
+            pairs = joined(numbers, 0)
+            yield from _listed((pairs >> 32) * PAIR_BASE + (pairs & (1 << 32) - 1), keys, joined(numbers, 2), joined(texts, 2))
             held.clear()
 
         for batch in counts(batches):
@@ -562,10 +570,15 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, threshold: fl
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
     train = texts.filter("not held_out").join(F.broadcast(known) if n_toxic + n_clean <= BROADCAST_LABELS else known, "doc_id")
 
-    def totals(keys_of: Callable[[], Callable[[str], Iterable[str]]], rows: DataFrame = train) -> DataFrame:
-        listed = rows.select("text", "toxic").mapInArrow(lambda batches: _counts(keys_of())(batches), "shard int, keys string, n array<long>").repartition("shard")
-        each = listed.select("shard", F.explode(F.arrays_zip(F.split("keys", "\n"), F.col("n"))).alias("x"))
-        return apart(each.select("shard", F.col("x.0").alias("key"), F.col("x.n").alias("n")).groupBy("shard", "key").agg(F.sum("n").alias("n")), "key")
+    def totals(keys_of: Callable[[], Callable[[str], Iterable[str | int]]], rows: DataFrame = train, terms: list[str] | None = None) -> DataFrame:
+        """(key, n0, n1); terms: those that numbers stand for."""
+        listed = rows.select("text", "toxic").mapInArrow(lambda batches: _counts(keys_of())(batches), LISTS)
+        found = apart(listed.groupBy("shard").applyInArrow(lambda table: _of_shard(table), "number long, key string, n long"), "number", "key")
+        if terms is None:
+            return found.drop("number")
+        names = spark.createDataFrame(pa.table({"id": pa.array(range(len(terms)), pa.int64()), "term": pa.array(terms, pa.string())}))
+        named = found.join(F.broadcast(names) if len(terms) <= BROADCAST_TERMS else names, F.col("number") == F.col("id"), "left")
+        return named.select(F.coalesce("key", F.concat(F.lit(_TERM), "term")).alias("key"), "n0", "n1")
 
     def apart(counted: DataFrame, *keys: str) -> DataFrame:
         return counted.select(*keys, F.col("n").bitwiseAND((1 << 32) - 1).alias("n0"), F.shiftright("n", 32).alias("n1"))
@@ -574,9 +587,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, threshold: fl
         rows = stored(rows)
         return F.broadcast(rows) if rows.count() <= BROADCAST_TERMS else rows
 
-    def pairs_of(words: DataFrame, terms: DataFrame) -> DataFrame:
-        """(key, n0, n1) of the pairs of words in enough clean documents to be exceptions; words: (key, n0) of all words in as many,
-        terms: (term, n0, n1)."""
+    def phrases_of(words: DataFrame, terms: DataFrame) -> DataFrame:
+        """(key, n0, n1) of the words and pairs of words in enough clean documents to be exceptions; words: (key, n0, n1) of all words
+        in as many, terms: (term, n0, n1)."""
         can = terms.filter(_weight(F.col("n1"), F.lit(0), n_toxic, n_clean) >= LEAST_WEIGHT - 1e-6).select("term", "n0", "n1")
         can = few(can.mapInArrow(_least_clean, "term string, least double").filter("least < double('infinity')"))
         each = words.select("key", "n0", F.explode(_terms_within("key")).alias("term"))
@@ -593,24 +606,27 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, threshold: fl
             others = np.iinfo(np.int64).max, 0
         bounds = spark.sparkContext.broadcast((np.append(n0, others[0]), np.append(least, others[1])))
         numbers = _pair_lists(_pair_counts(spark.sparkContext.broadcast(known), complete, bounds))
-        listed = train.select("text", "toxic").mapInArrow(numbers, "shard int, pairs binary, keys string, n array<long>")
-        found = listed.groupBy("shard").applyInArrow(_pairs_of_shard, "pair long, key string, n long")
+        listed = train.select("text", "toxic").mapInArrow(numbers, LISTS)
+        found = listed.groupBy("shard").applyInArrow(lambda table: _of_shard(table, EXCEPTION_DOCS).rename_columns(["pair", "key", "n"]), "pair long, key string, n long")
         found = apart(found, "pair", "key").filter((F.col("n0") >= EXCEPTION_DOCS) & no_likelier)
-        names = F.broadcast(spark.createDataFrame(pa.table({"id": pa.array(range(len(known)), pa.int64()), "word": pa.array(known, pa.string())})))
+        names = F.broadcast(spark.createDataFrame(pa.table({"id": pa.array(range(len(known)), pa.int64()), "word": pa.array(known, pa.string()), "least": pa.array(least)})))
         named = found
         for name, id_ in (("left", F.floor(F.col("pair") / PAIR_BASE)), ("right", F.col("pair") % PAIR_BASE)):
-            named = named.join(names.select(F.col("id").alias(f"{name}_id"), F.col("word").alias(name)), id_ == F.col(f"{name}_id"), "left")
-        return named.select(F.coalesce("key", F.concat_ws(" ", "left", "right")).alias("key"), "n0", "n1")
+            named = named.join(names.select(F.col("id").alias(f"{name}_id"), F.col("word").alias(name), F.col("least").alias(f"{name}_least")), id_ == F.col(f"{name}_id"), "left")
+        enough = F.col("key").isNotNull() | (F.col("n0") >= F.least("left_least", "right_least"))
+        pairs = named.filter(enough).select(F.coalesce("key", F.concat_ws(" ", "left", "right")).alias("key"), "n0", "n1")
+        return words.join(core, "key", "left_semi").select("key", "n0", "n1").unionByName(pairs)
 
     lexicon: dict[str, float] = {}
     exceptions: frozenset[str] = frozenset()
     if n_toxic:
         is_term, no_likelier = F.col("key").startswith(_TERM), F.col("n0") * n_toxic >= F.col("n1") * n_clean
         toxic = stored(totals(lambda: _terms_in, train.filter("toxic = 1")).filter(F.col("n1") >= LEAST_DOCS).select(F.expr("substring(key, 2)")))
-        in_toxic = spark.sparkContext.broadcast(frozenset(term for (term,) in toxic.collect()) if toxic.count() <= KNOWN_TERMS else None)
-        single = stored(totals(lambda: _terms_and_words(in_toxic.value)).filter(F.when(is_term, F.col("n1") >= LEAST_DOCS).otherwise(F.col("n0") >= EXCEPTION_DOCS)))
-        terms = single.filter(is_term).withColumn("term", F.expr("substring(key, 2)"))
-        counts = stored(single.filter(is_term | no_likelier).unionByName(pairs_of(single.filter(~is_term), terms)))
+        terms = [term for (term,) in toxic.collect()] if toxic.count() <= KNOWN_TERMS else None
+        in_toxic = spark.sparkContext.broadcast(None if terms is None else {term: k for k, term in enumerate(terms)})
+        single = stored(totals(lambda: _terms_and_words(in_toxic.value), terms=terms).filter(F.when(is_term, F.col("n1") >= LEAST_DOCS).otherwise(F.col("n0") >= EXCEPTION_DOCS)))
+        phrases = phrases_of(single.filter(~is_term), single.filter(is_term).withColumn("term", F.expr("substring(key, 2)")))
+        counts = stored(single.filter(is_term).unionByName(phrases.filter(no_likelier)))
         cleanness, excepted = _candidates(counts, n_toxic, n_clean)
         if cleanness:  # a phrase that is clean only by a cleaner one beside it is none
             kept = totals(lambda: _cleanest(cleanness, excepted)).filter(no_likelier)
