@@ -617,6 +617,31 @@ def test_lists_of_counts():
     assert (toxicity_module._unpacked(toxicity_module._packed(numbers)[0]) == numbers).all()
 
 
+def test_memory_of_earlier_tasks_goes_back():
+    """A worker begins a task without what an earlier one has freed, in pieces that the C library keeps."""
+    import subprocess
+    import sys
+
+    code = """
+import re
+import pyarrow as pa
+from tidemark.llm.common import released
+
+def held():
+    return sum(map(int, re.findall(r"\\nPss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+batch = pa.record_batch({"x": [1]})
+before = held()
+pieces = [bytes(5000) for _ in range(20_000)]  # 100 MB
+last = bytes(5000)  # what lies behind them keeps the heap's end
+del pieces
+kept = held() - before
+next(released(iter([batch])))
+print(kept > 80, held() - before < 20)
+"""
+    assert subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=60).stdout.split() == ["True", "True"]
+
+
 def test_folding_reads_words_once():
     """As by the plain patterns, and in time linear in a word's length."""
     r = random.Random(3)
