@@ -220,6 +220,11 @@ def _counts(keys_of: Callable[[str], Iterable[str | int]]):
     return run
 
 
+def _numbered(keys: pa.ChunkedArray | list[str] | None) -> dict[str, int] | None:
+    """The place of each key."""
+    return None if keys is None else {key: k for k, key in enumerate(keys if isinstance(keys, list) else keys.to_pylist())}
+
+
 #: Marks keys that are terms; all others are phrases.
 _TERM = "\t"
 
@@ -292,7 +297,7 @@ def _pair_counts(shared, complete: bool, bounds=None):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = {word: k for k, word in enumerate(shared.value)}
+        number = _numbered(shared.value)
         texts: tuple[Counter, Counter] = Counter(), Counter()
         pairs: list[np.ndarray] = []
         gathered = 0
@@ -570,13 +575,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, threshold: fl
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
     train = texts.filter("not held_out").join(F.broadcast(known) if n_toxic + n_clean <= BROADCAST_LABELS else known, "doc_id")
 
-    def totals(keys_of: Callable[[], Callable[[str], Iterable[str | int]]], rows: DataFrame = train, terms: list[str] | None = None) -> DataFrame:
+    def totals(keys_of: Callable[[], Callable[[str], Iterable[str | int]]], rows: DataFrame = train, terms: pa.ChunkedArray | None = None) -> DataFrame:
         """(key, n0, n1); terms: those that numbers stand for."""
         listed = rows.select("text", "toxic").mapInArrow(lambda batches: _counts(keys_of())(batches), LISTS)
         found = apart(listed.groupBy("shard").applyInArrow(lambda table: _of_shard(table), "number long, key string, n long"), "number", "key")
         if terms is None:
             return found.drop("number")
-        names = spark.createDataFrame(pa.table({"id": pa.array(range(len(terms)), pa.int64()), "term": pa.array(terms, pa.string())}))
+        names = spark.createDataFrame(pa.table({"id": pa.array(range(len(terms)), pa.int64()), "term": terms}))
         named = found.join(F.broadcast(names) if len(terms) <= BROADCAST_TERMS else names, F.col("number") == F.col("id"), "left")
         return named.select(F.coalesce("key", F.concat(F.lit(_TERM), "term")).alias("key"), "n0", "n1")
 
@@ -596,7 +601,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, threshold: fl
         core = few(each.join(can, "term").filter("least <= n0").groupBy("key").agg(F.min("least").alias("least")))
         first = words.select("key", "n0").join(core, "key", "left").orderBy(F.col("least").isNull(), F.col("n0").desc(), "key").limit(PAIR_WORDS + 1).toArrow()
         complete, beyond, first = len(first) <= PAIR_WORDS, first.slice(PAIR_WORDS), first.slice(0, PAIR_WORDS)
-        known = first.column("key").to_pylist()
+        known = first.column("key")
         n0, least = first.column("n0").to_numpy(), pc.fill_null(first.column("least"), np.inf).to_numpy()
         if complete:
             others = 0, np.inf
@@ -609,7 +614,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, threshold: fl
         listed = train.select("text", "toxic").mapInArrow(numbers, LISTS)
         found = listed.groupBy("shard").applyInArrow(lambda table: _of_shard(table, EXCEPTION_DOCS).rename_columns(["pair", "key", "n"]), "pair long, key string, n long")
         found = apart(found, "pair", "key").filter((F.col("n0") >= EXCEPTION_DOCS) & no_likelier)
-        names = F.broadcast(spark.createDataFrame(pa.table({"id": pa.array(range(len(known)), pa.int64()), "word": pa.array(known, pa.string()), "least": pa.array(least)})))
+        names = F.broadcast(spark.createDataFrame(pa.table({"id": pa.array(range(len(known)), pa.int64()), "word": known, "least": pa.array(least)})))
         named = found
         for name, id_ in (("left", F.floor(F.col("pair") / PAIR_BASE)), ("right", F.col("pair") % PAIR_BASE)):
             named = named.join(names.select(F.col("id").alias(f"{name}_id"), F.col("word").alias(name), F.col("least").alias(f"{name}_least")), id_ == F.col(f"{name}_id"), "left")
@@ -622,9 +627,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, threshold: fl
     if n_toxic:
         is_term, no_likelier = F.col("key").startswith(_TERM), F.col("n0") * n_toxic >= F.col("n1") * n_clean
         toxic = stored(totals(lambda: _terms_in, train.filter("toxic = 1")).filter(F.col("n1") >= LEAST_DOCS).select(F.expr("substring(key, 2)")))
-        terms = [term for (term,) in toxic.collect()] if toxic.count() <= KNOWN_TERMS else None
-        in_toxic = spark.sparkContext.broadcast(None if terms is None else {term: k for k, term in enumerate(terms)})
-        single = stored(totals(lambda: _terms_and_words(in_toxic.value), terms=terms).filter(F.when(is_term, F.col("n1") >= LEAST_DOCS).otherwise(F.col("n0") >= EXCEPTION_DOCS)))
+        terms = toxic.toArrow().column(0) if toxic.count() <= KNOWN_TERMS else None  # as an array, which takes the driver less memory
+        in_toxic = spark.sparkContext.broadcast(terms)
+        single = stored(totals(lambda: _terms_and_words(_numbered(in_toxic.value)), terms=terms).filter(F.when(is_term, F.col("n1") >= LEAST_DOCS).otherwise(F.col("n0") >= EXCEPTION_DOCS)))
         phrases = phrases_of(single.filter(~is_term), single.filter(is_term).withColumn("term", F.expr("substring(key, 2)")))
         counts = stored(single.filter(is_term).unionByName(phrases.filter(no_likelier)))
         cleanness, excepted = _candidates(counts, n_toxic, n_clean)
