@@ -12,9 +12,9 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import lm_scoring
+from tidemark.llm import lm_scoring, near_dedup
 from tidemark.llm import toxicity as toxicity_module
-from tidemark.llm.common import connected, in_order, reconnected
+from tidemark.llm.common import CLEANUP, connected, in_order, reconnected, stored
 from tidemark.llm.lm_scoring import DISCOUNT, PAIR_MASS, lm_scores
 from tidemark.llm.mixing import mix
 from tidemark.llm.near_dedup import near_duplicates
@@ -122,6 +122,53 @@ def test_near_duplicates_one_large_group(spark):
     assert got == want
 
 
+def shuffle_files(spark):
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    return set(re.findall(r"shuffle_\d+_\d+_\d+\.\w+", manager.getAllFiles().mkString("\n")))
+
+
+@pytest.mark.parametrize("set_before", [None, "false"])
+def test_stored_tables_leave_no_shuffle_files(spark, set_before):
+    """Also of a DataFrame that was made, and has run, before; the session's setting stays as it was."""
+    counts = spark.range(1000).groupBy((F.col("id") % 10).alias("k")).count()
+    if set_before:
+        spark.conf.set(CLEANUP, set_before)
+    try:
+        assert len(counts.collect()) == 10
+        before = shuffle_files(spark)
+        kept = stored(counts)
+        for _ in range(20):  # files are removed in the background
+            if not (left := shuffle_files(spark) - before):
+                break
+            time.sleep(0.5)
+        assert not left
+        assert spark.conf.get(CLEANUP, None) == set_before
+        assert sorted(kept.collect()) == sorted(counts.collect())
+    finally:
+        spark.conf.unset(CLEANUP)
+
+
+def shuffled_bytes(spark):
+    store = spark.sparkContext._jsc.sc().statusStore()
+    stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), spark._jvm.java.util.ArrayList())
+    return {(x := stages.apply(i)).stageId(): x.shuffleWriteBytes() for i in range(stages.size())}
+
+
+@pytest.mark.parametrize("broadcast", [1_000_000, 0])
+def test_signatures_of_unlike_documents_are_shuffled_once(spark, monkeypatch, broadcast):
+    """Of 3000 documents 60 resemble another; the signatures of the rest, 640 bytes each, meet no join of candidates."""
+    monkeypatch.setattr(near_dedup, "BROADCAST_IDS", broadcast)
+    rows = [(k, " ".join(f"w{k}x{i}" for i in range(40))) for k in range(2970)] + [(3000 + k, " ".join(f"w{k}x{i}" for i in range(39))) for k in range(30)]
+    before = set(shuffled_bytes(spark))
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: k % 3000 for k, _ in rows}
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    written = sum(n for stage, n in shuffled_bytes(spark).items() if stage not in before)
+    bands = 2 * 32 * 16 * len(rows)
+    # One shuffle finds equal sets; where the ids are too many to broadcast, one more picks the signatures of candidates.
+    assert written < bands + (1.5 if broadcast else 2.5) * 640 * len(rows)
+
+
 def test_connected(spark):
     pairs = [(k, k + 1) for k in range(40)] + [(100, 200), (200, 300), (7, 7)] + [(500, k) for k in range(501, 560)]
     roots = {r.node: r.root for r in connected(spark.createDataFrame(pairs, "a long, b long")).collect()}

@@ -36,7 +36,7 @@ SMALL_BUCKET = 12
 NEAREST = 2
 #: Signatures of one block: 0.6 MB.
 SIGNATURE_ROWS = 1024
-#: Node ids up to this many are broadcast (8 bytes each) to fetch their texts; more are joined by a shuffle.
+#: Node ids up to this many are broadcast (8 bytes each) to fetch their texts or signatures; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
 _A = splitmix(np.arange(PERMUTATIONS, dtype=np.uint64) + np.uint64(1000)).astype(np.uint32) | np.uint32(1)
@@ -178,12 +178,16 @@ def _sets(width: int):
     return run
 
 
+def _of(rows: DataFrame, key: str, nodes: DataFrame) -> DataFrame:
+    """The rows whose key is one of the nodes (a stored table of distinct ones)."""
+    wanted = nodes.withColumnRenamed("node", key)
+    return rows.join(F.broadcast(wanted) if nodes.count() <= BROADCAST_IDS else wanted, key, "left_semi")
+
+
 def _linked(texts: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs whose full shingle sets are similar enough."""
     nodes = stored(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
-    wanted = F.broadcast(nodes) if nodes.count() <= BROADCAST_IDS else nodes
-    found = texts.join(wanted, texts["doc_id"] == wanted["node"], "left_semi").select("doc_id", "text")
-    sets = stored(found.mapInArrow(_sets(width), "node long, shingles array<long>"))
+    sets = stored(_of(texts, "doc_id", nodes).select("doc_id", "text").mapInArrow(_sets(width), "node long, shingles array<long>"))
     one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("one"))
     two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("two"))
     common = F.size(F.array_intersect("one", "two"))
@@ -224,11 +228,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     rows = stored(texts.mapInArrow(_features(width), "doc_id long, n_shingles long, key_hi long, key_lo long, sig binary"))
     full = rows.filter("n_shingles > 0")
     nodes = stored(full.groupBy("key_hi", "key_lo").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")))
-    known = nodes
 
-    buckets = known.select("node", "sig").mapInArrow(_bands, "bucket long, node long")
+    buckets = nodes.select("node", "sig").mapInArrow(_bands, "bucket long, node long")
     crowded = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
     members = stored(buckets.join(crowded, "bucket"))
+    # Signatures are wide, and most nodes of a corpus share no bucket: only those that do go through the joins below.
+    known = stored(_of(nodes, "node", stored(members.select("node").distinct())).select("node", "n", "sig"))
     met = members.groupBy("node").agg(F.sum("members").alias("met"))
     ranked = members.join(met, "node")
     pivots = ranked.groupBy("bucket").agg(F.bitwise_not(F.max(F.struct("met", F.bitwise_not("node").alias("minus")))["minus"]).alias("pivot"))
